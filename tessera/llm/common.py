@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 SLICE_BYTES = 1 << 20
 
@@ -156,3 +157,12 @@ class WordHasher:
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
         start = cat(ss, np.int64)
         return cat(hs, np.uint64), start, cat(es, np.int64), np.searchsorted(start, off, "left")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_doc`, a key for each row in order of doc_id: doc_id itself where it is one, else numbers of the rows sorted by doc_id (null first) and text."""
+    n = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n[0] == n[1]:
+        return docs.withColumn("_doc", docs["doc_id"].cast("long"))
+    order = W.Window.orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    return materialize(docs.withColumn("_doc", F.row_number().over(order).cast("long")))
