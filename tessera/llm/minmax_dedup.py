@@ -5,9 +5,9 @@ for one evaluation, of lower variance than as many minima. BANDS bands of 4 valu
 pair at the limit of 0.8 with probability (1 - 0.8^4)^32 < 5e-8. Documents with equal sets are one class, and its smallest doc_id takes part.
 
 Candidates: first, each class against the smallest of its bucket, which is linear in a bucket's size. Links found so are
-closed to components; only buckets that still hold several components are searched further, for pairs of different
-components, in blocks of bounded size, and only pairs whose whole sketches and set sizes agree with the limit go on
-(a pair at the limit falls below ESTIMATE with probability < 1e-4). Pairs inside a component need no check, as they can't change it.
+closed to components. Only buckets that still hold several components are searched further, in pairs of blocks of bounded
+size: a task compares members of different components, those whose set sizes and whole sketches agree with the limit (a pair at the
+limit falls below ESTIMATE with probability < 1e-4) on their full sets, and returns links alone. Pairs inside a component need no check, as they can't change it.
 
 Confirmation: members of a center are dealt in groups of bounded size, each led by the center; a task streams through
 sorted groups and holds one center's set at a time. Sets are built anew from the whole texts.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, slices, string_buffers
 from tessera.llm.components import connected_components
 
-WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS = 4, 64, 32, 0.65, 256, 512
+WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS = 4, 64, 32, 0.65, 256, 256
 SIMILARITY = (80, 100)
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
@@ -110,8 +110,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, in
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("_salts"))
     dealt = pairs.join(groups, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int"))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
-    members = dealt.select("a", "_salt", F.lit(1).alias("_k"), F.col("b").alias("doc_id")).join(docs, "doc_id")
-    leaders = heads.select("a", "_salt", F.lit(0).alias("_k"), F.col("a").alias("doc_id")).join(docs, "doc_id")
+    members = dealt.select("a", "_salt", F.lit(1).alias("_k"), F.col("b").alias("doc_id"))
+    leaders = heads.select("a", "_salt", F.lit(0).alias("_k"), F.col("a").alias("doc_id"))
+    led = docs.join(members.unionByName(leaders).hint("shuffle_hash"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, head, lead = WordHasher(SPACE_BYTES), None, np.empty(0, np.uint64)
@@ -134,33 +135,58 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, in
                             right.append(doc[r])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    led = leaders.select("a", "_salt", "_k", "doc_id", "text").unionByName(members.select("a", "_salt", "_k", "doc_id", "text"))
-    return led.repartition("a", "_salt").sortWithinPartitions("a", "_salt", "_k").mapInArrow(run, "a long, b long")
+    return led.select("a", "_salt", "_k", "doc_id", "text").repartition("a", "_salt").sortWithinPartitions("a", "_salt", "_k").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Plausible pairs of different labels in each bucket of members (key, doc_id, label, n_shingles, sketch)."""
+def linked_blocks(members: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between members (key, doc_id, label, n_shingles, sketch) of one key and different labels, confirmed on full sets; each document is in one key.
+
+    A key's members are dealt to blocks of about BLOCK_MEMBERS, and each pair of blocks is compared in one task, which skips pairs that it has joined already. Only links leave it.
+    """
     num, den = similarity
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("_blocks"))
     dealt = members.join(blocks, "key").withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    texts = docs.join(dealt.hint("shuffle_hash"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    spread = dealt.select("*", other).select("key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "doc_id", "label", "n_shingles", "sketch")
+    spread = texts.select("*", other).select("key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "doc_id", "label", "n_shingles", "sketch", "text")
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending")])
         ids, label, size, mine = (group.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "_mine"))
+        _, label = np.unique(label, return_inverse=True)
         low, high = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        words, sets = WordHasher(SPACE_BYTES), {}
+        data, off = string_buffers(group.column("text"))
+
+        def full(r: int) -> np.ndarray:
+            if r not in sets:
+                h, _, _, first = words.words(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]))
+                sets[r] = distinct(*shingles(h, first, k))[0]
+            return sets[r]
+
         left, right = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
         a, b = [], []
         for x in left.tolist():
             y = right[right > x] if low == high else right
             y = y[(label[y] != label[x]) & (den * np.minimum(size[y], size[x]) >= num * np.maximum(size[y], size[x]))]
-            y = y[(sig[y] == sig[x]).mean(1) >= ESTIMATE]
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
-
-    return spread.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+            if not len(y):
+                continue
+            alike = (sig[y] == sig[x]).mean(1)
+            order = np.argsort(-alike, kind="stable")
+            for z in y[order[alike[order] >= ESTIMATE]].tolist():
+                if label[z] == label[x]:
+                    continue
+                s, t = full(x), full(z)
+                pos = np.minimum(np.searchsorted(s, t), len(s) - 1)
+                both = int((s[pos] == t).sum())
+                if den * both >= num * (len(s) + len(t) - both):
+                    a.append(ids[x])
+                    b.append(ids[z])
+                    label[label == label[z]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -179,10 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int]
     labels = connected_components(links)
     labelled = held.select("key", "doc_id").join(labels.select(F.col("v").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id"))
-    crossed = materialize(cross_pairs(rest, similarity).join(stars, ["a", "b"], "left_anti"))
-    if not crossed.isEmpty():
-        labels = connected_components(links.unionByName(confirm(crossed, one, k, similarity)))
+    rest = materialize(labelled.join(mixed, "key", "left_semi"))
+    if not rest.isEmpty():
+        # buckets that share a document are searched as one, so that no pair is met in each of its buckets
+        whole = rest.groupBy("key").agg(F.min("doc_id").alias("a")).join(rest, "key").select("a", F.col("doc_id").alias("b"))
+        joint = connected_components(whole).select(F.col("v").alias("doc_id"), F.col("label").alias("key"))
+        members = joint.join(rest.select("doc_id", "label").distinct(), "doc_id").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+        more = materialize(linked_blocks(members, one, k, similarity))
+        labels = connected_components(links.unionByName(more))
     named = classes.select("fp1", "fp2", "n_shingles", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("_n"), F.coalesce("label", "rep").alias("_label"))
     same = (sketches["fp1"] == named["fp1"]) & (sketches["fp2"] == named["fp2"]) & (sketches["n_shingles"] == named["_n"]) & sketches["doc_id"].isNotNull()
     out = sketches.join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_label", "doc_id")).alias("component_id"))
