@@ -27,16 +27,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """Stripped of ASCII white space at both ends, A-Z lower-cased; other letters stay."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_keys(text: Column) -> Column:
+    """Keys of all lines: stripped of ASCII white space at both ends, A-Z lower-cased; other letters stay."""
+    bare = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
 
 
-def key_hash(line: Column) -> Column:
-    """128 bits of the key as two longs; null where the key is too short."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= MIN_CHARS, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+def key_hashes(text: Column) -> Column:
+    """128 bits of each line's key as two longs; null where the key is too short."""
+    return F.transform(line_keys(text), lambda x: F.when(F.char_length(x) >= MIN_CHARS, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))
 
 
 def summed(keys: DataFrame) -> DataFrame:
@@ -80,23 +79,24 @@ class LineRuns:
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """doc_id, _text (hash of the whole text), pos, k (hash of the key) for each line with a key."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.select("doc_id", "_text", "pos", key_hash(F.col("line")).alias("k")).filter("k IS NOT NULL")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(key_hashes(F.col("text"))).alias("pos", "k"))
+    return lines.filter("k IS NOT NULL")
 
 
 def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
     """a, b, last_doc of the keys that at least min_docs documents hold, through the levelled runs."""
     spark = docs.sparkSession
     runs = LineRuns(spark, folder or shared_dir(spark))
-    stats = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)]), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    cuts, once = stats[0] or [], stats[1] == stats[2]  # once: no doc_id has two rows, so keys need only be made distinct in each row
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
+    ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    once = ids[0] == ids[1]  # once: no doc_id has two rows, so keys need only be made distinct in each row
     edges = [None, *sorted(set(cuts), reverse=True), None]
     for above, below in zip(edges[1:], edges, strict=False):
         part = docs.filter("doc_id IS NOT NULL")
         part = part if below is None else part.filter(F.col("doc_id") <= below)
         part = part if above is None else part.filter(F.col("doc_id") > above)
         if once:
-            held = part.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), key_hash))).alias("k")).filter("k IS NOT NULL")
+            held = part.select("doc_id", F.explode(F.array_distinct(key_hashes(F.col("text")))).alias("k")).filter("k IS NOT NULL")
         else:
             held = line_hashes(part).select("k", "doc_id").distinct()
         held = held.select("k.a", "k.b", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("last_doc"))
