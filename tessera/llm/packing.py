@@ -26,7 +26,7 @@ from pyspark.sql import window as W
 from tessera.llm.common import doc_text, materialize
 from tessera.llm.tokenization import encoder, texts_by_bytes
 
-VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALTS = "byte_bpe_50k.json", "<|endoftext|>", 0, 2048, 32
+VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALTS = "byte_bpe_50k.json", "\n", 0, 2048, 32
 
 
 def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = VOCABULARY, separator: str = SEPARATOR, end_id: int = END_ID) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_text
 from tessera.llm.tokenization import encoder, texts_by_bytes
 
-VOCABULARY, SEPARATOR = "byte_bpe_50k.json", "<|endoftext|>"
+VOCABULARY, SEPARATOR = "byte_bpe_50k.json", "\n"
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, separator: str = SEPARATOR) -> DataFrame:

@@ -3,7 +3,7 @@
 Both vocabularies never join text over a lone space between two characters that are not white space: byte-level
 BPE starts a new piece at such a space, the word vocabulary drops it. So a text may be cut there, each part
 encoded alone, and the ids joined. Parts are mostly words, which repeat; their ids are kept in a bounded
-dictionary. Parts that aren't in it are encoded together, with a special token between them.
+dictionary. Parts that aren't in it are encoded together, with a separator between them.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ import pyarrow as pa
 
 from tessera.llm.common import slices, string_buffers
 
-_BLANKS = re.compile(r"\s\s|^\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_500_000
 LONG_CHARS = 1 << 20
 LONGEST_WORD = 400
 
@@ -34,7 +33,7 @@ def vocabulary_path(name: str) -> str:
 class WordCacheEncoder:
     """ids of whole texts, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them, in little-endian uint32.
 
-    path: vocabulary file. separator: a special token of it that stands between uncached words in a joint call.
+    path: vocabulary file. separator: text of one token that stands between uncached words in a joint call and is never part of another token.
     cache_words bounds the dictionary: the words met first, which are the frequent ones, stay; later ones share a
     quarter of that room, which is emptied when full. So memory doesn't grow with the corpus.
     """
@@ -46,7 +45,8 @@ class WordCacheEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.separator, self.sep_id = separator, self.tok.token_to_id(separator)
+        self.separator, self.mark = separator, separator.lstrip(" ")
+        (self.sep_id,) = self.tok.encode(separator, add_special_tokens=False).ids
         self.limit, self.cache, self.recent, self.heads = cache_words, {}, {}, {}
         self.stops = {c: self._direct(c) for c in ".,;:!?"}
         self.newline = self._direct("\n")
@@ -62,38 +62,55 @@ class WordCacheEncoder:
             ids = self.heads[word] = self._direct(word)
         return ids
 
-    def _find(self, words: list[str]) -> bytes:
-        """Ids of " " + word for each word, joined; at least one isn't in the cache."""
-        cache, recent = self.cache, self.recent
+    def _find(self, words: list[str], found: list[bytes | None]) -> bytes | None:
+        """Ids of " " + word for each word, joined; None if a word has white space at an end, as then its space is no safe cut."""
         if max(map(len, words)) > LONGEST_WORD:  # such words aren't kept
-            return b"".join([self._direct(" " + w) if len(w) > LONGEST_WORD else self._find([w]) for w in words])
-        missing = {w for w in words if w not in cache and w not in recent}
-        if len(recent) + len(missing) > self.limit // 4:
+            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
+                return None
+            return b"".join([self._direct(" " + w) if len(w) > LONGEST_WORD else self._rest([w]) for w in words])
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        for w in missing:
+            if not w or w[0].isspace() or w[-1].isspace():
+                return None
+        cache, recent = self.cache, self.recent
+        if len(recent) > self.limit // 4:
             recent.clear()
-            missing = {w for w in words if w not in cache}
-        if missing:
-            into = cache if len(cache) < self.limit else recent
-            # a letter and a lone stop or line feed are never one piece in either vocabulary
-            ended = {w for w in missing if len(w) > 1 and w[-1] in self.stops and w[-2].isalpha()}
-            broken = {w for w in missing if w.count("\n") == 1 and "<" not in w and w[0] != "\n" != w[-1]} - ended
-            stems = missing - ended - broken | {w[:-1] for w in ended} | {w.split("\n")[0] for w in broken}
-            self._learn([w for w in stems if w not in cache and w not in recent], into)
-            have = lambda w: cache[w] if w in cache else recent[w]
-            for w in ended:
-                into[w] = have(w[:-1]) + self.stops[w[-1]]
-            for w in broken:
-                left, right = w.split("\n")
-                into[w] = have(left) + self.newline * self.keeps_newline + self._head(right)
-        return b"".join([cache[w] if w in cache else recent[w] for w in words])
-
-    @property
-    def keeps_newline(self) -> int:
-        return 1 if self.newline else 0
+        have = {w: recent[w] for w in missing if w in recent} if recent else {}
+        new: dict[str, bytes] = {}
+        # a letter and a lone stop or line feed are never one piece in either vocabulary
+        stems, ended, broken = [], [], []
+        for w in missing:
+            if w in have:
+                continue
+            if w[-1] in self.stops and len(w) > 1 and w[-2].isalpha():
+                ended.append(w)
+                stem = w[:-1]
+            elif "\n" in w and w.count("\n") == 1 and "<" not in w:
+                broken.append(w)
+                stem = w[: w.index("\n")]
+                if stem[-1].isspace() or w[len(stem) + 1].isspace():
+                    broken.pop()
+                    stem = w
+            else:
+                stem = w
+            if stem not in cache and stem not in recent and stem not in new:
+                new[stem] = b""
+                stems.append(stem)
+        self._learn(stems, new)
+        get = lambda w: new[w] if w in new else cache[w] if w in cache else recent[w]
+        for w in ended:
+            new[w] = get(w[:-1]) + self.stops[w[-1]]
+        for w in broken:
+            left, right = w.split("\n")
+            new[w] = get(left) + self.newline + self._head(right)
+        (cache if len(cache) < self.limit else recent).update(new)
+        have |= new
+        return b"".join([have[w] if ids is None else ids for w, ids in zip(words, found, strict=True)])
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         plain = []
         for w in words:
-            if "<" in w or ">" in w or "|" in w:
+            if "<" in w or ">" in w or self.mark in w:
                 into[w] = self._direct(" " + w)
             else:
                 plain.append(w)
@@ -104,12 +121,9 @@ class WordCacheEncoder:
             for w, a, b in zip(some, np.concatenate([[0], at + 1]).tolist(), np.concatenate([at, [len(ids)]]).tolist(), strict=True):
                 into[w] = ids[a:b].tobytes()
 
-    def _rest(self, words: list[str]) -> bytes:
-        try:
-            cache = self.cache
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            return self._find(words)
+    def _rest(self, words: list[str]) -> bytes | None:
+        found = list(map(self.cache.get, words))
+        return self._find(words, found) if None in found else b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
         out, at = [], 0
@@ -117,11 +131,15 @@ class WordCacheEncoder:
             cut = _SAFE.search(text, at + LONG_CHARS) if len(text) - at > LONG_CHARS else None
             to = cut.start() if cut else len(text)
             part = text[at:to]
-            words = _SAFE.split(part) if _BLANKS.search(part) else part.split(" ")
+            words = part.split(" ")
+            tail = self._rest(words[at == 0 :]) if not words[0][-1:].isspace() and words[0] else None
+            if tail is None:  # white space beside a space
+                words = _SAFE.split(part)
+                last = words.pop() if len(words) > 1 and words[-1][-1].isspace() else None
+                tail = self._rest(words[at == 0 :]) + (b"" if last is None else self._direct(" " + last))
             if at == 0:
                 out.append(self._head(words[0]) if len(words[0]) < 64 else self._direct(words[0]))
-                words = words[1:]
-            out.append(self._rest(words))
+            out.append(tail)
             if to == len(text):
                 return np.frombuffer(b"".join(out), "<u4")
             at = to + 1  # the space at a cut belongs to the word after it
