@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def bigram_buckets(text: Column) -> Column:
-    """Bucket 0..255 of each byte bigram: the first byte of its MD5."""
+def byte_bigrams(text: Column) -> Column:
     raw = F.encode(text, "UTF-8")
-    pair = lambda i: F.conv(F.substring(F.md5(F.substring(raw, i, F.lit(2))), 1, 2), 16, 10).cast("int")
-    return F.when(F.octet_length(text) >= 2, F.transform(F.sequence(F.lit(1), F.octet_length(text) - 1), pair)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(text) >= 2, F.transform(F.sequence(F.lit(1), F.octet_length(text) - 1), lambda i: F.substring(raw, i, F.lit(2)))).otherwise(F.array().cast("array<binary>"))
+
+
+def bucket(pair: Column) -> Column:
+    """Bucket 0..255 of a byte bigram: the first byte of its MD5."""
+    return F.conv(F.substring(F.md5(pair), 1, 2), 16, 10).cast("int")
 
 
 def mock_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bucket, value: the non-zero parts of the unit vector of bigram counts; no rows for under two bytes."""
-    counts = texts.select(key, F.explode(bigram_buckets(F.col(text))).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    """key, bucket, value: the non-zero parts of the unit vector of bigram counts; no rows for under two bytes. Only different bigrams of a text are hashed."""
+    pairs = texts.select(key, F.explode(byte_bigrams(F.col(text))).alias("pair")).groupBy(key, "pair").agg(F.count("*").alias("n"))
+    counts = pairs.select(key, bucket(F.col("pair")).alias("bucket"), "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / norm).alias("value"))
 

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tessera.functions.text import clean, garble_count
@@ -55,7 +56,7 @@ def looks_like_text(head: Column) -> Column:
     return ~F.contains(head, F.lit("\x00")) & (control < 0.1 * F.greatest(F.lit(1), F.length(head)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sniff_zip(content: pd.Series) -> pd.Series:
     """docx for a word-processing package, unsupported for any other archive."""
 
@@ -69,7 +70,7 @@ def sniff_zip(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8, else GBK, else UTF-8 with replacements; line ends become LF."""
 
