@@ -27,7 +27,7 @@ from pyspark.sql import window as W
 from tessera.llm.common import doc_text, materialize, shared_dir
 from tessera.llm.tokenization import encoder, texts_by_bytes
 
-VOCABULARY, SEPARATOR, END_ID = "word_bpe_49k.json", "<|startoftext|>", 2
+VOCABULARY, SEPARATOR, END_ID = "word_bpe_49k.json", " |", 2
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -113,7 +113,7 @@ def read_token_files(manifest: DataFrame, folder: str, batch_docs: int = 2000) -
     # one row for each file: the sums over all of them are small
     w = W.Window.orderBy(F.col("first_id").asc_nulls_first(), "n_bytes", "path")
     based = manifest.withColumn("base", F.sum("n_tokens").over(w) - F.col("n_tokens"))
-    return based.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

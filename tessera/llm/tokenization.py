@@ -19,7 +19,7 @@ import pyarrow as pa
 from tessera.llm.common import slices, string_buffers
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 LONG_CHARS = 1 << 20
 LONGEST_WORD = 400
 
@@ -34,8 +34,8 @@ class WordCacheEncoder:
     """ids of whole texts, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them, in little-endian uint32.
 
     path: vocabulary file. separator: text of one token that stands between uncached words in a joint call and is never part of another token.
-    cache_words bounds the dictionary: the words met first, which are the frequent ones, stay; later ones share a
-    quarter of that room, which is emptied when full. So memory doesn't grow with the corpus.
+    cache_words bounds the dictionary. New words go to a space of the same size, which is emptied when full; those met
+    again while there move to the dictionary and stay. So memory doesn't grow with the corpus, and rare words don't fill it.
     """
 
     def __init__(self, path: str, separator: str, cache_words: int = CACHE_WORDS) -> None:
@@ -48,6 +48,11 @@ class WordCacheEncoder:
         self.separator, self.mark = separator, separator.lstrip(" ")
         (self.sep_id,) = self.tok.encode(separator, add_special_tokens=False).ids
         self.limit, self.cache, self.recent, self.heads = cache_words, {}, {}, {}
+        names = self.tok.get_vocab()
+        size = max(names.values()) + 1
+        self.ends, self.starts = np.zeros(size, bool), np.zeros(size, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
+        self.starts[[i for t, i in names.items() if t.startswith("\u0120")]] = True
         self.stops = {c: self._direct(c) for c in ".,;:!?"}
         self.newline = self._direct("\n")
 
@@ -73,7 +78,7 @@ class WordCacheEncoder:
             if not w or w[0].isspace() or w[-1].isspace():
                 return None
         cache, recent = self.cache, self.recent
-        if len(recent) > self.limit // 4:
+        if len(recent) > self.limit:
             recent.clear()
         have = {w: recent[w] for w in missing if w in recent} if recent else {}
         new: dict[str, bytes] = {}
@@ -103,23 +108,44 @@ class WordCacheEncoder:
         for w in broken:
             left, right = w.split("\n")
             new[w] = get(left) + self.newline + self._head(right)
-        (cache if len(cache) < self.limit else recent).update(new)
+        if have and len(cache) < self.limit:  # met again while remembered
+            cache.update(have)
+        recent.update(new)
         have |= new
         return b"".join([have[w] if ids is None else ids for w, ids in zip(words, found, strict=True)])
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        plain = []
+        """Words of letters alone are told apart by tokens that end a word or start after a space, others by separators."""
+        plain, letters = [], []
         for w in words:
-            if "<" in w or ">" in w or self.mark in w:
+            if w.isalpha():
+                letters.append(w)
+            elif "<" in w or ">" in w or self.mark in w:
                 into[w] = self._direct(" " + w)
             else:
                 plain.append(w)
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            ids = self._ids(" " + " ".join(some))
+            at = np.flatnonzero(self.ends[ids]) + 1 if self.ends.any() else np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
+            if len(at) == len(some) and at[-1] == len(ids):
+                self._store(some, ids, np.concatenate([[0], at[:-1]]), at, into)
+            else:
+                plain += some
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.asarray(self.tok.encode_batch_fast([self.separator.join([" " + w for w in some])], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._ids(self.separator.join([" " + w for w in some]))
             at = np.flatnonzero(ids == self.sep_id)
-            for w, a, b in zip(some, np.concatenate([[0], at + 1]).tolist(), np.concatenate([at, [len(ids)]]).tolist(), strict=True):
-                into[w] = ids[a:b].tobytes()
+            self._store(some, ids, np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]), into)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def _store(words: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray, into: dict[str, bytes]) -> None:
+        raw = ids.tobytes()
+        for w, a, b in zip(words, (start * 4).tolist(), (end * 4).tolist(), strict=True):
+            into[w] = raw[a:b]
 
     def _rest(self, words: list[str]) -> bytes | None:
         found = list(map(self.cache.get, words))
