@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 SLICE_BYTES = 1 << 20
+#: Empties what a Python worker keeps between tasks; an operator that needs none of it calls release_caches().
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
+def release_caches() -> None:
+    """Python workers outlive stages: what an earlier operator has cached in one gives way to the present one."""
+    for clear in WORKER_CACHES:
+        clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHasher, doc_text, mix64, slices, string_buffers
+from tessera.llm.common import WordHasher, doc_text, mix64, release_caches, slices, string_buffers
 
 WINDOW, CHUNK_BYTES, SEGMENT, TABLE_BITS = 13, 16 << 20, 256, 18
 #: Bytes that no word has: 00-2F, 3A-60 (after lower-casing), 7B-7F.
@@ -111,6 +111,7 @@ def find_items(docs: DataFrame, items: list[tuple[str, str]], window: int = WIND
     tables = docs.sparkSession.sparkContext.broadcast(build_tables(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         words, mine = WordHasher(SEPARATORS), tables.value
         for batch in batches:
             data, off = string_buffers(batch.column(1))

@@ -23,9 +23,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, slices, string_buffers
+from tessera.llm.common import doc_text, release_caches, slices, string_buffers
 
-ORDER, TRAIN_BYTES, UNDETERMINED = 3, 24_000_000, "und"
+ORDER, TRAIN_BYTES, UNDETERMINED = 3, 12_000_000, "und"
 PAD = 10  # a text starts as after line feeds
 PART = 1 << 20
 
@@ -44,6 +44,7 @@ def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_caches()
     for batch in batches:
         lang = np.array(batch.column(0).to_pylist(), object)
         data, off = string_buffers(batch.column(1))
@@ -195,13 +196,16 @@ def predict(docs: DataFrame, model: Broadcast | None) -> DataFrame:
     letters[[*range(65, 91), *range(97, 123)]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         ppm = model.value if model is not None else None
         for batch in batches:
             data, off = string_buffers(batch.column(1))
             rows = len(off) - 1
             bits = ppm.code_lengths(data, off) if ppm else np.zeros((rows, 1))
-            have = np.concatenate([[0], np.cumsum(letters[data])])
-            lettered = have[off[1:]] > have[off[:-1]]
+            lettered = np.zeros(rows, bool)
+            filled = np.flatnonzero(np.diff(off))
+            if len(filled):
+                lettered[filled] = np.logical_or.reduceat(letters[data], off[filled])
             for r in np.flatnonzero(~lettered & (np.diff(off) > 0)).tolist():
                 lettered[r] = any(map(str.isalpha, data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")))
             best = bits.argmin(1)

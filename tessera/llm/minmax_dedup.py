@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, slices, string_buffers
+from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 from tessera.llm.components import connected_components
 
 WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS = 4, 64, 32, 0.65, 256, 256
@@ -87,6 +87,7 @@ class MinMaxSketcher:
 
 def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         words, maker = WordHasher(SPACE_BYTES), MinMaxSketcher()
         for batch in batches:
             data, off = string_buffers(batch.column(1))
@@ -115,6 +116,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, in
     led = docs.join(members.unionByName(leaders).hint("shuffle_hash"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         words, head, lead = WordHasher(SPACE_BYTES), None, np.empty(0, np.uint64)
         for batch in batches:
             a, kind, doc = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "_k", "doc_id"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.common import SpanHasher, doc_text, materialize, mix64, slices, string_buffers
+from tessera.llm.common import SpanHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 
 LENGTH, GRAM, HOT, BLOCK_SUFFIXES = 100, 32, 20_000, 200_000
 SEGMENT = 1 << 20
@@ -91,6 +91,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
     """Runs of docs (doc, text). Of equal runs in a batch the first is kept as kind 0, the others are kind 1: removed already, with a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         maker = Runs()
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import slices, string_buffers
+from tessera.llm.common import WORKER_CACHES, slices, string_buffers
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 CACHE_WORDS = 1_000_000
@@ -177,6 +177,9 @@ def encoder(name_or_path: str, separator: str) -> WordCacheEncoder:
     return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator)
 
 
+WORKER_CACHES.append(encoder.cache_clear)
+
+
 def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
     """Row ranges balanced by bytes: (from, to, texts, UTF-8 lengths)."""
     col = batch.column(batch.schema.get_field_index(column))
