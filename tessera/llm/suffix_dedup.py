@@ -17,7 +17,7 @@ with one anchor form a run.
 Documents meet the spans that they lose in a join on doc_id, and are written without them.
 
 Defined cases: null or empty text has no bytes and loses none; texts under LENGTH bytes lose none; where doc_ids repeat or are null, documents
-are ordered by doc_id (null first), then by text, equal rows being one document with a result row each; longer texts than SEGMENT are read in
+are ordered by doc_id (null first), then by the text's hash, equal rows being one document with a result row each; longer texts than SEGMENT are read in
 overlapping segments; an empty table gives no rows; other columns are ignored.
 """
 
@@ -297,10 +297,10 @@ def remove_copies(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     if ids[0] == ids[1]:
         base = texts.select("doc_id", F.col("doc_id").alias("doc"), "text")
     else:  # no proper key: rows are numbered in order
-        order = W.Window.orderBy(F.col("doc_id").asc_nulls_first(), "_hash")
         keyed = texts.withColumn("_hash", F.sha2("text", 256))
-        numbers = keyed.select("doc_id", "_hash").distinct().withColumn("doc", F.row_number().over(order).cast("long"))
-        base = keyed.join(numbers, keyed["doc_id"].eqNullSafe(numbers["doc_id"]) & (keyed["_hash"] == numbers["_hash"])).select(keyed["doc_id"], "doc", "text")
+        numbers = keyed.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).distinct()
+        numbers = numbers.withColumn("doc", F.row_number().over(W.Window.orderBy(F.col("_id").asc_nulls_first(), "_of")).cast("long"))
+        base = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))).select("doc_id", "doc", "text")
         base = materialize(base)
     plain = base.select("doc", "text")
     one = plain if ids[0] == ids[1] else plain.dropDuplicates(["doc"])

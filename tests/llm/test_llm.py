@@ -98,15 +98,15 @@ def test_packing(spark, sf_dir, tok):
     assert {tuple(r)[:5] for r in got} == want and len(got) == len(want)
     bins = check_packing(got, 2048)
     assert len(bins) <= 1.02 * sum(r.length for r in got) / 2048 + 1
-    few = packing.pack(odd(spark), max_tokens=512, max_docs=2, max_cost=200_000).collect()
+    few = packing.pack(odd(spark), max_tokens=512, max_docs=2, max_cost=300_000).collect()
     for v in check_packing(few, 512).values():
-        assert len(v) <= 2 and sum(n * n for _, n in v) <= 200_000 or len(v) == 1
+        assert len(v) <= 2 and sum(n * n for _, n in v) <= 300_000
     assert packing.pack(none(spark)).count() == 0
 
 
 def test_plan_rules():
     random.seed(1)
-    counts = {n: random.randint(1, 50) for n in random.sample(range(1, 101), 40)}
+    counts = {n: random.randint(1, 50) for n in random.sample(range(1, 90), 40)}
     for rule in ("norm", "dot"):
         plan = packing.plan_bins(counts, 100, 5, 8000, rule)
         bins = defaultdict(list)
