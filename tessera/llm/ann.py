@@ -3,7 +3,7 @@
 Largest inner product is turned to smallest distance by one more component, the root of (largest squared norm - squared norm), 0 for queries.
 A block of vectors keeps, for each of PROJECTIONS random directions, its projections sorted. A query opens a window
 around its own projection in every array; a vector collides in an array if it lies in the window. Windows widen by
-RATIO (virtual rehashing: no table is built anew, only the new ends are counted), and a vector with collisions in at least THRESHOLD of
+RATIO (virtual rehashing: no table is built anew, a window is two places in a sorted array), and a vector with collisions in at least THRESHOLD of
 the arrays is verified by its exact inner product, until PROBE of the block, and PROBE_LEAST at least, is verified.
 
 All vectors are indexed, in blocks of about BLOCK by hash of vec_id; the stated query set meets every block, in blocks of its own;
@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD, RATIO, PROBE, PROBE_LEAST, SEED = 4096, 2048, 64, 0.8, 1.15, 0.25, 400, 5
+#: Windows in standard deviations of projections: a few narrow ones for clustered vectors, then fine steps; the last holds all.
+CLUSTERED, NARROWEST, WIDEST = (0.1, 0.25, 0.5), 0.8, 2.6
+BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD, RATIO, PROBE, PROBE_LEAST, SEED = 4096, 2048, 64, 0.8, 1.12, 0.15, 400, 5
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -33,8 +35,11 @@ class CollisionIndex:
         extra = np.sqrt(np.maximum(0.0, largest - (vectors**2).sum(1)))
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, projections))
         points = np.hstack([vectors, extra[:, None]]) @ self.directions
-        self.order = np.argsort(points, axis=0, kind="stable").T.copy()
+        order = np.argsort(points, axis=0, kind="stable").T
         self.sorted = np.sort(points, axis=0).T.copy()
+        n = len(vectors)
+        self.rank = np.empty((projections, n), np.uint16 if n < 1 << 15 else np.uint32)  # place of each vector in each array
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=self.rank.dtype)[None], 1)
         self.spread = float(points.std()) or 1.0
 
     def search(self, queries: np.ndarray, probe: float = PROBE, least: int = PROBE_LEAST) -> list[np.ndarray]:
@@ -42,33 +47,25 @@ class CollisionIndex:
         n, m = len(self.vectors), len(self.sorted)
         at = queries @ self.directions[:-1]
         need, enough = int(np.ceil(THRESHOLD * m)), min(n, max(least, int(probe * n)))
-        radii, r = [], 0.15 * self.spread
-        while r < 64 * self.spread:
+        radii, r = [x * self.spread for x in CLUSTERED], NARROWEST * self.spread
+        while r < WIDEST * self.spread:
             radii.append(r)
             r *= RATIO
+        radii.append(np.inf)
         left = np.array([[np.searchsorted(self.sorted[j], at[:, j] - r, "left") for j in range(m)] for r in radii])
         right = np.array([[np.searchsorted(self.sorted[j], at[:, j] + r, "right") for j in range(m)] for r in radii])
-        flat, base = self.order.ravel(), np.arange(m) * n
+        kind = self.rank.dtype
+        start, width = left.astype(kind), (right - left).astype(kind)
         out = []
         for q in range(len(queries)):
-            counts = np.zeros(n, np.int64)
-            lo = hi = None
-            # a window that can't hold enough collisions needn't be counted alone
-            width = (right[:, :, q] - left[:, :, q]).sum(1)
-            first = int(np.searchsorted(width, enough * need))
+            # a window that can't hold enough collisions needn't be counted
+            first = int(np.searchsorted(width[:, :, q].sum(1, dtype=np.int64), enough * need))
             for i in range(min(first, len(radii) - 1), len(radii)):
-                a, b = left[i, :, q], right[i, :, q]
-                spans = np.stack([a, b], 1) if lo is None else np.stack([a, lo, hi, b], 1).reshape(-1, 2)
-                start = (spans[:, 0] + (base if lo is None else np.repeat(base, 2))).astype(np.int64)
-                size = spans[:, 1] - spans[:, 0]
-                total = int(size.sum())
-                if total:
-                    pick = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
-                    counts += np.bincount(flat[pick], minlength=n)
-                lo, hi = a, b
-                if (counts >= need).sum() >= enough:
+                inside = (self.rank - start[i, :, q, None]) < width[i, :, q, None]  # below the start wraps around
+                close = inside.sum(0, dtype=np.uint16) >= need
+                if np.count_nonzero(close) >= enough:
                     break
-            out.append(np.flatnonzero(counts >= need))
+            out.append(np.flatnonzero(close))
         return out
 
 
@@ -111,7 +108,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         out = ([], [], [])
         for qv, q_id, rows in zip(qs, q_ids.tolist(), CollisionIndex(xs, largest).search(qs), strict=True):
             rows = rows[x_ids[rows] != q_id]
-            score = (xs[rows] * qv).sum(1)
+            near = xs[rows]
+            rough = near @ qv
+            if len(rows) > k:  # all that may tie with the k-th go on to the exact sum
+                floor = np.partition(rough, len(rows) - k)[len(rows) - k]
+                some = np.flatnonzero(rough >= floor - 1e-9 * max(1.0, abs(floor)))
+                rows, near = rows[some], near[some]
+            score = (near * qv).sum(1)
             best = np.lexsort((x_ids[rows], -score))[:k]
             for c, v in zip(out, (np.full(len(best), q_id), x_ids[rows][best], score[best]), strict=True):
                 c.append(v)
