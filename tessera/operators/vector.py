@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def byte_bigrams(text: Column) -> Column:
-    raw = F.encode(text, "UTF-8")
-    return F.when(F.octet_length(text) >= 2, F.transform(F.sequence(F.lit(1), F.octet_length(text) - 1), lambda i: F.substring(raw, i, F.lit(2)))).otherwise(F.array().cast("array<binary>"))
+def byte_bigrams(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pair for each byte bigram; bytes are encoded once for a text, below the generator."""
+    raw = texts.select(key, F.encode(text, "UTF-8").alias("_raw")).filter(F.octet_length("_raw") >= 2)
+    each = raw.select(key, "_raw", F.explode(F.sequence(F.lit(1), F.octet_length("_raw") - 1)).alias("_i"))
+    return each.select(key, F.substring("_raw", F.col("_i"), F.lit(2)).alias("pair"))
 
 
 def bucket(pair: Column) -> Column:
@@ -19,7 +21,7 @@ def bucket(pair: Column) -> Column:
 
 def mock_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, bucket, value: the non-zero parts of the unit vector of bigram counts; no rows for under two bytes. Only different bigrams of a text are hashed."""
-    pairs = texts.select(key, F.explode(byte_bigrams(F.col(text))).alias("pair")).groupBy(key, "pair").agg(F.count("*").alias("n"))
+    pairs = byte_bigrams(texts, key, text).groupBy(key, "pair").agg(F.count("*").alias("n"))
     counts = pairs.select(key, bucket(F.col("pair")).alias("bucket"), "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / norm).alias("value"))
