@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 SLICE_BYTES = 1 << 20
 #: Empties what a Python worker keeps between tasks; an operator that needs none of it calls release_caches().
@@ -167,10 +166,24 @@ class WordHasher:
         return cat(hs, np.uint64), start, cat(es, np.int64), np.searchsorted(start, off, "left")
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with `name`, each row's place (from 0) in that order, ties in any. Ranges are sorted apart and written; only their sizes, a row for each, are summed in one place."""
+    tie = F.monotonically_increasing_id()
+    dealt = df.withColumn("_tie", tie).repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie")).drop("_tie")
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()))  # range << 33 | place in it
+    split = placed.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+    before, offsets = 0, []
+    for r in split.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    base = df.sparkSession.createDataFrame(offsets, "_range long, _base long")
+    return split.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_place")).select(*df.columns, name)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_doc`, a key for each row in order of doc_id: doc_id itself where it is one, else numbers of the rows sorted by doc_id (null first) and text."""
+    """docs with `_doc`, a key for each row in order of doc_id: doc_id itself where it is one, else numbers of the rows sorted by doc_id (null first) and the text's hash."""
     n = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n[0] == n[1]:
         return docs.withColumn("_doc", docs["doc_id"].cast("long"))
-    order = W.Window.orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(docs.withColumn("_doc", F.row_number().over(order).cast("long")))
+    hashed = docs.withColumn("_hash", F.sha2("text", 256))
+    return numbered(hashed, "_doc", F.col("doc_id").asc_nulls_first(), F.col("_hash").asc_nulls_first()).drop("_hash")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHasher, doc_text, mix64, release_caches, slices, string_buffers
+from tessera.llm.common import WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 
 WINDOW, CHUNK_BYTES, SEGMENT, TABLE_BITS = 13, 16 << 20, 256, 18
 #: Bytes that no word has: 00-2F, 3A-60 (after lower-casing), 7B-7F.
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     if chunks == 1:
         found = find_items(docs, [tuple(r) for r in items.collect()], window)
     else:  # a chunk's bytes are near the bound, as items are dealt by hash; each is read, broadcast and searched alone
-        keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+        keyed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")))  # written, as every chunk must see the same keys
         parts = []
         for c in range(chunks):
             chunk = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()]

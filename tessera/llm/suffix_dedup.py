@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from tessera.llm.common import SpanHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
+from tessera.llm.common import SpanHasher, doc_text, materialize, mix64, numbered, release_caches, slices, string_buffers
 
 LENGTH, GRAM, HOT, BLOCK_SUFFIXES = 100, 32, 20_000, 200_000
 SEGMENT = 1 << 20
@@ -299,7 +298,7 @@ def remove_copies(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     else:  # no proper key: rows are numbered in order
         keyed = texts.withColumn("_hash", F.sha2("text", 256))
         numbers = keyed.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).distinct()
-        numbers = numbers.withColumn("doc", F.row_number().over(W.Window.orderBy(F.col("_id").asc_nulls_first(), "_of")).cast("long"))
+        numbers = numbered(numbers, "doc", F.col("_id").asc_nulls_first(), F.col("_of").asc())
         base = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))).select("doc_id", "doc", "text")
         base = materialize(base)
     plain = base.select("doc", "text")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, decontamination, language_id, line_dedup, minmax_dedup, packing, suffix_dedup, token_counts, token_files, toxicity
-from tessera.llm.common import shared_dir
+from tessera.llm.common import keyed, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor " * 20_000
@@ -305,3 +305,27 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in pieces} == set(before)
     check_packing(pieces, 2048)
     assert sorted({r.doc_id for r in P.run(spark, sf_dir).collect()}) == sorted(before)
+
+
+def test_keys_of_repeated_ids(spark):
+    rows = [(i % 7 if i % 5 else None, f"text {i % 11}" if i % 13 else None, None, None, None) for i in range(300)] + [(1, "same", None, None, None)] * 100
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    got = sorted(keyed(docs).select("_doc", "doc_id", "text").collect())
+    assert [r._doc for r in got] == list(range(len(rows)))
+    rank = lambda i, t: (i is not None, i or 0, t is not None, hashlib.sha256((t or "").encode()).hexdigest())
+    assert [(r.doc_id, r.text) for r in got] == sorted(((i, t) for i, t, *_ in rows), key=lambda x: rank(*x))
+
+
+def test_pipeline_odd_tables(spark, sf_dir):
+    import corpus_pipeline as P
+
+    for docs in (odd(spark), none(spark)):
+        for _, stage in P.STAGES[:-1]:
+            names, before = docs.columns, docs.count()
+            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+            assert docs.columns == names and docs.count() <= before
+        kept = [r.text for r in docs.select("text").collect()]
+        assert {"one two", "żółć ünïcode ☃ 123", "no id here but words enough"} <= set(kept) or not kept
+        assert None not in kept and kept.count("a b c d e f g\n" * 9) <= 1
+        pieces = P.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
