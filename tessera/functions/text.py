@@ -91,3 +91,18 @@ def cjk_heading_level(line: Column) -> Column:
         .when(line.rlike("^[一二三四五六七八九十]+、"), 3)
     )
     return F.when(F.length(line) <= 40, level)
+
+
+def split_pages(text: Column, pages: Column) -> Column:
+    """Texts of `pages` pages parted by form feeds, line feeds at their ends out; missing pages are empty, the last takes what is over."""
+    parts = F.transform(F.split(text, "\f", -1), lambda p: F.btrim(p, F.lit("\n")))
+    n = F.size(parts)
+    over = F.concat(F.slice(parts, F.lit(1), pages - 1), F.array(F.array_join(F.slice(parts, pages, n), "\f")))
+    return F.when(n < pages, F.concat(parts, F.array_repeat(F.lit(""), (pages - n).cast("int")))).when(n > pages, over).otherwise(parts)
+
+
+def join_lines(text: Column) -> Column:
+    """Lines as one paragraph: stripped, empty ones out, a space between two only where both sides are ASCII."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
+    spaced = F.regexp_replace(F.array_join(lines, "\n"), "(?<=[\\x00-\\x7f])\\n(?=[\\x00-\\x7f])", " ")
+    return F.replace(spaced, F.lit("\n"), F.lit(""))

@@ -49,3 +49,8 @@ def search(eligible: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     both = scored.unionByName(fill.select("query_id", "chunk", "ord", F.lit(0.0).alias("score")))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def by_ids(eligible: DataFrame, ids: DataFrame) -> DataFrame:
+    """Eligible chunks of a list of ids (chunk), with score 0."""
+    return eligible.join(ids.select("chunk").distinct(), "chunk", "left_semi").withColumn("score", F.lit(0.0))

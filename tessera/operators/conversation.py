@@ -14,6 +14,10 @@ CONTACT_WORDS = ["phone", "email", "contact", "hotline"]
 CHAT_WORDS = ["hello", "hi", "thanks", "bye", "hallo", "merci", "hola"]
 PRONOUNS = ["it", "this", "that", "these", "those", "they", "he", "she"]
 REFERRING = ["the above", "as before", "the former", "the latter"]
+#: Words that link to a head, and heads that say nothing alone.
+LINKS = ["of the", "for the", "of"]
+HEADS = ["rule", "rules", "process", "standard", "policy", "company", "manager", "employees"]
+SELF_CONTAINED_CHARS, INTENT_CHARS = 6, 256
 CITATION = "\\[source:\\s*([^\\]]+)\\]"
 
 
@@ -46,9 +50,19 @@ def is_anaphoric(question: Column) -> Column:
     return phrase | F.arrays_overlap(tokenize(question), F.array(*map(F.lit, PRONOUNS)))
 
 
+def generic_head(question: Column, links: list[str] = LINKS, heads: list[str] = HEADS) -> Column:
+    """A linking word before a head that says nothing alone ("the amount of the rule")."""
+    return F.lower(question).rlike(f"\\b({'|'.join(links)})\\s+({'|'.join(heads)})\\b")
+
+
+def self_contained(question: Column, has_anchor: Column, over: Column | int = SELF_CONTAINED_CHARS) -> Column:
+    """A question that needs no history: nothing referred to, long enough, no generic head, a topic of the corpus."""
+    return ~is_anaphoric(question) & (F.length(question) > over) & ~generic_head(question) & has_anchor
+
+
 def skip_rewrite(question: Column, has_anchor: Column, has_history: Column, retry: Column) -> Column:
     """Whether a question goes to retrieval as it is: never on a retry, always if self-contained, else only without history."""
-    alone = ~is_anaphoric(question) & (F.length(question) > 6) & has_anchor
+    alone = self_contained(question, has_anchor)
     return F.when(retry > 0, False).when(F.coalesce(question, F.lit("")) == "", False).when(alone, True).otherwise(~has_history)
 
 
@@ -100,3 +114,29 @@ def stub_answers(evidence: DataFrame, max_cites: int = 2) -> DataFrame:
     text = F.concat(F.lit("See "), F.array_join(F.transform("e", lambda x: F.concat(F.lit("[source: "), x["title"], F.lit("]"))), "; "))
     out = first.select("query_id", text.alias("answer"), F.transform("e", lambda x: x["chunk"]).alias("cites"))
     return out.withColumn("confidence", F.when(F.contains("answer", F.lit("[source:")) & (F.length("answer") > 20), 0.9).otherwise(0.3))
+
+
+def strict_json(raw: Column, schema: str) -> Column:
+    """The first JSON object of a model's output, fenced or among other words, by a schema; null where it isn't one."""
+    text = F.trim(F.regexp_replace(F.trim(raw), "(?s)^```(?:json)?(.*?)```.*$", "$1"))
+    return F.from_json(F.regexp_extract(text, "(?s)\\{.*\\}", 0), schema, {"mode": "PERMISSIVE"})
+
+
+def extract_tag(text: Column, tag: str) -> Column:
+    """What stands in <tag>..</tag>, the whole text without it."""
+    pattern = f"(?s)<{tag}>(.*?)</{tag}>"
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+
+
+def split_intent(text: Column, within: int = INTENT_CHARS) -> dict[str, Column]:
+    """intent and answer of an output that starts with an intent tag closed within some characters; else a null intent and the whole text."""
+    pattern = "(?s)^\\s*<intent>([^<]*)</intent>(.*)$"
+    tagged = text.rlike(pattern) & (F.instr(text, "</intent>") <= within)
+    return {"intent": F.when(tagged, F.trim(F.regexp_extract(text, pattern, 1))), "answer": F.regexp_replace(F.when(tagged, F.regexp_extract(text, pattern, 2)).otherwise(text), "^\\s+", "")}
+
+
+def prompt(kind: str, question: Column, evidence: Column, history: Column) -> Column:
+    """Prompt of a step (rewrite, answer or verify) with its parts in tags; empty parts stay out."""
+    task = {"rewrite": "Restate the last question so that it stands alone.", "answer": "Answer from the evidence alone and cite it.", "verify": "Say whether the evidence supports the answer."}[kind]
+    part = lambda tag, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n<{tag}>"), c, F.lit(f"</{tag}>"))).otherwise("")
+    return F.concat(F.lit(task), part("history", history), part("evidence", evidence), part("question", question))

@@ -91,3 +91,67 @@ def usage_deltas(meter: DataFrame) -> DataFrame:
     w = W.Window.partitionBy("req").orderBy("seq")
     total = F.sum("tokens").over(w)
     return meter.withColumn("total", total).withColumn("added", F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0)))
+
+
+def probe(cases: DataFrame, expected: DataFrame, ranks: DataFrame, k: int = 5) -> DataFrame:
+    """type (null for all), n, recall_1, recall_k, mrr over located cases by the first rank of an expected chunk in the whole corpus."""
+    found = expected.join(ranks, ["case", "chunk"]).groupBy("case").agg(F.min("rank").alias("r"))
+    within = lambda n: F.round(F.avg((F.col("r") <= n).cast("double")), 6)
+    return cases.join(found, "case").rollup("type").agg(F.count("*").alias("n"), within(1).alias("recall_1"), within(k).alias("recall_k"), F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr"))
+
+
+def first_pass(answers: DataFrame, *by: str) -> DataFrame:
+    """Of answers (reached, retries) that reached verification: how many passed at once, were retried, and how often they were judged."""
+    r = F.col("retries")
+    out = answers.filter("reached").groupBy(*by).agg(F.count("*").alias("reached"), F.count_if(r == 0).alias("first_pass"), F.sum(r + 1).alias("judgements"), F.max(r).alias("most_retries"), F.round(F.avg(r), 4).alias("avg_retries"))
+    return out.withColumns({"first_pass_rate": F.round(F.col("first_pass") / F.col("reached"), 4), "retried": F.col("reached") - F.col("first_pass")})
+
+
+def best_threshold(grid: DataFrame, survive: float = 0.98) -> DataFrame:
+    """The row of a sweep (threshold, survive, detect) that keeps enough and detects most, the lowest of equals; none if none keeps enough."""
+    return grid.filter(F.col("survive") >= survive).orderBy(F.desc("detect"), "threshold").limit(1)
+
+
+def agreement(cases: DataFrame, thresholds: DataFrame, rule: Column) -> DataFrame:
+    """threshold, skipped, agreed: a rule over case columns and `threshold` against `expected`, for a short list of thresholds."""
+    return cases.crossJoin(F.broadcast(thresholds)).withColumn("_skip", rule).groupBy("threshold").agg(F.count_if("_skip").alias("skipped"), F.count_if(F.col("_skip") == F.col("expected")).alias("agreed"))
+
+
+def rewrite_trace(notes: Column) -> dict[str, Column]:
+    """mode (skip, llm or none) and query of the last rewrite note."""
+    last = F.try_element_at(F.filter(notes, lambda n: F.startswith(n, F.lit("rewrite:"))), F.lit(-1))
+    body = F.trim(F.substring(last, len("rewrite:") + 1, F.length(last)))
+    skip = F.contains(body, F.lit("rule skip"))
+    return {"mode": F.when(last.isNull(), "none").when(skip, "skip").otherwise("llm"), "query": F.when(last.isNull() | skip, "").otherwise(body)}
+
+
+def multi_turn(turns: DataFrame) -> DataFrame:
+    """cases, skip_rate, identity_rewrites, verifiable, anchor_hit over last turns (question, notes, verifiable, anchor_hit)."""
+    t = rewrite_trace(F.col("notes"))
+    return turns.withColumns({"_mode": t["mode"], "_query": t["query"]}).agg(
+        F.count("*").alias("cases"),
+        F.round(F.avg((F.col("_mode") == "skip").cast("double")), 4).alias("skip_rate"),
+        F.count_if((F.col("_mode") == "llm") & (F.col("_query") == F.trim("question"))).alias("identity_rewrites"),
+        F.count_if("verifiable").alias("verifiable"),
+        F.count_if("anchor_hit").alias("anchor_hit"),
+    )
+
+
+def ingest_report(files: DataFrame) -> DataFrame:
+    """status (null for all), files, chunks of ingested files (status, chunks)."""
+    return files.rollup("status").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"))
+
+
+def est_usage(text: Column) -> Column:
+    """Tokens of a text where a provider reports none."""
+    return F.floor(F.length(text) / 2)
+
+
+def read_golden_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Multi-turn cases; raises as read_golden does, and on cases of one turn."""
+    turns = "cases array<struct<id: string, category: string, turns: array<string>, expected_doc: string, anchor: string>>"
+    cases = spark.read.schema(turns).json(path, multiLine=True).select(F.inline("cases"))
+    bad = cases.agg(F.count("*").alias("n"), (F.count("id") - F.count_distinct("id")).alias("repeated"), F.count_if(F.col("id").isNull() | F.col("anchor").isNull() | (F.coalesce(F.size("turns"), F.lit(0)) < 2)).alias("missing"), F.count_if(F.length(normalize(F.col("anchor"))) < MIN_ANCHOR).alias("short")).first()
+    if not bad["n"] or bad["missing"] or bad["repeated"] or bad["short"]:
+        raise ValueError(f"golden cases: {bad.asDict()}")
+    return cases

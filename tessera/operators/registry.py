@@ -57,6 +57,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(W.Window.partitionBy(*keys).orderBy(F.desc("_turn")))).filter("_n = 1").drop("_n", "_turn")
 
 
+def new_only(old: DataFrame, new: DataFrame, key: str = "chunk") -> DataFrame:
+    """Rows of new whose key old doesn't hold, valid or not; they alone are embedded."""
+    return new.join(old.select(key).distinct(), key, "left_anti")
+
+
+def latest(registry: DataFrame) -> DataFrame:
+    """Each document's row (doc, version, ...) of the highest version."""
+    rest = [c for c in registry.columns if c != "doc"]
+    return registry.groupBy("doc").agg(F.max_by(F.struct(*rest), "version").alias("_r")).select("doc", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def swap_version(chunks: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """chunks and new ones (doc, version, ...) in one table: a new version's predecessor is no longer valid, and its validity time passes on."""
+    times = chunks.groupBy("doc").agg(F.max_by("effective_time", F.struct("version", "effective_time")).alias("_time"))
+    coming = new.join(times, "doc", "left").withColumn("effective_time", F.coalesce("_time", "effective_time")).select(chunks.columns)
+    gone = new.select("doc", (F.col("version") - 1).alias("version"))
+    return soft_delete(chunks, gone, now).unionByName(coming)
+
+
 class SnapshotTable:
     """A table of immutable snapshots and a pointer file that names the current one; one writer at a time."""
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -49,3 +53,24 @@ def sparse_topk(vectors: DataFrame, questions: DataFrame, allowed: DataFrame, k:
     scored = scored.join(allowed, ["query_id", "chunk"])
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def embed(texts: DataFrame, call: Callable[[list[str]], list[list[float]]], batch: int = 10, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """chunk, embedding of texts (chunk, content) by a provider's call, in batches from the workers; a failed call is tried again after 1, 2, ... waits."""
+
+    def ask(some: list[str]) -> list[list[float]]:
+        for n in range(tries):
+            try:
+                return call(some)
+            except Exception:
+                if n + 1 == tries:
+                    raise
+                time.sleep(wait * 2**n)
+        return []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts_ = frame["content"].fillna("").tolist()
+            yield pd.DataFrame({"chunk": frame["chunk"], "embedding": [v for i in range(0, len(texts_), batch) for v in ask(texts_[i : i + batch])]})
+
+    return texts.select("chunk", "content").mapInPandas(run, f"chunk {texts.schema['chunk'].dataType.simpleString()}, embedding array<float>")

@@ -120,3 +120,42 @@ def test_route(spark):
     v = conversation.verify(F.col("n"), F.col("old"), F.col("c"))
     rows = df.select(v["confidence"].alias("c"), v["degraded"].alias("d"), conversation.route(v["grounded"], v["confidence"], F.lit(2)).alias("r")).collect()
     assert [tuple(r) for r in rows] == [(0.0, False, "disclose"), (0.9, False, "ok"), (0.5, False, "disclose"), (0.9, True, "ok")]
+
+
+def test_golden_turns(spark, tmp_path):
+    import json
+
+    case = {"id": "m1", "category": "anaphora", "turns": ["a", "b"], "expected_doc": "d", "anchor": "long anchor"}
+
+    def write(cases):
+        p = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        p.write_text(json.dumps({"cases": cases}))
+        return str(p)
+
+    assert evaluation.read_golden_turns(spark, write([case])).first()["turns"] == ["a", "b"]
+    for bad in ([], [case, case], [case | {"turns": ["a"]}], [case | {"anchor": "x"}]):
+        with pytest.raises(ValueError):
+            evaluation.read_golden_turns(spark, write(bad))
+
+
+def test_adapters(spark):
+    from tessera.operators import vector
+    from tessera.sources import transcription
+
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(25)] + [(99, None)], "chunk long, content string")
+    got = {r.chunk: r.embedding for r in vector.embed(texts, lambda some: [[float(len(t)), float(len(some))] for t in some]).collect()}
+    assert len(got) == 26 and got[99][0] == 0.0 and got[12][0] == 3.0 and max(v[1] for v in got.values()) <= 10
+    images = spark.createDataFrame([("d", 1, "a", bytearray(b"xx")), ("d", 2, "b", bytearray(b""))], "doc string, page int, ref string, image binary")
+    said = transcription.transcribe(images, lambda some: [x.decode() or None for x in some]).collect()
+    assert [(r.ref, r.text) for r in said] == [("a", "xx")]
+    assert transcription.transcribe(images).count() == 0
+
+
+def test_red_page_keeps_its_transcript(spark):
+    from tessera.sources import transcription
+
+    blocks = spark.createDataFrame([("d", 1, 0, "raw", "red"), ("d", 2, 0, "kept", "green")], "doc string, page int, seq int, text string, level string")
+    pages = spark.createDataFrame([("d", 1, "read")], "doc string, page int, text string")
+    inline = spark.createDataFrame([("d", 2, 9, "r", "image")], "doc string, page int, pos int, ref string, text string")
+    rows = sorted(transcription.merge_transcripts(blocks, pages, inline).collect(), key=lambda r: r.seq)
+    assert [r.text for r in rows] == ["read", "kept", "image"]
