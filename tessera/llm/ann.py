@@ -23,7 +23,7 @@ from pyspark.sql import window as W
 
 #: Windows in standard deviations of projections: a few narrow ones for clustered vectors, then fine steps; the last holds all.
 CLUSTERED, NARROWEST, WIDEST = (0.1, 0.25, 0.5), 0.8, 2.6
-BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD, RATIO, PROBE, PROBE_LEAST, SEED = 4096, 2048, 64, 0.8, 1.12, 0.15, 400, 5
+BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD, RATIO, PROBE, PROBE_LEAST, SEED = 4096, 2048, 64, 0.8, 1.12, 0.15, 614, 5
 HITS = "query_id long, vec_id long, score double"
 
 
