@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from tessera.functions.text import normalize
 
-MIN_ANCHOR, RECALL_PASS = 6, 0.8
+MIN_ANCHOR, RECALL_PASS, RANGES = 6, 0.8, 200
 #: Price of 1000 tokens by model family, matched in this order: (family, prompt, completion).
 PRICES = [("turbo", 0.0003, 0.0006), ("plus", 0.0008, 0.002), ("long", 0.0005, 0.002), ("flash", 0.00015, 0.0015), ("max", 0.0024, 0.0096)]
 DEFAULT_PRICE = (0.0008, 0.002)
@@ -65,8 +65,23 @@ def citations_verifiable(cites: Column, retrieved: Column) -> Column:
 
 
 def _pick(events: DataFrame, value: str, by: list[str], picks: dict[str, Column]) -> DataFrame:
-    ranked = events.withColumns({"_i": F.row_number().over(W.Window.partitionBy(*by).orderBy(value)) - 1, "_n": F.count("*").over(W.Window.partitionBy(*by))})
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("_i") == at, F.col(value))).alias(name) for name, at in picks.items()], F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"))
+    """Values at exact places (from 0, by group size `_n`) of each group. Equal values are summed first, and a group is ranked in RANGES ranges of
+    its own apart, whose sizes alone are added up, so no task sorts a group; null values don't count."""
+    keys = by or ["_all"]
+    rows = events.filter(F.col(value).isNotNull()).withColumns({} if by else {"_all": F.lit(0)}).select(*keys, F.col(value).alias("_v"))
+    cuts = F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)])
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), cuts.alias("_cuts"), F.round(F.avg("_v"), 6).alias("mean"), F.max("_v").alias("max"))
+    groups = F.broadcast(events.sparkSession.createDataFrame(groups.collect(), groups.schema))  # a row for each group, alike for both readers
+    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(groups, keys)
+    ranged = counts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
+    before = F.sum("_size").over(W.Window.partitionBy(*keys).orderBy("_range")) - F.col("_size")
+    offsets = F.broadcast(sizes.select(*keys, "_range", before.alias("_before")))  # RANGES rows at most for each group
+    upto = F.sum("_c").over(W.Window.partitionBy(*keys, "_range").orderBy("_v"))
+    placed = ranged.withColumn("_upto", upto).join(offsets, [*keys, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    at = lambda place: F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    out = placed.groupBy(*keys).agg(F.max("_n").alias("n"), *[at(place).alias(name) for name, place in picks.items()], F.max("mean").alias("mean"), F.max("max").alias("max"))
+    return out.select(*by, "n", *picks, "mean", "max")
 
 
 def latency(events: DataFrame, value: str, *by: str) -> DataFrame:

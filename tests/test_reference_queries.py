@@ -159,3 +159,17 @@ def test_red_page_keeps_its_transcript(spark):
     inline = spark.createDataFrame([("d", 2, 9, "r", "image")], "doc string, page int, pos int, ref string, text string")
     rows = sorted(transcription.merge_transcripts(blocks, pages, inline).collect(), key=lambda r: r.seq)
     assert [r.text for r in rows] == ["read", "kept", "image"]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-5, 5) | st.integers(-1000, 1000) | st.none()), min_size=1, max_size=60))
+def test_latency_places(spark, rows):
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double")
+    got = {r.k: (r.n, r.p50, r.p95, r["max"]) for r in evaluation.latency(df, "v", "k").collect()}
+    want = {}
+    for k in "ab":
+        if s := sorted(float(v) for x, v in rows if x == k and v is not None):
+            want[k] = (len(s), s[len(s) // 2], s[-(-len(s) * 95 // 100) - 1], s[-1])
+    assert got == want
+    whole = sorted(float(v) for _, v in rows if v is not None)
+    assert [(r.n, r.p50) for r in evaluation.latency(df, "v").collect()] == ([(len(whole), whole[len(whole) // 2])] if whole else [])
