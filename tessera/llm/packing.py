@@ -37,8 +37,8 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str =
         for batch in batches:
             for i, j, texts, _ in texts_by_bytes(batch, "text"):
                 rows = []
-                for doc_id, text in zip(batch.column(0).slice(i, j - i).to_pylist(), texts, strict=True):
-                    ids = np.concatenate([enc.encode(text), end])
+                for doc_id, body in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode_all(texts), strict=True):
+                    ids = np.concatenate([body, end])
                     at, to = 0, (len(ids) - 1) % max_tokens + 1
                     for k in range(-(-len(ids) // max_tokens)):
                         rows.append((doc_id, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))

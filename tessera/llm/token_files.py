@@ -3,12 +3,13 @@
 A data file is a run of records: payload length (u64), masked CRC-32 of those 8 bytes (u32), payload, masked CRC-32 of
 the payload (u32), little-endian. A payload is flag (u8: 1 if the id is null), doc_id (i64) and the token ids, u16
 where the vocabulary allows it, else u32 (flag bit 2). Its index file, `.idx`, is one i64 offset for each record, so a reader can take
-records in any order. Documents are dealt by ranges of doc_id and sorted in each range, hence files are in order and
-each is written by one task as a stream. A task writes under a name of its own attempt; the manifest, a table in the
+records in any order. Documents are dealt by ranges of (doc_id, place in the scan) and sorted in each range, hence files are in order,
+rows that share a doc_id or have none spread over as many files as others, and each file is written by one task as a stream. A task writes under a name of its own attempt; the manifest, a table in the
 shared folder, names the files of the attempts that counted, so a lost executor leaves at most files nobody reads.
 
-Defined cases: null or empty text is a document with the end id only; null doc_ids come first; repeated rows are
-records of their own, next to each other in order of text; an empty table writes no files and gives no rows; other columns are ignored.
+Defined cases: null or empty text is a document with the end id only; a very long text is encoded in parts cut at safe spaces and is one record; null
+doc_ids come first; repeated rows and rows that share a doc_id (ties) are records of their own, next to each other, in order of text within a file; an empty
+table writes no files and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
         for batch in batches:
             for i, j, texts, _ in texts_by_bytes(batch, "text"):
                 frames = []
-                for doc_id, text in zip(batch.column(0).slice(i, j - i).to_pylist(), texts, strict=True):
-                    ids = np.concatenate([enc.encode(text), end])
+                for doc_id, body in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode_all(texts), strict=True):
+                    ids = np.concatenate([body, end])
                     if out is None:
                         out, first = store.open_output_stream(path), doc_id
                     tokens += len(ids)
@@ -86,8 +87,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
                 index.write(np.array(offsets, "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([len(offsets)]), pa.array([tokens]), pa.array([at])], ["path", "first_id", "n_docs", "n_tokens", "n_bytes"])
 
-    dealt = doc_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(dealt.mapInArrow(run, MANIFEST), f"{folder.rstrip('/')}/manifest")
+    key = F.col("doc_id").asc_nulls_first()
+    dealt = doc_text(docs).withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(key, "_place")
+    return materialize(dealt.drop("_place").sortWithinPartitions(key, "text").mapInArrow(run, MANIFEST), f"{folder.rstrip('/')}/manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str, batch_docs: int = 2000) -> DataFrame:

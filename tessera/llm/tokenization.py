@@ -3,7 +3,8 @@
 Both vocabularies never join text over a lone space between two characters that are not white space: byte-level
 BPE starts a new piece at such a space, the word vocabulary drops it. So a text may be cut there, each part
 encoded alone, and the ids joined. Parts are mostly words, which repeat; their ids are kept in a bounded
-dictionary. Parts that aren't in it are encoded together, with a separator between them.
+dictionary. Words that aren't in it leave a place to be filled; those of a whole batch are then encoded together, with a
+separator between them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,31 @@ import pyarrow as pa
 from tessera.llm.common import WORKER_CACHES, slices, string_buffers
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Signs after a Latin letter: always a piece of their own in both vocabularies. Only letters that no normalization changes to more than one; no apostrophes (contractions) and nothing of special strings or separators.
+_TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]([!-&(-;=?@\[-`{}~]+)\Z")
 CACHE_WORDS = 1_000_000
 LONG_CHARS = 1 << 20
 LONGEST_WORD = 400
+JOINT_CALL = 2000
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
+class _Unsafe(Exception):
+    """A word with white space at an end: the space before it is no safe cut."""
 
-    return public_tokenizers.path(name)
+
+class _Known(dict):
+    """Ids by word. A look-up of any other word gives an empty place, which waits to be filled."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[tuple[str, bytearray]] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Unsafe
+        place = bytearray()
+        self.waiting.append((word, place))
+        return place
 
 
 class WordCacheEncoder:
@@ -47,94 +64,89 @@ class WordCacheEncoder:
         self.tok.no_padding()
         self.separator, self.mark = separator, separator.lstrip(" ")
         (self.sep_id,) = self.tok.encode(separator, add_special_tokens=False).ids
-        self.limit, self.cache, self.recent, self.heads = cache_words, {}, {}, {}
+        self.limit, self.cache, self.recent, self.heads, self.first = cache_words, _Known(), {}, {}, []
         names = self.tok.get_vocab()
         size = max(names.values()) + 1
         self.ends, self.starts = np.zeros(size, bool), np.zeros(size, bool)
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
-        self.starts[[i for t, i in names.items() if t.startswith("\u0120")]] = True
-        self.stops = {c: self._direct(c) for c in ".,;:!?"}
+        self.starts[[i for t, i in names.items() if t.startswith("Ġ")]] = True
+        self.by_end = bool(self.ends.any())
+        self.lead = " " if self.by_end else ""  # white space is dropped where tokens end words
         self.newline = self._direct("\n")
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _head(self, word: str) -> bytes:
-        """Ids of a word with no space before it."""
-        if (ids := self.heads.get(word)) is None:
-            if len(self.heads) > self.limit // 8:
-                self.heads.clear()
-            ids = self.heads[word] = self._direct(word)
-        return ids
-
-    def _find(self, words: list[str], found: list[bytes | None]) -> bytes | None:
-        """Ids of " " + word for each word, joined; None if a word has white space at an end, as then its space is no safe cut."""
-        if max(map(len, words)) > LONGEST_WORD:  # such words aren't kept
-            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-                return None
-            return b"".join([self._direct(" " + w) if len(w) > LONGEST_WORD else self._rest([w]) for w in words])
-        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-        for w in missing:
-            if not w or w[0].isspace() or w[-1].isspace():
-                return None
-        cache, recent = self.cache, self.recent
+    def _divide(self, word: str) -> tuple[str, tuple[str, ...]]:
+        """The part of a word whose ids depend on it alone, and parts without a space before them that follow: signs, line feeds, the word after one."""
+        after: tuple[str, ...] = ()
+        if "\n" in word and word.count("\n") == 1 and "<" not in word:
+            left, right = word.split("\n")
+            if not left[-1].isspace() and not right[0].isspace():
+                word, after = left, ("\n", right)
+        if m := _TAIL.search(word):
+            word, after = word[: m.start(1)], (m[1], *after)
+        return word, after
+
+    def _settle(self) -> None:
+        """Fill all places that wait."""
+        waiting, self.cache.waiting = self.cache.waiting, []
+        first, self.first = self.first, []
+        cache, recent, heads = self.cache, self.recent, self.heads
         if len(recent) > self.limit:
             recent.clear()
-        have = {w: recent[w] for w in missing if w in recent} if recent else {}
-        new: dict[str, bytes] = {}
-        # a letter and a lone stop or line feed are never one piece in either vocabulary
-        stems, ended, broken = [], [], []
-        for w in missing:
-            if w in have:
+        if len(heads) > self.limit // 8:
+            heads.clear()
+        have = dict.fromkeys([w for w, _ in waiting])
+        again, new, parts, leads = {}, {}, {}, {w for w, _ in first if w not in heads}
+        for w in have:
+            if (ids := recent.get(w)) is not None:
+                again[w] = ids
                 continue
-            if w[-1] in self.stops and len(w) > 1 and w[-2].isalpha():
-                ended.append(w)
-                stem = w[:-1]
-            elif "\n" in w and w.count("\n") == 1 and "<" not in w:
-                broken.append(w)
-                stem = w[: w.index("\n")]
-                if stem[-1].isspace() or w[len(stem) + 1].isspace():
-                    broken.pop()
-                    stem = w
-            else:
-                stem = w
-            if stem not in cache and stem not in recent and stem not in new:
+            if len(w) > LONGEST_WORD:
+                have[w] = self._direct(" " + w)  # such words aren't kept
+                continue
+            stem, after = parts[w] = self._divide(w)
+            if stem not in cache and stem not in recent:
                 new[stem] = b""
-                stems.append(stem)
-        self._learn(stems, new)
-        get = lambda w: new[w] if w in new else cache[w] if w in cache else recent[w]
-        for w in ended:
-            new[w] = get(w[:-1]) + self.stops[w[-1]]
-        for w in broken:
-            left, right = w.split("\n")
-            new[w] = get(left) + self.newline + self._head(right)
-        if have and len(cache) < self.limit:  # met again while remembered
-            cache.update(have)
+            leads.update([x for x in after if x != "\n" and x not in heads])
+        self._learn(list(new), " ", new)
+        if leads:
+            self._learn(list(leads), self.lead, heads)
+        for w, (stem, after) in parts.items():
+            ids = new.get(stem) or recent.get(stem) or dict.get(cache, stem, b"")
+            have[w] = ids + b"".join([self.newline if x == "\n" else heads[x] for x in after]) if after else ids
         recent.update(new)
-        have |= new
-        return b"".join([have[w] if ids is None else ids for w, ids in zip(words, found, strict=True)])
-
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        recent.update([(w, have[w]) for w, (_, after) in parts.items() if after])
+        have.update(again)
+        if again and len(cache) < self.limit:  # met again while remembered
+            cache.update(again)
+        for w, place in waiting:
+            place += have[w]
+        for w, place in first:
+            place += heads[w]
+
+    def _learn(self, words: list[str], before: str, into: dict[str, bytes]) -> None:
         """Words of letters alone are told apart by tokens that end a word or start after a space, others by separators."""
         plain, letters = [], []
         for w in words:
-            if w.isalpha():
+            if w.isalpha() and before:
                 letters.append(w)
-            elif "<" in w or ">" in w or self.mark in w:
-                into[w] = self._direct(" " + w)
+            elif "<" in w or ">" in w or self.mark in w or not w:
+                into[w] = self._direct(before + w)
             else:
                 plain.append(w)
-        for i in range(0, len(letters), 2000):
-            some = letters[i : i + 2000]
+        for i in range(0, len(letters), JOINT_CALL):
+            some = letters[i : i + JOINT_CALL]
             ids = self._ids(" " + " ".join(some))
-            at = np.flatnonzero(self.ends[ids]) + 1 if self.ends.any() else np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
+            at = np.flatnonzero(self.ends[ids]) + 1 if self.by_end else np.append(np.flatnonzero(self.starts[ids])[1:], len(ids))
             if len(at) == len(some) and at[-1] == len(ids):
                 self._store(some, ids, np.concatenate([[0], at[:-1]]), at, into)
             else:
                 plain += some
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = self._ids(self.separator.join([" " + w for w in some]))
+        for i in range(0, len(plain), JOINT_CALL):
+            some = plain[i : i + JOINT_CALL]
+            ids = self._ids(self.separator.join([before + w for w in some]))
             at = np.flatnonzero(ids == self.sep_id)
             self._store(some, ids, np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]), into)
 
@@ -147,28 +159,62 @@ class WordCacheEncoder:
         for w, a, b in zip(words, (start * 4).tolist(), (end * 4).tolist(), strict=True):
             into[w] = raw[a:b]
 
-    def _rest(self, words: list[str]) -> bytes | None:
-        found = list(map(self.cache.get, words))
-        return self._find(words, found) if None in found else b"".join(found)
+    def _look_up(self, text: str, begins: bool) -> list[bytes | bytearray]:
+        """Ids or places of the words of a text, or of a part of one that comes after a safe cut."""
+        words = text.split(" ")
+        try:
+            if not words[0] or words[0][-1].isspace():
+                raise _Unsafe
+            found = list(map(self.cache.__getitem__, words[1:] if begins else words))
+        except _Unsafe:  # white space beside a space
+            words = _SAFE.split(text)
+            last = words.pop() if len(words) > 1 and words[-1][-1].isspace() else None
+            found = list(map(self.cache.__getitem__, words[1:] if begins else words))
+            if last is not None:
+                found.append(self._direct(" " + last))
+        if begins:
+            w = words[0]
+            if 0 < len(w) < 64 and not w[0].isspace() and not w[-1].isspace():
+                self.first.append((w, bytearray()))
+                found.insert(0, self.first[-1][1])
+            else:
+                found.insert(0, self._direct(w))
+        return found
 
-    def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        at = 0
         while True:
             cut = _SAFE.search(text, at + LONG_CHARS) if len(text) - at > LONG_CHARS else None
-            to = cut.start() if cut else len(text)
-            part = text[at:to]
-            words = part.split(" ")
-            tail = self._rest(words[at == 0 :]) if not words[0][-1:].isspace() and words[0] else None
-            if tail is None:  # white space beside a space
-                words = _SAFE.split(part)
-                last = words.pop() if len(words) > 1 and words[-1][-1].isspace() else None
-                tail = self._rest(words[at == 0 :]) + (b"" if last is None else self._direct(" " + last))
-            if at == 0:
-                out.append(self._head(words[0]) if len(words[0]) < 64 else self._direct(words[0]))
-            out.append(tail)
-            if to == len(text):
-                return np.frombuffer(b"".join(out), "<u4")
-            at = to + 1  # the space at a cut belongs to the word after it
+            yield (text[at : cut.start()] if cut else text[at:]) if at or cut else text, at == 0
+            if cut is None:
+                return
+            at = cut.start() + 1  # the space at a cut belongs to the word after it
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; texts are looked up together up to LONG_CHARS, longer ones in parts."""
+        held: list[list[bytes | bytearray]] = []
+        size = 0
+        for text in texts:
+            if len(text) <= LONG_CHARS:
+                held.append(self._look_up(text, True))
+                size += len(text)
+                if size < LONG_CHARS:
+                    continue
+            self._settle()
+            yield from [np.frombuffer(b"".join(f), "<u4") for f in held]
+            held, size = [], 0
+            if len(text) > LONG_CHARS:
+                out = []
+                for part, begins in self._parts(text):
+                    found = self._look_up(part, begins)
+                    self._settle()
+                    out.append(b"".join(found))
+                yield np.frombuffer(b"".join(out), "<u4")
+        self._settle()
+        yield from [np.frombuffer(b"".join(f), "<u4") for f in held]
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_all([text]))
 
 
 @functools.lru_cache(4)
@@ -177,6 +223,12 @@ def encoder(name_or_path: str, separator: str) -> WordCacheEncoder:
     return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator)
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 WORKER_CACHES.append(encoder.cache_clear)
 
 

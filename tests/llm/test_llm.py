@@ -35,6 +35,27 @@ def tok():
     return {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
+def odd_texts():
+    """Every letter before every stop and line feed, and random mixtures of characters that normalize, join or separate."""
+    letters = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x30000, 37)] if chr(c).isalpha()]
+    marks = [c + s for c in letters for s in (".", ",", ";", ":", "!", "?", "%%", "'s", "\nb")]
+    texts = ["a " + " ".join(marks[i : i + 600]) for i in range(0, len(marks), 600)]
+    pick = random.Random(7)
+    some = ["a", "b", "é", "İ", "क़", "Σ", "e\u0301", "\u0301", "中", "½", "'", "'s", " ", " ", "  ", "\n", "\n", "\t", "\u00a0", "\x1c", ".", "!", "...", "|", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "%%", "😀", "K"]
+    return texts + ["".join(pick.choice(some) for _ in range(pick.randint(0, 30))) for _ in range(4000)]
+
+
+def test_encoder_equals_library(tok):
+    from tessera.llm.tokenization import WordCacheEncoder, vocabulary_path
+
+    texts = odd_texts()
+    for name, separator in (("word_bpe_49k.json", " |"), ("byte_bpe_50k.json", "\n")):
+        want = [e.ids for e in tok[name].encode_batch(texts, add_special_tokens=False)]
+        for words in (200_000, 500):  # the second is emptied over and over
+            got = WordCacheEncoder(vocabulary_path(name), separator, words).encode_all(texts)
+            assert all(g.tolist() == w for g, w in zip(got, want, strict=True))
+
+
 def rows_of(spark, sf_dir):
     return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
 
