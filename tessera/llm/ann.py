@@ -1,76 +1,177 @@
 """Operator 8, nearest neighbours by collision counting over single-projection sorted arrays with virtual rehashing.
 
-Largest inner product is turned to smallest distance by one more component, the root of (largest squared norm - squared norm), 0 for queries.
-A block of vectors keeps, for each of PROJECTIONS random directions, its projections sorted. A query opens a window
-around its own projection in every array; a vector collides in an array if it lies in the window. Windows widen by
-RATIO (virtual rehashing: no table is built anew, a window is two places in a sorted array), and a vector with collisions in at least THRESHOLD of
-the arrays is verified by its exact inner product, until PROBE of the block, and PROBE_LEAST at least, is verified.
+Largest inner product is turned to smallest distance: vectors get one more component, the root of (largest squared norm - squared norm),
+and queries are scaled to that norm with 0 there. Directions are random orthonormal bases, whose counts vary less than those of independent ones.
 
-All vectors are indexed, in blocks of about BLOCK by hash of vec_id; the stated query set meets every block, in blocks of its own;
-each block gives its best k, and the best of those are taken with a window of a few rows for each block.
+A block of vectors keeps its projections on each direction sorted. A query opens a window around its own projection in every
+array; a vector whose collisions (arrays in whose window it lies) reach the threshold is verified by its exact inner product.
+Window ends are places in a sorted array, moved outwards to the next of GRID marks, so a window is the difference of two stored bit sets, and
+collisions of all vectors of a block are summed by bit-sliced adders: some machine words for 64 vectors and an array.
+
+Radii. On a bounded sample (SAMPLE vectors, broadcast) windows are widened and narrowed until k + EXTRA vectors, or at most twice as many, collide often enough; the k-th best
+of those verified bounds the k-th distance of the query. Blocks are then searched with windows of WINDOW times that bound. The threshold is the
+collision count that all but MISS of the vectors at just that distance reach, found once from random directions, so recall doesn't hang on the
+table's size. Rounds cover GROWTH times as many vectors as the one before and tighten the bounds for the next: the vectors verified in a round
+stay in proportion to k, however large the table is.
+
+Equal vectors are one class with its least vec_ids, as many as can be answers, limited in each task before the shuffle; a vector that a third of all rows
+share is no hot key. All classes are indexed, in blocks of about BLOCK by hash of the vector; the stated query set meets every block, in blocks of its own.
 
 Defined cases: null, zero and non-finite vectors, those with null components, null vec_ids and vectors whose length isn't the commonest one take no
-part; a vec_id is a query once, and never its own candidate; other repeated rows are candidates of their own; ties go to the smaller vec_id; an empty table gives no rows.
+part; a vec_id is a query once (by its least vector), and its rows are never its own candidates; other repeated rows are candidates of their own; ties go to the smaller vec_id;
+fewer candidates than k give as many rows; an empty table gives no rows; columns besides vec_id and embedding are ignored; there are no texts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Windows in standard deviations of projections: a few narrow ones for clustered vectors, then fine steps; the last holds all.
-CLUSTERED, NARROWEST, WIDEST = (0.1, 0.25, 0.5), 0.8, 2.6
-BLOCK, QUERY_BLOCK, PROJECTIONS, THRESHOLD, RATIO, PROBE, PROBE_LEAST, SEED = 4096, 2048, 64, 0.8, 1.12, 0.15, 614, 5
+from tessera.llm.common import materialize
+
+BLOCK, QUERY_BLOCK, PROJECTIONS, GRID, SAMPLE, GROWTH, SEED = 4096, 4096, 128, 64, 4096, 16, 5
+WINDOW, WIDENINGS, MISS, EXTRA = 1.4, 8, 0.1, 20
+WORDS_IN_STEP = 1 << 15
 HITS = "query_id long, vec_id long, score double"
 
 
+def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
+    """Columns of whole orthonormal bases, `projections` or a few more (of one basis no more), scaled so that a projection's mean square is the squared length."""
+    rng = np.random.default_rng(SEED)
+    bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-projections // dim))]
+    return (bases[0][:, :projections] if len(bases) == 1 else np.hstack(bases)) * math.sqrt(dim)
+
+
+def threshold(bases: np.ndarray, window: float = WINDOW, miss: float = MISS) -> int:
+    """Collisions that all but `miss` of the differences of length 1 reach in windows of that half width."""
+    v = np.random.default_rng(SEED + 1).standard_normal((4000, len(bases)))
+    v /= np.sqrt((v**2).sum(1, keepdims=True))
+    return int(np.quantile((np.abs(v @ bases) <= window).sum(1), miss, method="lower"))
+
+
 class CollisionIndex:
-    """Sorted projections of one block."""
+    """Sorted projections of one block, and for each array the bit sets of the vectors before each mark."""
 
-    def __init__(self, vectors: np.ndarray, largest: float, projections: int = PROJECTIONS) -> None:
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, largest: float) -> None:
+        self.vectors, self.largest = vectors, largest
         extra = np.sqrt(np.maximum(0.0, largest - (vectors**2).sum(1)))
-        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, projections))
-        points = np.hstack([vectors, extra[:, None]]) @ self.directions
+        self.bases = directions(vectors.shape[1] + 1)
+        self.need = threshold(self.bases)
+        points = np.hstack([vectors, extra[:, None]]) @ self.bases
+        n, m = points.shape
         order = np.argsort(points, axis=0, kind="stable").T
-        self.sorted = np.sort(points, axis=0).T.copy()
-        n = len(vectors)
-        self.rank = np.empty((projections, n), np.uint16 if n < 1 << 15 else np.uint32)  # place of each vector in each array
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=self.rank.dtype)[None], 1)
-        self.spread = float(points.std()) or 1.0
-
-    def search(self, queries: np.ndarray, probe: float = PROBE, least: int = PROBE_LEAST) -> list[np.ndarray]:
-        """For each query the rows to verify."""
-        n, m = len(self.vectors), len(self.sorted)
-        at = queries @ self.directions[:-1]
-        need, enough = int(np.ceil(THRESHOLD * m)), min(n, max(least, int(probe * n)))
-        radii, r = [x * self.spread for x in CLUSTERED], NARROWEST * self.spread
-        while r < WIDEST * self.spread:
-            radii.append(r)
-            r *= RATIO
-        radii.append(np.inf)
-        left = np.array([[np.searchsorted(self.sorted[j], at[:, j] - r, "left") for j in range(m)] for r in radii])
-        right = np.array([[np.searchsorted(self.sorted[j], at[:, j] + r, "right") for j in range(m)] for r in radii])
-        kind = self.rank.dtype
-        start, width = left.astype(kind), (right - left).astype(kind)
-        out = []
-        for q in range(len(queries)):
-            # a window that can't hold enough collisions needn't be counted
-            first = int(np.searchsorted(width[:, :, q].sum(1, dtype=np.int64), enough * need))
-            for i in range(min(first, len(radii) - 1), len(radii)):
-                inside = (self.rank - start[i, :, q, None]) < width[i, :, q, None]  # below the start wraps around
-                close = inside.sum(0, dtype=np.uint16) >= need
-                if np.count_nonzero(close) >= enough:
-                    break
-            out.append(np.flatnonzero(close))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(points.T, order, 1))
+        self.step = -(-n // GRID)
+        words = -(-n // 64)
+        cell = np.arange(n) // self.step + 1
+        self.before = np.empty((m, GRID + 1, words), np.uint64)
+        flags = np.zeros((GRID + 1, words * 64), np.uint8)
+        for j in range(m):
+            flags[cell, order[j]] = 1
+            bits = np.packbits(flags, axis=1, bitorder="little").view("<u8")
+            np.bitwise_or.accumulate(bits, axis=0, out=self.before[j])
+            flags[cell, order[j]] = 0
+
+    def scaled(self, queries: np.ndarray) -> np.ndarray:
+        return queries * (math.sqrt(self.largest) / np.sqrt((queries**2).sum(1, keepdims=True)))
+
+    def distances(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Distance, for the scaled queries, of vectors with these inner products with the queries themselves."""
+        s = scores * (math.sqrt(self.largest) / np.sqrt((queries**2).sum(1)))
+        return np.sqrt(np.maximum(0.0, 2 * self.largest - 2 * s))
+
+    def windows(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks (arrays x queries) around projections `at` (queries x arrays)."""
+        half = WINDOW * radius + 1e-9 * math.sqrt(self.largest)
+        low = np.array([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at.T, strict=True)])
+        high = np.array([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at.T, strict=True)])
+        return low // self.step, -(-high // self.step)
+
+    def colliding(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Bit sets (queries x words) of the vectors that lie in at least `need` windows."""
+        levels: list[list[np.ndarray]] = []
+
+        def add(level: int, x: np.ndarray) -> None:
+            if level == len(levels):
+                levels.append([])
+            held = levels[level]
+            held.append(x)
+            if len(held) == 3:
+                a, b, c = held
+                both = a & b
+                a = a ^ b
+                both |= a & c
+                a ^= c
+                levels[level] = [a]
+                add(level + 1, both)
+
+        for sets, a, b in zip(self.before, low, high, strict=True):
+            x = sets[b]
+            x ^= sets[a]
+            add(0, x)
+        level = 0
+        while level < len(levels):
+            if len(levels[level]) == 2:
+                a, b = levels[level]
+                levels[level] = [a ^ b]
+                add(level + 1, a & b)
+            level += 1
+        over, equal = np.zeros_like(levels[0][0]), np.full_like(levels[0][0], np.uint64(0xFFFFFFFFFFFFFFFF))
+        if self.need >> len(levels):
+            return over
+        for level in range(len(levels) - 1, -1, -1):
+            if self.need >> level & 1:
+                equal &= levels[level][0]
+            else:
+                over |= equal & levels[level][0]
+                equal &= ~levels[level][0]
+        return over | equal
+
+    def _steps(self, n: int) -> range:
+        return range(0, n, max(1, WORDS_IN_STEP // self.before.shape[2]))
+
+    def search(self, queries: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows to verify with a radius each."""
+        at, out, n = self.scaled(queries) @ self.bases[:-1], [], len(self.vectors)
+        for i in (steps := self._steps(len(queries))):
+            some = slice(i, i + steps.step)
+            sets = self.colliding(*self.windows(at[some], radius[some]))
+            bits = np.unpackbits(sets.view(np.uint8), axis=1, count=n, bitorder="little")
+            row, col = np.nonzero(bits)
+            out += np.split(col, np.searchsorted(row, np.arange(1, len(bits))))
         return out
 
+    def widen(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query the rows to verify in the narrowest windows met in which `enough` vectors collide; all where no window holds so many.
 
-def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    arr = col.combine_chunks()
+        Windows are widened and narrowed in turn, each time by half of what is open of the radius's logarithm, until at most twice as many collide.
+        """
+        at, n = self.scaled(queries) @ self.bases[:-1], len(self.vectors)
+        out, left = [np.arange(n)] * len(queries), np.arange(len(queries))
+        log = np.log(2 * math.sqrt(self.largest))
+        low, high = np.full(len(queries), log - WIDENINGS * math.log(2)), np.full(len(queries), log)
+        for _ in range(WIDENINGS):
+            middle = (low + high) / 2
+            done = np.zeros(len(left), bool)
+            for i in (steps := self._steps(len(left))):
+                some = left[i : i + steps.step]
+                bits = np.unpackbits(self.colliding(*self.windows(at[some], np.exp(middle[some]))).view(np.uint8), axis=1, count=n, bitorder="little")
+                size = bits.sum(1, dtype=np.int64)
+                for k in np.flatnonzero(size >= enough).tolist():
+                    out[some[k]] = np.flatnonzero(bits[k])
+                done[i : i + len(some)] = (size >= enough) & (size <= 2 * enough)
+                low[some], high[some] = np.where(size < enough, middle[some], low[some]), np.where(size < enough, high[some], middle[some])
+            left = left[~done]
+        return out
+
+
+def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), -1)
 
 
@@ -78,51 +179,115 @@ def _upto(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    e = F.col("embedding")
+    df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.filter(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
+
+
+def _classes(base: DataFrame, once: bool, k: int) -> DataFrame:
+    """embedding, ids: the vec_ids of its rows, least first, as many as any query's k answers can take."""
+    base = base.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
+    if not once:
+        base = base.withColumn("_n", F.row_number().over(W.Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))).filter(F.col("_n") <= k).drop("_n")
+    place = F.dense_rank().over(W.Window.partitionBy("embedding").orderBy("vec_id"))
+    return base.withColumn("_n", place).filter(F.col("_n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def _best(ids: list[np.ndarray], vectors: np.ndarray, rows: np.ndarray, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """vec_ids and exact scores of the k best of these classes, none far below floor."""
+    near = vectors[rows]
+    rough = near @ query
+    slack = 1e-9 * max(1.0, float(np.abs(rough).max(initial=0.0)))
+    if len(rows) > k + 1:  # a class beside the query's own gives a row at least; all that may tie with the last go on to the exact sum
+        floor = max(floor, np.partition(rough, len(rows) - k - 1)[len(rows) - k - 1])
+    some = np.flatnonzero(rough >= floor - slack)
+    if not len(some):
+        return np.empty(0, np.int64), np.empty(0)
+    rows, score = rows[some], (near[some] * query).sum(1)
+    sizes = [len(ids[r]) for r in rows.tolist()]
+    vec, score = np.concatenate([ids[r] for r in rows.tolist()]), np.repeat(score, sizes)
+    other = vec != query_id
+    vec, score = vec[other], score[other]
+    best = np.lexsort((vec, -score))[:k]
+    return vec[best], score[best]
+
+
+def _bounds(asked: DataFrame, classes: DataFrame, n: int, largest: float, k: int) -> DataFrame:
+    """asked with `bound`, the k-th best score among vectors of the sample that collide first; -inf where it has fewer."""
+    spark = asked.sparkSession
+    sample = classes.filter(F.pmod(F.xxhash64("embedding", F.lit(2)), F.lit(max(1, n // SAMPLE))) == 0).toArrow()  # about SAMPLE rows, at most twice as many
+    shared = spark.sparkContext.broadcast((_matrix(sample["embedding"]), [np.array(x) for x in sample["ids"].to_pylist()]))
+
+    def run(batches):
+        vectors, ids = shared.value
+        index = CollisionIndex(vectors, largest) if len(ids) else None
+        for batch in batches:
+            queries = _matrix(batch.column(1))
+            bound = np.full(len(queries), -np.inf)
+            if index is not None:
+                for i, rows in enumerate(index.widen(queries, k + EXTRA)):
+                    _, score = _best(ids, vectors, rows, queries[i], batch.column(0)[i].as_py(), k, -np.inf)
+                    if len(score) == k:
+                        bound[i] = score[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], ["vec_id", "embedding", "bound"])
+
+    return asked.mapInArrow(run, "vec_id long, embedding array<double>, bound double")
+
+
+def _meet(asked: DataFrame, classes: DataFrame, n: int, query_blocks: int, largest: float, k: int) -> DataFrame:
+    """The k best rows of each block of classes for each query (vec_id, embedding, bound); n: about as many classes as there are."""
+    blocks = -(-n // BLOCK)
+    left = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(_upto(blocks)).alias("bb"))
+    right = classes.select("*", F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(blocks)).alias("bb"), F.explode(_upto(query_blocks)).alias("qb"))
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        names, kinds = ("query_id", "vec_id", "score"), (np.int64, np.int64, np.float64)
+        out: tuple[list, list, list] = ([], [], [])
+        if q.num_rows and x.num_rows:
+            queries, vectors, ids = _matrix(q["embedding"]), _matrix(x["embedding"]), [np.array(v) for v in x["ids"].to_pylist()]
+            q_ids, bound = q["vec_id"].to_pylist(), q["bound"].to_numpy()
+            index = CollisionIndex(vectors, largest)
+            radius = index.distances(queries, bound)
+            for i, rows in enumerate(index.search(queries, radius)):
+                vec, score = _best(ids, vectors, rows, queries[i], q_ids[i], k, bound[i])
+                for c, v in zip(out, (np.full(len(vec), q_ids[i]), vec, score), strict=True):
+                    c.append(v)
+        return pa.table({name: np.concatenate([*c, np.empty(0, kind)]) for name, kind, c in zip(names, kinds, out, strict=True)})
+
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(run, HITS)
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) its k nearest rows of table (vec_id, embedding)."""
-    def usable(df: DataFrame) -> DataFrame:
-        e = F.col("embedding")
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.filter(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
-
-    base = usable(table)
+    spark, base = table.sparkSession, _usable(table)
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), "d").first()
-    spark = table.sparkSession
+    sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.max(norm).alias("largest")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, largest = sizes["d"], sizes["n"], sizes["largest"]
-    base = base.filter(F.size("embedding") == dim)
-    asked = usable(queries).filter(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = -(-n // BLOCK)
+    dim, largest = sizes["d"], sizes["largest"]
+    classes = materialize(_classes(base.filter(F.size("embedding") == dim), sizes["n"] == sizes["ids"], k))
+    n = classes.count()
+    asked = _usable(queries).filter(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     query_blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    left = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(_upto(blocks)).alias("bb"))
-    right = base.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("bb"), F.explode(_upto(query_blocks)).alias("qb"))
-
-    def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        if not q.num_rows or not x.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qs, xs = _matrix(q["embedding"]), _matrix(x["embedding"])
-        q_ids, x_ids = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
-        out = ([], [], [])
-        for qv, q_id, rows in zip(qs, q_ids.tolist(), CollisionIndex(xs, largest).search(qs), strict=True):
-            rows = rows[x_ids[rows] != q_id]
-            near = xs[rows]
-            rough = near @ qv
-            if len(rows) > k:  # all that may tie with the k-th go on to the exact sum
-                floor = np.partition(rough, len(rows) - k)[len(rows) - k]
-                some = np.flatnonzero(rough >= floor - 1e-9 * max(1.0, abs(floor)))
-                rows, near = rows[some], near[some]
-            score = (near * qv).sum(1)
-            best = np.lexsort((x_ids[rows], -score))[:k]
-            for c, v in zip(out, (np.full(len(best), q_id), x_ids[rows][best], score[best]), strict=True):
-                c.append(v)
-        return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
-
-    hits = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(run, HITS)
+    asked = materialize(_bounds(asked, classes, n, largest, k))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = F.pmod(F.xxhash64("embedding", F.lit(3)), F.lit(1 << 40)) / (1 << 40) * n  # of a class among all, by hash
+    best, done, upto = None, 0, GROWTH * SAMPLE
+    while True:
+        last = upto >= n
+        some = classes.filter(place >= done) if last else classes.filter((place >= done) & (place < upto))
+        hits = _meet(asked, some, min(upto, n) - done, query_blocks, largest, k)
+        hits = hits if best is None else hits.unionByName(best)
+        ranked = hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+        if last:
+            return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = materialize(ranked)
+        best = ranked.select("query_id", "vec_id", "score")
+        found = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_found"))
+        asked = asked.join(found, "vec_id", "left").select("vec_id", "embedding", F.greatest("bound", F.coalesce("_found", "bound")).alias("bound"))
+        done, upto = upto, upto * GROWTH
 
 
 def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,19 +284,54 @@ def test_toxicity(spark):
     assert not toxicity.count_trigrams(none(spark)).any()
 
 
-def test_nearest(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def recalls(table, found, asked, k=20):
     rows = table.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    got = defaultdict(set)
-    for r in ann.op8_collision_counting(spark, sf_dir).collect():
-        got[r.query_id].add(r.vec_id)
-    recall = []
-    for q in ids[ids % 20 == 0]:
+    got = defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+        assert abs(r.score - (x[ids == r.vec_id] * x[ids == r.query_id][0]).sum(1).max()) < 1e-12
+    out = []
+    for q in ids[ids % asked == 0]:
         s = (x * x[ids == q][0]).sum(1)
         s[ids == q] = -np.inf
-        recall.append(len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
-    assert np.mean(recall) >= 0.9
+        out.append(len(set(got[q]) & set(ids[np.lexsort((ids, -s))[:k]].tolist())) / min(k, len(ids) - 1))
+    return out
+
+
+def test_nearest_in_rounds(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for name, value in (("SAMPLE", 128), ("GROWTH", 4), ("BLOCK", 200), ("QUERY_BLOCK", 40)):  # three rounds, several blocks in each
+        monkeypatch.setattr(ann, name, value)
+    out = recalls(table, ann.nearest(table, table.filter("vec_id % 20 = 0")), 20)
+    assert np.mean(out) >= 0.95 and min(out) >= 0.8
+
+
+def test_collisions():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 16))
+    index = ann.CollisionIndex(x, float((x**2).sum(1).max()))
+    queries, radius = x[:30], rng.uniform(1, 6, 30)
+    at = index.scaled(queries) @ index.bases[:-1]
+    low, high = index.windows(at, radius)
+    rank = np.argsort(np.argsort(np.hstack([x, np.sqrt(np.maximum(0, index.largest - (x**2).sum(1)))[:, None]]) @ index.bases, axis=0, kind="stable"), axis=0)
+    for q, rows in enumerate(index.search(queries, radius)):
+        inside = (rank >= low[:, q] * index.step) & (rank < high[:, q] * index.step)
+        assert rows.tolist() == np.flatnonzero(inside.sum(1) >= index.need).tolist()
+    verified = np.mean([len(r) for r in index.widen(queries, 40)])
+    assert 40 <= verified <= 400
+
+
+def test_nearest(spark, sf_dir):
+    for sf in (sf_dir, "/root/testdata/sf0.1"):
+        out = recalls(spark.read.parquet(f"{sf}/embeddings.parquet"), ann.op8_collision_counting(spark, sf), 20)
+        assert np.mean(out) >= 0.95 and min(out) >= 0.8
+    same = spark.range(3000).selectExpr("id AS vec_id", "IF(id % 3 = 0, array(1D, 2D, 2D), array(sin(id), cos(id), -0D)) AS embedding")
+    got = ann.nearest(same, same.filter("vec_id IN (0, 300)"))
+    best = {q: [r.vec_id for r in sorted(got.collect(), key=lambda r: r.rank) if r.query_id == q] for q in (0, 300)}
+    assert best == {0: list(range(3, 63, 3)), 300: list(range(0, 60, 3))}  # a third of all rows are equal: the least vec_ids
+    twice = spark.createDataFrame([(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0])] * 30 + [(3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(twice, twice.filter("vec_id = 2").limit(1)).collect()] == [1] * 20
     bad = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [3.0, 1.0]), (6, [3.0, 1.0]), (7, [1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     assert [(r.rank, r.vec_id, r.score) for r in sorted(ann.nearest(bad, bad.filter("vec_id = 0")).collect(), key=lambda r: r.rank)] == [(1, 5, 5.0), (2, 6, 5.0)]
     assert ann.nearest(bad.limit(0), bad).count() == 0
