@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.common import doc_text, materialize
-from tessera.llm.tokenization import encoder, texts_by_bytes
+from tessera.llm.common import doc_text, materialize, string_buffers
+from tessera.llm.tokenization import encoder, spread
 
 VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALTS = "byte_bpe_50k.json", "\n", 0, 2048, 32
 
@@ -33,18 +33,20 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str =
     """doc_id, piece, start, length, ids_crc32; only documents over max_tokens are cut, the first piece takes what is over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary, separator), np.array([end_id], "<u4")
+        enc = encoder(vocabulary, separator)
         for batch in batches:
-            for i, j, texts, _ in texts_by_bytes(batch, "text"):
-                rows = []
-                for doc_id, body in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode_all(texts), strict=True):
-                    ids = np.concatenate([body, end])
-                    at, to = 0, (len(ids) - 1) % max_tokens + 1
-                    for k in range(-(-len(ids) // max_tokens)):
-                        rows.append((doc_id, k, at, to - at, zlib.crc32(ids[at:to].tobytes())))
-                        at, to = to, to + max_tokens
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            data, off = string_buffers(batch.column(1))
+            for i, j, border, ids in enc.rows_with_end(data, off, end_id):
+                size = np.diff(border)
+                many = -(-size // max_tokens)
+                row = np.repeat(np.arange(j - i), many)
+                piece = spread(np.zeros(j - i, np.int64), many)
+                first = (size - 1) % max_tokens + 1  # tokens of the first piece
+                start = np.where(piece > 0, first[row] + (piece - 1) * max_tokens, 0)
+                stop = first[row] + piece * max_tokens
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((border[row] + start).tolist(), (border[row] + stop).tolist(), strict=True)]
+                cols = [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -1,10 +1,10 @@
 """Operator 3, token counts: batch encoding in Arrow functions that return lengths only.
 
 Batches are cut by bytes, long texts at safe boundaries (see tokenization). One pass over the scan: no shuffle,
-no join, memory bounded by the batch and the word cache.
+no join, memory bounded by the batch and the word table.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; rows with null doc_id keep a row; repeated rows each
-keep theirs; an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty text has 0 bytes and 0 tokens; a very long text is counted whole, in pieces cut at safe places; rows with null doc_id keep a row; repeated rows each
+keep theirs (there are no ties to break); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text
-from tessera.llm.tokenization import encoder, texts_by_bytes
+from tessera.llm.common import doc_text, string_buffers
+from tessera.llm.tokenization import encoder
 
 VOCABULARY, SEPARATOR = "byte_bpe_50k.json", "\n"
 
@@ -28,9 +28,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, separator: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, separator)
         for batch in batches:
-            for i, j, texts, sizes in texts_by_bytes(batch, "text"):
-                counts = np.fromiter(map(len, enc.encode_all(texts)), np.int64, j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+            data, off = string_buffers(batch.column(1))
+            for i, j, n, _ in enc.rows(data, off, lengths_only=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.common import doc_text, materialize, shared_dir
-from tessera.llm.tokenization import encoder, texts_by_bytes
+from tessera.llm.common import doc_text, materialize, shared_dir, string_buffers
+from tessera.llm.tokenization import encoder
 
 VOCABULARY, SEPARATOR, END_ID = "word_bpe_49k.json", " |", 2
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, n_bytes long"
@@ -39,8 +39,8 @@ def masked_crc(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    payload = bytes([(doc_id is None) + 2 * wide]) + (doc_id or 0).to_bytes(8, "little", signed=True) + ids.astype("<u4" if wide else "<u2").tobytes()
+    """A record of ids in u16 or u32."""
+    payload = bytes([(doc_id is None) + 2 * (ids.itemsize == 4)]) + (doc_id or 0).to_bytes(8, "little", signed=True) + ids.tobytes()
     head = len(payload).to_bytes(8, "little")
     return b"".join([head, masked_crc(head).to_bytes(4, "little"), payload, masked_crc(payload).to_bytes(4, "little")])
 
@@ -63,29 +63,29 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     """Write docs (doc_id, text) to `folder`, a URI all executors share; returns the manifest, one row for each data file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary, separator), np.array([end_id], "<u4")
+        enc = encoder(vocabulary, separator)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         path = f"{root}/tokens-{uuid.uuid4().hex}.bin"
         out, offsets, first, tokens, at = None, [], None, 0, 0
         for batch in batches:
-            for i, j, texts, _ in texts_by_bytes(batch, "text"):
-                frames = []
-                for doc_id, body in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode_all(texts), strict=True):
-                    ids = np.concatenate([body, end])
-                    if out is None:
-                        out, first = store.open_output_stream(path), doc_id
-                    tokens += len(ids)
-                    offsets.append(at)
-                    frames.append(frame(doc_id, ids))
-                    at += len(frames[-1])
-                if frames:
-                    out.write(b"".join(frames))
+            data, off = string_buffers(batch.column(1))
+            for i, j, border, ids in enc.rows_with_end(data, off, end_id):
+                doc_ids = batch.column(0).slice(i, j - i).to_pylist()
+                if out is None:
+                    out, first = store.open_output_stream(path), doc_ids[0]
+                wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
+                small, cuts = ids if wide else ids.astype("<u2"), border.tolist()
+                frames = [frame(doc_id, small[a:b]) for doc_id, a, b in zip(doc_ids, cuts, cuts[1:], strict=False)]
+                sizes = np.fromiter(map(len, frames), np.int64, len(frames))
+                offsets.append(at + np.cumsum(sizes) - sizes)
+                at, tokens = at + int(sizes.sum()), tokens + len(ids)
+                out.write(b"".join(frames))
         if out is not None:
             out.close()
             with store.open_output_stream(path + ".idx") as index:
-                index.write(np.array(offsets, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([len(offsets)]), pa.array([tokens]), pa.array([at])], ["path", "first_id", "n_docs", "n_tokens", "n_bytes"])
+                index.write(np.concatenate(offsets).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([sum(map(len, offsets))]), pa.array([tokens]), pa.array([at])], ["path", "first_id", "n_docs", "n_tokens", "n_bytes"])
 
     key = F.col("doc_id").asc_nulls_first()
     dealt = doc_text(docs).withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(key, "_place")

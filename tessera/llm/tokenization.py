@@ -1,10 +1,9 @@
-"""Exact tokenizer output for whole texts from a cache of words, over Arrow batches cut by bytes.
+"""Exact tokenizer output for whole texts from a table of words, over Arrow buffers cut by bytes.
 
-Both vocabularies never join text over a lone space between two characters that are not white space: byte-level
-BPE starts a new piece at such a space, the word vocabulary drops it. So a text may be cut there, each part
-encoded alone, and the ids joined. Parts are mostly words, which repeat; their ids are kept in a bounded
-dictionary. Words that aren't in it leave a place to be filled; those of a whole batch are then encoded together, with a
-separator between them.
+Both vocabularies never join text over a lone space or line feed between two characters that are not white space: byte-level
+BPE starts a new piece there, the word vocabulary drops it. So a text may be cut there, each part encoded alone, and the ids
+joined. Parts are mostly words, which repeat. Each is looked up by 128 bits of hash in an open-addressing table of
+bounded size, all words of a slice in a few array operations; those not in it are encoded by the library in joint calls, with a separator between them.
 """
 
 from __future__ import annotations
@@ -17,45 +16,150 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import WORKER_CACHES, slices, string_buffers
+from tessera.llm.common import WORKER_CACHES, SpanHasher, mix64, slices, string_buffers
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Signs after a Latin letter: always a piece of their own in both vocabularies. Only letters that no normalization changes to more than one; no apostrophes (contractions) and nothing of special strings or separators.
 _TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]([!-&(-;=?@\[-`{}~]+)\Z")
-CACHE_WORDS = 1_000_000
-LONG_CHARS = 1 << 20
-LONGEST_WORD = 400
+TABLE_WORDS = 2_000_000
+SLICE = 1 << 20
 JOINT_CALL = 2000
+SPACE, LINE_FEED = 0x20, 0x0A
+AT_START, AFTER_SPACE, AFTER_LINE_FEED = 0, 1, 2
 
 
-class _Unsafe(Exception):
-    """A word with white space at an end: the space before it is no safe cut."""
-
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
 
-class _Known(dict):
-    """Ids by word. A look-up of any other word gives an empty place, which waits to be filled."""
+    return public_tokenizers.path(name)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.waiting: list[tuple[str, bytearray]] = []
 
-    def __missing__(self, word: str) -> bytearray:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        place = bytearray()
-        self.waiting.append((word, place))
-        return place
+def _ascii_white() -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+    return t
+
+
+_WHITE = _ascii_white()
+
+
+def _white_char(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether bytes a, b, c start with a character of white space beyond ASCII: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000."""
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return two | general | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
+def parts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, kind) of the parts between safe cuts of each row, in order."""
+    n = len(data)
+    live = np.diff(off) > 0
+    edge = np.zeros(n, bool)
+    edge[off[:-1][live]] = True
+    edge[off[1:][live] - 1] = True
+    p = np.flatnonzero(((data == SPACE) | (data == LINE_FEED)) & ~edge)
+    p = p[~(_WHITE[data[p - 1]] | _WHITE[data[p + 1]])]
+    beyond = np.flatnonzero((data[p - 1] >= 0x80) | (data[p + 1] >= 0xC2))
+    if len(beyond):
+        q = p[beyond]
+        at = lambda i: data[np.clip(i, 0, n - 1)]
+        bad = _white_char(at(q + 1), at(q + 2), at(q + 3)) | _white_char(at(q - 2), at(q - 1), at(q - 1)) | _white_char(at(q - 3), at(q - 2), at(q - 1))
+        p = np.delete(p, beyond[bad])
+    start = np.concatenate([off[:-1][live], p + 1])
+    kind = np.concatenate([np.zeros(int(live.sum()), np.int8), np.where(data[p] == SPACE, AFTER_SPACE, AFTER_LINE_FEED).astype(np.int8)])
+    order = np.argsort(start, kind="stable")
+    return start[order], np.sort(np.concatenate([off[1:][live], p])), kind[order]
+
+
+class WordTable:
+    """Ids by 128-bit hash: rows (hash, hash, place in the pool, ids) in open addressing. Words used since the last trim survive it."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self._reset(1 << 12)
+
+    def _reset(self, size: int) -> None:
+        self.rows, self.used, self.count = np.zeros((size, 4), np.uint64), np.zeros(size, bool), 0
+        self.shift = np.uint64(65 - size.bit_length())
+        self.pool, self.filled = np.empty(1 << 14, np.uint32), 0
+
+    def find(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether held, place, ids) of each word."""
+        slot, mask = (h >> self.shift).astype(np.int64), len(self.rows) - 1
+        row = self.rows[slot]
+        held = (row[:, 0] == h) & (row[:, 1] == c)
+        todo = np.flatnonzero(~held & (row[:, 0] != 0))
+        while len(todo):
+            slot[todo] = s = (slot[todo] + 1) & mask
+            other = self.rows[s]
+            same = (other[:, 0] == h[todo]) & (other[:, 1] == c[todo])
+            row[todo[same]], held[todo[same]] = other[same], True
+            todo = todo[~same & (other[:, 0] != 0)]
+        self.used[slot[held]] = True
+        return held, row[:, 2].astype(np.int64), row[:, 3].astype(np.int64)
+
+    def add(self, h: np.ndarray, c: np.ndarray, ids: list[bytes]) -> None:
+        """Different words that aren't held."""
+        if 2 * (self.count + len(h)) > len(self.rows):
+            self._keep(np.flatnonzero(self.rows[:, 0]), 1 << (4 * (self.count + len(h))).bit_length())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = self._pour(np.frombuffer(b"".join(ids), "<u4")) + np.cumsum(size) - size
+        self._put(np.column_stack([h, c, place.astype(np.uint64), size.astype(np.uint64)]))
+
+    def _pour(self, ids: np.ndarray) -> int:
+        at, self.filled = self.filled, self.filled + len(ids)
+        if self.filled > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.empty(2 * self.filled - at, np.uint32)])
+        self.pool[at : self.filled] = ids
+        return at
+
+    def _put(self, rows: np.ndarray) -> None:
+        slot, mask, todo = (rows[:, 0] >> self.shift).astype(np.int64), len(self.rows) - 1, np.arange(len(rows))
+        self.count += len(rows)
+        while len(todo):
+            free = todo[self.rows[slot[todo], 0] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.rows[slot[won]], self.used[slot[won]] = rows[won], True
+            placed = np.zeros(len(rows), bool)
+            placed[won] = True
+            todo = todo[~placed[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+
+    def _keep(self, at: np.ndarray, size: int) -> None:
+        rows, used, pool = self.rows[at], self.used[at], self.pool
+        self._reset(size)
+        n, place = rows[:, 3].astype(np.int64), rows[:, 2].astype(np.int64)
+        rows[:, 2] = (self._pour(pool[spread(place, n)]) + np.cumsum(n) - n).astype(np.uint64)
+        self._put(rows)
+        self.used[:] = False
+        held = self.rows[:, 0] != 0
+        if used.all():
+            self.used[held] = True
+
+    def trim(self) -> None:
+        """Called between slices: above the limit, of words or of 16 ids a word, only words used since the last trim stay, at most half the limit."""
+        if self.count <= self.limit and self.filled <= 16 * self.limit:
+            return
+        at = np.flatnonzero((self.rows[:, 0] != 0) & self.used)
+        few = at[self.rows[at, 3] <= 64]
+        self._keep(few[: self.limit // 2], len(self.rows))
+        self.used[:] = False
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    total = np.cumsum(n)
+    return np.arange(int(total[-1]) if len(n) else 0) + np.repeat(start - total + n, n)
 
 
 class WordCacheEncoder:
-    """ids of whole texts, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them, in little-endian uint32.
+    """ids of whole texts, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    path: vocabulary file. separator: text of one token that stands between uncached words in a joint call and is never part of another token.
-    cache_words bounds the dictionary. New words go to a space of the same size, which is emptied when full; those met
-    again while there move to the dictionary and stay. So memory doesn't grow with the corpus, and rare words don't fill it.
+    path: vocabulary file. separator: text of one token that stands between new words in a joint call and is never part of another token.
+    words bounds the table, whatever the corpus.
     """
 
-    def __init__(self, path: str, separator: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, separator: str, words: int = TABLE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,75 +168,86 @@ class WordCacheEncoder:
         self.tok.no_padding()
         self.separator, self.mark = separator, separator.lstrip(" ")
         (self.sep_id,) = self.tok.encode(separator, add_special_tokens=False).ids
-        self.limit, self.cache, self.recent, self.heads, self.first = cache_words, _Known(), {}, {}, []
+        self.table, self.tails, self.one, self.two = WordTable(words), {}, SpanHasher(31), SpanHasher(32)
         names = self.tok.get_vocab()
         size = max(names.values()) + 1
         self.ends, self.starts = np.zeros(size, bool), np.zeros(size, bool)
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.starts[[i for t, i in names.items() if t.startswith("Ġ")]] = True
-        self.by_end = bool(self.ends.any())
-        self.lead = " " if self.by_end else ""  # white space is dropped where tokens end words
-        self.newline = self._direct("\n")
+        self.by_end = bool(self.ends.any())  # white space is dropped where tokens end words
+        self.line_feed = self._direct("\n")
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _divide(self, word: str) -> tuple[str, tuple[str, ...]]:
-        """The part of a word whose ids depend on it alone, and parts without a space before them that follow: signs, line feeds, the word after one."""
-        after: tuple[str, ...] = ()
-        if "\n" in word and word.count("\n") == 1 and "<" not in word:
-            left, right = word.split("\n")
-            if not left[-1].isspace() and not right[0].isspace():
-                word, after = left, ("\n", right)
-        if m := _TAIL.search(word):
-            word, after = word[: m.start(1)], (m[1], *after)
-        return word, after
-
-    def _settle(self) -> None:
-        """Fill all places that wait."""
-        waiting, self.cache.waiting = self.cache.waiting, []
-        first, self.first = self.first, []
-        cache, recent, heads = self.cache, self.recent, self.heads
-        if len(recent) > self.limit:
-            recent.clear()
-        if len(heads) > self.limit // 8:
-            heads.clear()
-        have = dict.fromkeys([w for w, _ in waiting])
-        again, new, parts, leads = {}, {}, {}, {w for w, _ in first if w not in heads}
-        for w in have:
-            if (ids := recent.get(w)) is not None:
-                again[w] = ids
-                continue
-            if len(w) > LONGEST_WORD:
-                have[w] = self._direct(" " + w)  # such words aren't kept
-                continue
-            stem, after = parts[w] = self._divide(w)
-            if stem not in cache and stem not in recent:
-                new[stem] = b""
-            leads.update([x for x in after if x != "\n" and x not in heads])
-        self._learn(list(new), " ", new)
-        if leads:
-            self._learn(list(leads), self.lead, heads)
-        for w, (stem, after) in parts.items():
-            ids = new.get(stem) or recent.get(stem) or dict.get(cache, stem, b"")
-            have[w] = ids + b"".join([self.newline if x == "\n" else heads[x] for x in after]) if after else ids
-        recent.update(new)
-        recent.update([(w, have[w]) for w, (_, after) in parts.items() if after])
-        have.update(again)
-        if again and len(cache) < self.limit:  # met again while remembered
-            cache.update(again)
-        for w, place in waiting:
-            place += have[w]
-        for w, place in first:
-            place += heads[w]
-
-    def _learn(self, words: list[str], before: str, into: dict[str, bytes]) -> None:
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each part and, where it matters, of what is before it."""
+        h = self.one.spans(self.one.prefix(data), start, end)
+        if not self.by_end:
+            h = mix64(h + kind.astype(np.uint64))
+        return np.maximum(h, np.uint64(1)), self.two.spans(self.two.prefix(data), start, end)
+
+    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, ids) in the pool of each part of one slice."""
+        self.table.trim()
+        h, c = self._hashes(data, start, end, kind)
+        held, place, n = self.table.find(h, c)
+        while not held.all():
+            miss = np.flatnonzero(~held)
+            _, first = np.unique(h[miss], return_index=True)
+            new = miss[np.sort(first)]
+            self._learn(data, start[new], end[new], kind[new], h[new], c[new])
+            held, place, n = self.table.find(h, c)
+        return place, n
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, h: np.ndarray, c: np.ndarray) -> None:
+        """Parts that aren't held: a stem before signs is encoded once, and held as a word of its own."""
+        raw, spaced = data.tobytes(), self.by_end
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        tails = [""] * len(words)
+        for i, w in enumerate(words):
+            if not w.isalpha() and (m := _TAIL.search(w)):
+                words[i], tails[i] = w[: m.start(1)], m[1]
+        lead = (kind == AFTER_SPACE) | spaced
+        ids: dict[tuple[str, bool], bytes] = {}
+        cut = [i for i, t in enumerate(tails) if t]
+        if cut:  # stems held already, or to be held from now on
+            stems = dict.fromkeys((words[i], bool(lead[i])) for i in cut)
+            size = np.array([len(w.encode()) for w, _ in stems])
+            stop = np.cumsum(size)
+            flat = np.frombuffer("".join([w for w, _ in stems]).encode(), np.uint8)
+            sh, sc = self._hashes(flat, stop - size, stop, np.array([AFTER_SPACE if x else AT_START for _, x in stems]))
+            held, place, n = self.table.find(sh, sc)
+            for k, (stem, ok, a, m) in enumerate(zip(stems, held.tolist(), place.tolist(), n.tolist(), strict=True)):
+                if ok:
+                    ids[stem] = self.table.pool[a : a + m].astype("<u4").tobytes()
+                stems[stem] = k
+        wanted = dict.fromkeys((w, bool(x)) for w, x in zip(words, lead.tolist(), strict=True))
+        for flag, before in ((True, " "), (False, "")):
+            some = [w for w, x in wanted if x == flag and (w, x) not in ids]
+            got: dict[str, bytes] = {}
+            self._encode(some, before, got)
+            ids.update([((w, flag), v) for w, v in got.items()])
+        for t in {t for t in tails if t} - self.tails.keys():
+            self.tails[t] = self._direct(t)
+        broken = (kind == AFTER_LINE_FEED) & (not spaced)
+        whole = [(self.line_feed if b else b"") + ids[w, bool(x)] + (self.tails[t] if t else b"") for w, x, t, b in zip(words, lead.tolist(), tails, broken.tolist(), strict=True)]
+        if cut:
+            own = set(zip(h.tolist(), c.tolist(), strict=True))
+            more = [(k, s) for s, k in stems.items() if not held[k] and (int(sh[k]), int(sc[k])) not in own]
+            at = [k for k, _ in more]
+            h, c, whole = np.concatenate([h, sh[at]]), np.concatenate([c, sc[at]]), whole + [ids[s] for _, s in more]
+        if len(self.tails) > 50_000:
+            self.tails.clear()
+        self.table.add(h, c, whole)
+
+    def _encode(self, words: list[str], before: str, into: dict[str, bytes]) -> None:
         """Words of letters alone are told apart by tokens that end a word or start after a space, others by separators."""
         plain, letters = [], []
         for w in words:
-            if w.isalpha() and before:
+            if before and w.isalpha():
                 letters.append(w)
-            elif "<" in w or ">" in w or self.mark in w or not w:
+            elif "<" in w or ">" in w or self.mark in w or not w or w[0].isspace() or w[-1].isspace():
                 into[w] = self._direct(before + w)
             else:
                 plain.append(w)
@@ -159,62 +274,33 @@ class WordCacheEncoder:
         for w, a, b in zip(words, (start * 4).tolist(), (end * 4).tolist(), strict=True):
             into[w] = raw[a:b]
 
-    def _look_up(self, text: str, begins: bool) -> list[bytes | bytearray]:
-        """Ids or places of the words of a text, or of a part of one that comes after a safe cut."""
-        words = text.split(" ")
-        try:
-            if not words[0] or words[0][-1].isspace():
-                raise _Unsafe
-            found = list(map(self.cache.__getitem__, words[1:] if begins else words))
-        except _Unsafe:  # white space beside a space
-            words = _SAFE.split(text)
-            last = words.pop() if len(words) > 1 and words[-1][-1].isspace() else None
-            found = list(map(self.cache.__getitem__, words[1:] if begins else words))
-            if last is not None:
-                found.append(self._direct(" " + last))
-        if begins:
-            w = words[0]
-            if 0 < len(w) < 64 and not w[0].isspace() and not w[-1].isspace():
-                self.first.append((w, bytearray()))
-                found.insert(0, self.first[-1][1])
-            else:
-                found.insert(0, self._direct(w))
-        return found
-
-    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        at = 0
-        while True:
-            cut = _SAFE.search(text, at + LONG_CHARS) if len(text) - at > LONG_CHARS else None
-            yield (text[at : cut.start()] if cut else text[at:]) if at or cut else text, at == 0
-            if cut is None:
-                return
-            at = cut.start() + 1  # the space at a cut belongs to the word after it
+    def rows(self, data: np.ndarray, off: np.ndarray, lengths_only: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+        """(row from, row to, ids of each row, all ids) over ranges of rows; a text over SLICE bytes is a range of its own, looked up in pieces that end at safe cuts."""
+        for i, j in slices(off, SLICE):
+            own, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            start, end, kind = parts(own, at)
+            sizes, pools, a = [], [], 0
+            while a < len(start):
+                b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, "right")))
+                lo = int(start[a])
+                place, n = self._look_up(own[lo : int(end[b - 1])], start[a:b] - lo, end[a:b] - lo, kind[a:b])
+                sizes.append(n)
+                if not lengths_only:
+                    pools.append(self.table.pool[spread(place, n)])
+                a = b
+            total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+            rows = np.diff(total[np.searchsorted(start, at, "left")])
+            yield i, j, rows, None if lengths_only else np.concatenate(pools) if pools else np.empty(0, np.uint32)
+
+    def rows_with_end(self, data: np.ndarray, off: np.ndarray, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row from, row to, borders of the rows' ids, all ids) with end_id after each row."""
+        for i, j, n, ids in self.rows(data, off):
+            yield i, j, np.concatenate([[0], np.cumsum(n + 1)]), np.insert(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids of each text; texts are looked up together up to LONG_CHARS, longer ones in parts."""
-        held: list[list[bytes | bytearray]] = []
-        size = 0
-        for text in texts:
-            if len(text) <= LONG_CHARS:
-                held.append(self._look_up(text, True))
-                size += len(text)
-                if size < LONG_CHARS:
-                    continue
-            self._settle()
-            yield from [np.frombuffer(b"".join(f), "<u4") for f in held]
-            held, size = [], 0
-            if len(text) > LONG_CHARS:
-                out = []
-                for part, begins in self._parts(text):
-                    found = self._look_up(part, begins)
-                    self._settle()
-                    out.append(b"".join(found))
-                yield np.frombuffer(b"".join(out), "<u4")
-        self._settle()
-        yield from [np.frombuffer(b"".join(f), "<u4") for f in held]
-
-    def encode(self, text: str) -> np.ndarray:
-        return next(self.encode_all([text]))
+        data, off = string_buffers(pa.array(list(texts), pa.large_string()))
+        for _, _, n, ids in self.rows(data, off):
+            yield from np.split(ids, np.cumsum(n)[:-1])
 
 
 @functools.lru_cache(4)
@@ -223,18 +309,4 @@ def encoder(name_or_path: str, separator: str) -> WordCacheEncoder:
     return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator)
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 WORKER_CACHES.append(encoder.cache_clear)
-
-
-def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
-    """Row ranges balanced by bytes: (from, to, texts, UTF-8 lengths)."""
-    col = batch.column(batch.schema.get_field_index(column))
-    _, off = string_buffers(col)
-    for i, j in slices(off, limit):
-        yield i, j, [x or "" for x in col.slice(i, j - i).to_pylist()], np.diff(off[i : j + 1])
