@@ -180,10 +180,19 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return split.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_place")).select(*df.columns, name)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_doc`, a key for each row in order of doc_id: doc_id itself where it is one, else numbers of the rows sorted by doc_id (null first) and the text's hash."""
+def below(key: Column | str, share: float) -> Column:
+    """Whether a key's hash is in the lowest `share` of all 2^62 remainders; a share of one row in a trillion still keeps rows."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 62)) < F.lit(int(min(1.0, share) * (1 << 62)))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """_doc, row: a key for each row of docs in order of doc_id, and the row itself as a struct, whose names can't clash with others.
+
+    The key is doc_id where that is one, else the number of the row, sorted by doc_id (null first) and the text's hash.
+    """
     n = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    rows = docs.select(F.struct("*").alias("row"))
     if n[0] == n[1]:
-        return docs.withColumn("_doc", docs["doc_id"].cast("long"))
-    hashed = docs.withColumn("_hash", F.sha2("text", 256))
-    return numbered(hashed, "_doc", F.col("doc_id").asc_nulls_first(), F.col("_hash").asc_nulls_first()).drop("_hash")
+        return rows.select(F.col("row.doc_id").cast("long").alias("_doc"), "row")
+    hashed = rows.withColumn("_hash", F.sha2(F.col("row.text"), 256))
+    return numbered(hashed, "_doc", F.col("row.doc_id").asc_nulls_first(), F.col("_hash").asc_nulls_first()).select("_doc", "row")

@@ -7,10 +7,10 @@ a language is its exact code length over all its bytes; the shortest wins. As st
 length of every counted gram is one table entry, and a whole text is scored by array look-ups.
 
 Fitted on a bounded sample: labelled documents outside the held-out fold, taken by hash of doc_id so that a language
-has about train_bytes / languages bytes. The model's size follows that bound, not the corpus; every text is scored whole.
+has about train_bytes / languages bytes, or LEAST_ROWS documents where those are more. The model's size follows that bound, not the corpus; every text is scored whole.
 
-Defined cases: null text or one without a letter is `und` with score 0, as is every text where nothing can be learned; a null doc_id has
-the remainder of an empty text and isn't learned from; languages that tie go by name; repeated rows keep a row each; an empty table gives no rows; other columns are ignored.
+Defined cases: a very long text is counted and scored whole, in parts that know the bytes before them; null text or one without a letter is `und` with score 0, as is every text where nothing can be learned; a null doc_id has
+the remainder of an empty text and isn't learned from; languages that tie go by name; repeated rows keep a row each; an empty table gives no rows; columns besides doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, release_caches, slices, string_buffers
+from tessera.llm.common import below, doc_text, release_caches, slices, string_buffers
 
-ORDER, TRAIN_BYTES, UNDETERMINED = 3, 12_000_000, "und"
+ORDER, TRAIN_BYTES, LEAST_ROWS, UNDETERMINED = 3, 12_000_000, 16, "und"
 PAD = 10  # a text starts as after line feeds
 PART = 1 << 20
 
@@ -61,17 +61,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def sample_by_bytes(docs: DataFrame, label: str, total: int) -> DataFrame:
-    """Rows of docs (doc_id, text, label) by hash of doc_id, with about total / labels bytes for each label."""
-    size = docs.groupBy(label).agg(F.sum(F.octet_length("text")).alias("_bytes"))
-    sizes = [(r[0], r[1] or 0) for r in size.collect()]  # a row for each label
-    share = total / max(1, len(sizes))
+def sample_by_bytes(docs: DataFrame, label: str, total: int, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Rows of docs (doc_id, text, label) by hash of doc_id, with about total / labels bytes for each label, and about least_rows rows where that is more."""
+    size = docs.groupBy(label).agg(F.sum(F.octet_length("text")).alias("_bytes"), F.count("*").alias("_rows"))
+    sizes = [tuple(r) for r in size.collect()]  # a row for each label
     keep = F.lit(False)
-    for name, n in sizes:
-        keep = keep | ((F.col(label) == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, share / max(1, n)) * (1 << 20))))
+    for name, share in sample_shares(sizes, total, least_rows).items():
+        keep = keep | ((F.col(label) == name) & below("doc_id", share))
     return docs.filter(keep)
 
 
+def sample_shares(sizes: list[tuple[str, int, int]], total: int, least_rows: int = LEAST_ROWS) -> dict[str, float]:
+    """By label, the share of its rows to keep; sizes: (label, bytes, rows)."""
+    return {name: min(1.0, max(total / len(sizes) / max(1, n or 0), least_rows / max(1, rows))) for name, n, rows in sizes}
+
+
 class PPM:
     """Frozen trees of all languages: for each order the grams any language has seen, with their code lengths."""
 

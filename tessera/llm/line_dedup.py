@@ -8,9 +8,9 @@ rewritten log(batches) times. The merged runs then say which keys lose their lin
 shuffle, so a line that a third of all documents hold is one row for each task; the join that takes verdicts back to lines
 is one that adaptive execution splits where a key is hot.
 
-Defined cases: null or empty text is one empty line and never dropped; rows with a null doc_id keep all lines and
+Defined cases: columns of docs keep their values whatever their names; null or empty text is one empty line and never dropped; rows with a null doc_id keep all lines and
 don't count; repeated rows of one doc_id count as one document and keep a row each; very long texts are handled in
-blocks of lines; an empty table gives no rows; other columns are ignored.
+blocks of lines; lines that tie go in order of doc_id, the largest keeps its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,13 +105,14 @@ def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATC
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
-    """All columns of docs, text without the dropped lines, and n_lines, n_dropped."""
-    base = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_body": F.coalesce(docs["text"], F.lit(""))})
+    """All columns of docs, text without the dropped lines, and n_lines, n_dropped where docs has no columns of that name."""
+    base = docs.select(F.struct("*").alias("row"))  # names of the caller's columns can't clash with those used here
+    base = base.select("row", F.col("row.doc_id").cast("long").alias("_id"), F.coalesce(F.col("row.text"), F.lit("")).alias("_body"))
     plain = base.select(F.col("_id").alias("doc_id"), F.col("_body").alias("text"))
     keys = repeated_keys(plain, min_docs, batches, folder)
     at = line_hashes(plain).select("doc_id", "_text", "pos", "k.a", "k.b").join(keys, ["a", "b"])
     at = at.filter(F.col("doc_id") != F.col("last_doc")).groupBy("doc_id", "_text", (F.col("pos") / BLOCK_LINES).cast("int").alias("block")).agg(F.collect_set("pos").alias("gone"))
-    gone = at.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.map_from_entries(F.collect_list(F.struct("block", "gone"))).alias("_gone"), F.sum(F.size("gone")).cast("long").alias("n_dropped"))
+    gone = at.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.map_from_entries(F.collect_list(F.struct("block", "gone"))).alias("_gone"), F.sum(F.size("gone")).cast("long").alias("_n"))
     joined = base.withColumn("_text", F.xxhash64("_body")).join(gone, ["_id", "_text"], "left")
     lines = F.split("_body", "\n", -1)
 
@@ -122,8 +123,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
 
         return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), ((F.size(lines) - 1) / BLOCK_LINES).cast("int")), block)), "\n")
 
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("_body")).otherwise(kept(lines))})
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    made = {"text": F.when(F.col("_gone").isNull(), F.col("_body")).otherwise(kept(lines)), "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long")}
+    own = [(made["text"] if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return joined.select(*own, *[made[c].alias(c) for c in ("n_lines", "n_dropped") if c not in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

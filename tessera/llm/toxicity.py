@@ -3,20 +3,22 @@
 Channel: a suspicious token (a letter beside a digit or sign, a letter three times in a row, or a run of lone
 characters) is a lattice: a character stands for itself or for the letters it imitates, a separator or a repeated letter
 for nothing. Source: a character trigram model over the words of all documents. A Viterbi search that keeps the
-KEEP best paths restores the token. Words of the text and restored words are then scored alike.
+KEEP best paths restores the token. A run of one character counts as three of it. A token is decoded whole and in its parts between separators; what is
+longer than LONGEST characters is decoded in pieces that overlap by half. Words of the text and restored words are then scored alike.
 
-Score: word beginnings of 4 to 8 bytes and short whole words, chosen and weighed by how purely they occur in labelled toxic
+Score: word beginnings of 4 to 8 bytes and whole words, chosen and weighed by how purely they occur in labelled toxic
 documents. Each different word gives the log-odds of its surest feature, and the sum is turned to a probability. Features are learned on a bounded sample
 of labelled rows outside the held-out fold (TRAIN_ROWS, by hash of doc_id); the character model on every document.
 
-Defined cases: null, empty and wordless texts get the score of a text without evidence; no labels: every score is 0; repeated labels of a doc_id
-count as their maximum, null ones not at all; repeated rows keep a row each; equal training texts count once; an empty table gives no rows; other columns are ignored.
+Defined cases: a very long text is scored whole, in one slice of its own; null, empty and wordless texts get the score of a text without evidence; no labels: every score is 0; repeated labels of a doc_id
+count as their maximum, null ones not at all; repeated rows keep a row each; equal training texts count once; an empty table gives no rows; other columns are ignored; scores may tie.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_text, lower_table, mix64, slices, string_buffers
+from tessera.llm.common import SpanHasher, below, doc_text, lower_table, mix64, slices, string_buffers
 from tessera.llm.language_id import fold
 
 TRAIN_ROWS, FOLDS, SUPPORT, PRIOR_WEIGHT, PURE, RECORD, KEEP, LONGEST = 20_000, 5, 0.004, 4.0, 0.5, 8, 4, 40
@@ -33,6 +35,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h", "&": "a"}
 SEPARATORS = ".-_*~'`,:;/\\"
 SIGNS = "".join(IMITATES) + SEPARATORS
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_PARTS = re.compile("[" + re.escape(SEPARATORS) + "]+")
 OTHER = 27  # of the model's alphabet: 0 is a word's edge, 1..26 letters
 
 
@@ -119,10 +123,10 @@ class Restorer:
         return out or [("", 2.0)]
 
     def _restore(self, token: str) -> tuple[str, ...]:
-        """The KEEP likeliest words behind a token of at most LONGEST characters."""
+        """The KEEP likeliest words behind a token."""
         states = {(0, 0): [(0.0, "")]}
         last = ""
-        for ch in token[:LONGEST]:
+        for ch in token:
             nxt: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), paths in states.items():
                 for letter, noise in self._options(ch, last):
@@ -138,6 +142,14 @@ class Restorer:
         return tuple(dict.fromkeys(t for _, t in ends))[:KEEP]
 
 
+def readings(token: str) -> list[str]:
+    """What is decoded of a token: itself without outer signs, its parts between separators, and of what is over LONGEST characters the pieces."""
+    token = _RUN.sub(r"\1\1\1", token)
+    out = [token, token.strip(SEPARATORS + "!?\"()[]"), *(x for x in _PARTS.split(token) if len(x) >= 4)]
+    step = LONGEST // 2
+    return [x[i : i + LONGEST] for x in dict.fromkeys(out) if x for i in range(0, max(1, len(x) - step), step)]
+
+
 def suspicious(data: np.ndarray, off: np.ndarray) -> list[tuple[int, str, bool]]:
     """(row, token, spaced) of disguised-looking tokens in lower-cased bytes; a run of lone characters is one token, spaced."""
     k = _classes()
@@ -152,7 +164,7 @@ def suspicious(data: np.ndarray, off: np.ndarray) -> list[tuple[int, str, bool]]
     odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
     sums = lambda x: (lambda s: s[end] - s[start])(np.concatenate([[0], np.cumsum(x)]))
     size = end - start
-    flagged = (sums(odd) > 0) & (sums(letter) > 0) & (size <= LONGEST * 2)
+    flagged = (sums(odd) > 0) & (sums(letter) > 0)
     row = np.searchsorted(off, start, "right") - 1
     out = [(r, data[s:e].tobytes().decode("utf-8", "replace"), False) for r, s, e in zip(row[flagged].tolist(), start[flagged].tolist(), end[flagged].tolist(), strict=True)]
     lone = (size == 1) & (letter | k["leet"][data])[start]
@@ -172,22 +184,31 @@ def suspicious(data: np.ndarray, off: np.ndarray) -> list[tuple[int, str, bool]]
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
+@functools.lru_cache(1)
+def _hasher() -> SpanHasher:
+    return SpanHasher(41)
+
+
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, word, index of the word) of each word of lower-cased bytes: its first 4 to 8 bytes, shortest first, and all of it with its end where that is within 8; word: its first 8 bytes."""
+    """(row, feature, word, index of the word) of each word of lower-cased bytes: its first 4 to 8 bytes, shortest first, and all of it with its end; word: a hash of all of it."""
     k = _classes()
     start, end = _runs(k["word"][data], off[:-1])
     buf = np.concatenate([data, np.zeros(8, np.uint8)])
     w8 = np.ndarray(len(data) + 1, "<u8", buf.tobytes(), 0, (1,))[start].astype(np.uint64)
     size = end - start
     w8 &= _MASKS[np.minimum(size, 8)]
+    word = _hasher().spans(_hasher().prefix(data), start, end)
     row = np.searchsorted(off, start, "right") - 1
     at, keys = [], []
     for n in range(4, 9):
         some = np.flatnonzero(size >= n - 1)
         at.append(some)
         keys.append(mix64((w8[some] & _MASKS[n]) + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+    long = np.flatnonzero(size >= 8)  # shorter words are whole with their end above
+    at.append(long)
+    keys.append(mix64(word[long] ^ np.uint64(0x2545F4914F6CDD1D)))
     at = np.concatenate(at)
-    return row[at], np.concatenate(keys), w8[at], at
+    return row[at], np.concatenate(keys), word[at], at
 
 
 class Features:
@@ -240,13 +261,13 @@ class Scorer:
         return max(self.evidence(raw, np.array([0, len(raw)])).values(), default=0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, restorer: Restorer, train_rows: int = TRAIN_ROWS) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """Features of the words as written in a bounded sample of labelled texts; restored words are scored by the same features."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(fold("doc_id", FOLDS) != 0)
     n = known.count()
     if not n:
         return Scorer(np.empty(0, np.uint64), np.empty(0), 0.0)
-    keep = int(min(1.0, train_rows / n) * (1 << 20))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < keep)  # train_rows rows: 16 bytes each are broadcast
+    sample = known.filter(below("doc_id", train_rows / n))  # about train_rows rows: 16 bytes each are broadcast
     rows = doc_text(docs).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +312,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, restorer_counts: np.ndarray) ->
         @functools.lru_cache(200_000)
         def behind(token: str) -> tuple[tuple[str, float], ...]:
             """Restored words that are evidence, with their weights."""
-            words = dict.fromkeys(w for t in dict.fromkeys((token, token.strip(SEPARATORS + "!?\"()[]"))) if t for w in restorer.restore(t))
+            words = dict.fromkeys(w for t in readings(token) for w in restorer.restore(t))
             return tuple((w, v) for w in words if (v := mine.words([w])))
 
         @functools.lru_cache(50_000)
@@ -321,6 +342,6 @@ def score_texts(docs: DataFrame, scorer: Scorer, restorer_counts: np.ndarray) ->
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counts = count_trigrams(docs)
-    scorer = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Restorer(counts))
+    scorer = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_texts(docs, scorer, counts)
     return out.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, decontamination, language_id, line_dedup, minmax_dedup, packing, suffix_dedup, token_counts, token_files, toxicity
-from tessera.llm.common import keyed, shared_dir
+from tessera.llm.common import keyed_rows, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor " * 20_000
@@ -273,17 +273,125 @@ def test_toxicity(spark):
     y, p = np.array([truth[r.doc_id] for r in held]), np.array([r.predicted for r in held])
     assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.03
     counts = toxicity.count_trigrams(docs)
-    scorer = toxicity.learn(docs, labels, None)
-    hidden = ["1d10t", "l o s e r", "stuuuupid", "m.o.r.o.n", "d1sgu$t1ng", "tr@sh"]
+    scorer = toxicity.learn(docs, labels)
+    hidden = ["1d10t", "l o s e r", "stuuuupid", "m.o.r.o.n", "d1sgu$t1ng", "tr@sh", "1d10t" + "!" * 100, "stu" + "u" * 300 + "p1d", "x" * 30 + "/" + "y3" * 30 + "/1d10t"]
     df = spark.createDataFrame([(i, f"Thation ouder the {w} and onrent") for i, w in enumerate(hidden)] + [(99, "the call at 3.14 in B2B covid19")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score_texts(df, scorer, counts).collect()}
     assert all(got[i] > 0.5 for i in range(len(hidden))) and got[99] < 0.5
     assert toxicity.score_texts(odd(spark), scorer, counts).count() == len(ODD)
-    blank = toxicity.learn(docs, labels.limit(0), None)
+    blank = toxicity.learn(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_texts(odd(spark), blank, counts).collect()} == {0.0}
     assert not toxicity.count_trigrams(none(spark)).any()
 
 
+def test_restoring_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    r = toxicity.Restorer(rng.integers(0, 60, (28, 28, 28)).astype(float))
+
+    def cost(word, noise):
+        path = [0, 0, *(toxicity.LETTERS.find(c) + 1 or toxicity.OTHER for c in word), 0]
+        return noise + sum(r.cost[a, b, c] for a, b, c in zip(path, path[1:], path[2:], strict=False))
+
+    for token in ("1d10t", "m.o.r0n", "aaab!", "l|5$", "ö0k", "7e57", "b-4-d", "x1!1x"):
+        ways = [r._options(c, b) for b, c in zip(" " + token, token, strict=False)]
+        all_paths: dict[str, float] = {}
+        for path in itertools.product(*ways):
+            word = "".join(x for x, _ in path)
+            if word:
+                all_paths[word] = min(all_paths.get(word, np.inf), cost(word, sum(n for _, n in path)))
+        best = sorted(all_paths.items(), key=lambda x: (x[1], x[0]))
+        got = r._restore(token)
+        assert abs(all_paths[got[0]] - best[0][1]) < 1e-9
+        assert abs(all_paths[got[-1]] - best[len(got) - 1][1]) < 1e-9
+
+
+def test_readings_cover_long_tokens():
+    token = "".join(random.Random(3).choice(("a1", "b2", "c3")) for _ in range(250))
+    pieces = toxicity.readings(token)
+    assert max(map(len, pieces)) <= toxicity.LONGEST
+    assert all(any(token[i : i + 20] in p for p in pieces) for i in range(480))
+    words = ["abcdefghij", "abcdefghik"]  # alike in their first eight bytes
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    row, _, word, at = toxicity.features(raw, np.array([0, len(raw)]))
+    assert len(set(word.tolist())) == 2
+
+
+def test_samples_survive_scale(spark):
+    shares = language_id.sample_shares([("a", 25 * 10**12, 10**10), ("b", 10**15, 3), ("c", 1000, 10), ("d", None, 5)], language_id.TRAIN_BYTES)
+    assert shares["b"] == shares["c"] == shares["d"] == 1.0 and 0 < shares["a"] < 1e-6
+    from tessera.llm.common import below
+
+    ids = spark.range(10**8)
+    assert 3 <= ids.filter(below("id", toxicity.TRAIN_ROWS / 1e11)).count() <= 50
+    assert 0 < ids.filter(below("id", 25 * shares["a"])).count() < 1000
+    assert ids.filter(~below("id", 1.0)).isEmpty()
+
+
+def test_code_lengths_against_plain_ppm():
+    import math
+
+    rng = random.Random(8)
+    texts = {"x": "".join(rng.choice("abcd ") for _ in range(400)), "y": "".join(rng.choice("abé \n") for _ in range(300))}
+    trained: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for name, t in texts.items():
+        raw = b"\n" * 3 + t.encode()
+        for i in range(len(raw) - 3):
+            trained[int.from_bytes(raw[i : i + 4], "big")][name] += 1
+    grams = sorted(trained)
+    model = language_id.PPM(["x", "y"], np.array(grams), np.array([[trained[g][n] for n in "xy"] for g in grams], float))
+
+    def plain(name, text):
+        seen = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
+        for g in grams:
+            if n := trained[g][name]:
+                b = g.to_bytes(4, "big")
+                for k in range(4):
+                    seen[k][b[3 - k : 3]][b[3]] += n
+        raw, total = b"\n" * 3 + text.encode(), 0.0
+        for i in range(3, len(raw)):
+            for k in range(3, -1, -1):
+                ctx = seen[k].get(raw[i - k : i])
+                if ctx is None:
+                    continue
+                n, q = sum(ctx.values()), len(ctx)
+                if raw[i] in ctx:
+                    total -= math.log2(ctx[raw[i]] / (n + q))
+                    break
+                total -= math.log2(q / (n + q))
+            else:
+                total += 8
+        return total
+
+    asked = ["abcd", "", "é é", "zzz", "aé\n\nb dcba", "".join(rng.choice("abcdé xyz\n") for _ in range(500))]
+    raw = [t.encode() for t in asked]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = model.code_lengths(np.frombuffer(b"".join(raw), np.uint8), off)
+    assert np.allclose(got, [[plain(n, t) for n in "xy"] for t in asked], rtol=1e-4)
+
+
+CLASHES = ["_doc", "_id", "_text", "_body", "_gone", "_n", "_hash", "_at", "_range", "_base", "_place", "_tie", "_salt", "_rank", "_row", "row", "a", "b", "k", "pos", "gone", "block", "n_dropped", "n_words", "component_id", "kept", "lang_pred", "contaminated", "label", "key", "h", "doc", "span", "length"]
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf_dir):
+    import corpus_pipeline as P
+
+    for repeat in (False, True):
+        rows = [(i // (1 + repeat), f"this is the text of document {i} and " + " ".join(f"word{i}x{j}" for j in range(30)), "en", "s", 9) for i in range(12)]
+        docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+        want = sorted(tuple(r[c] for c in ("doc_id", *CLASHES)) for r in docs.collect())
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert sorted(tuple(r[c] for c in ("doc_id", *CLASHES)) for r in out.collect()) == want, name
+        assert P.STAGES[-1][1](spark, docs, sf_dir).count() == 12
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines"]
+    for op in (minmax_dedup.near_duplicates, token_counts.count_tokens, lambda d: suffix_dedup.remove_copies(d, False)):
+        assert op(docs).count() == 12
+
+
 def recalls(table, found, asked, k=20):
     rows = table.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
@@ -366,7 +474,7 @@ def test_pipeline(spark, sf_dir):
 def test_keys_of_repeated_ids(spark):
     rows = [(i % 7 if i % 5 else None, f"text {i % 11}" if i % 13 else None, None, None, None) for i in range(300)] + [(1, "same", None, None, None)] * 100
     docs = spark.createDataFrame(rows, SCHEMA).repartition(9)
-    got = sorted(keyed(docs).select("_doc", "doc_id", "text").collect())
+    got = sorted(keyed_rows(docs).select("_doc", "row.doc_id", "row.text").collect())
     assert [r._doc for r in got] == list(range(len(rows)))
     rank = lambda i, t: (i is not None, i or 0, t is not None, hashlib.sha256((t or "").encode()).hexdigest())
     assert [(r.doc_id, r.text) for r in got] == sorted(((i, t) for i, t, *_ in rows), key=lambda x: rank(*x))
