@@ -9,7 +9,7 @@ operations for every dozen words. Windows of each length below 13 have tables of
 The benchmark is broadcast in chunks of at most CHUNK_BYTES of text, each a pass over the documents, so what a task holds
 is bounded however large the benchmark grows; one chunk, the usual case, needs no shuffle.
 
-Defined cases: null or empty text has no words; null doc_ids and repeated rows keep a row each; items that repeat count by
+Defined cases: a very long text is searched whole, in a slice of its own; occurrences that overlap or tie count each word once; null or empty text has no words; null doc_ids and repeated rows keep a row each; items that repeat count by
 item_id, a null item_id is left out; an empty benchmark or table works; other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 
-WINDOW, CHUNK_BYTES, SEGMENT, TABLE_BITS = 13, 16 << 20, 256, 18
+WINDOW, CHUNK_BYTES, SEGMENT, TABLE_BITS = 13, 8 << 20, 256, 18
 #: Bytes that no word has: 00-2F, 3A-60 (after lower-casing), 7B-7F.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 
@@ -35,21 +35,45 @@ def _blocks(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return h[at] if width == 1 else mix64(h[at - 1] * np.uint64(3) + h[at])
 
 
-class WuManber:
-    """SHIFT, bucket and comparison tables of the windows of one length, in words."""
+class Items:
+    """Words of a chunk of items in flat arrays: ids, hashes, and places of their lower-cased bytes."""
+
+    def __init__(self, items: list[tuple[str, str]]) -> None:
+        words = WordHasher(SEPARATORS)
+        data, off = string_buffers(pa.array([t for _, t in items], pa.large_string()))
+        self.names = [i for i, _ in items]
+        self.hashes, start, end, self.first = words.words(data, off)
+        self.bytes, self.start, self.end = words.lower[data].tobytes(), start.astype(np.int32), end.astype(np.int32)
+
+    def said(self, at: int, n: int) -> bytes:
+        return b"\0".join([self.bytes[s:e] for s, e in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)])
 
-    def __init__(self, hashes: np.ndarray, owners: list[tuple[str, ...]], texts: list[bytes]) -> None:
-        self.hashes, self.owners, self.texts, self.length = hashes, owners, texts, hashes.shape[1]
-        self.width = min(2, self.length)
+
+class WuManber:
+    """SHIFT, bucket and comparison tables of the windows of one length, in words. begin: each different window's first word among the items' words; owner, owned: the items that hold it."""
+
+    def __init__(self, items: Items, begin: np.ndarray, item: np.ndarray, length: int) -> None:
+        self.items, self.length, self.width = items, length, min(2, length)
+        one, two = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+        for i in range(length):
+            h = items.hashes[begin + i]
+            one, two = mix64(one * np.uint64(3) + h), two * np.uint64(0x9E3779B97F4A7C15) + h
+        order = np.lexsort((item, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        del one, two
+        self.begin = begin[order[new]].astype(np.int32)
+        self.owned, self.owner = np.append(np.flatnonzero(new), len(order)).astype(np.int32), item[order].astype(np.int32)
         self.shift = np.full(1 << TABLE_BITS, self.length - self.width + 1, np.int64)
-        flat, n = hashes.ravel(), len(hashes)
         for end in range(self.width - 1, self.length):
-            at = np.arange(n) * self.length + end
-            np.minimum.at(self.shift, self._slot(_blocks(flat, at, self.width)), self.length - 1 - end)
-        last = _blocks(flat, np.arange(n) * self.length + self.length - 1, self.width)
-        self.order = np.argsort(last, kind="stable")
+            np.minimum.at(self.shift, self._slot(_blocks(items.hashes, self.begin + end, self.width)), self.length - 1 - end)
+        last = _blocks(items.hashes, self.begin + (length - 1), self.width)
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
         self.suffix = last[self.order]
 
+    def owners(self, window: int) -> list[str]:
+        return [self.items.names[i] for i in self.owner[self.owned[window] : self.owned[window + 1]].tolist()]
+
     @staticmethod
     def _slot(block: np.ndarray) -> np.ndarray:
         return (block >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -73,10 +97,10 @@ class WuManber:
                 many = hi - lo
                 p = np.repeat(p, many)
                 cand = self.order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - lo, many)]
-                same = h[p - self.length + 1] == self.hashes[cand, 0]  # the prefix first, as most differ there
+                same = h[p - self.length + 1] == self.items.hashes[self.begin[cand]]  # the prefix first, as most differ there
                 p, cand = p[same], cand[same]
                 for i in range(1, self.length):
-                    same = h[p - self.length + 1 + i] == self.hashes[cand, i]
+                    same = h[p - self.length + 1 + i] == self.items.hashes[self.begin[cand] + i]
                     p, cand = p[same], cand[same]
                 found_at.append(p)
                 found.append(cand)
@@ -88,22 +112,18 @@ class WuManber:
 
 
 def build_tables(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
-    """items: (item_id, text)."""
-    words = WordHasher(SEPARATORS)
-    col = pa.array([t for _, t in items], pa.large_string())
-    data, off = string_buffers(col)
-    h, start, end, first = words.words(data, off)
-    low = words.lower[data].tobytes()
-    kinds: dict[int, dict[tuple[bytes, ...], tuple[np.ndarray, set[str]]]] = defaultdict(dict)
-    for i, (item, _) in enumerate(items):
-        a, b = int(first[i]), int(first[i + 1])
-        if a == b:
-            continue
-        n = min(window, b - a)
-        all_words = [low[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
-        for k in range(b - a - n + 1):
-            kinds[n].setdefault(tuple(all_words[k : k + n]), (h[a + k : a + k + n], set()))[1].add(item)
-    return [WuManber(np.array([x[0] for x in got.values()]), [tuple(x[1]) for x in got.values()], [b"\0".join(w) for w in got]) for got in kinds.values()]
+    """items: (item_id, text). Some 50 bytes for each word of the items."""
+    held = Items(items)
+    size = np.diff(held.first)
+    length = np.minimum(size, window)
+    tables = []
+    for n in np.unique(length[length > 0]).tolist():
+        which = np.flatnonzero(length == n)
+        many = size[which] - n + 1
+        item = np.repeat(which, many)
+        begin = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + held.first[item]
+        tables.append(WuManber(held, begin, item, n))
+    return tables
 
 
 def find_items(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
@@ -122,10 +142,10 @@ def find_items(docs: DataFrame, items: list[tuple[str, str]], window: int = WIND
                 for t in mine:
                     for p, c in zip(*(x.tolist() for x in t.search(h, first)), strict=True):
                         a = p - t.length + 1
-                        if b"\0".join([words.lower[part[s:e]].tobytes() for s, e in zip(start[a : p + 1].tolist(), end[a : p + 1].tolist(), strict=True)]) == t.texts[c]:
+                        if b"\0".join([words.lower[part[s:e]].tobytes() for s, e in zip(start[a : p + 1].tolist(), end[a : p + 1].tolist(), strict=True)]) == t.items.said(int(t.begin[c]), t.length):
                             row = int(np.searchsorted(first, p, "right")) - 1
                             spans[row].append((a - int(first[row]), p + 1 - int(first[row])))
-                            ids[row].update(t.owners[c])
+                            ids[row].update(t.owners(c))
                 runs = []
                 for r in range(j - i):
                     flat = []

@@ -1,7 +1,7 @@
 """Operator 6, line dedup, in DataFrame operations alone: levelled sorted runs of line hashes, compacted periodically.
 
 A run is a table sorted by key hash with, for each key, the number of documents and the largest doc_id that hold it.
-Batches of documents come by falling ranges of doc_id. Each is summed to one row for a key, merge-anti-joined with the
+Batches of documents, of BATCH_DOCS at most and BATCHES at least, come by falling ranges of doc_id. Each is summed to one row for a key, merge-anti-joined with the
 keys that a run has settled already (held by enough documents, so that neither their verdict nor their largest doc_id
 can change), and added as a run of level 0. FANOUT runs of a level are compacted to one of the next, so a key is
 rewritten log(batches) times. The merged runs then say which keys lose their lines. Sums by key are combined before the
@@ -20,9 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import drop_shared, shared_dir
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT, BLOCK_LINES = 20, 3, 4, 3, 1024
+MIN_CHARS, MIN_DOCS, BATCHES, BATCH_DOCS, FANOUT, BLOCK_LINES = 20, 3, 4, 1 << 30, 3, 1024
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,7 +69,10 @@ class LineRuns:
             self.levels.setdefault(level, []).append(path)
             if len(self.levels[level]) < self.fanout:
                 return
-            path = self._write(summed(self._read(self.levels.pop(level))))
+            merged = self.levels.pop(level)
+            path = self._write(summed(self._read(merged)))
+            for old in merged:
+                drop_shared(self.spark, old)
             level += 1
 
     def merged(self) -> DataFrame:
@@ -83,28 +86,31 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return lines.filter("k IS NOT NULL")
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
-    """a, b, last_doc of the keys that at least min_docs documents hold, through the levelled runs."""
+def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, folder: str | None = None) -> DataFrame:
+    """a, b, last_doc of the keys that at least min_docs documents hold, through the levelled runs. Texts are read once; batches are cut from what their keys sum to."""
     spark = docs.sparkSession
-    runs = LineRuns(spark, folder or shared_dir(spark))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
+    folder = folder or shared_dir(spark)
+    runs = LineRuns(spark, folder)
     ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     once = ids[0] == ids[1]  # once: no doc_id has two rows, so keys need only be made distinct in each row
-    edges = [None, *sorted(set(cuts), reverse=True), None]
-    for above, below in zip(edges[1:], edges, strict=False):
-        part = docs.filter("doc_id IS NOT NULL")
-        part = part if below is None else part.filter(F.col("doc_id") <= below)
-        part = part if above is None else part.filter(F.col("doc_id") > above)
-        if once:
-            held = part.select("doc_id", F.explode(F.array_distinct(key_hashes(F.col("text")))).alias("k")).filter("k IS NOT NULL")
-        else:
-            held = line_hashes(part).select("k", "doc_id").distinct()
-        held = held.select("k.a", "k.b", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("last_doc"))
-        runs.add(summed(held), min_docs)
+    batches = batches or max(BATCHES, -(-ids[0] // BATCH_DOCS))
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []), reverse=True)
+    some = docs.filter("doc_id IS NOT NULL")
+    if once:
+        held = some.select("doc_id", F.explode(F.array_distinct(key_hashes(F.col("text")))).alias("k")).filter("k IS NOT NULL")
+    else:
+        held = line_hashes(some).select("k", "doc_id").distinct()
+    batch = F.aggregate(F.transform(F.array(*map(F.lit, cuts)), lambda c: (F.col("doc_id") <= c).cast("int")), F.lit(0), lambda s, x: s + x) if cuts else F.lit(0)
+    sums = held.select(batch.alias("batch"), "k.a", "k.b", "doc_id").groupBy("batch", "a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    sums.sortWithinPartitions("batch", "a", "b").write.parquet(f"{folder}/batches")  # sorted: a batch is read by its row groups
+    written = spark.read.schema("batch int, a long, b long, n_docs long, last_doc long").parquet(f"{folder}/batches")
+    for i in range(len(cuts) + 1):
+        runs.add(written.filter(F.col("batch") == i).drop("batch"), min_docs)
+    drop_shared(spark, f"{folder}/batches")
     return runs.merged().filter(F.col("n_docs") >= min_docs).select("a", "b", "last_doc")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None, folder: str | None = None) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped where docs has no columns of that name."""
     base = docs.select(F.struct("*").alias("row"))  # names of the caller's columns can't clash with those used here
     base = base.select("row", F.col("row.doc_id").cast("long").alias("_id"), F.coalesce(F.col("row.text"), F.lit("")).alias("_body"))

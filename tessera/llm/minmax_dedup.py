@@ -13,7 +13,7 @@ Confirmation: members of a center are dealt in groups of bounded size, each led
 sorted groups and holds one center's set at a time. Sets are built anew from the whole texts.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; fewer words than a shingle are one shingle; rows
-with a null doc_id take no part (component_id null, kept true); repeated rows get the same answer each; an empty table gives no rows; other columns are ignored.
+with a null doc_id take no part (component_id null, kept true); very long texts are hashed whole; among ties of a component the smallest doc_id is kept; repeated rows get the same answer each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 from tessera.llm.components import connected_components
 
-WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS = 4, 64, 32, 0.65, 256, 256
+WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 4, 64, 32, 0.65, 256, 1024, 2_000_000
 SIMILARITY = (80, 100)
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
@@ -143,10 +143,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, in
 def linked_blocks(members: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) between members (key, doc_id, label, n_shingles, sketch) of one key and different labels, confirmed on full sets; each document is in one key.
 
-    A key's members are dealt to blocks of about BLOCK_MEMBERS, and each pair of blocks is compared in one task, which skips pairs that it has joined already. Only links leave it.
+    A key's members are dealt to blocks of about BLOCK_MEMBERS members and BLOCK_SHINGLES shingles at most (some 12 MB of text), and each pair of blocks is compared in one task, which skips pairs that it has joined already. Only links leave it.
     """
     num, den = similarity
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("_blocks"))
+    blocks = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     dealt = members.join(blocks, "key").withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
     texts = docs.join(dealt.hint("shuffle_hash"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")

@@ -5,11 +5,11 @@ its histogram of lengths: at most `max_tokens` rows, whatever the corpus. The dr
 first. Bins with the same content form a group; a length goes to the group that fits every capacity and scores
 best (smallest weighted norm of what would be left, or largest weighted dot product of demand and what is left), to as many of
 its bins as there are pieces. Hence a plan of a few thousand placements (length, ranks) -> (bins, offset).
-Pieces get their rank in their length through salted counts, so a length that a third of all pieces share is no hot key, and
+Pieces get their rank in their length through counts of salts, of which a length has one for every SALT_ROWS pieces, so a length that a third of all pieces share is no hot key, and
 meet the plan in a broadcast join whose size is bounded by max_tokens * ln(max_tokens) and the number of lengths.
 
-Defined cases: null or empty text is a document of the end id alone; repeated rows and null doc_ids are documents of
-their own; an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty text is a document of the end id alone; a very long text is encoded in parts and cut into pieces; repeated rows and null doc_ids are documents of
+their own; pieces of one length tie in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import window as W
 from tessera.llm.common import doc_text, materialize, string_buffers
 from tessera.llm.tokenization import encoder, spread
 
-VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALTS = "byte_bpe_50k.json", "\n", 0, 2048, 32
+VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALT_ROWS = "byte_bpe_50k.json", "\n", 0, 2048, 1 << 16
 
 
 def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = VOCABULARY, separator: str = SEPARATOR, end_id: int = END_ID) -> DataFrame:
@@ -86,15 +86,17 @@ def plan_bins(counts: dict[int, int], max_tokens: int, max_docs: int | None = No
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Pieces of docs with sequence_id and offset. Capacities that are None don't bind."""
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, max_tokens)).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    by_salt = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = by_salt.select("length", "_salt", (F.sum("_n").over(W.Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_tokens rows at most
+    pieces = materialize(cut_pieces(docs, max_tokens).withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())))  # written: every later plan sees the same deal
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     plan = plan_bins(counts, max_tokens, max_docs, max_cost, rule, weights)
     plan_df = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _first long, offset long")
+    salts = spark.createDataFrame([(n, -(-c // SALT_ROWS)) for n, c in counts.items()] or [(0, 1)], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod("_deal", F.col("_salts")))
+    by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))  # max_tokens rows, and one for every SALT_ROWS pieces
+    before = by_salt.select("length", "_salt", (F.sum("_n").over(W.Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(W.Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.withColumn("_within", within).join(F.broadcast(before), ["length", "_salt"])  # max_tokens * SALTS rows at most
-    ranked = ranked.withColumn("_rank", F.col("_within") + F.col("_before")).drop("_within", "_before", "_salt")
+    ranked = salted.withColumn("_within", within).join(before, ["length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_within") + F.col("_before")).select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
     placed = ranked.join(F.broadcast(plan_df), (ranked["length"] == plan_df["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(plan_df["length"])
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
