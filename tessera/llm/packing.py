@@ -5,7 +5,7 @@ its histogram of lengths: at most `max_tokens` rows, whatever the corpus. The dr
 first. Bins with the same content form a group; a length goes to the group that fits every capacity and scores
 best (smallest weighted norm of what would be left, or largest weighted dot product of demand and what is left), to as many of
 its bins as there are pieces. Hence a plan of a few thousand placements (length, ranks) -> (bins, offset).
-Pieces get their rank in their length through counts of salts, of which a length has one for every SALT_ROWS pieces, so a length that a third of all pieces share is no hot key, and
+Pieces get their rank in their length through counts of salts, of which a length has as many as the root of its pieces, so a length that a third of all pieces share is no hot key, and
 meet the plan in a broadcast join whose size is bounded by max_tokens * ln(max_tokens) and the number of lengths.
 
 Defined cases: null or empty text is a document of the end id alone; a very long text is encoded in parts and cut into pieces; repeated rows and null doc_ids are documents of
@@ -14,6 +14,7 @@ their own; pieces of one length tie in any order; an empty table gives no rows;
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import window as W
 from tessera.llm.common import doc_text, materialize, string_buffers
 from tessera.llm.tokenization import encoder, spread
 
-VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS, SALT_ROWS = "byte_bpe_50k.json", "\n", 0, 2048, 1 << 16
+VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS = "byte_bpe_50k.json", "\n", 0, 2048
 
 
 def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = VOCABULARY, separator: str = SEPARATOR, end_id: int = END_ID) -> DataFrame:
@@ -90,9 +91,9 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None = N
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     plan = plan_bins(counts, max_tokens, max_docs, max_cost, rule, weights)
     plan_df = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _first long, offset long")
-    salts = spark.createDataFrame([(n, -(-c // SALT_ROWS)) for n, c in counts.items()] or [(0, 1)], "length long, _salts long")
+    salts = spark.createDataFrame([(n, math.isqrt(c) + 1) for n, c in counts.items()] or [(0, 1)], "length long, _salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod("_deal", F.col("_salts")))
-    by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))  # max_tokens rows, and one for every SALT_ROWS pieces
+    by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))  # for a length, no more rows than the root of its pieces
     before = by_salt.select("length", "_salt", (F.sum("_n").over(W.Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(W.Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("_within", within).join(before, ["length", "_salt"])
