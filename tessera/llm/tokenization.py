@@ -20,8 +20,8 @@ from tessera.llm.common import WORKER_CACHES, SpanHasher, mix64, slices, string_
 
 #: Signs after a Latin letter: always a piece of their own in both vocabularies. Only letters that no normalization changes to more than one; no apostrophes (contractions) and nothing of special strings or separators.
 _TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]([!-&(-;=?@\[-`{}~]+)\Z")
-TABLE_WORDS = 2_000_000
-SLICE = 1 << 20
+TABLE_WORDS = 600_000
+SLICE = 1 << 19
 JOINT_CALL = 2000
 SPACE, LINE_FEED = 0x20, 0x0A
 AT_START, AFTER_SPACE, AFTER_LINE_FEED = 0, 1, 2
@@ -71,7 +71,7 @@ def parts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class WordTable:
-    """Ids by 128-bit hash: rows (hash, hash, place in the pool, ids) in open addressing. Words used since the last trim survive it."""
+    """Ids by 128-bit hash: rows (hash, hash, place in the pool, ids) in open addressing. Words met again since the last trim survive it."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
@@ -82,8 +82,8 @@ class WordTable:
         self.shift = np.uint64(65 - size.bit_length())
         self.pool, self.filled = np.empty(1 << 14, np.uint32), 0
 
-    def find(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether held, place, ids) of each word."""
+    def find(self, h: np.ndarray, c: np.ndarray, met: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether held, place, ids) of each word; met: the words that are held count as met again."""
         slot, mask = (h >> self.shift).astype(np.int64), len(self.rows) - 1
         row = self.rows[slot]
         held = (row[:, 0] == h) & (row[:, 1] == c)
@@ -94,56 +94,54 @@ class WordTable:
             same = (other[:, 0] == h[todo]) & (other[:, 1] == c[todo])
             row[todo[same]], held[todo[same]] = other[same], True
             todo = todo[~same & (other[:, 0] != 0)]
-        self.used[slot[held]] = True
+        if met:
+            self.used[slot[held]] = True
         return held, row[:, 2].astype(np.int64), row[:, 3].astype(np.int64)
 
     def add(self, h: np.ndarray, c: np.ndarray, ids: list[bytes]) -> None:
         """Different words that aren't held."""
         if 2 * (self.count + len(h)) > len(self.rows):
-            self._keep(np.flatnonzero(self.rows[:, 0]), 1 << (4 * (self.count + len(h))).bit_length())
+            at = np.flatnonzero(self.rows[:, 0])
+            self._keep(at, self.used[at], 1 << (2 * (self.count + len(h))).bit_length())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         place = self._pour(np.frombuffer(b"".join(ids), "<u4")) + np.cumsum(size) - size
-        self._put(np.column_stack([h, c, place.astype(np.uint64), size.astype(np.uint64)]))
+        self._put(np.column_stack([h, c, place.astype(np.uint64), size.astype(np.uint64)]), np.zeros(len(h), bool))
 
     def _pour(self, ids: np.ndarray) -> int:
         at, self.filled = self.filled, self.filled + len(ids)
         if self.filled > len(self.pool):
-            self.pool = np.concatenate([self.pool[:at], np.empty(2 * self.filled - at, np.uint32)])
+            self.pool = np.concatenate([self.pool[:at], np.empty(self.filled + self.filled // 4 - at, np.uint32)])
         self.pool[at : self.filled] = ids
         return at
 
-    def _put(self, rows: np.ndarray) -> None:
+    def _put(self, rows: np.ndarray, used: np.ndarray) -> None:
         slot, mask, todo = (rows[:, 0] >> self.shift).astype(np.int64), len(self.rows) - 1, np.arange(len(rows))
         self.count += len(rows)
         while len(todo):
             free = todo[self.rows[slot[todo], 0] == 0]
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
-            self.rows[slot[won]], self.used[slot[won]] = rows[won], True
+            self.rows[slot[won]], self.used[slot[won]] = rows[won], used[won]
             placed = np.zeros(len(rows), bool)
             placed[won] = True
             todo = todo[~placed[todo]]
             slot[todo] = (slot[todo] + 1) & mask
 
-    def _keep(self, at: np.ndarray, size: int) -> None:
-        rows, used, pool = self.rows[at], self.used[at], self.pool
+    def _keep(self, at: np.ndarray, used: np.ndarray, size: int) -> None:
+        """Only the words in these slots, in a table of that size."""
+        rows, pool = self.rows[at], self.pool
         self._reset(size)
         n, place = rows[:, 3].astype(np.int64), rows[:, 2].astype(np.int64)
         rows[:, 2] = (self._pour(pool[spread(place, n)]) + np.cumsum(n) - n).astype(np.uint64)
-        self._put(rows)
-        self.used[:] = False
-        held = self.rows[:, 0] != 0
-        if used.all():
-            self.used[held] = True
+        self._put(rows, used)
 
     def trim(self) -> None:
-        """Called between slices: above the limit, of words or of 16 ids a word, only words used since the last trim stay, at most half the limit."""
+        """Called between slices: above the limit, of words or of 16 ids a word, only words met again since the last trim stay, at most half the limit."""
         if self.count <= self.limit and self.filled <= 16 * self.limit:
             return
         at = np.flatnonzero((self.rows[:, 0] != 0) & self.used)
-        few = at[self.rows[at, 3] <= 64]
-        self._keep(few[: self.limit // 2], len(self.rows))
-        self.used[:] = False
+        few = at[self.rows[at, 3] <= 64][: self.limit // 2]
+        self._keep(few, np.zeros(len(few), bool), len(self.rows))
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -197,7 +195,7 @@ class WordCacheEncoder:
             _, first = np.unique(h[miss], return_index=True)
             new = miss[np.sort(first)]
             self._learn(data, start[new], end[new], kind[new], h[new], c[new])
-            held, place, n = self.table.find(h, c)
+            held, place, n = self.table.find(h, c, met=False)
         return place, n
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, h: np.ndarray, c: np.ndarray) -> None:
@@ -217,7 +215,7 @@ class WordCacheEncoder:
             stop = np.cumsum(size)
             flat = np.frombuffer("".join([w for w, _ in stems]).encode(), np.uint8)
             sh, sc = self._hashes(flat, stop - size, stop, np.array([AFTER_SPACE if x else AT_START for _, x in stems]))
-            held, place, n = self.table.find(sh, sc)
+            held, place, n = self.table.find(sh, sc, met=False)
             for k, (stem, ok, a, m) in enumerate(zip(stems, held.tolist(), place.tolist(), n.tolist(), strict=True)):
                 if ok:
                     ids[stem] = self.table.pool[a : a + m].astype("<u4").tobytes()
