@@ -18,6 +18,13 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def tokenize_mixed(text: Column) -> Column:
+    """As tokenize, but runs of CJK ideographs, which have no spaces, become their overlapping pairs; a lone one is a token."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[\\u4e00-\\u9fff]+|[\\p{L}\\p{N}_&&[^\\u4e00-\\u9fff]]+"), F.lit(0))
+    pairs = lambda t: F.regexp_extract_all(t, F.lit("(?=(..))"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike("^[\\u4e00-\\u9fff]{2,}$"), pairs(t)).otherwise(F.array(t))))
+
+
 def ngrams(text: Column, n: int) -> Column:
     """All character n-grams of a string; none if it is shorter."""
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tessera.operators.sinks import write_file
+
 
 def decide(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     """tenant_id, doc_key, action, version for incoming (tenant_id, doc_key, content_hash, force) against registry (tenant_id, doc_key, version, status, content_hash, is_deleted)."""
@@ -95,16 +97,19 @@ class SnapshotTable:
             stream.close()
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """Write a snapshot that no pointer names."""
+        name = f"snapshot-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
     def commit(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a snapshot, then name it; readers see the old one until then."""
+        """Write a snapshot, then name it by renaming a whole new pointer over the old one; readers see the old snapshot until then, and never half a pointer."""
         name = f"snapshot-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.folder}/{name}")
-        stream = self.fs.create(self.pointer, True)
-        try:
-            stream.write(bytearray(name.encode()))
-        finally:
-            stream.close()
+        write_file(self.spark, f"{self.folder}/CURRENT", name.encode())
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def merge(self, new: DataFrame, keys: list[str]) -> DataFrame:

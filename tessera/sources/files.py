@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,10 +23,27 @@ _TABLE_RULE = re.compile(r"^\|?[\s:\-|]+\|?\s*$")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)")
 
 
+def collect(spark: SparkSession, sources: list[str]) -> tuple[DataFrame, list[str]]:
+    """(path, length, content of the files, sources that don't exist). Folders give their supported files at any depth, told by name before a byte is read; a file named itself is taken whatever its suffix."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders, plain, missing = [], [], []
+    for source in sources:
+        p = jvm.org.apache.hadoop.fs.Path(source)
+        fs = p.getFileSystem(conf)
+        (missing if not fs.exists(p) else folders if fs.getFileStatus(p).isDirectory() else plain).append(source)
+    anycase = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in name) for name in SUFFIXES)
+    reader = spark.read.format("binaryFile")
+    parts = [reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{anycase}}}").load(folders)] if folders else []
+    if plain:
+        parts.append(spark.read.format("binaryFile").load(plain))
+    if not parts:
+        return spark.createDataFrame([], "path string, length long, content binary"), missing
+    return reduce(DataFrame.unionByName, parts).select("path", "length", "content"), missing
+
+
 def collect_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, content of all supported files below a folder, sorted by path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.filter(suffix(F.col("path")).isin(list(SUFFIXES))).select("path", "length", "content").orderBy("path")
+    """path, length, content of all supported files below a folder. Order by path where it matters: contents aren't moved for it here."""
+    return collect(spark, [folder])[0]
 
 
 def suffix(path: Column) -> Column:
@@ -33,39 +51,69 @@ def suffix(path: Column) -> Column:
 
 
 def detect_format(path: Column, content: Column) -> Column:
-    """pdf, docx, md, txt or unsupported: the suffix is trusted, else the first 1024 bytes decide; a zip is told apart by sniff_zip."""
+    """pdf, docx, md, txt or unsupported: the suffix is trusted, else the first 1024 bytes decide, and of a zip its table of contents.
+
+    Text is UTF-8, where a character cut by the 1024th byte doesn't count, or else GBK. Only archives and heads that aren't UTF-8 go through Python.
+    """
     by_suffix = F.lit(None).cast("string")
     for name, kind in SUFFIXES.items():
         by_suffix = F.when(suffix(path) == name, kind).otherwise(by_suffix)
     head = F.substring(content, 1, 1024)
     magic = F.hex(F.substring(head, 1, 4))
-    text = F.decode(head, "UTF-8")
+    zipped = magic.isin("504B0304", "504B0506")
+    whole = _without_cut(head).cast("string")
+    utf8 = F.is_valid_utf8(whole)
+    other = by_suffix.isNull() & ~zipped & ~magic.isin("25504446", "D0CF11E0")
+    text = F.when(utf8, whole).otherwise(gbk_text(F.when(other & ~utf8, head)))
     sniffed = (
         F.when(magic == "25504446", "pdf")
-        .when(magic.isin("504B0304", "504B0506"), "zip")
+        .when(zipped, sniff_zip(F.when(by_suffix.isNull() & zipped, content)))
         .when(magic == "D0CF11E0", "unsupported")
-        .when(looks_like_text(text), F.when(text.rlike("(?m)^\\s*# "), "md").otherwise("txt"))
+        .when(text.isNotNull() & looks_like_text(text), F.when(text.rlike("(?m)^\\s*# "), "md").otherwise("txt"))
         .otherwise("unsupported")
     )
     return F.coalesce(by_suffix, sniffed)
 
 
+def _without_cut(head: Column) -> Column:
+    """A full head of 1024 bytes without the bytes of a UTF-8 character that its end cuts."""
+    n = F.octet_length(head)
+    byte = lambda back: F.conv(F.hex(F.substring(head, n - back, F.lit(1))), 16, 10).cast("int")
+    drop = F.when(byte(0) >= 0xC0, 1).when((byte(1) >= 0xE0) & (byte(0) >= 0x80), 2).when((byte(2) >= 0xF0) & (byte(1) >= 0x80) & (byte(0) >= 0x80), 3).otherwise(0)
+    return F.when(n < 1024, head).otherwise(F.substring(head, F.lit(1), n - drop))
+
+
 def looks_like_text(head: Column) -> Column:
     """No NUL, and control characters under a tenth."""
     control = F.regexp_count(head, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"))
     return ~F.contains(head, F.lit("\x00")) & (control < 0.1 * F.greatest(F.lit(1), F.length(head)))
 
 
+@F.pandas_udf(T.StringType())
+def gbk_text(head: pd.Series) -> pd.Series:
+    """The head as GBK, without a character that its end cuts; null where it isn't that."""
+
+    def one(raw: bytes | None) -> str | None:
+        for some in (raw, raw[:-1] if raw and len(raw) == 1024 else None):
+            try:
+                return some.decode("gbk") if some is not None else None
+            except UnicodeDecodeError:
+                continue
+        return None
+
+    return head.map(one).astype(object)
+
+
 @F.pandas_udf(T.StringType())
 def sniff_zip(content: pd.Series) -> pd.Series:
-    """docx for a word-processing package, unsupported for any other archive."""
+    """docx for an office package (word, and by the same rule xl and ppt), unsupported for any other archive."""
 
     def one(raw: bytes) -> str:
         try:
             names = zipfile.ZipFile(io.BytesIO(raw)).namelist()
         except (zipfile.BadZipFile, TypeError):
             return "unsupported"
-        return "docx" if "[Content_Types].xml" in names and any(n.startswith("word/") for n in names) else "unsupported"
+        return "docx" if "[Content_Types].xml" in names and any(n.startswith(("word/", "xl/", "ppt/")) for n in names) else "unsupported"
 
     return content.map(one)
 
@@ -74,7 +122,9 @@ def sniff_zip(content: pd.Series) -> pd.Series:
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8, else GBK, else UTF-8 with replacements; line ends become LF."""
 
-    def one(raw: bytes) -> str:
+    def one(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
         for code, errors in (("utf-8", "strict"), ("gbk", "strict"), ("utf-8", "replace")):
             try:
                 return raw.decode(code, errors).replace("\r\n", "\n").replace("\r", "\n")
@@ -91,8 +141,22 @@ def txt_paragraphs(docs: DataFrame, key: str = "doc", text: str = "text") -> Dat
     return docs.select(key, F.posexplode(F.filter(parts, lambda p: p != "")).alias("seq", "text"))
 
 
-def markdown_blocks(text: str) -> list[tuple[str, str, int | None, str | None, str | None]]:
-    """(type, text, heading level, code language, warning) by a scan of lines; a paragraph ends before any other block."""
+def cjk_heading(line: str) -> int | None:
+    """Level of a Chinese section heading of at most 40 characters: chapter 1, section 2, dotted numbers by their dots up to 3, other numbered ones 3; null for other lines."""
+    if not line or len(line) > 40:
+        return None
+    number = "[一二三四五六七八九十百零〇0-9]+"
+    if re.match(f"第{number}章", line):
+        return 1
+    if re.match(f"第{number}[节条]", line):
+        return 2
+    if dotted := re.match(r"([0-9]+(?:\.[0-9]+)+)\s*[\u4e00-\u9fff]", line):
+        return min(3, dotted[1].count(".") + 1)
+    return 3 if re.match("[一二三四五六七八九十]+、", line) else None
+
+
+def markdown_blocks(text: str, cjk: bool = False) -> list[tuple[str, str, int | None, str | None, str | None]]:
+    """(type, text, heading level, code language, warning) by a scan of lines; a paragraph ends before any other block. cjk: Chinese section headings without signs count, as page text has lost its signs."""
     blocks: list[tuple] = []
     paragraph: list[str] = []
 
@@ -132,6 +196,9 @@ def markdown_blocks(text: str) -> list[tuple[str, str, int | None, str | None, s
             blocks.append(("image", bare, None, None, None))
         elif not bare:
             flush()
+        elif cjk and (level := cjk_heading(bare)):
+            flush()
+            blocks.append(("heading", bare, level, None, None))
         else:
             paragraph.append(line)
         i += 1
@@ -193,6 +260,45 @@ def grade_page(text: Column, images: Column) -> dict[str, Column]:
     return {"level": level, "text_chars": chars, "garble_ratio": F.round(ratio, 4)}
 
 
+def grade_signals(text: Column, images: Column) -> Column:
+    """What made a page red or yellow, in words; empty for a green one."""
+    g = grade_page(text, images)
+    said = [F.when(g["garble_ratio"] > 0.01, "garbled"), F.when(g["text_chars"] < 20, "nearly empty"), F.when((g["text_chars"] >= 20) & (g["text_chars"] < 100), "thin"), F.when(images >= 3, "many images")]
+    return F.array_compact(F.array(*said))
+
+
+def summarize_pages(pages: DataFrame, by: str = "doc") -> DataFrame:
+    """by, pages, green, yellow, red and share of green pages of graded pages (by, level)."""
+    n = lambda level: F.count_if(F.col("level") == level)
+    return pages.groupBy(by).agg(F.count("*").alias("pages"), n("green").alias("green"), n("yellow").alias("yellow"), n("red").alias("red")).withColumn("green_share", F.round(F.col("green") / F.col("pages"), 4))
+
+
+PAGE_BLOCKS = "doc string, page int, seq int, block_type string, text string, heading_level int, language string, warning string"
+
+
+def pdf_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of a PDF's pages (doc, page, text, image_count, encrypted): red pages stay raw and flagged, others are read as markdown with Chinese headings, a page without blocks is its raw text; then texts that pages repeat at their edges go.
+
+    A document with an encrypted page is one block of type error.
+    """
+    locked = pages.filter("encrypted").select("doc").distinct()
+    graded = pages.join(locked, "doc", "left_anti").withColumn("level", grade_page(F.col("text"), F.col("image_count"))["level"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, page, text, level in frame[["doc", "page", "text", "level"]].itertuples(index=False):
+                text = text or ""
+                raw = [("paragraph", text.strip(), None, None, "red page" if level == "red" else None)]
+                found = raw if level == "red" else markdown_blocks(text, cjk=True) or raw
+                rows += [(doc, page, i, *b) for i, b in enumerate(found) if b[1]]
+            yield pd.DataFrame(rows, columns=["doc", "page", "seq", "block_type", "text", "heading_level", "language", "warning"]).astype({"heading_level": "Int32"})
+
+    read = graded.select("doc", F.col("page").cast("int").alias("page"), "text", "level").mapInPandas(run, PAGE_BLOCKS)
+    errors = locked.select("doc", F.lit(0).alias("page"), F.lit(0).alias("seq"), F.lit("error").alias("block_type"), F.lit("").alias("text"), F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("string").alias("language"), F.lit("encrypted").alias("warning"))
+    return strip_repeated_edges(read).unionByName(errors)
+
+
 def strip_repeated_edges(blocks: DataFrame) -> DataFrame:
     """Drops first and last blocks of pages (doc, page, seq, text) whose text is at the edge of 3 pages or, in documents of 2 pages or more, of all."""
     w = W.Window.partitionBy("doc", "page")
