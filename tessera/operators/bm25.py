@@ -7,7 +7,9 @@ term; ranking keeps k rows for each question in every task before it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -16,14 +18,14 @@ from tessera.functions.text import tokenize
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def lengths(eligible: DataFrame) -> DataFrame:
+def lengths(eligible: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
     """sig, chunk, ord, terms of eligible chunks (sig, chunk, ord, content)."""
-    return eligible.select("sig", "chunk", "ord", tokenize(F.col("content")).alias("terms"))
+    return eligible.select("sig", "chunk", "ord", tokens(F.col("content")).alias("terms"))
 
 
-def idf_table(eligible: DataFrame) -> DataFrame:
+def idf_table(eligible: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
     """sig, term, df, idf: terms in more than half of a corpus get EPSILON times the mean idf of it."""
-    tokens = lengths(eligible)
+    tokens = lengths(eligible, tokenizer)
     n = tokens.groupBy("sig").agg(F.count("*").alias("n"))
     df = tokens.select("sig", F.explode(F.array_distinct("terms")).alias("term")).groupBy("sig", "term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(n), "sig").withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # a row for each signature
@@ -31,18 +33,18 @@ def idf_table(eligible: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "sig").select("sig", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search(eligible: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
     """query_id, chunk, ord, score, rank of the k best chunks for each question (query_id, sig, question).
 
-    Chunks without any asked term score 0 and fill up to k in order of ord.
+    Chunks without any asked term score 0 and fill up to k in order of ord. tokenizer: of questions and contents alike.
     """
-    tokens = lengths(eligible)
+    tokens = lengths(eligible, tokenizer)
     stats = tokens.groupBy("sig").agg(F.avg(F.size("terms")).alias("avgdl"))
-    asked = questions.select("query_id", "sig", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "sig", "term").agg(F.count("*").alias("times"))
+    asked = questions.select("query_id", "sig", F.explode(tokenizer(F.col("question"))).alias("term")).groupBy("query_id", "sig", "term").agg(F.count("*").alias("times"))
     terms = asked.select("sig", "term").distinct()
     postings = tokens.select("sig", "chunk", "ord", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, ["sig", "term"], "left_semi").groupBy("sig", "chunk", "ord", "dl", "term").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf_table(eligible).join(terms, ["sig", "term"], "left_semi"), ["sig", "term"]).join(F.broadcast(stats), "sig").withColumn("w", weight)
+    scored = postings.join(idf_table(eligible, tokenizer).join(terms, ["sig", "term"], "left_semi"), ["sig", "term"]).join(F.broadcast(stats), "sig").withColumn("w", weight)
     scored = scored.join(asked, ["sig", "term"]).groupBy("query_id", "chunk", "ord").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
     first = tokens.withColumn("_n", F.row_number().over(W.Window.partitionBy("sig").orderBy("ord"))).filter(F.col("_n") <= k)
     fill = questions.select("query_id", "sig").join(first.select("sig", "chunk", "ord"), "sig").join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_terms, ngrams, tokenize
@@ -16,12 +20,28 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokenize(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def coverage(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, coverage, absent: idf-weighted share of a question's content terms that the chunks hold; 1 without content terms."""
+def bigrams_held(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """term of terms whose character bigrams all occur somewhere in the chunks: words that a tokenizer cut otherwise there. terms: a short list of a few questions' terms."""
+    each = terms.select("term", F.explode(F.array_distinct(ngrams(F.col("term"), 2))).alias("gram"))
+    wanted = each.agg(F.collect_set("gram").alias("_wanted"))  # one row
+    pairs = F.regexp_extract_all(F.lower("content"), F.lit("(?s)(?=(..))"), F.lit(1))  # linear in the text, where substrings by place aren't
+    here = chunks.crossJoin(F.broadcast(wanted)).select(F.explode(F.array_intersect(pairs, "_wanted")).alias("gram")).distinct()
+    return each.join(here.withColumn("_here", F.lit(True)), "gram", "left").groupBy("term").agg(F.bool_and(F.coalesce("_here", F.lit(False))).alias("ok")).filter("ok").select("term")
+
+
+def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df of terms: the chunks that hold it, else 1 where all its bigrams occur, else null."""
+    df = vocabulary(chunks).join(terms, "term", "left_semi")
+    near = bigrams_held(chunks, terms.join(df, "term", "left_anti").filter(F.length("term") >= 2))
+    return df.unionByName(near.select("term", F.lit(1).cast("long").alias("df")))
+
+
+def coverage(questions: DataFrame, chunks: DataFrame, fallback: bool = False) -> DataFrame:
+    """query_id, coverage, absent: idf-weighted share of a question's content terms that the chunks hold; 1 without content terms. fallback: terms count as held where their bigrams are."""
     n = chunks.agg(F.count("*").alias("n"))
     terms = questions.select("query_id", F.explode_outer(content_terms(tokenize(F.col("question")), STOP)).alias("term"))
     asked = terms.filter("term IS NOT NULL").select("term").distinct()
-    df = vocabulary(chunks).join(asked, "term", "left_semi")
+    df = document_frequency(chunks, asked) if fallback else vocabulary(chunks).join(asked, "term", "left_semi")
     known = terms.join(df, "term", "left").crossJoin(n)  # n is one row
     idf = F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weighed = known.withColumn("idf", F.when(F.col("term").isNotNull(), idf))
@@ -30,21 +50,69 @@ def coverage(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("query_id", F.round(share, 4).alias("coverage"), F.slice("absent", 1, 8).alias("absent"))
 
 
+class GateCache:
+    """The vocabulary of a corpus, kept until the number of valid chunks changes or ttl seconds pass."""
+
+    def __init__(self, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.ttl, self.clock, self.count, self.since, self.held = ttl, clock, None, 0.0, None
+
+    def vocabulary(self, chunks: DataFrame) -> DataFrame:
+        count = chunks.count()
+        if self.held is None or count != self.count or self.clock() - self.since > self.ttl:
+            if self.held is not None:
+                self.held.unpersist()
+            self.held, self.count, self.since = vocabulary(chunks).persist(), count, self.clock()
+        return self.held
+
+
 def assess(covered: DataFrame, top_cosine: DataFrame) -> DataFrame:
     """no_relevant: both signals low. top_cosine: query_id, cosine."""
     low = (F.col("coverage") < MIN_COVERAGE) & (F.coalesce("cosine", F.lit(0.0)) < MIN_COSINE)
     return covered.join(top_cosine, "query_id", "left").withColumn("no_relevant", low)
 
 
+def _pairs(t: Column, between: str) -> Column:
+    return F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(between, F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+
+
 def anchor_vocabulary(chunks: DataFrame, max_df: int = 8) -> DataFrame:
     """Terms and pairs of neighbouring terms in 1 to max_df documents (doc, content): what a question can be about."""
-    t = tokenize(F.col("content"))
-    words = chunks.select("doc", t.alias("t"))
-    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
-    both = words.select("doc", F.explode(F.array_distinct(F.concat(content_terms(F.col("t"), STOP), pairs))).alias("term")).distinct()
+    words = chunks.select("doc", tokenize(F.col("content")).alias("t"))
+    both = words.select("doc", F.explode(F.array_distinct(F.concat(content_terms(F.col("t"), STOP), _pairs(F.col("t"), " ")))).alias("term")).distinct()
     return both.groupBy("term").agg(F.count("*").alias("docs")).filter(F.col("docs") <= max_df)
 
 
+def whole_anchor_vocabulary(chunks: DataFrame, titles: DataFrame, blocked: list[str], max_df: int = 8, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """term, source (title, title_gram, body, pair), docs: terms and 2-grams of titles (doc, title) in any number of documents, body terms and their pairs in 1 to max_df.
+
+    blocked terms, single characters and numbers go; keep says which body tokens count, by part of speech say; all by default.
+    """
+    title = titles.select("doc", tokenize(F.col("title")).alias("t"), F.lower("title").alias("title"))
+    body = chunks.select("doc", tokenize(F.col("content")).alias("t"))
+    words = F.filter("t", keep) if keep else F.col("t")
+    parts = [
+        title.select("doc", F.lit("title").alias("source"), F.explode("t").alias("term")),
+        title.select("doc", F.lit("title_gram").alias("source"), F.explode(F.filter(ngrams(F.col("title"), 2), lambda g: g.rlike("^[\\p{L}\\p{N}]{2}$"))).alias("term")),
+        body.select("doc", F.lit("body").alias("source"), F.explode(F.array_distinct(words)).alias("term")),
+        body.select("doc", F.lit("pair").alias("source"), F.explode(F.array_distinct(_pairs(words, ""))).alias("term")),
+    ]
+    every = reduce(DataFrame.unionByName, parts).filter((F.length("term") >= 2) & ~F.col("term").rlike("^[0-9_]+$") & ~F.col("term").isin([*STOP, *blocked]))
+    counted = every.distinct().groupBy("source", "term").agg(F.count("*").alias("docs"))
+    return counted.filter(F.col("source").isin("title", "title_gram") | (F.col("docs") <= max_df))
+
+
+def anchor_counts(vocabulary: DataFrame) -> DataFrame:
+    """source, terms of a whole anchor vocabulary."""
+    return vocabulary.groupBy("source").agg(F.count_distinct("term").alias("terms"))
+
+
+def anchors(questions: DataFrame, terms: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """query_id, terms: the 2- to 4-grams of a question that the vocabulary holds, sorted."""
+    grams = F.array_distinct(F.concat(*[ngrams(F.lower("question"), n) for n in sizes]))
+    hits = questions.select("query_id", F.explode(grams).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return questions.select("query_id").join(hits, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
 def has_anchor(questions: DataFrame, terms: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """query_id, anchors: how many different 2- to 4-grams of a question the vocabulary (term) holds."""
     grams = F.array_distinct(F.concat(*[ngrams(F.col("question"), n) for n in sizes]))

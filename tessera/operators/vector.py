@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def byte_bigrams(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pair for each byte bigram; bytes are encoded once for a text, below the generator."""
-    raw = texts.select(key, F.encode(text, "UTF-8").alias("_raw")).filter(F.octet_length("_raw") >= 2)
-    each = raw.select(key, "_raw", F.explode(F.sequence(F.lit(1), F.octet_length("_raw") - 1)).alias("_i"))
-    return each.select(key, F.substring("_raw", F.col("_i"), F.lit(2)).alias("pair"))
-
-
-def bucket(pair: Column) -> Column:
-    """Bucket 0..255 of a byte bigram: the first byte of its MD5."""
-    return F.conv(F.substring(F.md5(pair), 1, 2), 16, 10).cast("int")
+@functools.lru_cache(1)
+def _buckets() -> np.ndarray:
+    """Bucket 0..255 of each byte bigram (first * 256 + second): the first byte of its MD5."""
+    return np.array([hashlib.md5(bytes((i >> 8, i & 255))).digest()[0] for i in range(1 << 16)], np.uint8)
 
 
 def mock_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bucket, value: the non-zero parts of the unit vector of bigram counts; no rows for under two bytes. Only different bigrams of a text are hashed."""
-    pairs = byte_bigrams(texts, key, text).groupBy(key, "pair").agg(F.count("*").alias("n"))
-    counts = pairs.select(key, bucket(F.col("pair")).alias("bucket"), "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / norm).alias("value"))
+    """key, bucket, value: the non-zero parts of the unit vector of byte-bigram counts, from one pass over Arrow buffers without a shuffle; no rows for texts under two bytes or null."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _buckets()
+        for batch in batches:
+            rows, buckets, values = [], [], []
+            for i, t in enumerate(batch.column(1)):
+                raw = t.as_buffer() if t.is_valid else None
+                if raw is None or raw.size < 2:
+                    continue
+                x = np.frombuffer(raw, np.uint8)
+                n = np.bincount(table[(x[:-1].astype(np.uint16) << 8) | x[1:]], minlength=256)
+                at = np.flatnonzero(n)
+                rows.append(np.full(len(at), i))
+                buckets.append(at.astype(np.int32))
+                values.append(n[at] / np.sqrt((n.astype(float) ** 2).sum()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(values))], ["_key", "bucket", "value"])
+
+    found = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, bucket int, value double")
+    return found.withColumnRenamed("_key", key)
 
 
 def dot(a: Column, b: Column) -> Column:
