@@ -65,7 +65,7 @@ def cut(text: str, limit: int = CHUNK_TOKENS) -> list[str]:
 def slices(text: str, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP) -> list[str]:
     """Pieces of a long text, each but the first led by the end of the one before."""
     parts = cut(text, limit)
-    return [parts[0], *(tail(a, overlap) + b for a, b in zip(parts, parts[1:], strict=False))]
+    return [parts[0], *((tail(a, overlap) if overlap else "") + b for a, b in zip(parts, parts[1:], strict=False))]
 
 
 def chunk_blocks(blocks: list[tuple[str, str, int | None]], limit: int = CHUNK_TOKENS, overlap: int = OVERLAP) -> list[tuple[str, str, int]]:

@@ -9,9 +9,9 @@ from pyspark.sql import window as W
 from tessera.functions.text import normalize
 
 MIN_ANCHOR, RECALL_PASS, RANGES = 6, 0.8, 200
-#: Price of 1000 tokens by model family, matched in this order: (family, prompt, completion).
-PRICES = [("turbo", 0.0003, 0.0006), ("plus", 0.0008, 0.002), ("long", 0.0005, 0.002), ("flash", 0.00015, 0.0015), ("max", 0.0024, 0.0096)]
-DEFAULT_PRICE = (0.0008, 0.002)
+#: Default price of 1000 tokens by model family, matched in this order: (family, prompt, completion).
+PRICES = [("turbo", 0.003, 0.006), ("plus", 0.004, 0.012), ("long", 0.0005, 0.002), ("flash", 0.0008, 0.0027), ("max", 0.02, 0.06)]
+DEFAULT_PRICE = (0.01, 0.03)
 GOLDEN = "meta struct<case_count: int>, cases array<struct<id: string, query: string, expected_doc: string, anchor: string, type: string>>"
 
 
@@ -71,12 +71,11 @@ def _pick(events: DataFrame, value: str, by: list[str], picks: dict[str, Column]
     rows = events.filter(F.col(value).isNotNull()).withColumns({} if by else {"_all": F.lit(0)}).select(*keys, F.col(value).alias("_v"))
     cuts = F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)])
     groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), cuts.alias("_cuts"), F.round(F.avg("_v"), 6).alias("mean"), F.max("_v").alias("max"))
-    groups = F.broadcast(events.sparkSession.createDataFrame(groups.collect(), groups.schema))  # a row for each group, alike for both readers
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(groups, keys)
     ranged = counts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
     before = F.sum("_size").over(W.Window.partitionBy(*keys).orderBy("_range")) - F.col("_size")
-    offsets = F.broadcast(sizes.select(*keys, "_range", before.alias("_before")))  # RANGES rows at most for each group
+    offsets = sizes.select(*keys, "_range", before.alias("_before"))
     upto = F.sum("_c").over(W.Window.partitionBy(*keys, "_range").orderBy("_v"))
     placed = ranged.withColumn("_upto", upto).join(offsets, [*keys, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
     at = lambda place: F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c")), F.col("_v")))
@@ -89,14 +88,27 @@ def latency(events: DataFrame, value: str, *by: str) -> DataFrame:
     return _pick(events, value, list(by), {"p50": F.floor(F.col("_n") / 2), "p95": F.ceil(F.col("_n") * 0.95) - 1})
 
 
+def load_test(results: DataFrame) -> dict[str, DataFrame]:
+    """The report of a load test (status, duration_ms, err, events array): totals (n, ok, bad, error_pct, mean, p50, p90, p99 of the good ones, max, qps), errors by count, events by count."""
+    good = F.col("status").isin(200, 202)
+    counted = results.agg(F.count("*").alias("n"), F.count_if(good).alias("ok"), F.count_if(~good).alias("bad"), (F.max("duration_ms") - F.min("duration_ms")).alias("_wall"))
+    times = load_report(results.filter(good), "duration_ms").drop("n")
+    wall = F.when(F.col("_wall") > 0, F.col("_wall")).otherwise(1.0)
+    totals = counted.join(times, how="left").withColumns({"error_pct": F.round(100 * F.col("bad") / F.greatest("n", F.lit(1)), 1), "qps": F.round(F.col("ok") / (wall / 1000), 1)}).drop("_wall")  # a row beside a row
+    errors = results.filter(~good).groupBy(F.coalesce("err", F.concat(F.lit("status="), F.col("status").cast("string"))).alias("error")).agg(F.count("*").alias("n"))
+    events = results.select(F.explode("events").alias("event")).groupBy("event").agg(F.count("*").alias("n"))
+    return {"totals": totals, "errors": errors.orderBy(F.desc("n"), "error").limit(5), "events": events}
+
+
 def load_report(events: DataFrame, value: str, *by: str) -> DataFrame:
     """n, p50, p90, p99 by position floor(p * n), mean, max."""
     return _pick(events, value, list(by), {f"p{p}": F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1) for p in (50, 90, 99)})
 
 
-def cost(model: Column, prompt: Column, completion: Column) -> Column:
-    price = prompt / 1000 * DEFAULT_PRICE[0] + completion / 1000 * DEFAULT_PRICE[1]
-    for family, a, b in reversed(PRICES):
+def cost(model: Column, prompt: Column, completion: Column, prices: list[tuple[str, float, float]] = PRICES, default: tuple[float, float] = DEFAULT_PRICE) -> Column:
+    """Estimated cost by the first family that a model's name holds, else the default price."""
+    price = prompt / 1000 * default[0] + completion / 1000 * default[1]
+    for family, a, b in reversed(prices):
         price = F.when(F.contains(F.lower(model), F.lit(family)), prompt / 1000 * a + completion / 1000 * b).otherwise(price)
     return price
 
@@ -132,6 +144,13 @@ def agreement(cases: DataFrame, thresholds: DataFrame, rule: Column) -> DataFram
     return cases.crossJoin(F.broadcast(thresholds)).withColumn("_skip", rule).groupBy("threshold").agg(F.count_if("_skip").alias("skipped"), F.count_if(F.col("_skip") == F.col("expected")).alias("agreed"))
 
 
+def replay(cases: DataFrame, rules: dict[str, Column], thresholds: list[int], *by: str) -> DataFrame:
+    """rule, threshold, by, n, skipped, agreed: several skip rules, each over case columns and `threshold`, against `expected` (a case's types are in by)."""
+    grid = cases.crossJoin(F.broadcast(cases.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold int")))  # a short list
+    each = grid.select("threshold", "expected", *by, F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("skip")) for n, c in rules.items()])).alias("r"))
+    return each.groupBy("r.rule", "threshold", *by).agg(F.count("*").alias("n"), F.count_if("r.skip").alias("skipped"), F.count_if(F.col("r.skip") == F.col("expected")).alias("agreed"))
+
+
 def rewrite_trace(notes: Column) -> dict[str, Column]:
     """mode (skip, llm or none) and query of the last rewrite note."""
     last = F.try_element_at(F.filter(notes, lambda n: F.startswith(n, F.lit("rewrite:"))), F.lit(-1))

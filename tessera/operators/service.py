@@ -10,13 +10,13 @@ from tessera.operators.conversation import last_messages
 INVALID, UNSUPPORTED, TOO_LARGE, BUSY = "VALIDATION_INVALID_ARGUMENT", "DOC_UNSUPPORTED_TYPE", "DOC_TOO_LARGE", "INGEST_IN_PROGRESS"
 STATUS = {INVALID: 422, UNSUPPORTED: 415, TOO_LARGE: 413, BUSY: 409}
 QUESTION_CHARS, TOP_K, HISTORY_LIMIT, UPLOAD_BYTES, QUERY_CHARS = 4000, 50, 200, 50 << 20, 200
-#: Types of upload by suffix; any text type is taken besides.
+#: Types of upload by suffix; any text type is taken besides.
 MIME = {
-    "pdf": ["application/pdf", "application/octet-stream"],
-    "docx": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip", "application/octet-stream"],
-    "md": ["application/octet-stream"],
-    "markdown": ["application/octet-stream"],
-    "txt": ["application/octet-stream"],
+    "pdf": ["application/pdf"],
+    "docx": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword", "application/octet-stream"],
+    "md": ["text/markdown", "text/plain", "application/octet-stream"],
+    "markdown": [],
+    "txt": ["text/plain", "text/markdown", "application/octet-stream"],
 }
 #: Milliseconds from which an event of a kind is logged; other kinds always are.
 SLOW = {"slow_query": 500, "llm_call": 3000, "ingest_slow": 5000}

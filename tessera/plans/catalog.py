@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evaluation_queries, lifecycle_queries, retrieval_queries, service_queries, text_queries
+from tessera.plans import engine_queries, evaluation_queries, lifecycle_queries, retrieval_queries, service_queries, text_queries
 
-_PARTS = (text_queries, retrieval_queries, evaluation_queries, lifecycle_queries, service_queries)
+_PARTS = (text_queries, retrieval_queries, evaluation_queries, lifecycle_queries, service_queries, engine_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,7 +99,7 @@ QUERIES = {
     "citation_verifiable": (citation_verifiable, "SELECT doc_id % 5 NOT IN (0, 1) AS ok, count(*) AS n FROM documents GROUP BY 1"),
     "latency_quantiles": (latency_quantiles, _QUANT.format("max(value) FILTER (i = c // 2) AS p50, max(value) FILTER (i = ceil(c * 0.95) - 1) AS p95")),
     "load_report": (load_report, _QUANT.format(", ".join(f"max(value) FILTER (i = least(c * {p} // 100, c - 1)) AS p{p}" for p in (50, 90, 99)))),
-    "token_cost_rollup": (token_cost_rollup, "WITH u AS (SELECT ['m-turbo', 'm-plus', 'm-flash', 'other'][event_id % 4 + 1] AS model, event_id % 900 AS p, event_id % 130 AS c FROM events), g AS (SELECT model, count(*) AS calls, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens FROM u GROUP BY model) SELECT *, round(CASE model WHEN 'm-turbo' THEN prompt_tokens / 1000 * 0.0003::DOUBLE + completion_tokens / 1000 * 0.0006::DOUBLE WHEN 'm-flash' THEN prompt_tokens / 1000 * 0.00015::DOUBLE + completion_tokens / 1000 * 0.0015::DOUBLE ELSE prompt_tokens / 1000 * 0.0008::DOUBLE + completion_tokens / 1000 * 0.002::DOUBLE END, 6) AS est_cost FROM g"),
+    "token_cost_rollup": (token_cost_rollup, "WITH u AS (SELECT ['m-turbo', 'm-plus', 'm-flash', 'other'][event_id % 4 + 1] AS model, event_id % 900 AS p, event_id % 130 AS c FROM events), g AS (SELECT model, count(*) AS calls, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens FROM u GROUP BY model) SELECT *, round(CASE model WHEN 'm-turbo' THEN prompt_tokens / 1000 * 0.003::DOUBLE + completion_tokens / 1000 * 0.006::DOUBLE WHEN 'm-flash' THEN prompt_tokens / 1000 * 0.0008::DOUBLE + completion_tokens / 1000 * 0.0027::DOUBLE WHEN 'm-plus' THEN prompt_tokens / 1000 * 0.004::DOUBLE + completion_tokens / 1000 * 0.012::DOUBLE ELSE prompt_tokens / 1000 * 0.01::DOUBLE + completion_tokens / 1000 * 0.03::DOUBLE END, 6) AS est_cost FROM g"),
     "usage_running_diff": (usage_running_diff, "SELECT user_id AS req, event_id AS seq, (sum(event_id % 500) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS total, event_id % 500 AS added FROM events"),
     "slow_events": (slow_events, "SELECT event_type, count(*) AS slow, round(max(value), 6) AS slowest FROM events WHERE value >= CASE event_type WHEN 'purchase' THEN 50 ELSE 80 END GROUP BY event_type"),
     "kb_gap_top": (kb_gap_top, "SELECT 'gap ' || (user_id % 17) AS query, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, query LIMIT 10"),
