@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, gate, ingest, retrieval, sinks, vector
+from tessera.functions.text import tokenize_mixed
+from tessera.operators import bm25, evaluation, gate, ingest, retrieval, sinks, vector
 from tessera.operators.registry import SnapshotTable
 from tessera.operators.service import SLOW
 from tessera.sources import files
@@ -138,14 +139,12 @@ class Engine:
         down = "down" in checks.values()
         return {"status": "ok" if set(checks.values()) == {"up"} else "degraded", "code": 503 if down else 200, "checks": checks}
 
-    def evaluate(self, golden: str, report: str | None = None, k: int = 5) -> tuple[float, float]:
+    def evaluate(self, golden: str, report: str | None = None, k: int = 5, tokenizer: Callable[[Column], Column] = tokenize_mixed) -> tuple[float, float]:
         """recall@k and MRR of the lexical road over the located cases of a golden file."""
-        from tessera.operators import bm25
-
         chunks = self.table().filter("is_valid")
         cases = evaluation.read_golden(self.spark, golden).select(F.col("id").alias("case"), "query", "anchor", "type")
         expected = evaluation.locate(cases, chunks)
-        found = bm25.search(chunks.withColumn("sig", F.lit(0)), cases.select(F.col("case").alias("query_id"), F.lit(0).alias("sig"), F.col("query").alias("question")))
+        found = bm25.search(chunks.withColumn("sig", F.lit(0)), cases.select(F.col("case").alias("query_id"), F.lit(0).alias("sig"), F.col("query").alias("question")), tokenizer=tokenizer)
         metrics = self.scratch.put(evaluation.case_metrics(cases, expected, found.select(F.col("query_id").alias("case"), "chunk", "rank"), k))
         total = evaluation.recall_mrr(metrics)
         if report:
