@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,14 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-#: Empties what a Python worker keeps between tasks; an operator that needs none of it calls release_caches().
-WORKER_CACHES: list[Callable[[], None]] = []
+#: What a Python worker keeps between tasks (functions with an lru_cache); an operator that needs none of it calls release_caches().
+WORKER_CACHES: list[Callable] = []
 
 
 def release_caches() -> None:
-    """Python workers outlive stages: what an earlier operator has cached in one gives way to the present one."""
-    for clear in WORKER_CACHES:
-        clear()
+    """Python workers outlive stages: what an earlier operator has cached in one gives way to the present one, and its memory to the system."""
+    held = [f for f in WORKER_CACHES if f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ from tessera.llm.common import below, doc_text, release_caches, slices, string_b
 
 ORDER, TRAIN_BYTES, LEAST_ROWS, UNDETERMINED = 3, 12_000_000, 16, "und"
 PAD = 10  # a text starts as after line feeds
-PART = 1 << 20
+PART = 1 << 19
 
 
 def fold(doc_id: Column | str, folds: int) -> Column:

@@ -20,7 +20,7 @@ from tessera.llm.common import WORKER_CACHES, SpanHasher, mix64, slices, string_
 
 #: Signs after a Latin letter: always a piece of their own in both vocabularies. Only letters that no normalization changes to more than one; no apostrophes (contractions) and nothing of special strings or separators.
 _TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]([!-&(-;=?@\[-`{}~]+)\Z")
-TABLE_WORDS = 600_000
+TABLE_WORDS = 1_500_000
 SLICE = 1 << 19
 JOINT_CALL = 2000
 SPACE, LINE_FEED = 0x20, 0x0A
@@ -71,14 +71,14 @@ def parts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class WordTable:
-    """Ids by 128-bit hash: rows (hash, hash, place in the pool, ids) in open addressing. Words met again since the last trim survive it."""
+    """Ids by 128-bit hash: rows (hash, hash, place in the pool and number of ids) in open addressing, half of them free. Words met again since the last trim survive it."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
         self._reset(1 << 12)
 
     def _reset(self, size: int) -> None:
-        self.rows, self.used, self.count = np.zeros((size, 4), np.uint64), np.zeros(size, bool), 0
+        self.rows, self.used, self.count = np.zeros((size, 3), np.uint64), np.zeros(size, bool), 0
         self.shift = np.uint64(65 - size.bit_length())
         self.pool, self.filled = np.empty(1 << 14, np.uint32), 0
 
@@ -96,7 +96,15 @@ class WordTable:
             todo = todo[~same & (other[:, 0] != 0)]
         if met:
             self.used[slot[held]] = True
-        return held, row[:, 2].astype(np.int64), row[:, 3].astype(np.int64)
+        return held, *self._unpack(row[:, 2])
+
+    @staticmethod
+    def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    @staticmethod
+    def _pack(place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return place.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
 
     def add(self, h: np.ndarray, c: np.ndarray, ids: list[bytes]) -> None:
         """Different words that aren't held."""
@@ -105,7 +113,7 @@ class WordTable:
             self._keep(at, self.used[at], 1 << (2 * (self.count + len(h))).bit_length())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         place = self._pour(np.frombuffer(b"".join(ids), "<u4")) + np.cumsum(size) - size
-        self._put(np.column_stack([h, c, place.astype(np.uint64), size.astype(np.uint64)]), np.zeros(len(h), bool))
+        self._put(np.column_stack([h, c, self._pack(place, size)]), np.zeros(len(h), bool))
 
     def _pour(self, ids: np.ndarray) -> int:
         at, self.filled = self.filled, self.filled + len(ids)
@@ -131,8 +139,8 @@ class WordTable:
         """Only the words in these slots, in a table of that size."""
         rows, pool = self.rows[at], self.pool
         self._reset(size)
-        n, place = rows[:, 3].astype(np.int64), rows[:, 2].astype(np.int64)
-        rows[:, 2] = (self._pour(pool[spread(place, n)]) + np.cumsum(n) - n).astype(np.uint64)
+        place, n = self._unpack(rows[:, 2])
+        rows[:, 2] = self._pack(self._pour(pool[spread(place, n)]) + np.cumsum(n) - n, n)
         self._put(rows, used)
 
     def trim(self) -> None:
@@ -140,7 +148,7 @@ class WordTable:
         if self.count <= self.limit and self.filled <= 16 * self.limit:
             return
         at = np.flatnonzero((self.rows[:, 0] != 0) & self.used)
-        few = at[self.rows[at, 3] <= 64][: self.limit // 2]
+        few = at[self._unpack(self.rows[at, 2])[1] <= 64][: self.limit // 2]
         self._keep(few, np.zeros(len(few), bool), len(self.rows))
 
 
@@ -307,4 +315,4 @@ def encoder(name_or_path: str, separator: str) -> WordCacheEncoder:
     return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator)
 
 
-WORKER_CACHES.append(encoder.cache_clear)
+WORKER_CACHES.append(encoder)
