@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 from tessera.llm.components import connected_components
 
-WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 4, 64, 32, 0.65, 256, 1024, 2_000_000
+WORDS, PERMUTATIONS, BANDS, ESTIMATE, SALT_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 4, 64, 32, 0.65, 256, 256, 2_000_000
 SIMILARITY = (80, 100)
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 

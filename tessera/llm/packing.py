@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tessera.llm.common import doc_text, materialize, string_buffers
-from tessera.llm.tokenization import encoder, spread
+from tessera.llm.tokenization import TABLE_WORDS, encoder, spread
 
 VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS = "byte_bpe_50k.json", "\n", 0, 2048
 
 
-def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = VOCABULARY, separator: str = SEPARATOR, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = VOCABULARY, separator: str = SEPARATOR, end_id: int = END_ID, words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; only documents over max_tokens are cut, the first piece takes what is over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, separator)
+        enc = encoder(vocabulary, separator, words)
         for batch in batches:
             data, off = string_buffers(batch.column(1))
             for i, j, border, ids in enc.rows_with_end(data, off, end_id):
@@ -84,10 +84,10 @@ def plan_bins(counts: dict[int, int], max_tokens: int, max_docs: int | None = No
     return out
 
 
-def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Pieces of docs with sequence_id and offset. Capacities that are None don't bind."""
+def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0), words: int = TABLE_WORDS) -> DataFrame:
+    """Pieces of docs with sequence_id and offset. Capacities that are None don't bind. words: size of each worker's word table."""
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, max_tokens).withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())))  # written: every later plan sees the same deal
+    pieces = materialize(cut_pieces(docs, max_tokens, words=words).withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())))  # written: every later plan sees the same deal
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     plan = plan_bins(counts, max_tokens, max_docs, max_cost, rule, weights)
     plan_df = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _first long, offset long")

@@ -310,9 +310,9 @@ class WordCacheEncoder:
 
 
 @functools.lru_cache(4)
-def encoder(name_or_path: str, separator: str) -> WordCacheEncoder:
+def encoder(name_or_path: str, separator: str, words: int = TABLE_WORDS) -> WordCacheEncoder:
     """One for each vocabulary and Python worker, so that later tasks find the words of earlier ones."""
-    return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator)
+    return WordCacheEncoder(name_or_path if os.sep in name_or_path else vocabulary_path(name_or_path), separator, words)
 
 
 WORKER_CACHES.append(encoder)
