@@ -20,6 +20,8 @@ from tessera.llm.common import keyed_rows, materialize
 MAX_BITS = 7.0
 #: Words of a shingle in near-duplicates.
 SHINGLE_WORDS = 5
+#: Words in each worker's table of token ids: less than packing alone takes, as executors' memory has grown in the stages before.
+TABLE_WORDS = 300_000
 
 
 def _without(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, words=TABLE_WORDS)
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", benchmark_passages), ("packing", packed)]
