@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, decontamination, language_id, line_dedup, minmax_dedup, packing, ranked_search, spelling_variants, suffix_dedup, token_counts, token_files, toxicity
+from tessera.llm import ann, decontamination, jaccard_join, language_id, line_dedup, minmax_dedup, packing, ranked_search, spelling_variants, suffix_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minmax_near_dedup": minmax_dedup.op9_minmax_near_dedup,
         "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
         "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+        "op12_jaccard_join": jaccard_join.op12_jaccard_join,
         "op13_windowed_search": ranked_search.op13_windowed_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.OP6_SQL, "op10_benchmark_decontamination": decontamination.OP10_SQL, "op11_spelling_variants": spelling_variants.OP11_SQL, "op13_windowed_search": ranked_search.OP13_SQL}
+    return {"op6_line_dedup": line_dedup.OP6_SQL, "op10_benchmark_decontamination": decontamination.OP10_SQL, "op11_spelling_variants": spelling_variants.OP11_SQL, "op12_jaccard_join": jaccard_join.OP12_SQL, "op13_windowed_search": ranked_search.OP13_SQL}
