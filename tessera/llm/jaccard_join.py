@@ -33,13 +33,13 @@ from pyspark.sql import window as W
 
 from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
 from tessera.llm.components import connected_components
-from tessera.llm.minmax_dedup import distinct, shingles
+from tessera.llm.minmax_dedup import _repeats, distinct, shingles
 
 WORDS, SIMILARITY = 4, (85, 100)
-ROUNDS, CENTERS, PART_MEMBERS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES = 2, 8, 1024, 2_000_000, 512, 2_000_000
+ROUNDS, CENTERS, PART_MEMBERS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, RANGE_POSTINGS = 2, 8, 1024, 2_000_000, 512, 2_000_000, 2_000_000
 #: Weight of a binary probe against a merge step in DivideSkip's rule for the number of long lists.
 PROBE = 0.0085
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, prefix array<long>"
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, prefix binary"
 
 
 def required(m: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -69,7 +69,8 @@ def sketch(docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
                 size = np.where(m > 0, m - required(m, similarity) + least_common(m), 0)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 taken = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], size)
-                prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[taken].view(np.int64)))
+                low = s[taken]
+                prefix = pa.array([low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(m), pa.array(fp[0]), pa.array(fp[1]), prefix], ["doc_id", "n_shingles", "fp1", "fp2", "prefix"])
 
     return doc_text(docs).mapInArrow(run, SKETCH)
@@ -196,48 +197,145 @@ def _with(index: OccurrenceIndex | None, members: list[tuple], similarity: tuple
 
 
 def search_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that join components among members (key, doc_id, label, n_shingles) of one key, by pairs of blocks of bounded size."""
-    blocks = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    dealt = members.join(blocks, "key").withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).join(sets, "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    spread = dealt.select("*", other).select("key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "doc_id", "label", "shingles")
+    """Links (a, b) that join components among members (key, doc_id, label, n_shingles) of one key, by blocks of bounded size.
+
+    Members are at home in the band of their size and guests in the next one, as linked sets differ by one band at most. A task has one block of a band's homes as index; its queries are the
+    same block, another one of homes, or one of guests."""
+    band = F.floor(F.log("n_shingles") / math.log(similarity[1] / similarity[0])).cast("int")
+    homes = members.select("key", band.alias("_band"), F.lit(False).alias("_guest"), "doc_id", "label", "n_shingles")
+    placed = homes.unionByName(homes.withColumns({"_band": F.col("_band") + 1, "_guest": F.lit(True)}))
+
+    def blocks(guest: bool) -> Column:
+        some = F.col("_guest") == F.lit(guest)
+        return F.greatest(F.ceil(F.count_if(some) / BLOCK_MEMBERS), F.ceil(F.coalesce(F.sum(F.when(some, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    sizes = placed.groupBy("key", "_band").agg(F.count("*").alias("_n"), blocks(False).alias("_homes"), blocks(True).alias("_guests")).filter("_homes > 0 AND _n > 1").drop("_n")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("_guest"), F.col("_guests")).otherwise(F.col("_homes"))).cast("int")
+    dealt = placed.join(sizes, ["key", "_band"]).withColumn("_own", own)
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("_guest"), F.col("_homes")).otherwise(F.col("_homes") + F.col("_guests")) - 1)))
+    asked = F.col("_guest") | (F.col("_other") < F.col("_own"))  # of a pair of blocks the first is the index
+    i = F.when(asked, F.col("_other")).otherwise(F.col("_own"))
+    j = F.when(F.col("_guest"), F.col("_homes") + F.col("_own")).when(asked, F.col("_own")).otherwise(F.col("_other"))
+    spread = met.select("key", "_band", i.alias("_i"), j.alias("_j"), asked.alias("_asked"), "doc_id", "label").join(sets, "doc_id")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending")])
-        low, high = group["_i"][0].as_py(), group["_j"][0].as_py()
-        rows = list(zip(*(group[c].to_pylist() for c in ("doc_id", "label", "_mine", "shingles")), strict=True))
-        left = [(d, x, _hashes(s)) for d, x, mine, s in rows if mine == low]
-        index = _with(None, left, similarity)
+        rows = list(zip(*(group[c].to_pylist() for c in ("doc_id", "label", "_asked", "shingles")), strict=True))
+        held = [(d, x, _hashes(s)) for d, x, asked, s in rows if not asked]
         a: list[int] = []
         b: list[int] = []
-        for doc, label, mine, data in rows:
-            if mine == high:
-                found = index.link(label, _hashes(data))
-                a += found
-                b += [doc] * len(found)
+        if held:
+            index, same = _with(None, held, similarity), group["_i"][0].as_py() == group["_j"][0].as_py()
+            for doc, label, asked, data in rows:
+                if asked or same:
+                    found = index.link(label, _hashes(data))
+                    a += found
+                    b += [doc] * len(found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("key", "_band", "_i", "_j").applyInArrow(run, "a long, b long")
+
+
+def _deal(keys: np.ndarray, ranges: int, *values: np.ndarray) -> pa.RecordBatch:
+    """range, part: keys (sorted) with their values, as bytes of int64 rows by ranges of the hash."""
+    r = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cut = np.flatnonzero(np.diff(r, prepend=r[0] - np.uint64(1))) if len(r) else np.empty(0, np.int64)
+    rows = np.column_stack([keys.view(np.int64), *values])
+    return pa.RecordBatch.from_arrays([pa.array(r[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(r)], strict=True)], pa.binary())], ["range", "part"])
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents and labels of a batch (doc_id, label, keys as bytes), sorted by key."""
+    sets = [_hashes(x) for x in batch.column(2).to_pylist()]
+    size = [len(x) for x in sets]
+    keys = np.concatenate([*sets, np.empty(0, np.uint64)])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.repeat(batch.column(0).to_numpy(), size)[order], np.repeat(batch.column(1).to_numpy(), size)[order]
 
 
-def _need(m: Column, similarity: tuple[int, int]) -> Column:
-    """l(T(m)): shared prefix keys of a set of m that any link needs."""
-    t = F.ceil(m * similarity[0] / similarity[1])
-    return 1 + F.floor(t / 20)
+def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the least and greatest label and the number of documents of each."""
+    if not len(keys):
+        return keys, low, high, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.diff(keys, prepend=keys[0] - np.uint64(1)))
+    return keys[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.add.reduceat(n[order], at)
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """key, doc_id, n_shingles, label for prefix keys that several components hold; members have a prefix."""
-    rows = members.select(F.explode("prefix").alias("key"), "doc_id", "n_shingles", "label").repartition("key")
-    several = rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("key")
-    return rows.join(several, "key")
+def shared_keys(members: DataFrame, ranges: int) -> DataFrame:
+    """range, part (key and its number of documents, sorted), postings: the keys of members (doc_id, label, keys) that several components hold.
 
+    Tasks combine their own postings of a key first, so a key that very many documents hold is a row from each; what a range holds is its distinct keys.
+    Most keys are held once in a task and go with a label alone."""
 
-def _searchable(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Members (doc_id, n_shingles, label, prefix) that may have links to other components, with a key to meet by for each round."""
-    keys = [F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("k"))).alias(f"_meet{r}") for r in range(ROUNDS)]
-    held = _shared(members).groupBy("doc_id").agg(F.count("*").alias("_keys"), *keys)
-    return members.join(held, "doc_id").filter(F.col("_keys") >= _need(F.col("n_shingles"), similarity))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _, label = _flat(batch)
+            keys, low, high, n = _combined(keys, label, label, np.ones(len(keys), np.int64))
+            one = n == 1
+            for wide, part in ((False, _deal(keys[one], ranges, low[one])), (True, _deal(keys[~one], ranges, low[~one], high[~one], n[~one]))):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, wide))], ["range", "part", "wide"])
+
+    def several(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, size = (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3), [], 0
+
+        def merge() -> tuple[np.ndarray, ...]:
+            rows = np.concatenate([np.column_stack([held[0].view(np.int64), *held[1:]]), *more])
+            return _combined(rows[:, 0].copy().view(np.uint64), *(rows[:, i] for i in (1, 2, 3)))
+
+        for batch in parts:
+            for part, wide in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "wide")), strict=True):
+                rows = np.frombuffer(part, np.int64).reshape(-1, 4 if wide else 2)
+                more.append(rows if wide else np.column_stack([rows, rows[:, 1], np.ones(len(rows), np.int64)]))
+                size += len(rows)
+            if size > max(1_000_000, len(held[0])):
+                held, more, size = merge(), [], 0
+        keys, low, high, n = merge()
+        some = low < high
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.column_stack([keys[some].view(np.int64), n[some]]).tobytes()], pa.binary()), pa.array([int(n.sum())])], ["range", "part", "postings"])
+
+    dealt = members.select("doc_id", "label", "keys").mapInArrow(count, "range int, part binary, wide boolean")
+    return dealt.groupBy("range").applyInArrow(several, "range int, part binary, postings long")
+
+
+def shared_postings(members: DataFrame) -> DataFrame:
+    """doc_id, key, df: the keys of members (doc_id, label, keys) that several components hold, and how many documents do.
+
+    Postings stream past the shared keys of their range; a range with more postings than others is dealt to several tasks, each with the range's keys."""
+    spark = members.sparkSession
+    total = members.agg(F.sum(F.length("keys"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * RANGE_POSTINGS)))
+    known = materialize(shared_keys(members, ranges))
+    salts = F.ceil(F.col("postings") / (2 * -(-total // (8 * ranges)) + 1)).cast("int")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, doc, _ = _flat(batch)
+            yield _deal(keys, ranges, doc)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = n = np.empty(0, np.int64)
+        for batch in batches:
+            out = []
+            for kind, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = np.frombuffer(part, np.int64).reshape(-1, 2)
+                if kind == 0:
+                    keys, n = rows[:, 0].copy().view(np.uint64), rows[:, 1]
+                elif len(keys):
+                    mine = rows[:, 0].copy().view(np.uint64)
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    hit = keys[at] == mine
+                    out.append(np.column_stack([rows[hit, 1], rows[hit, 0], n[at[hit]]]))
+            all_rows = np.concatenate([*out, np.empty((0, 3), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(all_rows[:, i].copy()) for i in range(3)], ["doc_id", "key", "df"])
+
+    some = known.filter(F.length("part") > 0).select("range", salts.alias("_salts"), "part")
+    lists = some.select("range", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), "part")
+    posts = members.select("doc_id", "label", "keys").mapInArrow(post, "range int, part binary").join(some.select("range", "_salts"), "range")
+    posts = posts.select("range", F.pmod(F.xxhash64("part"), F.col("_salts")).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "part")
+    dealt = lists.unionByName(posts).repartition("range", "_salt").sortWithinPartitions("range", "_salt", "_kind")
+    return dealt.select("_kind", "part").mapInArrow(meet, "doc_id long, key long, df long")
 
 
 def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -246,14 +344,26 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
     sketches = materialize(sketch(docs, k, similarity))
     some = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = materialize(_searchable(reps.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), "prefix"), similarity))
-    one = texts.join(members.select("doc_id"), "doc_id", "left_semi")
-    sets = materialize(whole_sets(one, k).dropDuplicates(["doc_id"]))
-    links, labels = None, None
+    repeated = _repeats(sketches)  # then a doc_id is searched by one of its rows' sets
+    once = (lambda rows: rows.dropDuplicates(["doc_id"])) if repeated else (lambda rows: rows)
+    reps = once(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    least = F.ceil(F.col("n_shingles") * similarity[0] / similarity[1])
+
+    def searchable(rows: DataFrame, need: Column, *more: Column) -> DataFrame:
+        """Rows (doc_id, n_shingles, label, keys) that hold as many shared keys as a link needs; `more` is found of these."""
+        held = shared_postings(rows).groupBy("doc_id").agg(F.count("*").alias("_held"), *more)
+        sizes = rows.select("doc_id", "n_shingles")
+        some = materialize(sizes.join(held, "doc_id").filter(F.col("_held") >= need).drop("_held", "n_shingles"))
+        return rows.join(some, "doc_id")
+
+    meet = [F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("k"))).alias(f"_meet{r}") for r in range(ROUNDS)]
+    first = materialize(reps.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.col("prefix").alias("keys")))
+    members = searchable(first, 1 + F.floor(least / 20), *meet).drop("keys")
+    sets = materialize(once(whole_sets(texts.join(members.select("doc_id"), "doc_id", "left_semi"), k)))
+    links = None
 
     def relabelled(rows: DataFrame) -> DataFrame:
-        new = labels.select(F.col("v").alias("doc_id"), F.col("label").alias("_label"))
+        new = connected_components(links).select(F.col("v").alias("doc_id"), F.col("label").alias("_label"))
         return rows.join(new, "doc_id", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
 
     for r in range(ROUNDS):
@@ -261,17 +371,20 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
         meetings = members.select(F.xxhash64(F.col(f"_meet{r}.k"), size).alias("meeting"), "doc_id", "label", "n_shingles")
         found = materialize(search_centers(meetings, sets, similarity))
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        kept = relabelled(members.select("doc_id", "n_shingles", "label", "prefix"))
-        members = materialize(_searchable(kept, similarity))
-        if members.isEmpty():
-            break
-    else:
-        shared = materialize(_shared(members.select("doc_id", "n_shingles", "label", "prefix")).select("key", "doc_id"))
-        joint = connected_components(shared.groupBy("key").agg(F.min("doc_id").alias("a")).join(shared, "key").select("a", F.col("doc_id").alias("b")))
-        grouped = members.select("doc_id", "label", "n_shingles").join(joint.select(F.col("v").alias("doc_id"), F.col("label").alias("key")), "doc_id")
+        members = materialize(relabelled(members))
+    whole = members.join(sets, "doc_id").select("doc_id", "n_shingles", "label", F.col("shingles").alias("keys"))
+    for _ in range(ROUNDS):  # members that go take shared keys with them
+        whole = materialize(searchable(whole, least))
+    if not whole.isEmpty():
+        # of its shared keys, rarest first, a member and whatever it is linked to have one in common among all but need - 1
+        held = shared_postings(whole).join(whole.select("doc_id", least.alias("_need")), "doc_id")
+        mine = W.Window.partitionBy("doc_id")
+        ranked = held.withColumns({"_place": F.row_number().over(mine.orderBy("df", "key")), "_held": F.count("*").over(mine)})
+        rare = materialize(ranked.filter(F.col("_place") <= F.col("_held") - F.col("_need") + 1).select("key", "doc_id"))
+        joint = connected_components(rare.groupBy("key").agg(F.min("doc_id").alias("a")).join(rare, "key").select("a", F.col("doc_id").alias("b")))
+        grouped = whole.select("doc_id", "label", "n_shingles").join(joint.select(F.col("v").alias("doc_id"), F.col("label").alias("key")), "doc_id")
         links = links.unionByName(materialize(search_blocks(grouped, sets, similarity)))
-        labels = connected_components(links)
+    labels = connected_components(links)
     named = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("_n"), F.coalesce("label", "rep").alias("_label"))
     same = (sketches["fp1"] == named["fp1"]) & (sketches["fp2"] == named["fp2"]) & (sketches["n_shingles"] == named["_n"]) & sketches["doc_id"].isNotNull()
     out = sketches.drop("prefix").join(named, same, "left")
