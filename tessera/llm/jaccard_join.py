@@ -240,8 +240,9 @@ def _deal(keys: np.ndarray, ranges: int, *values: np.ndarray) -> pa.RecordBatch:
     """range, part: keys (sorted) with their values, as bytes of int64 rows by ranges of the hash."""
     r = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     cut = np.flatnonzero(np.diff(r, prepend=r[0] - np.uint64(1))) if len(r) else np.empty(0, np.int64)
+    ends = np.append(cut[1:], len(r))[: len(cut)]
     rows = np.column_stack([keys.view(np.int64), *values])
-    return pa.RecordBatch.from_arrays([pa.array(r[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(r)], strict=True)], pa.binary())], ["range", "part"])
+    return pa.RecordBatch.from_arrays([pa.array(r[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], ["range", "part"])
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
