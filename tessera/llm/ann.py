@@ -1,25 +1,29 @@
 """Operator 8, nearest neighbours by collision counting over single-projection sorted arrays with virtual rehashing.
 
-Largest inner product is turned to smallest distance: vectors get one more component, the root of (largest squared norm - squared norm),
-and queries are scaled to that norm with 0 there. Directions are random orthonormal bases, whose counts vary less than those of independent ones.
+Largest inner product is turned to smallest distance: vectors get one more component, the root of (R^2 - squared length), and queries are scaled to length R with 0 there, so that a
+product t with the query of length 1 is the squared distance 2 R (R - t). Vectors are dealt to blocks by length, in bands of BANDS to a doubling, so that R is each block's own and an outlying length widens
+no window but its band's; a band too short for t is not met. A block works on vectors scaled by a power of two, so squares neither overflow nor vanish.
 
-A block of vectors keeps its projections on each direction sorted. A query opens a window around its own projection in every
-array; a vector whose collisions (arrays in whose window it lies) reach the threshold is verified by its exact inner product.
+A block keeps its projections on each direction sorted; directions are random orthonormal bases, whose counts vary less than those of independent ones. A query opens a window around
+its point in every array; a vector whose collisions (arrays in whose window it lies) reach the threshold is verified by its exact inner product.
 Window ends are places in a sorted array, moved outwards to the next of GRID marks, so a window is the difference of two stored bit sets, and
 collisions of all vectors of a block are summed by bit-sliced adders: some machine words for 64 vectors and an array.
 
-Radii. On a bounded sample (SAMPLE vectors, broadcast) windows are widened and narrowed until k + EXTRA vectors, or at most twice as many, collide often enough; the k-th best
-of those verified bounds the k-th distance of the query. Blocks are then searched with windows of WINDOW times that bound. The threshold is the
-collision count that all but MISS of the vectors at just that distance reach, found once from random directions, so recall doesn't hang on the
-table's size. Rounds cover GROWTH times as many vectors as the one before and tighten the bounds for the next: the vectors verified in a round
-stay in proportion to k, however large the table is.
+Threshold: first the collision count that all but MISS of the vectors at just that distance reach, found once from random directions. Neighbours of a query may all lie in one
+direction, and then miss together: so each query lowers its own to MARGIN below the fewest collisions of the k best it has found, and searches the counts again,
+until they are found to lie above it. A query with fewer than k lowers it all the way.
+
+Radii. On a bounded sample (SAMPLE vectors, scaled to length 1, broadcast) windows are widened and narrowed until k + EXTRA vectors, or at most twice as many, collide often enough; the k-th best
+of those verified is the first t of the query, and they are answers until better ones are found, so no query ends with fewer. Rounds cover GROWTH times as many vectors as the one before and
+raise t for the next: the vectors verified in a round stay in proportion to k, however large the table is.
 
 Equal vectors are one class with its least vec_ids, as many as can be answers, limited in each task before the shuffle; a vector that a third of all rows
-share is no hot key. All classes are indexed, in blocks of about BLOCK by hash of the vector; the stated query set meets every block, in blocks of its own.
+share is no hot key. All classes are indexed, in blocks of about BLOCK by length and hash of the vector; the stated query set meets every block, in blocks of its own.
 
-Defined cases: null, zero and non-finite vectors, those with null components, null vec_ids and vectors whose length isn't the commonest one take no
-part; a vec_id is a query once (by its least vector), and its rows are never its own candidates; other repeated rows are candidates of their own; ties go to the smaller vec_id;
-fewer candidates than k give as many rows; an empty table gives no rows; columns besides vec_id and embedding are ignored; there are no texts.
+Defined cases: null, zero and non-finite vectors, those with null components, null vec_ids and vectors whose number of components isn't the commonest one take no
+part; finite vectors of any length do, scores beyond the doubles are infinite and tie, those without a value (infinity less infinity) come last; a vec_id is a query once (by its least vector), and its rows are never its own candidates;
+other repeated rows are candidates of their own; ties go to the smaller vec_id; fewer candidates than k give as many rows; an empty table gives no rows; columns besides vec_id and embedding
+are ignored; there are no texts.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ from pyspark.sql import window as W
 from tessera.llm.common import materialize
 
 BLOCK, QUERY_BLOCK, PROJECTIONS, GRID, SAMPLE, GROWTH, SEED = 4096, 4096, 128, 64, 4096, 16, 5
-WINDOW, WIDENINGS, MISS, EXTRA = 1.4, 8, 0.1, 20
+WINDOW, WIDENINGS, MISS, EXTRA, MARGIN, BANDS = 1.4, 8, 0.1, 20, 2, 4
 WORDS_IN_STEP = 1 << 15
-HITS = "query_id long, vec_id long, score double"
+HITS = "query_id long, vec_id long, class long, copy long, score double"
 
 
 def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
@@ -55,17 +59,18 @@ def threshold(bases: np.ndarray, window: float = WINDOW, miss: float = MISS) ->
 
 
 class CollisionIndex:
-    """Sorted projections of one block, and for each array the bit sets of the vectors before each mark."""
-
-    def __init__(self, vectors: np.ndarray, largest: float) -> None:
-        self.vectors, self.largest = vectors, largest
-        extra = np.sqrt(np.maximum(0.0, largest - (vectors**2).sum(1)))
-        self.bases = directions(vectors.shape[1] + 1)
-        self.need = threshold(self.bases)
-        points = np.hstack([vectors, extra[:, None]]) @ self.bases
-        n, m = points.shape
-        order = np.argsort(points, axis=0, kind="stable").T
-        self.sorted = np.ascontiguousarray(np.take_along_axis(points.T, order, 1))
+    """Sorted projections of points, and for each array the bit sets of the points before each mark."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        squares = (points**2).sum(1)
+        self.length = math.sqrt(float(squares.max()))
+        bases = directions(points.shape[1] + 1)
+        self.bases, self.need = bases[:-1], threshold(bases)
+        placed = np.hstack([points, np.sqrt(np.maximum(0.0, squares.max() - squares))[:, None]]) @ bases
+        n, m = placed.shape
+        self.points = n
+        order = np.argsort(placed, axis=0, kind="stable").T
+        self.sorted = np.ascontiguousarray(np.take_along_axis(placed.T, order, 1))
         self.step = -(-n // GRID)
         words = -(-n // 64)
         cell = np.arange(n) // self.step + 1
@@ -77,23 +82,9 @@ class CollisionIndex:
             np.bitwise_or.accumulate(bits, axis=0, out=self.before[j])
             flags[cell, order[j]] = 0
 
-    def scaled(self, queries: np.ndarray) -> np.ndarray:
-        return queries * (math.sqrt(self.largest) / np.sqrt((queries**2).sum(1, keepdims=True)))
-
-    def distances(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Distance, for the scaled queries, of vectors with these inner products with the queries themselves."""
-        s = scores * (math.sqrt(self.largest) / np.sqrt((queries**2).sum(1)))
-        return np.sqrt(np.maximum(0.0, 2 * self.largest - 2 * s))
-
-    def windows(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marks (arrays x queries) around projections `at` (queries x arrays)."""
-        half = WINDOW * radius + 1e-9 * math.sqrt(self.largest)
-        low = np.array([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at.T, strict=True)])
-        high = np.array([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at.T, strict=True)])
-        return low // self.step, -(-high // self.step)
-
-    def colliding(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Bit sets (queries x words) of the vectors that lie in at least `need` windows."""
+    def counts(self, centers: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """Collisions of all points with each query (center, radius), as bit planes (queries x words), lowest first."""
+        at, half = centers @ self.bases, WINDOW * radius + 1e-9 * self.length
         levels: list[list[np.ndarray]] = []
 
         def add(level: int, x: np.ndarray) -> None:
@@ -110,10 +101,9 @@ class CollisionIndex:
                 levels[level] = [a]
                 add(level + 1, both)
 
-        for sets, a, b in zip(self.before, low, high, strict=True):
-            x = sets[b]
-            x ^= sets[a]
-            add(0, x)
+        for s, sets, x in zip(self.sorted, self.before, at.T, strict=True):
+            low, high = np.searchsorted(s, x - half, "left") // self.step, -(-np.searchsorted(s, x + half, "right") // self.step)
+            add(0, sets[high] ^ sets[low])
         level = 0
         while level < len(levels):
             if len(levels[level]) == 2:
@@ -121,49 +111,45 @@ class CollisionIndex:
                 levels[level] = [a ^ b]
                 add(level + 1, a & b)
             level += 1
-        over, equal = np.zeros_like(levels[0][0]), np.full_like(levels[0][0], np.uint64(0xFFFFFFFFFFFFFFFF))
-        if self.need >> len(levels):
-            return over
-        for level in range(len(levels) - 1, -1, -1):
-            if self.need >> level & 1:
-                equal &= levels[level][0]
-            else:
-                over |= equal & levels[level][0]
-                equal &= ~levels[level][0]
-        return over | equal
-
-    def _steps(self, n: int) -> range:
+        return [x[0] for x in levels]
+
+    def reaching(self, planes: list[np.ndarray], need: np.ndarray) -> list[np.ndarray]:
+        """For each query the points that collide `need` times at least."""
+        equal = np.full_like(planes[0], np.uint64(0xFFFFFFFFFFFFFFFF))
+        equal[need >> len(planes) > 0] = 0
+        over = np.zeros_like(equal)
+        for level in range(len(planes) - 1, -1, -1):
+            wanted = np.where(need >> level & 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
+            over |= equal & planes[level] & ~wanted
+            equal &= ~(planes[level] ^ wanted)
+        bits = np.unpackbits((over | equal).view(np.uint8), axis=1, count=self.points, bitorder="little")
+        row, col = np.nonzero(bits)
+        return np.split(col, np.searchsorted(row, np.arange(1, len(bits))))
+
+    @staticmethod
+    def collisions(planes: list[np.ndarray], query: int, points: np.ndarray) -> np.ndarray:
+        return sum((x[query, points >> 6] >> (points & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << level for level, x in enumerate(planes))
+
+    def steps(self, n: int) -> range:
         return range(0, n, max(1, WORDS_IN_STEP // self.before.shape[2]))
 
-    def search(self, queries: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
-        """For each query the rows to verify with a radius each."""
-        at, out, n = self.scaled(queries) @ self.bases[:-1], [], len(self.vectors)
-        for i in (steps := self._steps(len(queries))):
-            some = slice(i, i + steps.step)
-            sets = self.colliding(*self.windows(at[some], radius[some]))
-            bits = np.unpackbits(sets.view(np.uint8), axis=1, count=n, bitorder="little")
-            row, col = np.nonzero(bits)
-            out += np.split(col, np.searchsorted(row, np.arange(1, len(bits))))
-        return out
-
-    def widen(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
-        """For each query the rows to verify in the narrowest windows met in which `enough` vectors collide; all where no window holds so many.
+    def widen(self, centers: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query the points to verify in the narrowest windows met in which `enough` collide; all where no window holds so many.
 
         Windows are widened and narrowed in turn, each time by half of what is open of the radius's logarithm, until at most twice as many collide.
         """
-        at, n = self.scaled(queries) @ self.bases[:-1], len(self.vectors)
-        out, left = [np.arange(n)] * len(queries), np.arange(len(queries))
-        log = np.log(2 * math.sqrt(self.largest))
-        low, high = np.full(len(queries), log - WIDENINGS * math.log(2)), np.full(len(queries), log)
+        out, left = [np.arange(self.points)] * len(centers), np.arange(len(centers))
+        log = np.log(2 * self.length)
+        low, high = np.full(len(centers), log - WIDENINGS * math.log(2)), np.full(len(centers), log)
         for _ in range(WIDENINGS):
             middle = (low + high) / 2
             done = np.zeros(len(left), bool)
-            for i in (steps := self._steps(len(left))):
+            for i in (steps := self.steps(len(left))):
                 some = left[i : i + steps.step]
-                bits = np.unpackbits(self.colliding(*self.windows(at[some], np.exp(middle[some]))).view(np.uint8), axis=1, count=n, bitorder="little")
-                size = bits.sum(1, dtype=np.int64)
+                found = self.reaching(self.counts(centers[some], np.exp(middle[some])), np.full(len(some), self.need))
+                size = np.array([len(x) for x in found])
                 for k in np.flatnonzero(size >= enough).tolist():
-                    out[some[k]] = np.flatnonzero(bits[k])
+                    out[some[k]] = found[k]
                 done[i : i + len(some)] = (size >= enough) & (size <= 2 * enough)
                 low[some], high[some] = np.where(size < enough, middle[some], low[some]), np.where(size < enough, high[some], middle[some])
             left = left[~done]
@@ -195,98 +181,172 @@ def _classes(base: DataFrame, once: bool, k: int) -> DataFrame:
     return base.withColumn("_n", place).filter(F.col("_n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _best(ids: list[np.ndarray], vectors: np.ndarray, rows: np.ndarray, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and exact scores of the k best of these classes, none far below floor."""
-    near = vectors[rows]
-    rough = near @ query
-    slack = 1e-9 * max(1.0, float(np.abs(rough).max(initial=0.0)))
-    if len(rows) > k + 1:  # a class beside the query's own gives a row at least; all that may tie with the last go on to the exact sum
-        floor = max(floor, np.partition(rough, len(rows) - k - 1)[len(rows) - k - 1])
-    some = np.flatnonzero(rough >= floor - slack)
-    if not len(some):
-        return np.empty(0, np.int64), np.empty(0)
-    rows, score = rows[some], (near[some] * query).sum(1)
-    sizes = [len(ids[r]) for r in rows.tolist()]
-    vec, score = np.concatenate([ids[r] for r in rows.tolist()]), np.repeat(score, sizes)
-    other = vec != query_id
-    vec, score = vec[other], score[other]
-    best = np.lexsort((vec, -score))[:k]
-    return vec[best], score[best]
-
-
-def _bounds(asked: DataFrame, classes: DataFrame, n: int, largest: float, k: int) -> DataFrame:
-    """asked with `bound`, the k-th best score among vectors of the sample that collide first; -inf where it has fewer."""
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors by powers of two that bring their largest component to 1/2 to 1, and the exponents."""
+    exponent = np.frexp(np.abs(vectors).max(1))[1]
+    return np.ldexp(vectors, -exponent[:, None]), exponent
+
+
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length 1, and the logarithms (base 2) of their lengths."""
+    small, exponent = _scaled(vectors)
+    length = np.sqrt((small**2).sum(1))
+    return small / length[:, None], np.log2(length) + exponent
+
+
+class Block:
+    """Classes (ids, vectors) of one block with what a search needs of them."""
+
+    def __init__(self, keys: np.ndarray, ids: list[np.ndarray], vectors: np.ndarray, k: int, unit: bool = False) -> None:
+        self.keys, self.ids, self.vectors, self.k = keys, ids, vectors, k
+        self.exponent = int(np.frexp(np.abs(vectors).max())[1])
+        self.points = _units(vectors)[0] if unit else np.ldexp(vectors, -self.exponent)
+        self.index = CollisionIndex(self.points)
+
+    def rows(self, classes: np.ndarray, score: np.ndarray, query_id: int) -> tuple[np.ndarray, ...]:
+        """vec_id, class, copy (the place among a class's equal vec_ids), score and index of the k best rows of these classes, but for the query's own."""
+        ids = [self.ids[c] for c in classes.tolist()]
+        sizes = [len(x) for x in ids]
+        vec = np.concatenate([*ids, np.empty(0, np.int64)])
+        copy = np.concatenate([*(np.arange(len(x)) - np.searchsorted(x, x) for x in ids), np.empty(0, np.int64)]) if len(vec) > len(ids) else np.zeros(len(vec), np.int64)
+        score, at = np.repeat(score, sizes), np.repeat(classes, sizes)
+        order = np.lexsort((vec, -score))
+        order = order[vec[order] != query_id][: self.k]
+        return vec[order], self.keys[at[order]], copy[order], score[order], at[order]
+
+    def exact(self, classes: np.ndarray, query: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return (self.vectors[classes] * query).sum(1)
+
+    def best(self, classes: np.ndarray, query: np.ndarray, unit: np.ndarray, query_id: int, floor: float = -np.inf) -> tuple[np.ndarray, ...]:
+        """The k best rows of these classes; floor: a product with the unit query that none needs to fall short of."""
+        rough = self.points[classes] @ unit
+        if len(classes) > self.k + 1:  # a class beside the query's own gives a row at least; all that may tie with the last go on to the exact sum
+            floor = max(floor, np.partition(rough, len(classes) - self.k - 1)[len(classes) - self.k - 1])
+        some = classes[rough >= floor - 1e-9 * self.index.length]
+        score = self.exact(some, query)
+        if not np.isfinite(score).all():  # beyond the doubles products that differ may tie
+            some = classes
+            score = self.exact(some, query)
+        return self.rows(some, score, query_id)
+
+    def search(self, q_ids: list[int], queries: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """For each query the rows of this block among its k best, if they reach about its bound."""
+        units, logs = _units(queries)
+        with np.errstate(over="ignore"):
+            reach = np.where(bounds > 0, np.exp2(np.log2(np.clip(bounds, 1e-300, 1.7e308)) - logs - self.exponent), -np.inf)
+        length, index = self.index.length, self.index
+        out = [self.rows(np.empty(0, np.int64), np.empty(0), -1)] * len(queries)
+        live = np.flatnonzero(reach <= length * (1 + 1e-9))
+        everything = np.arange(index.points)
+        for i in (steps := index.steps(len(live))):
+            some = live[i : i + steps.step]
+            planes = index.counts(units[some] * length, np.sqrt(2 * length * np.maximum(0.0, length - np.maximum(reach[some], -length))))
+            need = np.full(len(some), index.need)
+            rows = index.reaching(planes, need)
+            open_ = np.arange(len(some))
+            while len(open_):
+                lower = need.copy()
+                for x in open_.tolist():
+                    r = some[x]
+                    if bounds[r] == -np.inf:
+                        rows[x] = everything
+                    out[r] = self.best(rows[x], queries[r], units[r], q_ids[r], reach[r])
+                    if len(rows[x]) < index.points and len(out[r][0]):
+                        lower[x] = max(0, min(need[x], int(index.collisions(planes, x, out[r][4]).min()) - MARGIN))
+                open_ = np.flatnonzero(lower < need)
+                need = lower
+                if len(open_):
+                    for x, found in zip(open_.tolist(), index.reaching([p[open_] for p in planes], need[open_]), strict=True):
+                        rows[x] = found
+        return out
+
+
+def _hits(query_ids: list[int], found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns of HITS."""
+    sizes = [len(x[0]) for x in found]
+    return [np.repeat(np.array(query_ids, np.int64), sizes), *(np.concatenate([*(x[c] for x in found), np.empty(0, kind)]) for c, kind in enumerate((np.int64, np.int64, np.int64, np.float64)))]
+
+
+def _sampled(asked: DataFrame, classes: DataFrame, n: int, k: int) -> DataFrame:
+    """HITS of each query: the k best of those vectors of the sample that collide first."""
     spark = asked.sparkSession
     sample = classes.filter(F.pmod(F.xxhash64("embedding", F.lit(2)), F.lit(max(1, n // SAMPLE))) == 0).toArrow()  # about SAMPLE rows, at most twice as many
-    shared = spark.sparkContext.broadcast((_matrix(sample["embedding"]), [np.array(x) for x in sample["ids"].to_pylist()]))
+    shared = spark.sparkContext.broadcast((sample["class"].to_numpy(), [np.array(x) for x in sample["ids"].to_pylist()], _matrix(sample["embedding"]), k, True))
 
     def run(batches):
-        vectors, ids = shared.value
-        index = CollisionIndex(vectors, largest) if len(ids) else None
+        block = Block(*shared.value) if len(shared.value[0]) else None
         for batch in batches:
-            queries = _matrix(batch.column(1))
-            bound = np.full(len(queries), -np.inf)
-            if index is not None:
-                for i, rows in enumerate(index.widen(queries, k + EXTRA)):
-                    _, score = _best(ids, vectors, rows, queries[i], batch.column(0)[i].as_py(), k, -np.inf)
-                    if len(score) == k:
-                        bound[i] = score[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], ["vec_id", "embedding", "bound"])
+            queries, ids = _matrix(batch.column(1)), batch.column(0).to_pylist()
+            # lengths differ here, so all that collide are compared by their exact products
+            found = [block.rows(c, block.exact(c, q), i) for c, q, i in zip(block.index.widen(_units(queries)[0], k + EXTRA), queries, ids, strict=True)] if block is not None else []
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _hits(ids if found else [], found)], ["query_id", "vec_id", "class", "copy", "score"])
+
+    return asked.mapInArrow(run, HITS)
 
-    return asked.mapInArrow(run, "vec_id long, embedding array<double>, bound double")
 
+def _log_length(e: Column) -> Column:
+    """Logarithm (base 2) of a vector's length, of any magnitude."""
+    most = F.array_max(F.transform(e, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(e, F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
 
-def _meet(asked: DataFrame, classes: DataFrame, n: int, query_blocks: int, largest: float, k: int) -> DataFrame:
-    """The k best rows of each block of classes for each query (vec_id, embedding, bound); n: about as many classes as there are."""
-    blocks = -(-n // BLOCK)
-    left = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(_upto(blocks)).alias("bb"))
-    right = classes.select("*", F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(blocks)).alias("bb"), F.explode(_upto(query_blocks)).alias("qb"))
+
+def _meet(asked: DataFrame, classes: DataFrame, share: float, bands: list, query_blocks: int, k: int) -> DataFrame:
+    """The k best rows of each block of classes for each query (vec_id, embedding, bound); bands: (band, classes) of the table, of which `classes` holds about this share."""
+    sizes = [(b, max(1, -(-int(n * share) // BLOCK))) for b, n in bands]
+    spark = asked.sparkSession
+    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).alias("blocks")) for b, n in sizes])).alias("_b")
+    reach = F.col("_b.band") + 1 + 1e-6 >= BANDS * (F.log2("bound") - _log_length(F.col("embedding")))
+    left = asked.select("*", blocks).filter((F.col("bound") <= 0) | (F.col("bound") == float("inf")) | reach)
+    left = left.select("vec_id", "embedding", "bound", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.col("_b.band").alias("band"), F.explode(F.sequence(F.lit(0), F.col("_b.blocks") - 1)).alias("bb"))
+    of_band = spark.createDataFrame(sizes, "band int, blocks int")
+    right = classes.join(of_band, "band").select("embedding", "ids", "class", "band", F.pmod(F.xxhash64("embedding", F.lit(1)), F.col("blocks")).cast("int").alias("bb"), F.explode(_upto(query_blocks)).alias("qb"))
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        names, kinds = ("query_id", "vec_id", "score"), (np.int64, np.int64, np.float64)
-        out: tuple[list, list, list] = ([], [], [])
+        q_ids, found = q["vec_id"].to_pylist(), []
         if q.num_rows and x.num_rows:
-            queries, vectors, ids = _matrix(q["embedding"]), _matrix(x["embedding"]), [np.array(v) for v in x["ids"].to_pylist()]
-            q_ids, bound = q["vec_id"].to_pylist(), q["bound"].to_numpy()
-            index = CollisionIndex(vectors, largest)
-            radius = index.distances(queries, bound)
-            for i, rows in enumerate(index.search(queries, radius)):
-                vec, score = _best(ids, vectors, rows, queries[i], q_ids[i], k, bound[i])
-                for c, v in zip(out, (np.full(len(vec), q_ids[i]), vec, score), strict=True):
-                    c.append(v)
-        return pa.table({name: np.concatenate([*c, np.empty(0, kind)]) for name, kind, c in zip(names, kinds, out, strict=True)})
+            block = Block(x["class"].to_numpy(), [np.array(v) for v in x["ids"].to_pylist()], _matrix(x["embedding"]), k)
+            found = block.search(q_ids, _matrix(q["embedding"]), q["bound"].to_numpy())
+        return pa.table(dict(zip(("query_id", "vec_id", "class", "copy", "score"), _hits(q_ids if found else [], found), strict=True)))
 
-    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(run, HITS)
+    return left.groupBy("qb", "band", "bb").cogroup(right.groupBy("qb", "band", "bb")).applyInArrow(run, HITS)
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) its k nearest rows of table (vec_id, embedding)."""
     spark, base = table.sparkSession, _usable(table)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.max(norm).alias("largest")).orderBy(F.desc("n"), "d").first()
+    sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, largest = sizes["d"], sizes["largest"]
-    classes = materialize(_classes(base.filter(F.size("embedding") == dim), sizes["n"] == sizes["ids"], k))
-    n = classes.count()
+    dim = sizes["d"]
+    band = F.floor(BANDS * _log_length(F.col("embedding"))).cast("int").alias("band")
+    classes = materialize(_classes(base.filter(F.size("embedding") == dim), sizes["n"] == sizes["ids"], k).select("*", band, F.xxhash64("embedding").alias("class")))
+    bands = [(r["band"], r["count"]) for r in classes.groupBy("band").count().collect()]  # a double has BANDS * 2100 bands at most
+    n = sum(count for _, count in bands)
     asked = _usable(queries).filter(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     query_blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    asked = materialize(_bounds(asked, classes, n, largest, k))
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    asked = materialize(asked)
+    best = _sampled(asked, classes, n, k)
+    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     place = F.pmod(F.xxhash64("embedding", F.lit(3)), F.lit(1 << 40)) / (1 << 40) * n  # of a class among all, by hash
-    best, done, upto = None, 0, GROWTH * SAMPLE
+    done, upto = 0, GROWTH * SAMPLE
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        """The k best rows of each query; what several rounds have met counts once."""
+        once = hits.groupBy("query_id", "vec_id", "class", "copy").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    best = materialize(ranked(best))
     while True:
         last = upto >= n
+        bound = best.filter((F.col("rank") == k) & ~F.isnan("score")).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        now = asked.join(bound, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
         some = classes.filter(place >= done) if last else classes.filter((place >= done) & (place < upto))
-        hits = _meet(asked, some, min(upto, n) - done, query_blocks, largest, k)
-        hits = hits if best is None else hits.unionByName(best)
-        ranked = hits.withColumn("rank", rank).filter(F.col("rank") <= k)
+        hits = _meet(now, some, (min(upto, n) - done) / n, bands, query_blocks, k)
+        best = ranked(hits.unionByName(best.drop("rank")))
         if last:
-            return ranked.select("query_id", "rank", "vec_id", "score")
-        ranked = materialize(ranked)
-        best = ranked.select("query_id", "vec_id", "score")
-        found = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_found"))
-        asked = asked.join(found, "vec_id", "left").select("vec_id", "embedding", F.greatest("bound", F.coalesce("_found", "bound")).alias("bound"))
+            return best.select("query_id", "rank", "vec_id", "score")
+        best = materialize(best)
         done, upto = upto, upto * GROWTH
 
 
