@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize_mixed
-from tessera.operators import bm25, evaluation, gate, ingest, retrieval, sinks, vector
+from tessera.operators import bm25, dense, evaluation, gate, ingest, retrieval, sinks, vector
 from tessera.operators.registry import SnapshotTable
 from tessera.operators.service import SLOW
 from tessera.sources import files
@@ -69,6 +69,7 @@ class Engine:
         self.chunks = SnapshotTable(self.spark, f"{self.folder}/chunks")
         self.registry = SnapshotTable(self.spark, f"{self.folder}/registry")
         self.scratch = SnapshotTable(self.spark, f"{self.folder}/scratch")
+        self._dense: tuple[str, dense.DenseIndex] | None = None
 
     def _registry(self) -> DataFrame:
         held = self.registry.current()
@@ -107,13 +108,24 @@ class Engine:
         return None if held is None else held.withColumn("chunk", F.col("chunk_id")).withColumn("ord", F.col("chunk_id"))
 
     def retrieve(self, questions: DataFrame, now: int | None = None, top_n: int | None = None) -> retrieval.Retrieved:
-        """Questions: query_id, question, tenant_id, user_permission. The mock embedding's vectors are made from the chunks themselves."""
+        """Questions: query_id, question, tenant_id, user_permission. Where embeddings are stored, questions alone are embedded and meet the index; without any, the mock embedding's vectors are made from the chunks themselves and relevance isn't judged."""
         chunks = self.table()
         if chunks is None:
             raise ValueError("nothing has been ingested")
         with timed("slow_query", self.log):
+            at = int(time.time()) if now is None else now
+            if self.embed is not None and self.embedder.name != "mock" and "embedding" in chunks.columns:
+                return retrieval.retrieve(questions, chunks, dense.road(self.dense_index(chunks), self.embed), at, self.embedder.name, top_n)
             vectors = vector.mock_embedding(chunks.filter("is_valid").select("chunk", "content"), "chunk", "content")
-            return retrieval.retrieve(questions, chunks, vectors, int(time.time()) if now is None else now, "mock" if self.embedder.degraded else self.embedder.name, top_n)
+            return retrieval.retrieve(questions, chunks, vectors, at, "mock", top_n)
+
+    def dense_index(self, chunks: DataFrame) -> dense.DenseIndex:
+        """The index of the current snapshot's valid chunks, built once for it."""
+        name = chunks.inputFiles()[0].rsplit("/", 1)[0] if not chunks.isEmpty() else ""
+        if self._dense is None or self._dense[0] != name:
+            held = chunks.filter("is_valid").drop("content")
+            self._dense = name, dense.build(held, lambda rows, by: self.scratch.put(rows, by))
+        return self._dense[1]
 
     def count(self) -> int:
         """Valid chunks."""

@@ -18,6 +18,8 @@ from tessera.operators import bm25, filters, fusion, gate, vector
 from tessera.operators.scratch import kept
 
 ROAD_TOP = 20
+#: The mock embedding's vectors (chunk, bucket, value), or a road of its own: passes and k to (qp, chunk, score, rank), as dense.road makes.
+Vectors = DataFrame | Callable[[DataFrame, int], DataFrame] | None
 SPEC = ("tenant_id", "user_permission", "category", "department")
 NOTES = {
     "no_relevant": "nothing relevant: say so instead of answering",
@@ -57,10 +59,11 @@ def lexical_road(eligible: DataFrame, asked: DataFrame, k: int = ROAD_TOP) -> Da
 
 
 def vector_road(eligible: DataFrame, asked: DataFrame, vectors: DataFrame, k: int = ROAD_TOP) -> DataFrame:
-    """vectors: chunk, bucket, value. Scores meet the filters after the join on bucket, so no product of questions and corpus is built."""
+    """The mock embedding's road; vectors: chunk, bucket, value. Filters come first, so a question meets the chunks of its own signature alone."""
     q = vector.mock_embedding(asked.select("question").distinct(), "question", "question").select("question", "bucket", F.col("value").alias("qv"))
-    scored = vectors.join(q, "bucket").groupBy("question", "chunk").agg(F.sum(F.col("value") * F.col("qv")).alias("score"))
-    met = scored.join(asked.select("qp", "sig", "question"), "question").join(eligible.select("sig", "chunk", "ord"), ["sig", "chunk"])
+    mine = asked.select("qp", "sig", "question").join(q, "question").select("qp", "sig", "bucket", "qv")
+    held = vectors.join(eligible.select("sig", "chunk", "ord"), "chunk")
+    met = held.join(mine, ["sig", "bucket"]).groupBy("qp", "chunk", "ord").agg(F.sum(F.col("value") * F.col("qv")).alias("score"))
     rank = F.row_number().over(W.Window.partitionBy("qp").orderBy(F.desc(F.round("score", 9)), "ord"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("qp", "chunk", "score", "rank")
 
@@ -78,17 +81,17 @@ def run_roads(roads: dict[str, Callable[[], DataFrame]], keep: Callable[[DataFra
     return found, degraded
 
 
-def search_once(asked: DataFrame, chunks: DataFrame, vectors: DataFrame | None, keep: Callable[[DataFrame], DataFrame] = kept, top: int = fusion.TOP) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(qp, chunk, ranks, scores, rank) of the fused roads for all passes, and roads that failed."""
+def search_once(asked: DataFrame, chunks: DataFrame, vectors: Vectors, keep: Callable[[DataFrame], DataFrame] = kept, top: int = fusion.TOP) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """(qp, chunk, ranks, scores, rank) of the fused roads for all passes, the best vector score of each (qp, cosine), and roads that failed."""
     eligible = filters.eligible(chunks, asked.select("sig", *SPEC, "now", "include_expired", "years").distinct())
-    roads = {"vector": lambda: vector_road(eligible, asked, vectors), "bm25": lambda: lexical_road(eligible, asked)}
+    roads = {"vector": lambda: vectors(asked, ROAD_TOP) if callable(vectors) else vector_road(eligible, asked, vectors), "bm25": lambda: lexical_road(eligible, asked)}
     found, degraded = run_roads(roads, keep)
     spark = chunks.sparkSession
     kind = chunks.schema["chunk"].dataType.simpleString()
     v, b = (f if f is not None else spark.createDataFrame([], f"qp string, chunk {kind}, score double, rank int") for f in (found["vector"], found["bm25"]))
     fused = fusion.rrf(v.withColumnRenamed("qp", "query_id"), b.withColumnRenamed("qp", "query_id"), top).withColumnRenamed("query_id", "qp")
     named = fused.join(v.select("qp", "chunk", F.col("score").alias("vector_score")), ["qp", "chunk"], "left").join(b.select("qp", "chunk", F.col("score").alias("bm25_score")), ["qp", "chunk"], "left")
-    return named, degraded
+    return named, v.groupBy("qp").agg(F.max("score").alias("cosine")), degraded
 
 
 def trim(items: DataFrame, top_n: int | None) -> DataFrame:
@@ -96,27 +99,27 @@ def trim(items: DataFrame, top_n: int | None) -> DataFrame:
     return items.filter(F.col("rank") <= top_n) if top_n else items
 
 
-def _verdicts(questions: DataFrame, chunks: DataFrame, base: DataFrame, judged: bool) -> DataFrame:
-    """query_id, coverage, top_cosine, no_relevant. Not judged: the vectors say nothing (mock or degraded provider)."""
+def _verdicts(questions: DataFrame, chunks: DataFrame, top: DataFrame, judged: bool) -> DataFrame:
+    """query_id, coverage, top_cosine, no_relevant; valid chunks alone say what the corpus covers. top: query_id, cosine of the vector road. Not judged: the vectors say nothing (mock or degraded provider)."""
     if not judged:
         return questions.select("query_id", F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("double").alias("top_cosine"), F.lit(False).alias("no_relevant"))
-    top = base.groupBy("query_id").agg(F.max("vector_score").alias("cosine"))
-    return gate.assess(gate.coverage(questions, chunks, fallback=True), top).select("query_id", "coverage", F.col("cosine").alias("top_cosine"), "no_relevant")
+    return gate.assess(gate.coverage(questions, chunks.filter("is_valid"), fallback=True), top).select("query_id", "coverage", F.col("cosine").alias("top_cosine"), "no_relevant")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Retrieved:
-    """All passes for questions (query_id, question, tenant_id, user_permission, category, department) over chunks and their vectors (chunk, bucket, value).
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Retrieved:
+    """All passes for questions (query_id, question, tenant_id, user_permission, category, department) over chunks and their vectors (chunk, bucket, value; or a road over stored ones).
 
     provider "mock", or a vector road that failed: relevance isn't judged. keep: see run_roads; every step that several later ones read is executed once.
     """
     asked = passes(questions, now)
-    lanes, degraded = search_once(asked, chunks, vectors, keep)
+    lanes, tops, degraded = search_once(asked, chunks, vectors, keep)
     lanes = keep(lanes)
     where = chunks.select("chunk", "doc", "version", "chunk_index", filters.validity(F.col("effective_time"), F.lit(now)).alias("validity"))
     found = lanes.join(asked.select("qp", "query_id", "pass"), "qp").join(where, "chunk").drop("qp")
     base, year, relaxed = (found.filter(F.col("pass") == p) for p in ("base", "year", "relaxed"))
     judged = provider != "mock" and not any(road == "vector" for road, _ in degraded)
-    verdicts = keep(_verdicts(questions, chunks, base, judged))
+    top = tops.join(asked.filter(F.col("pass") == "base").select("qp", "query_id"), "qp").select("query_id", "cosine")
+    verdicts = keep(_verdicts(questions, chunks, top, judged))
     live = verdicts.filter("NOT no_relevant").select("query_id")
     items = keep(trim(fusion.adjudicate_years(base, year.join(live, "query_id", "left_semi")), top_n))
     empty = live.join(items.select("query_id").distinct(), "query_id", "left_anti")
@@ -138,19 +141,19 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     return Retrieved(rows, out, degraded, lanes.join(asked.select("qp", "query_id", "pass"), "qp").drop("qp"))
 
 
-def relaxed_retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Retrieved:
+def relaxed_retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Retrieved:
     """The pass with expired documents alone, on a caller's request: expired ones as candidates, current ones as items, with relevance and context."""
     asked = passes(questions, now, relaxed_only=True)
-    lanes, degraded = search_once(asked, chunks, vectors, keep)
+    lanes, tops, degraded = search_once(asked, chunks, vectors, keep)
     where = chunks.select("chunk", "doc", "version", "chunk_index", filters.validity(F.col("effective_time"), F.lit(now)).alias("validity"))
     found = lanes.join(asked.select("qp", "query_id"), "qp").join(where, "chunk").drop("qp").withColumn("year_pass", F.lit(False))
     expired, items = (trim(found.filter(c), top_n) for c in (F.col("validity") == "expired", F.col("validity") != "expired"))
     judged = provider != "mock" and not any(road == "vector" for road, _ in degraded)
     rows = _rows(items, "item").unionByName(_rows(expired, "expired")).unionByName(_context(items, chunks, asked.withColumn("include_expired", F.lit(False))))
-    return Retrieved(rows, _verdicts(questions, chunks, found, judged), degraded, lanes.join(asked.select("qp", "query_id", "pass"), "qp").drop("qp"))
+    return Retrieved(rows, _verdicts(questions, chunks, tops.join(asked.select("qp", "query_id"), "qp").select("query_id", "cosine"), judged), degraded, lanes.join(asked.select("qp", "query_id", "pass"), "qp").drop("qp"))
 
 
-def debug_retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, now: int, include_relaxed: bool = False, provider: str = "real") -> DataFrame:
+def debug_retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, include_relaxed: bool = False, provider: str = "real") -> DataFrame:
     """Both roads' ranks and scores beside the fused rank, for the base pass whole and, if asked, the relaxed one; contents are cut to 200 characters for display."""
     lanes = retrieve(questions, chunks, vectors, now, provider).lanes
     shown = lanes.filter(F.col("pass").isin("base", "relaxed") if include_relaxed else F.col("pass") == "base")

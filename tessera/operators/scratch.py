@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read back; a lost executor costs no finished part. A local folder stands in only where none is set, as in tests."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir. A local one stands in only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -19,6 +18,11 @@ def kept(df: DataFrame) -> DataFrame:
         else:
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written under spark.checkpoint.dir and read back; a lost executor costs no finished part."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

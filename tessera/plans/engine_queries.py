@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import agent, evaluation, gate, ingest, retrieval, vector
+from tessera.operators import agent, dense, evaluation, gate, ingest, retrieval, scratch, vector
 from tessera.plans.fixtures import CHUNKS_SQL, NOW, QUESTIONS, chunks, table
 from tessera.plans.retrieval_queries import _bm25, _mock
 from tessera.plans.text_queries import TOKENS
 from tessera.sources import files
 
 ASKED = [(i, q, "t0", "internal") for i, q in QUESTIONS] + [(6, "the and of das und", "t2", "internal"), (7, "nobody is here", "t9", "internal")]
+REAL_ASKED = [*ASKED, (8, "zzqx vvkk", "t0", "internal"), (9, "xxqw the", "t1", "secret")]
 BLOCKED = ["document", "source"]
 
 
@@ -61,6 +62,48 @@ def retrieve_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.filter(F.col("pass") == "base").select("query_id", "rank", "chunk", "vector_rank", "bm25_rank", F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"), F.md5("content").alias("content_md5"))
 
 
+def _real(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks with stored embeddings (every eleventh superseded, some without a vector), questions, and the vectors that a provider has for the questions."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = e.agg(F.count("*").alias("_n"))
+    c = _chunks(spark, sf_dir).withColumns({"is_valid": F.col("chunk") % 11 != 3, "department": F.concat(F.lit("d"), (F.col("chunk") % 17).cast("string"))}).crossJoin(n)  # a row
+    held = c.withColumn("vec_id", F.when(F.col("chunk") % 13 != 5, F.col("chunk") % F.col("_n"))).join(e, "vec_id", "left").drop("vec_id", "_n")
+    questions = spark.createDataFrame(REAL_ASKED, "query_id int, question string, tenant_id string, user_permission string")
+    turned = F.when(F.col("query_id") == 5, F.transform("embedding", lambda x, i: F.when(i % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)))).otherwise(F.col("embedding"))
+    said = questions.join(e, F.col("vec_id") == F.col("query_id") * 20).select("query_id", "question", turned.alias("embedding"))
+    return held, questions, said
+
+
+def _put(df: DataFrame, by: list[str]) -> DataFrame:
+    where = scratch.folder(df.sparkSession)
+    df.write.partitionBy(*by).parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
+def _provider(said: DataFrame):
+    return lambda texts: texts.join(said.select(F.col("question").alias("chunk"), "embedding"), "chunk").select("chunk", "embedding")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact 20 nearest of stored embeddings through cells, for a filter that leaves under 1 % of chunks and one that leaves many."""
+    held, questions, said = _real(spark, sf_dir)
+    index = dense.build(held.drop("content"), _put)
+    spec = {"category": F.lit(None).cast("string"), "now": F.lit(NOW).cast("long"), "include_expired": F.lit(False), "years": F.lit(None).cast("array<int>")}
+    narrow = questions.withColumns({"department": F.lit("d3"), **spec})
+    wide = questions.withColumns({"department": F.lit(None).cast("string"), **spec})
+    every = narrow.withColumn("kind", F.lit("narrow")).unionByName(wide.withColumn("kind", F.lit("wide"))).join(said.select("query_id", F.col("embedding").alias("query")), "query_id")
+    asked = every.withColumns({"qp": F.concat_ws(":", F.col("query_id").cast("string"), "kind"), "sig": F.xxhash64("tenant_id", "user_permission", "kind")})
+    return index.search(asked).select("qp", "rank", "chunk", F.round("score", 6).alias("score"))
+
+
+def retrieve_real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole retrieval on stored embeddings with a provider that isn't the mock: what the gate judges, with superseded chunks present."""
+    held, questions, said = _real(spark, sf_dir)
+    index = dense.build(held.filter("is_valid").drop("content"), _put)
+    v = retrieval.retrieve(questions, held, dense.road(index, _provider(said)), NOW, "real").verdicts
+    return v.select("query_id", "coverage", F.round("top_cosine", 6).alias("top_cosine"), "no_relevant")
+
+
 GATE_QUESTIONS = [(1, "the thation licensed qqxv"), (2, "onre zzqx"), (3, "of the"), (4, "license versionen")]
 
 
@@ -260,6 +303,23 @@ _ANCHORS = f"""{CHUNKS_SQL}, ti AS (SELECT DISTINCT doc, 'Document ' || source |
 al AS (SELECT doc, 'title' AS source, unnest(t) AS term FROM tk UNION SELECT doc, 'title_gram', term FROM (SELECT doc, unnest(list_transform(range(1, length(title)), lambda i: substr(title, i, 2))) AS term FROM tk) WHERE regexp_full_match(term, '[\\p{{L}}\\p{{N}}]{{2}}') UNION SELECT doc, 'body', unnest(t) FROM bt UNION SELECT doc, 'pair', unnest(list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) FROM bt),
 vo AS (SELECT source, term, count(*) AS docs FROM al WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9_]+') AND term NOT IN ({_STOP}, 'document', 'source') GROUP BY ALL HAVING source IN ('title', 'title_gram') OR count(*) <= 8)"""
 
+_COVERAGE = f"""v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('content')})) AS term FROM chunks) GROUP BY term), w AS (SELECT query_id, unnest({TOKENS.format('question')}) AS term FROM questions),
+bg AS (SELECT DISTINCT substr(c, i, 2) AS g FROM (SELECT lower(content) AS c, unnest(range(1, length(content))) AS i FROM chunks)),
+tb AS (SELECT term, unnest(list_transform(range(1, length(term)), lambda i: substr(term, i, 2))) AS g FROM (SELECT DISTINCT term FROM w WHERE term NOT IN (SELECT term FROM v) AND length(term) >= 2)), nf AS (SELECT term FROM tb GROUP BY term HAVING bool_and(g IN (SELECT g FROM bg))),
+d AS (FROM v UNION ALL SELECT term, 1 FROM nf),
+c AS (SELECT query_id, term, df, ln(((SELECT count(*) FROM chunks) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM w LEFT JOIN d USING (term) WHERE term NOT IN ({_STOP}) AND length(term) >= 2 AND NOT regexp_full_match(term, '[0-9_]+'))
+SELECT q.query_id, round(CASE WHEN count(idf) = 0 THEN 1.0 ELSE coalesce(sum(idf) FILTER (df > 0), 0) / sum(idf) END, 4) AS coverage, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (df IS NULL AND term IS NOT NULL))[1:8], ','), '') AS absent FROM questions q LEFT JOIN c ON q.query_id = c.query_id GROUP BY q.query_id"""
+_REAL = f"""{CHUNKS_SQL.replace("chunks AS (", "every_chunk AS (", 1)},
+chunks AS (FROM every_chunk WHERE chunk % 11 <> 3),
+held AS (SELECT chunk, department, permission, effective_time, tenant_id, embedding::DOUBLE[] AS embedding
+  FROM (SELECT chunk, 'd' || chunk % 17 AS department, permission, effective_time, CASE WHEN effective_time = 1000 AND chunk % 3 = 0 THEN 't2' ELSE tenant_id END AS tenant_id FROM chunks)
+  JOIN embeddings ON vec_id = chunk % (SELECT count(*) FROM embeddings) WHERE chunk % 13 <> 5 AND (effective_time = 0 OR effective_time >= {NOW})),
+questions(query_id, question, tenant_id, allowed) AS (VALUES {", ".join(f"({i}, '{q}', '{t}', {['public', 'internal', 'secret'].index(u)})" for i, q, t, u in REAL_ASKED)}),
+said AS (SELECT query_id, tenant_id, allowed, CASE WHEN query_id = 5 THEN list_transform(range(len(embedding)), lambda i: CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE[] ELSE embedding::DOUBLE[] END AS query
+  FROM questions JOIN embeddings ON vec_id = query_id * 20),
+scored AS (SELECT query_id, chunk, department, list_cosine_similarity(query, embedding) AS score
+  FROM said JOIN held ON held.tenant_id = said.tenant_id AND list_position(['public', 'internal', 'secret'], permission) - 1 <= allowed)"""
+
 QUERIES = {
     "retrieve_whole": (retrieve_whole, f"{_PASSES} SELECT query_id, 'item' AS kind, rank, chunk, round(score, 6) AS score, year_pass FROM it UNION ALL SELECT query_id, 'expired', rank, chunk, round(score, 6), false FROM ex UNION ALL SELECT query_id, 'context', rank, chunk, 0.0::DOUBLE, false FROM nb"),
     "retrieve_verdicts": (
@@ -273,12 +333,17 @@ SELECT *, ((query_id IN (3, 4))::INT + (n_expired > 0)::INT + (n_context > 0)::I
     "retrieve_debug": (retrieve_debug, f"{_PASSES} SELECT query_id, rank, chunk, vector_rank, bm25_rank, round(vscore, 6) AS vector_score, round(bscore, 6) AS bm25_score, md5(substr(content, 1, 200)) AS content_md5 FROM f JOIN (SELECT chunk, content FROM ck) USING (chunk)"),
     "coverage_fallback": (
         coverage_fallback,
-        f"""WITH {CHUNKS_SQL}, questions(query_id, question) AS (VALUES {_GATE}), v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('content')})) AS term FROM chunks) GROUP BY term), w AS (SELECT query_id, unnest({TOKENS.format('question')}) AS term FROM questions),
-bg AS (SELECT DISTINCT substr(c, i, 2) AS g FROM (SELECT lower(content) AS c, unnest(range(1, length(content))) AS i FROM chunks)),
-tb AS (SELECT term, unnest(list_transform(range(1, length(term)), lambda i: substr(term, i, 2))) AS g FROM (SELECT DISTINCT term FROM w WHERE term NOT IN (SELECT term FROM v) AND length(term) >= 2)), nf AS (SELECT term FROM tb GROUP BY term HAVING bool_and(g IN (SELECT g FROM bg))),
-d AS (FROM v UNION ALL SELECT term, 1 FROM nf),
-c AS (SELECT query_id, term, df, ln(((SELECT count(*) FROM chunks) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM w LEFT JOIN d USING (term) WHERE term NOT IN ({_STOP}) AND length(term) >= 2 AND NOT regexp_full_match(term, '[0-9_]+'))
-SELECT q.query_id, round(CASE WHEN count(idf) = 0 THEN 1.0 ELSE coalesce(sum(idf) FILTER (df > 0), 0) / sum(idf) END, 4) AS coverage, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (df IS NULL AND term IS NOT NULL))[1:8], ','), '') AS absent FROM questions q LEFT JOIN c ON q.query_id = c.query_id GROUP BY q.query_id""",
+        f"WITH {CHUNKS_SQL}, questions(query_id, question) AS (VALUES {_GATE}), {_COVERAGE}",
+    ),
+    "dense_topk": (
+        dense_topk,
+        f"""WITH {_REAL}, both_kinds AS (SELECT query_id || ':wide' AS qp, chunk, score FROM scored UNION ALL SELECT query_id || ':narrow', chunk, score FROM scored WHERE department = 'd3')
+SELECT qp, row_number() OVER w::INT AS rank, chunk, round(score, 6) AS score FROM both_kinds WINDOW w AS (PARTITION BY qp ORDER BY round(score, 9) DESC, chunk) QUALIFY row_number() OVER w <= 20""",
+    ),
+    "retrieve_real": (
+        retrieve_real,
+        f"""WITH {_REAL}, {_COVERAGE.replace("SELECT q.query_id, round(", ", covered AS (SELECT q.query_id, round(")}), tops AS (SELECT query_id, max(score) AS top FROM scored GROUP BY query_id)
+SELECT covered.query_id, coverage, round(top, 6) AS top_cosine, coverage < 0.2 AND coalesce(top, 0) < 0.4 AS no_relevant FROM covered LEFT JOIN tops ON covered.query_id = tops.query_id""",
     ),
     "anchor_whole": (anchor_whole, f"WITH {_ANCHORS} SELECT source, term, docs FROM vo"),
     "anchor_counts": (anchor_counts, f"WITH {_ANCHORS} SELECT source, count(DISTINCT term) AS terms FROM vo GROUP BY source"),
