@@ -69,6 +69,7 @@ class Engine:
         self.chunks = SnapshotTable(self.spark, f"{self.folder}/chunks")
         self.registry = SnapshotTable(self.spark, f"{self.folder}/registry")
         self.scratch = SnapshotTable(self.spark, f"{self.folder}/scratch")
+        self.index = bm25.PostingsIndex(self.spark, f"{self.folder}/postings", tokenize_mixed)
         self._dense: tuple[str, dense.DenseIndex] | None = None
 
     def _registry(self) -> DataFrame:
@@ -84,13 +85,14 @@ class Engine:
         return rows.select("*", readable.alias("text"), F.sha2("content", 256).alias("content_hash"), F.lit(False).alias("force")), missing
 
     def ingest(self, rows: DataFrame, now: int | None = None) -> DataFrame:
-        """Commits chunks, then the registry, then the anchor vocabulary (whose failure is only logged); returns the report."""
+        """Commits chunks, then the registry, then the postings of new chunks and the anchor vocabulary (whose failure is only logged); returns the report."""
         with timed("ingest_slow", self.log):
             out = ingest.ingest(rows, self._registry(), self.chunks.current(), int(time.time()) if now is None else now, self.embed, self.scratch.put)
             report = self.scratch.put(out.report)
             registry = self.scratch.put(out.registry)
             chunks = self.chunks.commit(out.chunks)
             self.registry.commit(registry)
+            self.index.sync(chunks.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
             try:
                 self.build_vocabulary(chunks)
             except Exception as e:  # the documents are in; the vocabulary can be built again
@@ -115,9 +117,9 @@ class Engine:
         with timed("slow_query", self.log):
             at = int(time.time()) if now is None else now
             if self.embed is not None and self.embedder.name != "mock" and "embedding" in chunks.columns:
-                return retrieval.retrieve(questions, chunks, dense.road(self.dense_index(chunks), self.embed), at, self.embedder.name, top_n)
+                return retrieval.retrieve(questions, chunks, dense.road(self.dense_index(chunks), self.embed), at, self.embedder.name, top_n, index=self.index)
             vectors = vector.mock_embedding(chunks.filter("is_valid").select("chunk", "content"), "chunk", "content")
-            return retrieval.retrieve(questions, chunks, vectors, at, "mock", top_n)
+            return retrieval.retrieve(questions, chunks, vectors, at, "mock", top_n, index=self.index)
 
     def dense_index(self, chunks: DataFrame) -> dense.DenseIndex:
         """The index of the current snapshot's valid chunks, built once for it."""
@@ -132,6 +134,12 @@ class Engine:
         held = self.chunks.current()
         return 0 if held is None else held.filter("is_valid").count()
 
+    def rebuild(self) -> None:
+        """The stored postings anew from the valid chunks."""
+        chunks = self.chunks.current()
+        if chunks is not None:
+            self.index.rebuild(chunks.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
+
     def purge(self) -> None:
         """Drops chunks that aren't valid."""
         self.chunks.compact()

@@ -1,19 +1,24 @@
 """The lexical road: Okapi BM25 for a whole table of questions at once, over corpora that each question's filters choose.
 
 Statistics (document count, mean length, idf) belong to a filter signature, not to the corpus, so questions with the
-same signature share them. Only postings of asked terms are kept, so the large side is one scan and one join on
-term; ranking keeps k rows for each question in every task before it shuffles.
+same signature share them. Only postings of asked terms reach the scoring join; ranking keeps k rows for each question
+in every task before it shuffles. PostingsIndex keeps the postings, so that a search reads no text.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tessera.functions.text import tokenize
+from tessera.operators.scratch import kept
+from tessera.operators.sinks import read_file, write_file
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,36 +28,138 @@ def lengths(eligible: DataFrame, tokens: Callable[[Column], Column] = tokenize)
     return eligible.select("sig", "chunk", "ord", tokens(F.col("content")).alias("terms"))
 
 
+def _raw(df: DataFrame, n: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(n), "sig").withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # n: a row for each signature
+
+
+def _idf(raw: DataFrame, mean: DataFrame) -> DataFrame:
+    return raw.join(F.broadcast(mean), "sig", "left").select("sig", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def _from_tokens(tokens: DataFrame) -> DataFrame:
+    df = tokens.select("sig", F.explode(F.array_distinct("terms")).alias("term")).groupBy("sig", "term").agg(F.count("*").alias("df"))
+    raw = _raw(df, tokens.groupBy("sig").agg(F.count("*").alias("n")))
+    return _idf(raw, raw.groupBy("sig").agg(F.avg("raw").alias("mean")))
+
+
 def idf_table(eligible: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
     """sig, term, df, idf: terms in more than half of a corpus get EPSILON times the mean idf of it."""
-    tokens = lengths(eligible, tokenizer)
-    n = tokens.groupBy("sig").agg(F.count("*").alias("n"))
-    df = tokens.select("sig", F.explode(F.array_distinct("terms")).alias("term")).groupBy("sig", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(n), "sig").withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # a row for each signature
-    mean = raw.groupBy("sig").agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean), "sig").select("sig", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return _from_tokens(lengths(eligible, tokenizer))
 
 
-def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
-    """query_id, chunk, ord, score, rank of the k best chunks for each question (query_id, sig, question).
+def asked_terms(questions: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """query_id, sig, term, times of questions (query_id, sig, question)."""
+    return questions.select("query_id", "sig", F.explode(tokenizer(F.col("question"))).alias("term")).groupBy("query_id", "sig", "term").agg(F.count("*").alias("times"))
 
-    Chunks without any asked term score 0 and fill up to k in order of ord. tokenizer: of questions and contents alike.
-    """
-    tokens = lengths(eligible, tokenizer)
-    stats = tokens.groupBy("sig").agg(F.avg(F.size("terms")).alias("avgdl"))
-    asked = questions.select("query_id", "sig", F.explode(tokenizer(F.col("question"))).alias("term")).groupBy("query_id", "sig", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("sig", "term").distinct()
-    postings = tokens.select("sig", "chunk", "ord", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, ["sig", "term"], "left_semi").groupBy("sig", "chunk", "ord", "dl", "term").agg(F.count("*").alias("tf"))
+
+def ranked(docs: DataFrame, postings: DataFrame, idf: DataFrame, asked: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk, ord, score, rank. docs: sig, chunk, ord, dl; postings: sig, chunk, term, tf of asked terms; idf: sig, term, idf. Chunks without any asked term fill up to k in order of ord."""
+    stats = docs.groupBy("sig").agg(F.avg("dl").alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf_table(eligible, tokenizer).join(terms, ["sig", "term"], "left_semi"), ["sig", "term"]).join(F.broadcast(stats), "sig").withColumn("w", weight)
+    scored = postings.join(idf, ["sig", "term"]).join(docs, ["sig", "chunk"]).join(F.broadcast(stats), "sig").withColumn("w", weight)
     scored = scored.join(asked, ["sig", "term"]).groupBy("query_id", "chunk", "ord").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-    first = tokens.withColumn("_n", F.row_number().over(W.Window.partitionBy("sig").orderBy("ord"))).filter(F.col("_n") <= k)
+    first = docs.withColumn("_n", F.row_number().over(W.Window.partitionBy("sig").orderBy("ord"))).filter(F.col("_n") <= k)
     fill = questions.select("query_id", "sig").join(first.select("sig", "chunk", "ord"), "sig").join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
     both = scored.unionByName(fill.select("query_id", "chunk", "ord", F.lit(0.0).alias("score")))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """query_id, chunk, ord, score, rank of the k best chunks for each question (query_id, sig, question).
+
+    Texts are tokenized once: the terms are written, and statistics, postings and fill read their columns. Chunks without any asked term score 0 and fill up to k in order of ord. tokenizer: of questions and contents alike.
+    """
+    tokens = kept(lengths(eligible, tokenizer).withColumn("dl", F.size("terms")))
+    asked = kept(asked_terms(questions, tokenizer))
+    terms = asked.select("sig", "term").distinct()
+    postings = tokens.select("sig", "chunk", F.explode("terms").alias("term")).join(terms, ["sig", "term"], "left_semi").groupBy("sig", "chunk", "term").agg(F.count("*").alias("tf"))
+    idf = _from_tokens(tokens).join(terms, ["sig", "term"], "left_semi")
+    return ranked(tokens.select("sig", "chunk", "ord", "dl"), postings, idf, asked, questions, k)
+
+
+class PostingsIndex:
+    """A stored inverted index below `folder`: postings (term, chunk, tf) in files by bucket of the term, lengths (chunk, dl), both a delta for each commit; readers take what is newest of each chunk.
+
+    A commit writes a delta and then a new manifest over the old one, so a reader sees a commit whole or not at all; its cost is that of its own chunks. A search reads the buckets
+    of asked terms alone. Who may see a chunk is not kept here: eligible chunks come with the search.
+    """
+
+    BUCKETS, MERGE_AFTER = 64, 32
+
+    def __init__(self, spark: SparkSession, folder: str, tokenizer: Callable[[Column], Column] = tokenize) -> None:
+        self.spark, self.folder, self.tokenizer = spark, folder.rstrip("/"), tokenizer
+
+    def manifest(self) -> list[list]:
+        """[delta, whether it has postings] of the current state."""
+        raw = read_file(self.spark, f"{self.folder}/MANIFEST")
+        return json.loads(raw) if raw else []
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+
+    def rebuild(self, chunks: DataFrame) -> None:
+        """The index as one delta of these chunks (chunk, content); readers see the old deltas until it is whole."""
+        self.commit(chunks, anew=True)
+
+    def commit(self, added: DataFrame, gone: DataFrame | None = None, anew: bool = False) -> None:
+        """One delta: chunks (chunk, content) that come or change, and ids (chunk) that go. anew: it takes the place of all others."""
+        deltas = self.manifest()
+        path, seq = f"{self.folder}/delta-{uuid.uuid4().hex}", F.lit(len(deltas)).alias("seq")
+        words = kept(added.select("chunk", self.tokenizer(F.col("content")).alias("terms")))
+        sizes = words.select("chunk", F.size("terms").alias("dl"), seq)
+        (sizes if gone is None else sizes.unionByName(gone.select("chunk", F.lit(None).cast("int").alias("dl"), seq))).write.parquet(f"{path}/lengths")
+        posts = words.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf")).select("term", "chunk", "tf", seq, self._bucket(F.col("term")).alias("bucket"))
+        posts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        if self.manifest() != deltas:
+            raise RuntimeError("another commit came between; nothing was changed")
+        write_file(self.spark, f"{self.folder}/MANIFEST", json.dumps([*([] if anew else deltas), [path.rsplit("/", 1)[-1], not words.isEmpty()]]).encode())
+
+    def sync(self, chunks: DataFrame) -> None:
+        """One delta that makes the index hold just these chunks (chunk, content); chunks that it holds aren't read again."""
+        held = self.lengths()
+        if len(self.manifest()) >= self.MERGE_AFTER:
+            self.rebuild(chunks)
+            return
+        added = chunks if held is None else chunks.join(held.select("chunk"), "chunk", "left_anti")
+        self.commit(added, None if held is None else held.select("chunk").join(chunks.select("chunk"), "chunk", "left_anti"))
+
+    def lengths(self) -> DataFrame | None:
+        """chunk, dl, seq of the chunks that the index holds."""
+        paths = [f"{self.folder}/{d}/lengths" for d, _ in self.manifest()]
+        if not paths:
+            return None
+        newest = self.spark.read.parquet(*paths).groupBy("chunk").agg(F.max_by(F.struct("dl", "seq"), F.struct("seq", F.col("dl").isNotNull())).alias("r"))
+        return newest.select("chunk", "r.*").filter("dl IS NOT NULL")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, chunk, tf, seq: all, or of terms (term), from their buckets alone."""
+        paths = [f"{self.folder}/{d}/postings" for d, held in self.manifest() if held]
+        if not paths:
+            kind = self.lengths().schema["chunk"].dataType.simpleString()
+            return self.spark.createDataFrame([], f"term string, chunk {kind}, tf long, seq int")
+        every = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])  # MERGE_AFTER deltas at most
+        if terms is None:
+            return every
+        buckets = [r[0] for r in terms.select(self._bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
+        return every.filter(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi")
+
+    def search(self, eligible: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+        """As search over eligible chunks (sig, chunk, ord); only where an asked term is in over half of a corpus are all terms counted, for its mean idf."""
+        docs = kept(eligible.select("sig", "chunk", "ord").join(self.lengths(), "chunk"))
+        asked = kept(asked_terms(questions, self.tokenizer))
+        found = kept(self.postings(asked.select("term").distinct()).join(docs.select("sig", "chunk", "seq"), ["chunk", "seq"]).select("sig", "chunk", "term", "tf"))
+        n = docs.groupBy("sig").agg(F.count("*").alias("n"))
+        raw = kept(_raw(found.groupBy("sig", "term").agg(F.count("*").alias("df")), n).join(asked.select("sig", "term").distinct(), ["sig", "term"], "left_semi"))
+        often = raw.filter("raw < 0").select("sig").distinct()
+        mean = raw.sparkSession.createDataFrame([], raw.select("sig", F.col("raw").alias("mean")).schema)
+        if not often.isEmpty():
+            some = docs.join(often, "sig", "left_semi").select("sig", "chunk", "seq")
+            df = self.postings().join(some, ["chunk", "seq"]).groupBy("sig", "term").agg(F.count("*").alias("df"))
+            mean = _raw(df, n).groupBy("sig").agg(F.avg("raw").alias("mean"))
+        return ranked(docs.drop("seq"), found, _idf(raw, mean), asked, questions, k)
+
+
 def by_ids(eligible: DataFrame, ids: DataFrame) -> DataFrame:
     """Eligible chunks of a list of ids (chunk), with score 0."""
     return eligible.join(ids.select("chunk").distinct(), "chunk", "left_semi").withColumn("score", F.lit(0.0))

@@ -53,8 +53,9 @@ def passes(questions: DataFrame, now: int, relaxed_only: bool = False) -> DataFr
     return out.withColumn("sig", sig).withColumn("qp", F.concat_ws(":", F.col("query_id").cast("string"), "pass"))
 
 
-def lexical_road(eligible: DataFrame, asked: DataFrame, k: int = ROAD_TOP) -> DataFrame:
-    found = bm25.search(eligible, asked.select(F.col("qp").alias("query_id"), "sig", "question"), k)
+def lexical_road(eligible: DataFrame, asked: DataFrame, index: bm25.PostingsIndex | None = None, k: int = ROAD_TOP) -> DataFrame:
+    """From a stored index, which holds the chunks' valid texts, or from the texts themselves."""
+    found = (index.search if index else bm25.search)(eligible, asked.select(F.col("qp").alias("query_id"), "sig", "question"), k)
     return found.select(F.col("query_id").alias("qp"), "chunk", "score", "rank")
 
 
@@ -81,10 +82,10 @@ def run_roads(roads: dict[str, Callable[[], DataFrame]], keep: Callable[[DataFra
     return found, degraded
 
 
-def search_once(asked: DataFrame, chunks: DataFrame, vectors: Vectors, keep: Callable[[DataFrame], DataFrame] = kept, top: int = fusion.TOP) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+def search_once(asked: DataFrame, chunks: DataFrame, vectors: Vectors, keep: Callable[[DataFrame], DataFrame] = kept, top: int = fusion.TOP, index: bm25.PostingsIndex | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
     """(qp, chunk, ranks, scores, rank) of the fused roads for all passes, the best vector score of each (qp, cosine), and roads that failed."""
     eligible = filters.eligible(chunks, asked.select("sig", *SPEC, "now", "include_expired", "years").distinct())
-    roads = {"vector": lambda: vectors(asked, ROAD_TOP) if callable(vectors) else vector_road(eligible, asked, vectors), "bm25": lambda: lexical_road(eligible, asked)}
+    roads = {"vector": lambda: vectors(asked, ROAD_TOP) if callable(vectors) else vector_road(eligible, asked, vectors), "bm25": lambda: lexical_road(eligible, asked, index)}
     found, degraded = run_roads(roads, keep)
     spark = chunks.sparkSession
     kind = chunks.schema["chunk"].dataType.simpleString()
@@ -106,13 +107,13 @@ def _verdicts(questions: DataFrame, chunks: DataFrame, top: DataFrame, judged: b
     return gate.assess(gate.coverage(questions, chunks.filter("is_valid"), fallback=True), top).select("query_id", "coverage", F.col("cosine").alias("top_cosine"), "no_relevant")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Retrieved:
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept, index: bm25.PostingsIndex | None = None) -> Retrieved:
     """All passes for questions (query_id, question, tenant_id, user_permission, category, department) over chunks and their vectors (chunk, bucket, value; or a road over stored ones).
 
-    provider "mock", or a vector road that failed: relevance isn't judged. keep: see run_roads; every step that several later ones read is executed once.
+    provider "mock", or a vector road that failed: relevance isn't judged. index: stored postings of the valid chunks. keep: see run_roads; every step that several later ones read is executed once.
     """
     asked = passes(questions, now)
-    lanes, tops, degraded = search_once(asked, chunks, vectors, keep)
+    lanes, tops, degraded = search_once(asked, chunks, vectors, keep, index=index)
     lanes = keep(lanes)
     where = chunks.select("chunk", "doc", "version", "chunk_index", filters.validity(F.col("effective_time"), F.lit(now)).alias("validity"))
     found = lanes.join(asked.select("qp", "query_id", "pass"), "qp").join(where, "chunk").drop("qp")

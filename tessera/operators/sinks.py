@@ -26,6 +26,20 @@ def write_file(spark: SparkSession, path: str, raw: bytes) -> None:
     context.rename(context.makeQualified(beside), context.makeQualified(target), options)
 
 
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """The bytes of a small file, None where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def write_vocabulary(terms: DataFrame, path: str) -> None:
     """Anchor terms (term) as JSON lines in a folder, each term once; the whole vocabulary never meets the driver."""
     terms.select("term").distinct().write.mode("overwrite").json(path)

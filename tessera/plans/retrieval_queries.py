@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, filters, fusion, gate, vector
+from tessera.operators import bm25, filters, fusion, gate, scratch, vector
 from tessera.plans.fixtures import CHUNKS_SQL, NOW, QUESTIONS_SQL, chunks, questions, table
 from tessera.plans.text_queries import TOKENS
 
@@ -50,6 +50,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index after three commits: all chunks but every third with a stale text for some, the rest with those changed, then every tenth deleted; searched with filters."""
+    c = chunks(spark, sf_dir)
+    index = bm25.PostingsIndex(spark, scratch.folder(spark))
+    index.commit(c.filter("chunk % 3 <> 0").withColumn("content", F.when(F.col("chunk") % 7 == 1, F.lit("stale text of the old version")).otherwise(F.col("content"))))
+    index.commit(c.filter("chunk % 3 = 0 OR chunk % 7 = 1"))
+    index.commit(c.limit(0), c.filter("chunk % 10 = 7").select("chunk"))
+    q = questions(spark).withColumn("sig", F.col("query_id") % 3)
+    return index.search(filters.eligible(c, _spec(spark, SIGS)), q).select("query_id", "chunk", F.round("score", 6).alias("score"), "rank")
+
+
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark).withColumn("sig", F.col("query_id") % 3)
     found = bm25.search(filters.eligible(chunks(spark, sf_dir), _spec(spark, SIGS)), q)
@@ -175,6 +186,7 @@ QUERIES = {
     "relaxed_expired": (relaxed_expired, f"WITH {CHUNKS_SQL} SELECT chunk, effective_time AS expired_at FROM chunks WHERE tenant_id = 't0' AND permission <> 'secret' AND effective_time <> 0 AND effective_time < 2000"),
     "bm25_idf": (bm25_idf, f"{_HEAD}, {_bm25(_eligible('true'), '0', 20)} SELECT term, df, round(idf, 6) AS idf FROM i"),
     "bm25_topk": (bm25_topk, f"{_HEAD}, {_bm25(_eligible('true'), '0', 20)} {_BM_OUT}"),
+    "bm25_index": (bm25_index, f"{_HEAD}, {_bm25(f'SELECT * FROM ({_SIGS}) WHERE chunk % 10 <> 7', 'query_id % 3', 20)} {_BM_OUT}"),
     "bm25_filtered_idf": (bm25_filtered, f"{_HEAD}, {_bm25(_SIGS, 'query_id % 3', 20)} {_BM_OUT}"),
     "mock_embedding": (mock_embedding, f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, bucket, round(value, 6) AS value FROM ({_mock('d', 'doc_id', 'text')})"),
     "cosine_topk": (cosine_topk, _COS.format("true")),
