@@ -2,6 +2,7 @@
 
 python -m tessera.engine ingest FOLDER TENANT SOURCE...    ingest files; exit 1 if any failed
 python -m tessera.engine eval FOLDER GOLDEN REPORT         recall@5 and MRR of the lexical road on a golden file; exit 1 below the limit
+python -m tessera.engine ask FOLDER TENANT PERMISSION CONVERSATION QUESTION    the reply to a turn of a conversation, without a model
 python -m tessera.engine health FOLDER                     exit 1 if a table can't be read
 """
 
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize_mixed
-from tessera.operators import bm25, dense, evaluation, gate, ingest, retrieval, sinks, vector
-from tessera.operators.registry import SnapshotTable
+from tessera.operators import agent, bm25, conversation, dense, evaluation, gate, ingest, retrieval, sinks, vector
+from tessera.operators.registry import SnapshotTable, list_page
+from tessera.operators.scratch import kept
 from tessera.operators.service import SLOW
 from tessera.sources import files
 
 Embed = Callable[[DataFrame], DataFrame]
+MESSAGES = "conv_id long, turn long, role string, text string"
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,7 @@ class Engine:
         self.chunks = SnapshotTable(self.spark, f"{self.folder}/chunks")
         self.registry = SnapshotTable(self.spark, f"{self.folder}/registry")
         self.scratch = SnapshotTable(self.spark, f"{self.folder}/scratch")
+        self.threads = SnapshotTable(self.spark, f"{self.folder}/threads")
         self.index = bm25.PostingsIndex(self.spark, f"{self.folder}/postings", tokenize_mixed)
         self._dense: tuple[str, dense.DenseIndex] | None = None
 
@@ -134,6 +138,67 @@ class Engine:
         held = self.chunks.current()
         return 0 if held is None else held.filter("is_valid").count()
 
+    def answer(self, questions: DataFrame, ask: Embed = agent.stub_ask, judge: Embed = agent.stub_judge, rewrite: Callable[[list[str]], list[tuple[str, str]]] | None = None, now: int | None = None) -> DataFrame:
+        """A turn of each conversation (conv_id, question, tenant_id, user_permission), from question to reply: rewritten by its history, retrieved, answered and verified, and kept with its thread.
+
+        Returns conv_id, rewritten and the columns of agent.FIELDS; ask, judge and rewrite are the model's adapters (see agent).
+        """
+        held = self.threads.current()
+        held = self.spark.createDataFrame([], MESSAGES) if held is None else held
+        asked = kept(questions.dropDuplicates(["conv_id"]).withColumn("query_id", F.col("conv_id").cast("long")))
+        mine = kept(held.join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi"))
+        history = self._history(mine)
+        terms = sinks.read_vocabulary(self.spark, f"{self.folder}/vocabulary")
+        new = kept(agent.rewritten(asked.select("query_id", "question"), history, gate.has_anchor(asked.select("query_id", F.lower("question").alias("question")), terms), rewrite))
+        turned = kept(asked.drop("question").join(new, "query_id").withColumn("question", F.col("rewritten")))
+        found = self.retrieve(turned.select("query_id", "question", "tenant_id", "user_permission"), now)
+        told = asked.select("query_id").join(history.select("query_id", "text"), "query_id", "left")
+        lines = agent.evidence(found.items, self.table())
+        out = kept(agent.answer(turned.select("query_id", "question", "include_expired"), found, lines, told, ask, judge))
+        last = mine.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+        said = asked.select(F.col("query_id").alias("conv_id"), F.col("question").alias("text")).join(last, "conv_id", "left")
+        said = said.select("conv_id", (F.coalesce("_last", F.lit(-1)) + 1).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+        after = agent.finalized(mine.unionByName(said), out.select(F.col("query_id").alias("conv_id"), "answer"))
+        self.threads.commit(held.join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_anti").unionByName(after))
+        return out.join(new.select("query_id", "rewritten"), "query_id").withColumnRenamed("query_id", "conv_id")
+
+    @staticmethod
+    def _history(messages: DataFrame) -> DataFrame:
+        """query_id, text, last_answer of messages (conv_id, turn, role, text): what fits of a thread, oldest first, and what the assistant said last."""
+        told = conversation.history_budget(messages.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")))
+        text = told.groupBy("thread").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "line"))), lambda x: x["line"]), "\n").alias("text"))
+        last = messages.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_answer"))
+        return text.join(last.withColumnRenamed("conv_id", "thread"), "thread", "left").withColumnRenamed("thread", "query_id")
+
+    def messages(self, conv_id: int) -> DataFrame:
+        """turn, role, text of a thread, oldest first."""
+        held = self.threads.current()
+        held = self.spark.createDataFrame([], MESSAGES) if held is None else held
+        return held.filter(F.col("conv_id") == conv_id).select("turn", "role", "text").orderBy("turn")
+
+    def delete(self, asked: DataFrame, now: int | None = None) -> DataFrame:
+        """tenant_id, doc_id, status (204, or 404 for unknown ones) for documents asked to go (tenant_id, doc_id); their chunks leave both roads."""
+        at = F.lit(int(time.time()) if now is None else now).cast("long")
+        chunks, registry, answers = ingest.delete_documents(self.chunks.current(), self._registry(), asked, at)
+        answers, registry = kept(answers), kept(registry)
+        after = self.chunks.commit(chunks)
+        self.registry.commit(registry)
+        self.index.sync(after.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
+        return answers
+
+    def patch(self, changes: DataFrame) -> DataFrame:
+        """tenant_id, doc_id, chunks_updated for changes (tenant_id, doc_id, effective_time, ...)."""
+        chunks, answers = ingest.patch_documents(self.chunks.current(), self._registry(), changes)
+        answers = kept(answers)
+        self.chunks.commit(chunks)
+        return answers
+
+    def documents(self, tenant: str, limit: int = 50, offset: int = 0, deleted: bool = False) -> tuple[DataFrame, int]:
+        """A page of a tenant's documents, last updated first, and how many there are in all."""
+        held = self._registry()
+        rows = held.filter(F.col("tenant_id") == tenant)
+        return list_page(held, tenant, limit, offset, deleted), (rows if deleted else rows.filter("NOT is_deleted")).count()
+
     def rebuild(self) -> None:
         """The stored postings anew from the valid chunks."""
         chunks = self.chunks.current()
@@ -187,6 +252,13 @@ def main(argv: list[str]) -> int:
         recall, mrr = engine.evaluate(argv[2], argv[3] if len(argv) > 3 else None)
         print(f"recall@5 {recall:.3f} MRR {mrr:.3f}")
         return int(recall < evaluation.RECALL_PASS)
+    if argv[0] == "ask":
+        turn = spark.createDataFrame([(int(argv[4]), " ".join(argv[5:]), argv[2], argv[3])], "conv_id long, question string, tenant_id string, user_permission string")
+        reply = engine.answer(turn).first()
+        print(reply["answer"])
+        for chunk in reply["citations"]:
+            print(f"  {chunk}")
+        return int(reply["degraded"])
     if argv[0] == "health":
         state = engine.health()
         print(state)

@@ -88,18 +88,6 @@ def has_garble(text: Column) -> Column:
     return F.contains(text, F.lit("�")) | (garble_count(text) > 0.01 * F.length(text))
 
 
-def cjk_heading_level(line: Column) -> Column:
-    """Level of a Chinese section heading of at most 40 characters, null for other lines."""
-    number = "[一二三四五六七八九十百零〇0-9]+"
-    level = (
-        F.when(line.rlike(f"^第{number}章"), 1)
-        .when(line.rlike(f"^第{number}[节条]"), 2)
-        .when(line.rlike("^[0-9]+(\\.[0-9]+)+\\s*[\\u4e00-\\u9fff]"), F.least(F.lit(3), F.regexp_count(F.regexp_extract(line, "^[0-9.]+", 0), F.lit("\\.")) + 1))
-        .when(line.rlike("^[一二三四五六七八九十]+、"), 3)
-    )
-    return F.when(F.length(line) <= 40, level)
-
-
 def split_pages(text: Column, pages: Column) -> Column:
     """Texts of `pages` pages parted by form feeds, line feeds at their ends out; missing pages are empty, the last takes what is over."""
     parts = F.transform(F.split(text, "\f", -1), lambda p: F.btrim(p, F.lit("\n")))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CHUNK_TOKENS, OVERLAP, SLACK = 512, 80, 5
 ATOMIC = {"table", "code", "image"}
 CHUNKS = "doc string, chunk_index int, block_type string, page_num int, est_tokens int, content string"
+# What counts as a wide character, and where a sentence ends.
 _WIDE = re.compile("[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]")
 _ASCII = re.compile("[A-Za-z0-9_]")
 _SENTENCE = re.compile(r"(?<=[。；！？!?;])\s*|(?<=[.])\s+")
+_WIDE_RANGES = ((0x3000, 0x303F), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF))
 
 
 def tokens(text: str) -> int:
@@ -31,14 +34,18 @@ def tail(text: str, limit: int = OVERLAP) -> str:
 
 
 def pack(units: list[str], glue: str, limit: int) -> list[str]:
-    out: list[str] = []
+    """Units joined while they stay within the limit; counts run, as those of glued texts add up (the ASCII third is rounded once)."""
+    out: list[list[str]] = []
+    wide = narrow = 0
     for unit in units:
-        joined = out[-1] + glue + unit if out else unit
-        if out and tokens(joined) <= limit:
-            out[-1] = joined
+        w, n = len(_WIDE.findall(unit)), len(_ASCII.findall(unit))
+        if out and wide + w + max(1, (narrow + n) // 3) <= limit:
+            out[-1].append(unit)
+            wide, narrow = wide + w, narrow + n
         else:
-            out.append(unit)
-    return out
+            out.append([unit])
+            wide, narrow = w, n
+    return [glue.join(x) for x in out]
 
 
 def cut(text: str, limit: int = CHUNK_TOKENS) -> list[str]:
@@ -48,17 +55,30 @@ def cut(text: str, limit: int = CHUNK_TOKENS) -> list[str]:
     lines = text.split("\n")
     if len(lines) > 1:
         return pack([p for line in lines for p in cut(line, limit)], "\n", limit)
-    sentences = [s for s in _SENTENCE.split(text) if s]
-    if len(sentences) > 1:
-        return pack([p for s in sentences for p in cut(s, limit)], " ", limit)
+    ends = [0, *sorted({m.end() for m in _SENTENCE.finditer(text)} - {0, len(text)}), len(text)]
+    if len(ends) > 2:  # each sentence keeps the white space behind it, so pieces join to the text
+        return [p.strip() for p in pack([p for a, b in zip(ends, ends[1:], strict=False) for p in _hard(text[a:b], limit)], "", limit) if p.strip()]
+    return _hard(text, limit)
+
+
+def _hard(text: str, limit: int) -> list[str]:
+    """Pieces by characters alone, from running counts."""
+    if tokens(text) <= limit:
+        return [text]
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    wide = np.cumsum(np.any([(code >= a) & (code <= b) for a, b in _WIDE_RANGES], axis=0))
+    narrow = np.cumsum([bool(_ASCII.match(c)) for c in text])
     out, at = [], 0
     while at < len(text):
-        lo, hi = 1, len(text) - at
+        w, n = (int(x[at - 1]) if at else 0 for x in (wide, narrow))
+        lo, hi = at + 1, min(len(text), at + 8 * limit + 64)
+        while hi < len(text) and wide[hi - 1] - w + max(1, (narrow[hi - 1] - n) // 3) <= limit:
+            hi = min(len(text), 2 * hi - at)
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if tokens(text[at : at + mid]) <= limit else (lo, mid - 1)
-        out.append(text[at : at + lo])
-        at += lo
+            lo, hi = (mid, hi) if wide[mid - 1] - w + max(1, (narrow[mid - 1] - n) // 3) <= limit else (lo, mid - 1)
+        out.append(text[at:lo])
+        at = lo
     return out
 
 

@@ -17,7 +17,8 @@ from tessera.functions import text as T
 from tessera.operators import registry as R
 from tessera.operators.chunking import chunk_documents
 from tessera.operators.scratch import kept
-from tessera.sources.files import parse_blocks
+from tessera.sources.files import parse_blocks, pdf_blocks
+from tessera.sources.pdf import pdf_pages
 
 STATUSES = ("processing", "done", "failed")
 REGISTRY = "tenant_id string, doc_key string, doc_id string, version int, status string, content_hash string, is_deleted boolean, created_at long, updated_at long, error string"
@@ -134,6 +135,16 @@ class Ingested:
     report: DataFrame
 
 
+def _blocks(sources: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc, page, seq, block_type, text, warning of sources (doc, format, text, content): PDF files by pages, whose numbers stay, others without."""
+    columns = ["doc", "page", "seq", "block_type", "text", "warning"]
+    plain = parse_blocks(sources.filter("format <> 'pdf'")).withColumn("page", F.lit(None).cast("int")).withColumn("seq", F.col("seq").cast("long"))
+    pages = keep(pdf_pages(sources.filter("format = 'pdf'")))
+    broken = pages.filter("error IS NOT NULL").select("doc", "page", F.lit(0).cast("long").alias("seq"), F.lit("error").alias("block_type"), F.lit("").alias("text"), F.col("error").alias("warning"))
+    paged = pdf_blocks(pages.filter("error IS NULL")).withColumn("seq", F.col("page").cast("long") * (1 << 20) + F.col("seq"))
+    return plain.select(columns).unionByName(paged.select(columns)).unionByName(broken)
+
+
 def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now: int, embed: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Ingested:
     """files: tenant_id, doc_key, format, text, content, content_hash, force and metadata if wanted. embed: (chunk, content) to (chunk, embedding), called for chunks that aren't held.
 
@@ -143,9 +154,10 @@ def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now:
     one = files.withColumn("_n", F.row_number().over(W.Window.partitionBy("tenant_id", "doc_key").orderBy("content_hash"))).filter("_n = 1").drop("_n")
     decided = R.decide(one.withColumn("force", F.coalesce("force", F.lit(False))), registry).withColumn("version", F.col("version").cast("int")).transform(keep)
     todo = doc_meta(one).join(decided.filter(F.col("action").isin("create", "new_version", "retry")), ["tenant_id", "doc_key"])
-    blocks = keep(parse_blocks(todo.select(F.col("doc_id").alias("doc"), "format", "text", "content")))
+    sources = todo.select(F.col("doc_id").alias("doc"), "format", "text", "content")
+    blocks = keep(_blocks(sources, keep))
     errors = blocks.filter(F.col("block_type") == "error").groupBy(F.col("doc").alias("doc_id")).agg(F.min("warning").alias("error"))
-    pieces = with_offsets(chunk_documents(blocks.filter(F.col("block_type") != "error").withColumn("page", F.lit(None).cast("int"))))
+    pieces = with_offsets(chunk_documents(blocks.filter(F.col("block_type") != "error")))
     described = pieces.join(todo.withColumnRenamed("doc_id", "doc").drop("text", "content", "format", "content_hash", "force", "action"), "doc")
     new = described.withColumns({"chunk_id": T.chunk_id(F.col("doc"), F.col("version"), F.col("chunk_index")), "is_valid": F.lit(True), "create_time": at, "update_time": at})
     new = keep(with_sentinels(new))
@@ -156,6 +168,9 @@ def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now:
         new = new.join(vectors, "chunk_id", "left")
         if chunks is not None and "embedding" in chunks.columns:
             new = new.join(chunks.select("chunk_id", F.col("embedding").alias("_held")), "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_held")).drop("_held")
+    if chunks is not None and ("embedding" in chunks.columns) != ("embedding" in new.columns):  # an engine without an embedder, or its first run with one
+        kind = (chunks if "embedding" in chunks.columns else new).schema["embedding"].dataType
+        new, chunks = (df if "embedding" in df.columns else df.withColumn("embedding", F.lit(None).cast(kind)) for df in (new, chunks))
     counted = new.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("chunks"))
     outcome = todo.select("tenant_id", "doc_key", "doc_id", "content_hash", "action", "version").join(errors, "doc_id", "left").join(counted, "doc_id", "left")
     outcome = outcome.withColumn("error", F.coalesce("error", F.when(F.col("chunks").isNull(), F.lit("no content"))))

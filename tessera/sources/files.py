@@ -20,6 +20,7 @@ from tessera.functions.text import clean, garble_count
 SUFFIXES = {"pdf": "pdf", "docx": "docx", "md": "md", "markdown": "md", "txt": "txt"}
 BLOCKS = "doc string, seq int, block_type string, text string, heading_level int, language string, warning string"
 _TABLE_RULE = re.compile(r"^\|?[\s:\-|]+\|?\s*$")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)")
 
 
@@ -142,16 +143,18 @@ def txt_paragraphs(docs: DataFrame, key: str = "doc", text: str = "text") -> Dat
 
 
 def cjk_heading(line: str) -> int | None:
-    """Level of a Chinese section heading of at most 40 characters: chapter 1, section 2, dotted numbers by their dots up to 3, other numbered ones 3; null for other lines."""
+    """Level of a Chinese section heading of at most 40 characters: chapter 1, section 2, numbers by their dots up to 3, other numbered ones 3; null for other lines."""
     if not line or len(line) > 40:
         return None
-    number = "[一二三四五六七八九十百零〇0-9]+"
+    number = "[一二三四五六七八九十百千零〇0-9]+"
     if re.match(f"第{number}章", line):
         return 1
     if re.match(f"第{number}[节条]", line):
         return 2
     if dotted := re.match(r"([0-9]+(?:\.[0-9]+)+)\s*[\u4e00-\u9fff]", line):
         return min(3, dotted[1].count(".") + 1)
+    if ended := re.match(r"([0-9]+(?:\.[0-9]+)*[.、])\s*[\u4e00-\u9fff]", line):
+        return min(3, ended[1].count(".") + 1)
     return 3 if re.match("[一二三四五六七八九十]+、", line) else None
 
 
@@ -228,6 +231,11 @@ def docx_blocks(raw: bytes) -> list[tuple[str, str, int | None, str | None, str
     return out
 
 
+def garbled(text: str) -> bool:
+    """As has_garble: a replacement character, or control characters over 1 %."""
+    return "\ufffd" in text or len(_CONTROL.findall(text)) > 0.01 * len(text)
+
+
 def parse_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of docs (doc, format, text, content): text formats from text, docx from content; a document that can't be read is one block of type error."""
 
@@ -241,7 +249,7 @@ def parse_blocks(docs: DataFrame) -> DataFrame:
                     elif kind == "md":
                         found = markdown_blocks(text or "")
                     elif kind == "txt":
-                        found = [("paragraph", p.strip(), None, None, None) for p in (text or "").split("\n\n") if p.strip()]
+                        found = [("paragraph", p.strip(), None, None, "garbled" if garbled(p) else None) for p in (text or "").split("\n\n") if p.strip()]
                     else:
                         raise ValueError(f"no parser for {kind}")
                 except Exception as e:  # one broken file is a row, not a failed job

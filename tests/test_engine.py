@@ -2,15 +2,18 @@
 
 import io
 import json
+import time
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.engine import Engine, provider, timed
+from tessera import engine as engine_module
+from tessera.engine import Engine, Provider, provider, timed
 from tessera.functions import text as T
-from tessera.operators import agent, bm25, gate, sinks
-from tessera.sources import files
+from tessera.operators import agent, bm25, chunking, dense, gate, sinks
+from tessera.sources import files, pdf
 
 LEAVE = "# Annual leave\n\nEmployees get twenty days of annual leave every year.\n\n# Travel\n\nTravel expenses are paid after approval by the manager."
 
@@ -39,7 +42,7 @@ def test_detection_of_bytes(spark):
 
 
 def test_chinese_headings():
-    assert [files.cjk_heading(x) for x in ("第一章 总则", "第3节 范围", "1.2 适用范围", "1.2.3.4 细则", "一、目的", "正文", "", "第一章" + "长" * 40)] == [1, 2, 2, 3, 3, None, None, None]
+    assert [files.cjk_heading(x) for x in ("第一章 总则", "第一千章", "第3节 范围", "1.2 适用范围", "1.2.3.4 细则", "1. 总则", "1、总则", "一、目的", "正文", "", "第一章" + "长" * 40)] == [1, 1, 2, 2, 3, 2, 1, 3, None, None, None]
     kinds = [(k, n) for k, _, n, _, _ in files.markdown_blocks("第一章 总则\n正文一\n正文二\n1.1 范围\n其余", cjk=True)]
     assert kinds == [("heading", 1), ("paragraph", None), ("heading", 2), ("paragraph", None)]
 
@@ -159,3 +162,151 @@ def test_rewriting(spark):
     assert (got[1].mode, got[1].rewritten) == ("skip", "how many days of leave")
     assert (got[2].mode, got[2].rewritten) == ("llm", "leave of this year") and got[3].include_expired
     assert agent.rewritten(q, history, anchors).filter("rewritten IS NULL").isEmpty()
+
+
+def pdf_stream(head, body, flate=False):
+    body = zlib.compress(body) if flate else body
+    return b"<< /Length %d %s %s>>\nstream\n" % (len(body), head, b"/Filter /FlateDecode " if flate else b"") + body + b"\nendstream"
+
+
+def pdf_file(objects, trailer=b""):
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in objects) + b"trailer << /Root 1 0 R " + trailer + b">>\n%%EOF"
+
+
+CMAP = b"begincmap 1 beginbfrange <0001> <0003> <5E74> endbfrange 1 beginbfchar <0010> <5047> endbfchar"
+LEAVE_PDF = [
+    (1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Kids [3 0 R 6 0 R] /Count 2 /Resources << /Font << /F1 7 0 R /F2 8 0 R >> >> >>"), (3, b"<< /Type /Page /Contents 4 0 R >>"),
+    (4, pdf_stream(b"", b"BT /F1 12 Tf 72 700 Td (Parental \\(leave\\) is paid in full for the) Tj 0 -14 Td [(whole per) 10 (iod of) -300 (twelve weeks.)] TJ 0 -40 Td (It starts with the birth of the child, at the latest.) Tj ET", True)),
+    (6, b"<< /Type /Page /Contents [5 0 R] /Resources << /Font << /F2 8 0 R >> /XObject << /I 11 0 R >> >> >>"), (5, pdf_stream(b"", b"BT /F2 10 Tf 1 0 0 1 50 600 Tm <00010010> Tj ET")),
+    (7, b"<< /Type /Font /Subtype /Type1 >>"), (8, b"<< /Subtype /Type0 /ToUnicode 9 0 R >>"), (9, pdf_stream(b"", CMAP, True)), (11, pdf_stream(b"/Subtype /Image", b"x")),
+]
+
+
+def test_pdf_pages():
+    assert pdf.read_pages(pdf_file(LEAVE_PDF)) == [(1, "Parental (leave) is paid in full for the\nwhole period of twelve weeks.\n\nIt starts with the birth of the child, at the latest.", 0), (2, "年假", 1)]
+    packed = b"<< /Type /Catalog /Pages 2 0 R >>   << /Kids [3 0 R] >>"
+    head = b"1 0 2 %d " % packed.index(b"<< /Kids")
+    inner = [(10, pdf_stream(b"/Type /ObjStm /N 2 /First %d" % len(head), head + packed, True)), (3, b"<< /Contents 4 0 R /Resources << /Font << /F1 7 0 R >> >> >>"), (4, pdf_stream(b"", b"BT /F1 12 Tf (compressed <a> \\101) Tj ET")), (7, b"<< /Subtype /Type1 >>")]
+    assert pdf.read_pages(pdf_file(inner)) == [(1, "compressed <a> A", 0)]
+    later = [*inner, (4, pdf_stream(b"", b"BT /F1 12 Tf (updated) Tj ET"))]  # the later object of a number counts
+    assert pdf.read_pages(pdf_file(later)) == [(1, "updated", 0)]
+    assert pdf.read_pages(pdf_file([(1, b"<< >>")], b"/Encrypt 5 0 R ")) is None
+    for raw in (b"", None, b"no pdf", b"%PDF-1.4 junk", pdf_file([(1, b"<< /Type /Catalog /Pages 1 0 R >>")])[:30]):
+        with pytest.raises(ValueError):
+            pdf.read_pages(raw)
+
+
+def test_long_lines():
+    text = "第一条。第二条。" * 500
+    assert "".join(chunking.cut(text)) == text
+    assert chunking.cut("one two. " * 2 + "end") == ["one two. one two. end"]
+    began = time.perf_counter()
+    parts = chunking.cut("x" * 1_000_000)
+    assert "".join(parts) == "x" * 1_000_000 and max(map(chunking.tokens, parts)) <= chunking.CHUNK_TOKENS and time.perf_counter() - began < 5
+
+
+def embed(texts):
+    """Vectors for texts about leave, travel or neither; of a nonsense question one that points away from all."""
+
+    def run(frames):
+        def axes(t):
+            return [0.0, 0.0, 0.0, -1.0] if "qqzx" in t else [float("leave" in t), float("travel" in t.lower()), float("leave" not in t and "travel" not in t.lower()), 0.01 * (len(t) % 7)]
+
+        for f in frames:
+            f["embedding"] = [axes(t) for t in f["content"]]
+            yield f[["chunk", "embedding"]]
+
+    return texts.select("chunk", "content").mapInPandas(run, "chunk string, embedding array<float>")
+
+
+def test_engine_on_stored_embeddings(spark, tmp_path, capsys):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "leave_2024.md").write_text(LEAVE + "\n\nXylophone quota.")
+    (src / "parents.pdf").write_bytes(pdf_file(LEAVE_PDF))
+    (src / "locked.pdf").write_bytes(pdf_file([(1, b"<< >>")], b"/Encrypt 5 0 R "))
+    (src / "cut.pdf").write_bytes(b"%PDF-1.4 nothing")
+    engine = Engine(spark, f"file://{tmp_path}/store", Provider("remote"), embed)
+    report = {r.doc_key.rsplit("/", 1)[-1]: r for r in engine.ingest(engine.collect([f"file://{src}"], "t0")[0], 100).collect()}
+    assert {k: r.status for k, r in report.items()} == {"leave_2024.md": "done", "parents.pdf": "done", "locked.pdf": "failed", "cut.pdf": "failed"}
+    assert report["locked.pdf"].error == "encrypted" and "no pages" in report["cut.pdf"].error
+    held = engine.table().filter("is_valid").collect()
+    assert {r.page_num for r in held if r.doc_title == "parents"} >= {1} and any("twelve weeks" in r.content for r in held)
+    # a superseded version's words say nothing, and its vectors aren't found
+    (src / "leave_2024.md").write_text(LEAVE)
+    engine.ingest(engine.collect([f"file://{src}/leave_2024.md"], "t0")[0], 200)
+    asked = spark.createDataFrame([(1, "paid leave for parents", "t0", "internal"), (2, "xylophone quota", "t0", "internal"), (3, "qqzx wwkv", "t0", "internal")], "query_id int, question string, tenant_id string, user_permission string")
+    got = engine.retrieve(asked, 300)
+    verdicts = {r.query_id: r for r in got.verdicts.collect()}
+    assert verdicts[1].top_cosine > 0.99 and not verdicts[1].no_relevant
+    assert verdicts[3].no_relevant and verdicts[3].coverage == 0.0 and verdicts[3].top_cosine < 0.4
+    assert verdicts[2].coverage < 1.0  # only the old version held it
+    valid = {r.chunk for r in engine.table().filter("is_valid").select("chunk").collect()}
+    assert {r.chunk for r in got.items.collect()} <= valid
+    # from question to reply, twice in one thread
+    turn = lambda q: spark.createDataFrame([(7, q, "t0", "internal")], "conv_id long, question string, tenant_id string, user_permission string")
+    first = engine.answer(turn("how long is parental leave paid"), now=300).first()
+    assert first["route"] in ("answer", "disclose") and first["citations"]
+    second = engine.answer(turn("hello"), now=301).first()
+    assert second["route"] == "direct"
+    assert [(r.turn, r.role) for r in engine.messages(7).collect()] == [(0, "user"), (1, "assistant"), (2, "user"), (3, "assistant")]
+    # documents that go leave both roads
+    page, total = engine.documents("t0")
+    assert total == 4 and page.count() == 4
+    doc = engine.registry.current().filter("doc_key LIKE '%parents.pdf'").select("tenant_id", "doc_id")
+    answers = engine.delete(doc.unionByName(spark.createDataFrame([("t0", "doc_none")], "tenant_id string, doc_id string")), 400)
+    assert {r.status for r in answers.collect()} == {204, 404}
+    assert engine.documents("t0")[1] == 3
+    after = {r.chunk for r in engine.retrieve(asked, 500).items.collect()}
+    assert after and not after & {r.chunk_id for r in held if r.doc_title == "parents"}
+    assert {r.chunk for r in engine.index.lengths().collect()} == {r.chunk for r in engine.table().filter("is_valid").select("chunk").collect()}
+    assert engine_module.main(["health", engine.folder]) == 0
+    assert engine_module.main(["ask", engine.folder, "t0", "internal", "9", "travel", "expenses", "approval"]) in (0, 1)
+    assert "[source:" in capsys.readouterr().out
+    assert engine_module.main(["ingest", engine.folder, "t0", f"file://{src}", f"file://{tmp_path}/none"]) == 1
+    assert engine_module.main(["nothing", engine.folder]) == 2
+
+
+def test_index_of_postings(spark, tmp_path):
+    words = [(i, i, f"w{i % 3} w{i % 5} common {'rare' if i == 4 else ''}", "t0" if i % 4 else "t1") for i in range(30)]
+    chunks = spark.createDataFrame(words, "chunk int, ord int, content string, tenant string")
+    asked = spark.createDataFrame([(1, 0, "rare w1 common"), (2, 0, "w2 w2 nothing"), (3, 1, "common w0")], "query_id int, sig int, question string")
+    index = bm25.PostingsIndex(spark, f"file://{tmp_path}/postings")
+    index.commit(chunks.filter("chunk < 20").withColumn("content", F.when(F.col("chunk") == 3, "old words").otherwise(F.col("content"))))
+    index.commit(chunks.filter("chunk >= 20 OR chunk = 3"))
+    index.commit(chunks.limit(0), chunks.filter("chunk IN (4, 9)").select("chunk"))
+
+    def both(live):
+        eligible = live.withColumn("sig", F.lit(0)).unionByName(live.filter("tenant = 't1'").withColumn("sig", F.lit(1)))
+        rows = lambda df: sorted((r.query_id, r["rank"], r.chunk, round(r.score, 9)) for r in df.collect())
+        return rows(index.search(eligible, asked, 5)), rows(bm25.search(eligible, asked, 5))
+
+    live = chunks.filter("chunk NOT IN (4, 9)")
+    got, want = both(live)
+    assert got == want
+    plan = index.postings(asked.select(F.lit("rare").alias("term")).distinct())._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:80]
+    index.sync(chunks)  # 4 and 9 come again
+    assert both(chunks)[0] == both(chunks)[1]
+    index.rebuild(chunks)
+    assert len(index.manifest()) == 1 and both(chunks)[0] == both(chunks)[1]
+
+
+def test_dense_index(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((400, 6)) * 10.0 ** rng.integers(-30, 30, (400, 1))
+    rows = [(i, i, "t0", "public", 0, 2020, i % 9 != 0, "general", f"d{i % 3}", x.tolist()) for i, x in enumerate(v)] + [(400, 400, "t0", "public", 0, 2020, True, "general", "d0", None), (401, 401, "t0", "public", 0, 2020, True, "general", "d0", [0.0] * 6), (402, 402, "t0", "public", 0, 2020, True, "general", "d0", [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk int, ord int, tenant_id string, permission string, effective_time int, doc_year int, is_valid boolean, category string, department string, embedding array<double>")
+    index = dense.build(chunks, lambda df, by: df)
+    spec = (0, "t0", "public", None, None, 10, False, None)
+    asked = spark.createDataFrame([(f"q{i}", *spec[:4], f"d{i % 3}", *spec[5:], rng.standard_normal(6).tolist()) for i in range(6)], "qp string, sig int, tenant_id string, user_permission string, category string, department string, now int, include_expired boolean, years array<int>, query array<double>")
+    asked = asked.withColumn("sig", F.xxhash64("department"))
+    got = {(r.qp, r["rank"]): r.chunk for r in index.search(asked, 20).collect()}
+    for r in asked.collect():
+        q = np.array(r.query)
+        cos = (v @ q) / np.sqrt((v**2).sum(1)) / np.sqrt((q**2).sum())
+        ok = [i for i in range(400) if i % 9 != 0 and f"d{i % 3}" == r.department]
+        assert [got[r.qp, n + 1] for n in range(20)] == sorted(ok, key=lambda i: (-round(cos[i], 9), i))[:20]
+    assert dense.build(chunks.limit(0), lambda df, by: df).search(asked).count() == 0
