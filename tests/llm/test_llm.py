@@ -418,15 +418,20 @@ def test_nearest_in_rounds(spark, monkeypatch):
 def test_collisions():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 16))
-    index = ann.CollisionIndex(x, float((x**2).sum(1).max()))
+    index = ann.CollisionIndex(x)
     queries, radius = x[:30], rng.uniform(1, 6, 30)
-    at = index.scaled(queries) @ index.bases[:-1]
-    low, high = index.windows(at, radius)
-    rank = np.argsort(np.argsort(np.hstack([x, np.sqrt(np.maximum(0, index.largest - (x**2).sum(1)))[:, None]]) @ index.bases, axis=0, kind="stable"), axis=0)
-    for q, rows in enumerate(index.search(queries, radius)):
+    centers = queries * (index.length / np.sqrt((queries**2).sum(1)))[:, None]
+    squares = (x**2).sum(1)
+    at, half = centers @ index.bases, ann.WINDOW * radius + 1e-9 * index.length
+    low = np.array([np.searchsorted(s, a - half, "left") // index.step for s, a in zip(index.sorted, at.T, strict=True)])
+    high = np.array([-(-np.searchsorted(s, a + half, "right") // index.step) for s, a in zip(index.sorted, at.T, strict=True)])
+    rank = np.argsort(np.argsort(np.hstack([x, np.sqrt(np.maximum(0, squares.max() - squares))[:, None]]) @ ann.directions(17), axis=0, kind="stable"), axis=0)
+    planes, need = index.counts(centers, radius), rng.integers(1, index.need + 1, 30)
+    for q, rows in enumerate(index.reaching(planes, need)):
         inside = (rank >= low[:, q] * index.step) & (rank < high[:, q] * index.step)
-        assert rows.tolist() == np.flatnonzero(inside.sum(1) >= index.need).tolist()
-    verified = np.mean([len(r) for r in index.widen(queries, 40)])
+        assert rows.tolist() == np.flatnonzero(inside.sum(1) >= need[q]).tolist()
+        assert index.collisions(planes, q, np.arange(700)).tolist() == inside.sum(1).tolist()
+    verified = np.mean([len(r) for r in index.widen(centers, 40)])
     assert 40 <= verified <= 400
 
 
