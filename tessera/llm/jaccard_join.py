@@ -39,6 +39,7 @@ WORDS, SIMILARITY = 4, (85, 100)
 ROUNDS, CENTERS, PART_MEMBERS, PART_SHINGLES, BLOCK_MEMBERS, BLOCK_SHINGLES, RANGE_POSTINGS = 2, 8, 1024, 2_000_000, 512, 2_000_000, 2_000_000
 #: Weight of a binary probe against a merge step in DivideSkip's rule for the number of long lists.
 PROBE = 0.0085
+PARTS = "range int, part binary, form int"
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, prefix binary"
 
 
@@ -237,12 +238,21 @@ def search_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int, in
 
 
 def _deal(keys: np.ndarray, ranges: int, *values: np.ndarray) -> pa.RecordBatch:
-    """range, part: keys (sorted) with their values, as bytes of int64 rows by ranges of the hash."""
+    """range, part, form: keys (sorted) with their values by ranges of the hash. Of a key the range and its low half are kept: keys that agree in both count as one, which can only
+    make more of them look shared. One value of 32 bits goes as such, others as 64 bits; form tells how many values, 0 for a short one."""
     r = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     cut = np.flatnonzero(np.diff(r, prepend=r[0] - np.uint64(1))) if len(r) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(r))[: len(cut)]
-    rows = np.column_stack([keys.view(np.int64), *values])
-    return pa.RecordBatch.from_arrays([pa.array(r[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], ["range", "part"])
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    short = len(values) == 1 and (not len(keys) or 0 <= int(values[0].min()) and int(values[0].max()) < 1 << 32)
+    rows = np.column_stack([low, *values]).astype(np.uint32 if short else np.int64)
+    form = np.full(len(cut), 0 if short else len(values), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(r[cut].astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary()), pa.array(form)], ["range", "part", "form"])
+
+
+def _rows(part: bytes, form: int) -> np.ndarray:
+    """Rows (key, values) of a part."""
+    return np.frombuffer(part, np.int64).reshape(-1, form + 1) if form else np.frombuffer(part, np.uint32).reshape(-1, 2).astype(np.int64)
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,8 +285,8 @@ def shared_keys(members: DataFrame, ranges: int) -> DataFrame:
             keys, _, label = _flat(batch)
             keys, low, high, n = _combined(keys, label, label, np.ones(len(keys), np.int64))
             one = n == 1
-            for wide, part in ((False, _deal(keys[one], ranges, low[one])), (True, _deal(keys[~one], ranges, low[~one], high[~one], n[~one]))):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, wide))], ["range", "part", "wide"])
+            yield _deal(keys[one], ranges, low[one])
+            yield _deal(keys[~one], ranges, low[~one], high[~one], n[~one])
 
     def several(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, more, size = (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3), [], 0
@@ -286,9 +296,9 @@ def shared_keys(members: DataFrame, ranges: int) -> DataFrame:
             return _combined(rows[:, 0].copy().view(np.uint64), *(rows[:, i] for i in (1, 2, 3)))
 
         for batch in parts:
-            for part, wide in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "wide")), strict=True):
-                rows = np.frombuffer(part, np.int64).reshape(-1, 4 if wide else 2)
-                more.append(rows if wide else np.column_stack([rows, rows[:, 1], np.ones(len(rows), np.int64)]))
+            for part, form in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "form")), strict=True):
+                rows = _rows(part, form)
+                more.append(rows if form == 3 else np.column_stack([rows, rows[:, 1], np.ones(len(rows), np.int64)]))
                 size += len(rows)
             if size > max(1_000_000, len(held[0])):
                 held, more, size = merge(), [], 0
@@ -296,12 +306,12 @@ def shared_keys(members: DataFrame, ranges: int) -> DataFrame:
         some = low < high
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.column_stack([keys[some].view(np.int64), n[some]]).tobytes()], pa.binary()), pa.array([int(n.sum())])], ["range", "part", "postings"])
 
-    dealt = members.select("doc_id", "label", "keys").mapInArrow(count, "range int, part binary, wide boolean")
+    dealt = members.select("doc_id", "label", "keys").mapInArrow(count, PARTS)
     return dealt.groupBy("range").applyInArrow(several, "range int, part binary, postings long")
 
 
 def shared_postings(members: DataFrame) -> DataFrame:
-    """doc_id, key, df: the keys of members (doc_id, label, keys) that several components hold, and how many documents do.
+    """doc_id, key (range and low half of the hash), df: the keys of members (doc_id, label, keys) that several components hold, and how many documents do.
 
     Postings stream past the shared keys of their range; a range with more postings than others is dealt to several tasks, each with the range's keys."""
     spark = members.sparkSession
@@ -319,24 +329,23 @@ def shared_postings(members: DataFrame) -> DataFrame:
         keys = n = np.empty(0, np.int64)
         for batch in batches:
             out = []
-            for kind, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = np.frombuffer(part, np.int64).reshape(-1, 2)
+            for kind, span, part, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = _rows(part, form)
                 if kind == 0:
-                    keys, n = rows[:, 0].copy().view(np.uint64), rows[:, 1]
+                    keys, n = rows[:, 0].copy(), rows[:, 1]
                 elif len(keys):
-                    mine = rows[:, 0].copy().view(np.uint64)
-                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                    hit = keys[at] == mine
-                    out.append(np.column_stack([rows[hit, 1], rows[hit, 0], n[at[hit]]]))
+                    at = np.minimum(np.searchsorted(keys, rows[:, 0]), len(keys) - 1)
+                    hit = keys[at] == rows[:, 0]
+                    out.append(np.column_stack([rows[hit, 1], span << 32 | rows[hit, 0], n[at[hit]]]))
             all_rows = np.concatenate([*out, np.empty((0, 3), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(all_rows[:, i].copy()) for i in range(3)], ["doc_id", "key", "df"])
 
     some = known.filter(F.length("part") > 0).select("range", salts.alias("_salts"), "part")
-    lists = some.select("range", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), "part")
-    posts = members.select("doc_id", "label", "keys").mapInArrow(post, "range int, part binary").join(some.select("range", "_salts"), "range")
-    posts = posts.select("range", F.pmod(F.xxhash64("part"), F.col("_salts")).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "part")
+    lists = some.select("range", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), "part", F.lit(1).alias("form"))
+    posts = members.select("doc_id", "label", "keys").mapInArrow(post, PARTS).join(some.select("range", "_salts"), "range")
+    posts = posts.select("range", F.pmod(F.xxhash64("part"), F.col("_salts")).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "part", "form")
     dealt = lists.unionByName(posts).repartition("range", "_salt").sortWithinPartitions("range", "_salt", "_kind")
-    return dealt.select("_kind", "part").mapInArrow(meet, "doc_id long, key long, df long")
+    return dealt.select("_kind", "range", "part", "form").mapInArrow(meet, "doc_id long, key long, df long")
 
 
 def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -344,7 +353,7 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
     texts = doc_text(docs)
     sketches = materialize(sketch(docs, k, similarity))
     some = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     repeated = _repeats(sketches)  # then a doc_id is searched by one of its rows' sets
     once = (lambda rows: rows.dropDuplicates(["doc_id"])) if repeated else (lambda rows: rows)
     reps = once(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
@@ -358,7 +367,7 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
         return rows.join(some, "doc_id")
 
     meet = [F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("k"))).alias(f"_meet{r}") for r in range(ROUNDS)]
-    first = materialize(reps.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.col("prefix").alias("keys")))
+    first = reps.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.col("prefix").alias("keys"))
     members = searchable(first, 1 + F.floor(least / 20), *meet).drop("keys")
     sets = materialize(once(whole_sets(texts.join(members.select("doc_id"), "doc_id", "left_semi"), k)))
     links = None
@@ -374,14 +383,13 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
         links = found if links is None else links.unionByName(found)
         members = materialize(relabelled(members))
     whole = members.join(sets, "doc_id").select("doc_id", "n_shingles", "label", F.col("shingles").alias("keys"))
-    for _ in range(ROUNDS):  # members that go take shared keys with them
-        whole = materialize(searchable(whole, least))
+    whole = materialize(searchable(whole, least))
     if not whole.isEmpty():
-        # of its shared keys, rarest first, a member and whatever it is linked to have one in common among all but need - 1
+        # members that went took shared keys with them; of those left, rarest first, a member and whatever it is linked to have one in common among all but need - 1
         held = shared_postings(whole).join(whole.select("doc_id", least.alias("_need")), "doc_id")
         mine = W.Window.partitionBy("doc_id")
         ranked = held.withColumns({"_place": F.row_number().over(mine.orderBy("df", "key")), "_held": F.count("*").over(mine)})
-        rare = materialize(ranked.filter(F.col("_place") <= F.col("_held") - F.col("_need") + 1).select("key", "doc_id"))
+        rare = materialize(ranked.filter((F.col("_held") >= F.col("_need")) & (F.col("_place") <= F.col("_held") - F.col("_need") + 1)).select("key", "doc_id"))
         joint = connected_components(rare.groupBy("key").agg(F.min("doc_id").alias("a")).join(rare, "key").select("a", F.col("doc_id").alias("b")))
         grouped = whole.select("doc_id", "label", "n_shingles").join(joint.select(F.col("v").alias("doc_id"), F.col("label").alias("key")), "doc_id")
         links = links.unionByName(materialize(search_blocks(grouped, sets, similarity)))
