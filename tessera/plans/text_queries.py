@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, gate
-from tessera.plans.fixtures import CHUNKS_SQL, QUESTIONS, QUESTIONS_SQL, chunks, questions, table
+from tessera.plans.fixtures import CHUNKS_SQL, QUESTIONS_SQL, chunks, questions, table
 from tessera.sources import files
 
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -52,8 +52,9 @@ def filename_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def years_in_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([*QUESTIONS, (6, "20231 2022 and 2021, 2022"), (7, "x2024y 120250")], "query_id int, question string")
-    return extra.select("query_id", F.array_join(T.years(F.col("question")).cast("array<string>"), ",").alias("years"))
+    """Years that turns of conversations name, every third with two more of its own."""
+    asked = F.concat_ws(" ", "text", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("in "), (2015 + F.col("turn")).cast("string"), F.lit(", 2021 and 20231"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_join(T.years(asked).cast("array<string>"), ",").alias("years"))
 
 
 def page_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ QUERIES = {
     "doc_id_hash": (doc_id_hash, f"WITH {CHUNKS_SQL} SELECT chunk, 'doc_' || substr(sha256(tenant_id || ':file_' || doc || '.md'), 1, 12) AS doc_key_id FROM chunks"),
     "chunk_id_parse": (chunk_id_parse, f"WITH {CHUNKS_SQL}, c AS (SELECT chunk, printf('doc_a_0001_%d_%04d_%05d', doc, 1, chunk_index) AS chunk_id FROM chunks) SELECT chunk, chunk_id, regexp_extract(chunk_id, '^(.+)_(\\d{{4}})_(\\d{{5}})$', 1) AS doc, regexp_extract(chunk_id, '^(.+)_(\\d{{4}})_(\\d{{5}})$', 2)::INT AS version, regexp_extract(chunk_id, '^(.+)_(\\d{{4}})_(\\d{{5}})$', 3)::INT AS chunk_index FROM c"),
     "filename_date": (filename_date, "WITH n AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'policy_' || (2020 + doc_id % 7) || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '-05.md' WHEN 1 THEN 'plan' || (2020 + doc_id % 7) || '.txt' ELSE 'notes.txt' END AS name FROM documents) SELECT doc_id, name, CASE doc_id % 3 WHEN 0 THEN substr(name, 8, 10) WHEN 1 THEN substr(name, 5, 4) END AS doc_date, CASE doc_id % 3 WHEN 0 THEN substr(name, 8, 4)::INT WHEN 1 THEN substr(name, 5, 4)::INT END AS doc_year FROM n"),
-    "years_in_query": (years_in_query, f"WITH {QUESTIONS_SQL}, q AS (SELECT * FROM questions UNION ALL VALUES (6, '20231 2022 and 2021, 2022'), (7, 'x2024y 120250')) SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(question, '\\d+'), lambda y: length(y) = 4 AND y LIKE '20%'))), ',') AS years FROM q"),
+    "years_in_query": (years_in_query, r"WITH q AS (SELECT *, concat_ws(' ', text, CASE WHEN conv_id % 3 = 0 THEN 'in ' || (2015 + turn) || ', 2021 and 20231' END) AS question FROM conversations) SELECT conv_id, turn, role, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(question, '[0-9]+'), lambda y: length(y) = 4 AND y LIKE '20%'))), ',') AS years FROM q"),
     "page_grade": (page_grade, f"WITH {_GRADE} SELECT * FROM graded"),
     "page_summary": (page_summary, f"WITH {_GRADE} SELECT doc_id // 10 AS doc, coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (level = 'red'), '') AS red, coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (level = 'yellow'), '') AS yellow, count(*) FILTER (level = 'green') AS green FROM graded GROUP BY 1"),
     "header_footer_strip": (header_footer_strip, """WITH l AS (SELECT doc_id // 3 AS doc, doc_id % 3 AS page, unnest(string_split('HEAD' || chr(10) || coalesce(text, ''), chr(10))) AS text, unnest(range(1 + len(string_split(coalesce(text, ''), chr(10))))) AS seq FROM documents),
