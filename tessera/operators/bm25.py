@@ -52,30 +52,71 @@ def asked_terms(questions: DataFrame, tokenizer: Callable[[Column], Column] = to
     return questions.select("query_id", "sig", F.explode(tokenizer(F.col("question"))).alias("term")).groupBy("query_id", "sig", "term").agg(F.count("*").alias("times"))
 
 
-def ranked(docs: DataFrame, postings: DataFrame, idf: DataFrame, asked: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk, ord, score, rank. docs: sig, chunk, ord, dl; postings: sig, chunk, term, tf of asked terms; idf: sig, term, idf. Chunks without any asked term fill up to k in order of ord."""
+def scored(docs: DataFrame, postings: DataFrame, idf: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, chunk, ord, score of chunks with an asked term. docs: sig, chunk, ord, dl; postings: sig, chunk, term, tf of asked terms; idf: sig, term, idf."""
     stats = docs.groupBy("sig").agg(F.avg("dl").alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf, ["sig", "term"]).join(docs, ["sig", "chunk"]).join(F.broadcast(stats), "sig").withColumn("w", weight)
-    scored = scored.join(asked, ["sig", "term"]).groupBy("query_id", "chunk", "ord").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    met = postings.join(idf, ["sig", "term"]).join(docs, ["sig", "chunk"]).join(F.broadcast(stats), "sig").withColumn("w", weight)  # stats: a row for each signature
+    return met.join(asked, ["sig", "term"]).groupBy("query_id", "chunk", "ord").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+
+
+def ranked(docs: DataFrame, postings: DataFrame, idf: DataFrame, asked: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk, ord, score, rank; see scored. Chunks without any asked term fill up to k in order of ord."""
+    hits = scored(docs, postings, idf, asked)
     first = docs.withColumn("_n", F.row_number().over(W.Window.partitionBy("sig").orderBy("ord"))).filter(F.col("_n") <= k)
-    fill = questions.select("query_id", "sig").join(first.select("sig", "chunk", "ord"), "sig").join(scored.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
-    both = scored.unionByName(fill.select("query_id", "chunk", "ord", F.lit(0.0).alias("score")))
+    fill = questions.select("query_id", "sig").join(first.select("sig", "chunk", "ord"), "sig").join(hits.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    both = hits.unionByName(fill.select("query_id", "chunk", "ord", F.lit(0.0).alias("score")))
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
-    """query_id, chunk, ord, score, rank of the k best chunks for each question (query_id, sig, question).
-
-    Texts are tokenized once: the terms are written, and statistics, postings and fill read their columns. Chunks without any asked term score 0 and fill up to k in order of ord. tokenizer: of questions and contents alike.
-    """
+def _parts(eligible: DataFrame, questions: DataFrame, tokenizer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs, postings, idf and asked terms as scored takes them; texts are tokenized once: the terms are written, and statistics, postings and fill read their columns."""
     tokens = kept(lengths(eligible, tokenizer).withColumn("dl", F.size("terms")))
     asked = kept(asked_terms(questions, tokenizer))
     terms = asked.select("sig", "term").distinct()
     postings = tokens.select("sig", "chunk", F.explode("terms").alias("term")).join(terms, ["sig", "term"], "left_semi").groupBy("sig", "chunk", "term").agg(F.count("*").alias("tf"))
-    idf = _from_tokens(tokens).join(terms, ["sig", "term"], "left_semi")
-    return ranked(tokens.select("sig", "chunk", "ord", "dl"), postings, idf, asked, questions, k)
+    return tokens.select("sig", "chunk", "ord", "dl"), postings, _from_tokens(tokens).join(terms, ["sig", "term"], "left_semi"), asked
+
+
+def first_ranks(eligible: DataFrame, questions: DataFrame, expected: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """query_id, rank in the whole corpus of the best expected chunk (query_id, chunk) of each question (query_id, sig, question): one more than the chunks before it, without ranking any.
+
+    Only chunks with an asked term are counted one by one. All others score 0 and stand in order of ord, so what they add is a difference of counts by ord.
+    """
+    docs, postings, idf, asked = _parts(eligible, questions, tokenizer)
+    hits = kept(scored(docs, postings, idf, asked).withColumn("score", F.round("score", 9)))
+    wanted = expected.select("query_id", "chunk").distinct().join(questions.select("query_id", "sig"), "query_id").join(docs.select("sig", "chunk", "ord"), ["sig", "chunk"])
+    wanted = wanted.join(hits.select("query_id", "chunk", "score"), ["query_id", "chunk"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = kept(wanted.groupBy("query_id", "sig").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord")).alias("b")).select("query_id", "sig", (-F.col("b.minus")).alias("best"), F.col("b.ord").alias("at")))
+    before = (F.col("score") > F.col("best")) | ((F.col("score") == F.col("best")) & (F.col("ord") < F.col("at")))
+    among = hits.join(best, "query_id").groupBy("query_id").agg(F.count_if(before).alias("hits_before"), F.count("*").alias("hits_all"), F.count_if(F.col("ord") < F.col("at")).alias("hits_below"))
+    below = _counts_below(docs, best.filter("best = 0").select("sig", F.col("at").alias("ord")).distinct())
+    sizes = docs.groupBy("sig").agg(F.count("*").alias("n"))
+    out = best.join(among, "query_id", "left").join(sizes, "sig").join(below.withColumnRenamed("ord", "at"), ["sig", "at"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    fill = F.when(F.col("best") > 0, 0).when(F.col("best") < 0, F.col("n") - zero("hits_all")).otherwise(zero("below") - zero("hits_below"))
+    return out.select("query_id", (1 + zero("hits_before") + fill).alias("rank"))
+
+
+def _counts_below(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """sig, ord, below: how many docs (sig, ord) stand before each place (sig, ord). Ranges of ord are counted whole; only a place's own range is counted row by row."""
+    both = docs.select("sig", "ord", F.lit(0).alias("place")).unionByName(places.select("sig", "ord", F.lit(-1).alias("place")))
+    ranges = kept(both.repartitionByRange("sig", "ord").withColumn("part", F.spark_partition_id()))
+    whole = ranges.groupBy("sig", "part").agg(F.count_if(F.col("place") == 0).alias("n"))
+    ahead = whole.withColumn("ahead", F.sum("n").over(W.Window.partitionBy("sig").orderBy("part")) - F.col("n")).select("sig", "part", "ahead")  # a row for each range
+    here = W.Window.partitionBy("sig", "part").orderBy("ord", "place").rowsBetween(W.Window.unboundedPreceding, 0)
+    own = ranges.join(places.select("sig").distinct(), "sig", "left_semi").withColumn("inside", F.sum(F.when(F.col("place") == 0, 1).otherwise(0)).over(here)).filter("place = -1")
+    return own.join(ahead, ["sig", "part"]).select("sig", "ord", (F.col("ahead") + F.col("inside")).alias("below"))
+
+
+def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """query_id, chunk, ord, score, rank of the k best chunks for each question (query_id, sig, question).
+
+    Chunks without any asked term score 0 and fill up to k in order of ord. tokenizer: of questions and contents alike.
+    """
+    docs, postings, idf, asked = _parts(eligible, questions, tokenizer)
+    return ranked(docs, postings, idf, asked, questions, k)
 
 
 class PostingsIndex:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tessera.functions.text import normalize
+from tessera.operators.scratch import kept
 
 MIN_ANCHOR, RECALL_PASS, RANGES = 6, 0.8, 200
+#: Runs of an anchor that are looked up, and bits of the table that says which are.
+PICKED, SLOTS = 8, 1 << 22
 #: Default price of 1000 tokens by model family, matched in this order: (family, prompt, completion).
 PRICES = [("turbo", 0.003, 0.006), ("plus", 0.004, 0.012), ("long", 0.0005, 0.002), ("flash", 0.0008, 0.0027), ("max", 0.02, 0.06)]
 DEFAULT_PRICE = (0.01, 0.03)
@@ -29,10 +36,58 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return cases
 
 
+def _hashes(text: str, size: int) -> np.ndarray:
+    """Hashes of a text's runs of `size` characters, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _posted(texts: DataFrame, key: str, pick: Callable[[str], np.ndarray]) -> DataFrame:
+    """key, gram of texts (key, t): the distinct hashes that pick takes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [np.unique(pick(t)) for t in part.column("t").to_pylist()]
+                where = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(key).take(where), pa.array(np.concatenate(found), pa.int64())], [key, "gram"])
+
+    kept_key = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "t").mapInArrow(run, f"{key} {kept_key}, gram long")
+
+
 def locate(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """case, chunk for chunks (chunk, content) whose normalized text holds a case's normalized anchor; cases are a short, hand-written list."""
-    c = cases.select("case", normalize(F.col("anchor")).alias("a"))
-    return chunks.select("chunk", normalize(F.col("content")).alias("t")).join(F.broadcast(c), F.contains(F.col("t"), F.col("a"))).select("case", "chunk")
+    """case, chunk for chunks (chunk, content) whose normalized text holds a case's normalized anchor (case, anchor).
+
+    A chunk can hold an anchor only if it holds any run of MIN_ANCHOR characters of it (of all, if it is shorter). Of PICKED runs of each anchor the rarest one's postings are the
+    candidates, and `contains` confirms them. Tasks emit runs that a bit table of fixed size lets through; a join takes its false hits away. Work grows with the texts and the
+    candidates, not with cases times chunks. Null and empty anchors are nowhere, null texts hold nothing.
+    """
+    anchors = kept(cases.select("case", normalize(F.col("anchor")).alias("t")).filter("t <> ''"))
+    texts = chunks.select("chunk", normalize(F.col("content")).alias("t")).filter("t <> ''")
+    sizes = [r[0] for r in anchors.select(F.least(F.length("t"), F.lit(MIN_ANCHOR))).distinct().collect()]  # MIN_ANCHOR at most
+    each = kept(_posted(anchors, "case", lambda t: np.sort(_hashes(t, min(len(t), MIN_ANCHOR)))[:PICKED]))
+    wanted = each.select("gram").distinct()
+    table = np.zeros(SLOTS, bool)
+    table[[r[0] for r in wanted.select(F.col("gram").bitwiseAND(SLOTS - 1)).distinct().collect()]] = True  # SLOTS at most
+    shared = chunks.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def listed(t: str) -> np.ndarray:
+        bits = shared.value
+        every = [h[(bits[(h & (SLOTS - 1)) >> 3] >> (7 - (h & 7))) & 1 > 0] for h in (_hashes(t, n) for n in sizes)]
+        return np.concatenate(every) if every else np.zeros(0, np.int64)
+
+    postings = kept(_posted(texts, "chunk", listed).join(wanted, "gram", "left_semi"))
+    held = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = each.join(held, "gram", "left").groupBy("case").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("case", "r.gram")
+    near = kept(rare.join(postings, "gram").select("case", "chunk"))
+    return near.join(anchors.withColumnRenamed("t", "a"), "case").join(texts, "chunk").filter(F.contains(F.col("t"), F.col("a"))).select("case", "chunk")
 
 
 def stratified(cases: DataFrame, limit: int) -> DataFrame:
@@ -120,9 +175,9 @@ def usage_deltas(meter: DataFrame) -> DataFrame:
     return meter.withColumn("total", total).withColumn("added", F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0)))
 
 
-def probe(cases: DataFrame, expected: DataFrame, ranks: DataFrame, k: int = 5) -> DataFrame:
-    """type (null for all), n, recall_1, recall_k, mrr over located cases by the first rank of an expected chunk in the whole corpus."""
-    found = expected.join(ranks, ["case", "chunk"]).groupBy("case").agg(F.min("rank").alias("r"))
+def probe(cases: DataFrame, firsts: DataFrame, k: int = 5) -> DataFrame:
+    """type (null for all), n, recall_1, recall_k, mrr over located cases by the first rank of an expected chunk in the whole corpus (firsts: case, rank; see bm25.first_ranks)."""
+    found = firsts.select("case", F.col("rank").alias("r"))
     within = lambda n: F.round(F.avg((F.col("r") <= n).cast("double")), 6)
     return cases.join(found, "case").rollup("type").agg(F.count("*").alias("n"), within(1).alias("recall_1"), within(k).alias("recall_k"), F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr"))
 

@@ -101,8 +101,9 @@ def verify_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, c = _cases(spark, sf_dir), chunks(spark, sf_dir)
     asked = cases.select(F.col("case").alias("query_id"), F.lit(0).alias("sig"), F.array_join(F.slice(F.split("anchor", " "), 1, 3), " ").alias("question"))
-    ranks = bm25.search(c.withColumn("sig", F.lit(0)), asked, 1 << 30).select(F.col("query_id").alias("case"), "chunk", "rank")
-    return evaluation.probe(cases, evaluation.locate(cases, c), ranks).withColumn("type", F.coalesce("type", F.lit("all")))
+    expected = evaluation.locate(cases, c).withColumnRenamed("case", "query_id")
+    firsts = bm25.first_ranks(c.withColumn("sig", F.lit(0)), asked, expected).withColumnRenamed("query_id", "case")
+    return evaluation.probe(cases, firsts).withColumn("type", F.coalesce("type", F.lit("all")))
 
 
 def calibrate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
