@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -22,9 +23,12 @@ from tessera.operators import agent, bm25, conversation, dense, evaluation, gate
 from tessera.operators.registry import SnapshotTable, list_page
 from tessera.operators.scratch import kept
 from tessera.operators.service import SLOW
+from tessera.operators.store import Store
 from tessera.sources import files
 
 Embed = Callable[[DataFrame], DataFrame]
+#: Share of chunks that are no longer valid from which maintain drops them.
+INVALID = 0.3
 MESSAGES = "conv_id long, turn long, role string, text string"
 
 
@@ -69,11 +73,13 @@ class Engine:
     log: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.chunks = SnapshotTable(self.spark, f"{self.folder}/chunks")
-        self.registry = SnapshotTable(self.spark, f"{self.folder}/registry")
+        self.store = Store(self.spark, self.folder)
+        self.chunks = SnapshotTable(self.spark, f"{self.folder}/chunks", self.store)
+        self.registry = SnapshotTable(self.spark, f"{self.folder}/registry", self.store)
         self.scratch = SnapshotTable(self.spark, f"{self.folder}/scratch")
         self.threads = SnapshotTable(self.spark, f"{self.folder}/threads")
-        self.index = bm25.PostingsIndex(self.spark, f"{self.folder}/postings", tokenize_mixed)
+        self.index = bm25.PostingsIndex(self.spark, f"{self.folder}/postings", tokenize_mixed, self.store)
+        self.store.table("vocabulary", lambda name: [f"{self.folder}/{name}"])
         self._dense: tuple[str, dense.DenseIndex] | None = None
 
     def _registry(self) -> DataFrame:
@@ -89,24 +95,34 @@ class Engine:
         return rows.select("*", readable.alias("text"), F.sha2("content", 256).alias("content_hash"), F.lit(False).alias("force")), missing
 
     def ingest(self, rows: DataFrame, now: int | None = None) -> DataFrame:
-        """Commits chunks, then the registry, then the postings of new chunks and the anchor vocabulary (whose failure is only logged); returns the report."""
-        with timed("ingest_slow", self.log):
+        """Commits chunks, registry, the postings of new chunks and the anchor vocabulary (whose failure is only logged) as one version; returns the report. Conflict if another writer was faster."""
+        with timed("ingest_slow", self.log), self.store.transaction():
             out = ingest.ingest(rows, self._registry(), self.chunks.current(), int(time.time()) if now is None else now, self.embed, self.scratch.put)
             report = self.scratch.put(out.report)
-            registry = self.scratch.put(out.registry)
-            chunks = self.chunks.commit(out.chunks)
-            self.registry.commit(registry)
-            self.index.sync(chunks.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
+            chunks = self._commit(out.chunks, self.scratch.put(out.registry))
             try:
                 self.build_vocabulary(chunks)
             except Exception as e:  # the documents are in; the vocabulary can be built again
                 self.log.append({"event": "vocabulary_failed", "error": str(e).splitlines()[0]})
         return report
 
+    def _commit(self, chunks: DataFrame, registry: DataFrame) -> DataFrame:
+        """Chunks, registry and the postings of valid chunks, in the open transaction."""
+        after = self.chunks.commit(chunks)
+        self.registry.commit(registry)
+        self.index.sync(after.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
+        return after
+
     def build_vocabulary(self, chunks: DataFrame) -> None:
         valid = chunks.filter("is_valid")
         titles = valid.select("doc", F.col("doc_title").alias("title")).distinct()
-        sinks.write_vocabulary(gate.whole_anchor_vocabulary(valid, titles, []), f"{self.folder}/vocabulary")
+        name = f"vocabulary-{uuid.uuid4().hex}"
+        sinks.write_vocabulary(gate.whole_anchor_vocabulary(valid, titles, []), f"{self.folder}/{name}")
+        self.store.set("vocabulary", name)
+
+    def vocabulary(self) -> DataFrame:
+        """term of the anchor vocabulary; none before the first ingest."""
+        return sinks.read_vocabulary(self.spark, f"{self.folder}/{self.store.get('vocabulary')}")
 
     def table(self) -> DataFrame | None:
         """The chunk table in the form retrieval takes: chunk is chunk_id, ord its order."""
@@ -127,7 +143,7 @@ class Engine:
 
     def dense_index(self, chunks: DataFrame) -> dense.DenseIndex:
         """The index of the current snapshot's valid chunks, built once for it."""
-        name = chunks.inputFiles()[0].rsplit("/", 1)[0] if not chunks.isEmpty() else ""
+        name = self.chunks.snapshot() or ""
         if self._dense is None or self._dense[0] != name:
             held = chunks.filter("is_valid").drop("content")
             self._dense = name, dense.build(held, lambda rows, by: self.scratch.put(rows, by))
@@ -148,7 +164,7 @@ class Engine:
         asked = kept(questions.dropDuplicates(["conv_id"]).withColumn("query_id", F.col("conv_id").cast("long")))
         mine = kept(held.join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi"))
         history = self._history(mine)
-        terms = sinks.read_vocabulary(self.spark, f"{self.folder}/vocabulary")
+        terms = self.vocabulary()
         new = kept(agent.rewritten(asked.select("query_id", "question"), history, gate.has_anchor(asked.select("query_id", F.lower("question").alias("question")), terms), rewrite))
         turned = kept(asked.drop("question").join(new, "query_id").withColumn("question", F.col("rewritten")))
         found = self.retrieve(turned.select("query_id", "question", "tenant_id", "user_permission"), now)
@@ -179,18 +195,18 @@ class Engine:
     def delete(self, asked: DataFrame, now: int | None = None) -> DataFrame:
         """tenant_id, doc_id, status (204, or 404 for unknown ones) for documents asked to go (tenant_id, doc_id); their chunks leave both roads."""
         at = F.lit(int(time.time()) if now is None else now).cast("long")
-        chunks, registry, answers = ingest.delete_documents(self.chunks.current(), self._registry(), asked, at)
-        answers, registry = kept(answers), kept(registry)
-        after = self.chunks.commit(chunks)
-        self.registry.commit(registry)
-        self.index.sync(after.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
+        with self.store.transaction():
+            chunks, registry, answers = ingest.delete_documents(self.chunks.current(), self._registry(), asked, at)
+            answers = kept(answers)
+            self._commit(chunks, kept(registry))
         return answers
 
     def patch(self, changes: DataFrame) -> DataFrame:
         """tenant_id, doc_id, chunks_updated for changes (tenant_id, doc_id, effective_time, ...)."""
-        chunks, answers = ingest.patch_documents(self.chunks.current(), self._registry(), changes)
-        answers = kept(answers)
-        self.chunks.commit(chunks)
+        with self.store.transaction():
+            chunks, answers = ingest.patch_documents(self.chunks.current(), self._registry(), changes)
+            answers = kept(answers)
+            self.chunks.commit(chunks)
         return answers
 
     def documents(self, tenant: str, limit: int = 50, offset: int = 0, deleted: bool = False) -> tuple[DataFrame, int]:
@@ -201,13 +217,23 @@ class Engine:
 
     def rebuild(self) -> None:
         """The stored postings anew from the valid chunks."""
-        chunks = self.chunks.current()
-        if chunks is not None:
+        with self.store.transaction():
+            chunks = self.chunks.current()
+            if chunks is None:
+                return
             self.index.rebuild(chunks.filter("is_valid").select(F.col("chunk_id").alias("chunk"), "content"))
 
     def purge(self) -> None:
         """Drops chunks that aren't valid."""
-        self.chunks.compact()
+        with self.store.transaction():
+            self.chunks.compact()
+
+    def maintain(self, keep: int = 2, invalid: float = INVALID) -> list[str]:
+        """Purges if at least that share of the chunks isn't valid, then removes all but the newest versions; returns the folders that went."""
+        held = self.chunks.current()
+        if held is not None and (held.agg(F.avg((~F.col("is_valid")).cast("double"))).first()[0] or 0.0) >= invalid:
+            self.purge()
+        return self.store.expire(keep)
 
     def health(self) -> dict:
         """status, code and checks: a table that can't be read is 503, a degraded provider 200 but degraded; a table that doesn't exist yet is up."""

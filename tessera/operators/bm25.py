@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.functions.text import tokenize
+from tessera.functions.text import ngrams, tokenize
 from tessera.operators.scratch import kept
 from tessera.operators.sinks import read_file, write_file
+from tessera.operators.store import Conflict, Store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -122,17 +123,25 @@ def search(eligible: DataFrame, questions: DataFrame, k: int = 20, tokenizer: Ca
 class PostingsIndex:
     """A stored inverted index below `folder`: postings (term, chunk, tf) in files by bucket of the term, lengths (chunk, dl), both a delta for each commit; readers take what is newest of each chunk.
 
+    A delta also has what the relevance gate asks of a corpus: pairs, the distinct pairs of neighbouring characters of each of its chunks, and changes (pair, n), by how many
+    chunks a pair is held more or less since. Counts add up over deltas, so chunks that go are subtracted and no text is read again.
+
     A commit writes a delta and then a new manifest over the old one, so a reader sees a commit whole or not at all; its cost is that of its own chunks. A search reads the buckets
     of asked terms alone. Who may see a chunk is not kept here: eligible chunks come with the search.
     """
 
     BUCKETS, MERGE_AFTER = 64, 32
 
-    def __init__(self, spark: SparkSession, folder: str, tokenizer: Callable[[Column], Column] = tokenize) -> None:
-        self.spark, self.folder, self.tokenizer = spark, folder.rstrip("/"), tokenizer
+    def __init__(self, spark: SparkSession, folder: str, tokenizer: Callable[[Column], Column] = tokenize, store: Store | None = None) -> None:
+        self.spark, self.folder, self.tokenizer, self.store = spark, folder.rstrip("/"), tokenizer, store
+        self.name = self.folder.rsplit("/", 1)[-1]
+        if store is not None:
+            store.table(self.name, lambda deltas: [f"{self.folder}/{d}" for d, _ in deltas])
 
     def manifest(self) -> list[list]:
         """[delta, whether it has postings] of the current state."""
+        if self.store is not None:
+            return self.store.get(self.name) or []
         raw = read_file(self.spark, f"{self.folder}/MANIFEST")
         return json.loads(raw) if raw else []
 
@@ -152,9 +161,21 @@ class PostingsIndex:
         (sizes if gone is None else sizes.unionByName(gone.select("chunk", F.lit(None).cast("int").alias("dl"), seq))).write.parquet(f"{path}/lengths")
         posts = words.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf")).select("term", "chunk", "tf", seq, self._bucket(F.col("term")).alias("bucket"))
         posts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        pairs = kept(added.select("chunk", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("(?s)(?=(..))"), F.lit(1))).alias("pairs"), seq))  # linear in the text, where substrings by place aren't
+        pairs.write.parquet(f"{path}/pairs")
+        counted = [pairs.select(F.explode("pairs").alias("pair"), F.lit(1).alias("n"))]
+        if deltas and not anew:
+            left = added.select("chunk") if gone is None else added.select("chunk").unionByName(gone.select("chunk"))
+            before = self.lengths().select("chunk", "seq").join(left, "chunk", "left_semi").join(self._read("pairs"), ["chunk", "seq"])
+            counted.append(before.select(F.explode("pairs").alias("pair"), F.lit(-1).alias("n")))
+        reduce(DataFrame.unionByName, counted).groupBy("pair").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{path}/changes")
+        after = [*([] if anew else deltas), [path.rsplit("/", 1)[-1], not words.isEmpty()]]
         if self.manifest() != deltas:
-            raise RuntimeError("another commit came between; nothing was changed")
-        write_file(self.spark, f"{self.folder}/MANIFEST", json.dumps([*([] if anew else deltas), [path.rsplit("/", 1)[-1], not words.isEmpty()]]).encode())
+            raise Conflict("another commit came between; nothing was changed")
+        if self.store is not None:
+            self.store.set(self.name, after)
+        else:
+            write_file(self.spark, f"{self.folder}/MANIFEST", json.dumps(after).encode())
 
     def sync(self, chunks: DataFrame) -> None:
         """One delta that makes the index hold just these chunks (chunk, content); chunks that it holds aren't read again."""
@@ -165,12 +186,30 @@ class PostingsIndex:
         added = chunks if held is None else chunks.join(held.select("chunk"), "chunk", "left_anti")
         self.commit(added, None if held is None else held.select("chunk").join(chunks.select("chunk"), "chunk", "left_anti"))
 
+    def _read(self, kind: str) -> DataFrame | None:
+        paths = [f"{self.folder}/{d}/{kind}" for d, _ in self.manifest()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def document_frequency(self, terms: DataFrame) -> DataFrame:
+        """term, df of terms (term): the chunks that hold it, else 1 where all its pairs of characters occur in some chunk; others have no row. As gate.document_frequency, without a text."""
+        held = self.lengths()
+        if held is None:
+            return terms.select("term", F.lit(0).cast("long").alias("df")).limit(0)
+        df = kept(self.postings(terms).join(held.select("chunk", "seq"), ["chunk", "seq"]).groupBy("term").agg(F.count("*").alias("df")))
+        near = self._pairs_held(terms.join(df, "term", "left_anti").filter(F.length("term") >= 2))
+        return df.unionByName(near.select("term", F.lit(1).cast("long").alias("df")))
+
+    def _pairs_held(self, terms: DataFrame) -> DataFrame:
+        each = terms.select("term", F.explode(F.array_distinct(ngrams(F.col("term"), 2))).alias("pair"))
+        here = self._read("changes").join(each.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+        return each.join(here, "pair", "left").groupBy("term").agg(F.bool_and(F.col("n").isNotNull()).alias("ok")).filter("ok").select("term")
+
     def lengths(self) -> DataFrame | None:
         """chunk, dl, seq of the chunks that the index holds."""
-        paths = [f"{self.folder}/{d}/lengths" for d, _ in self.manifest()]
-        if not paths:
+        every = self._read("lengths")
+        if every is None:
             return None
-        newest = self.spark.read.parquet(*paths).groupBy("chunk").agg(F.max_by(F.struct("dl", "seq"), F.struct("seq", F.col("dl").isNotNull())).alias("r"))
+        newest = every.groupBy("chunk").agg(F.max_by(F.struct("dl", "seq"), F.struct("seq", F.col("dl").isNotNull())).alias("r"))
         return newest.select("chunk", "r.*").filter("dl IS NOT NULL")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:

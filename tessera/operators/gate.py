@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_terms, ngrams, tokenize
+from tessera.operators.bm25 import PostingsIndex
 
 MIN_COVERAGE, MIN_COSINE = 0.20, 0.40
 STOP = ["the", "and", "of", "to", "in", "is", "was", "for", "on", "with", "der", "die", "das", "und", "ist", "le", "la", "les", "de", "et", "el", "los", "que", "en"]
@@ -36,12 +36,17 @@ def document_frequency(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return df.unionByName(near.select("term", F.lit(1).cast("long").alias("df")))
 
 
-def coverage(questions: DataFrame, chunks: DataFrame, fallback: bool = False) -> DataFrame:
-    """query_id, coverage, absent: idf-weighted share of a question's content terms that the chunks hold; 1 without content terms. fallback: terms count as held where their bigrams are."""
-    n = chunks.agg(F.count("*").alias("n"))
-    terms = questions.select("query_id", F.explode_outer(content_terms(tokenize(F.col("question")), STOP)).alias("term"))
+def coverage(questions: DataFrame, chunks: DataFrame, fallback: bool = False, index: PostingsIndex | None = None) -> DataFrame:
+    """query_id, coverage, absent: idf-weighted share of a question's content terms that the chunks hold; 1 without content terms. fallback: terms count as held where their bigrams are.
+
+    index: stored postings of just these chunks; counts come from it, with the fallback and by its tokenizer, and no text is read.
+    """
+    held = index.lengths() if index else None
+    n = (chunks if held is None else held).agg(F.count("*").alias("n"))
+    tokens = index.tokenizer if index else tokenize
+    terms = questions.select("query_id", F.explode_outer(content_terms(tokens(F.col("question")), STOP)).alias("term"))
     asked = terms.filter("term IS NOT NULL").select("term").distinct()
-    df = document_frequency(chunks, asked) if fallback else vocabulary(chunks).join(asked, "term", "left_semi")
+    df = index.document_frequency(asked) if held is not None else document_frequency(chunks, asked) if fallback else vocabulary(chunks).join(asked, "term", "left_semi")
     known = terms.join(df, "term", "left").crossJoin(n)  # n is one row
     idf = F.ln((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weighed = known.withColumn("idf", F.when(F.col("term").isNotNull(), idf))
@@ -50,21 +55,6 @@ def coverage(questions: DataFrame, chunks: DataFrame, fallback: bool = False) ->
     return out.select("query_id", F.round(share, 4).alias("coverage"), F.slice("absent", 1, 8).alias("absent"))
 
 
-class GateCache:
-    """The vocabulary of a corpus, kept until the number of valid chunks changes or ttl seconds pass."""
-
-    def __init__(self, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
-        self.ttl, self.clock, self.count, self.since, self.held = ttl, clock, None, 0.0, None
-
-    def vocabulary(self, chunks: DataFrame) -> DataFrame:
-        count = chunks.count()
-        if self.held is None or count != self.count or self.clock() - self.since > self.ttl:
-            if self.held is not None:
-                self.held.unpersist()
-            self.held, self.count, self.since = vocabulary(chunks).persist(), count, self.clock()
-        return self.held
-
-
 def assess(covered: DataFrame, top_cosine: DataFrame) -> DataFrame:
     """no_relevant: both signals low. top_cosine: query_id, cosine."""
     low = (F.col("coverage") < MIN_COVERAGE) & (F.coalesce("cosine", F.lit(0.0)) < MIN_COSINE)

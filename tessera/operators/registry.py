@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.operators.sinks import write_file
+from tessera.operators.sinks import read_file, write_file
+from tessera.operators.store import Store
 
 
 def decide(incoming: DataFrame, registry: DataFrame) -> DataFrame:
@@ -79,37 +80,42 @@ def swap_version(chunks: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 
 class SnapshotTable:
-    """A table of immutable snapshots and a pointer file that names the current one; one writer at a time."""
+    """A table of immutable snapshots. What names the current one is a pointer file, for a single writer, or a store's manifest, which several tables share."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.jvm = spark.sparkContext._jvm
-        self.pointer = self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        self.fs = self.pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, store: Store | None = None) -> None:
+        self.spark, self.folder, self.store = spark, folder.rstrip("/"), store
+        self.name = self.folder.rsplit("/", 1)[-1]
+        if store is not None:
+            store.table(self.name, lambda snapshot: [f"{self.folder}/{snapshot}"])
+
+    def snapshot(self) -> str | None:
+        """The name of the current snapshot."""
+        if self.store is not None:
+            return self.store.get(self.name)
+        raw = read_file(self.spark, f"{self.folder}/CURRENT")
+        return raw.decode() if raw else None
 
     def current(self) -> DataFrame | None:
-        if not self.fs.exists(self.pointer):
-            return None
-        stream = self.fs.open(self.pointer)
-        try:
-            name = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        name = self.snapshot()
+        return None if name is None else self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a snapshot that no pointer names."""
+    def _write(self, df: DataFrame, partition_by: list[str] | None) -> str:
         name = f"snapshot-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        return name
+
+    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """Write a snapshot that nothing names."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self._write(df, partition_by)}")
 
     def commit(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a snapshot, then name it by renaming a whole new pointer over the old one; readers see the old snapshot until then, and never half a pointer."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.folder}/{name}")
-        write_file(self.spark, f"{self.folder}/CURRENT", name.encode())
+        """Write a snapshot, then name it: in the store's manifest, or by renaming a whole new pointer over the old one. Readers see the old snapshot until then, and never half a pointer."""
+        name = self._write(df, partition_by)
+        if self.store is not None:
+            self.store.set(self.name, name)
+        else:
+            write_file(self.spark, f"{self.folder}/CURRENT", name.encode())
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def merge(self, new: DataFrame, keys: list[str]) -> DataFrame:

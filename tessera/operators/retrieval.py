@@ -100,11 +100,11 @@ def trim(items: DataFrame, top_n: int | None) -> DataFrame:
     return items.filter(F.col("rank") <= top_n) if top_n else items
 
 
-def _verdicts(questions: DataFrame, chunks: DataFrame, top: DataFrame, judged: bool) -> DataFrame:
+def _verdicts(questions: DataFrame, chunks: DataFrame, top: DataFrame, judged: bool, index: bm25.PostingsIndex | None = None) -> DataFrame:
     """query_id, coverage, top_cosine, no_relevant; valid chunks alone say what the corpus covers. top: query_id, cosine of the vector road. Not judged: the vectors say nothing (mock or degraded provider)."""
     if not judged:
         return questions.select("query_id", F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("double").alias("top_cosine"), F.lit(False).alias("no_relevant"))
-    return gate.assess(gate.coverage(questions, chunks.filter("is_valid"), fallback=True), top).select("query_id", "coverage", F.col("cosine").alias("top_cosine"), "no_relevant")
+    return gate.assess(gate.coverage(questions, chunks.filter("is_valid"), fallback=True, index=index), top).select("query_id", "coverage", F.col("cosine").alias("top_cosine"), "no_relevant")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int, provider: str = "real", top_n: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept, index: bm25.PostingsIndex | None = None) -> Retrieved:
@@ -120,7 +120,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: Vectors, now: int
     base, year, relaxed = (found.filter(F.col("pass") == p) for p in ("base", "year", "relaxed"))
     judged = provider != "mock" and not any(road == "vector" for road, _ in degraded)
     top = tops.join(asked.filter(F.col("pass") == "base").select("qp", "query_id"), "qp").select("query_id", "cosine")
-    verdicts = keep(_verdicts(questions, chunks, top, judged))
+    verdicts = keep(_verdicts(questions, chunks, top, judged, index))
     live = verdicts.filter("NOT no_relevant").select("query_id")
     items = keep(trim(fusion.adjudicate_years(base, year.join(live, "query_id", "left_semi")), top_n))
     empty = live.join(items.select("query_id").distinct(), "query_id", "left_anti")

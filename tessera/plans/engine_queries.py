@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import agent, dense, evaluation, gate, ingest, retrieval, scratch, vector
+from tessera.operators import agent, bm25, dense, evaluation, gate, ingest, retrieval, scratch, vector
 from tessera.plans.fixtures import CHUNKS_SQL, NOW, QUESTIONS, chunks, table
 from tessera.plans.retrieval_queries import _bm25, _mock
 from tessera.plans.text_queries import TOKENS
@@ -113,6 +113,16 @@ def coverage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covered.select("query_id", "coverage", F.array_join("absent", ",").alias("absent"))
 
 
+def coverage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index after documents that were valid once have gone: all are committed, then the expired ones leave, and the questions meet no text."""
+    asked = spark.createDataFrame(GATE_QUESTIONS, "query_id int, question string")
+    held = chunks(spark, sf_dir)
+    index = bm25.PostingsIndex(spark, scratch.folder(spark))
+    index.commit(held.select("chunk", "content"))
+    index.commit(held.select("chunk", "content").limit(0), held.filter("effective_time = 1000").select("chunk"))
+    return gate.coverage(asked, held, index=index).select("query_id", "coverage", F.array_join("absent", ",").alias("absent"))
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("doc", F.concat(F.lit("Document "), F.col("source"), F.lit(" Größe 年假")).alias("title")).distinct()
 
@@ -331,6 +341,10 @@ SELECT *, ((query_id IN (3, 4))::INT + (n_expired > 0)::INT + (n_context > 0)::I
     "retrieve_degraded": (retrieve_degraded, f"{_HEAD}, {_bm25(_BASE, _SIG, 20)}, {_bm25(_BY_YEAR, _YEAR, 20, 'y')}, ad AS (SELECT DISTINCT b.query_id FROM bm b JOIN bmy y ON b.query_id = y.query_id AND b.chunk // 4 = y.chunk // 4 WHERE b.rank = 1 AND y.rank <= 8), it AS (SELECT query_id, chunk FROM bmy WHERE rank <= 8 AND query_id IN (FROM ad) UNION ALL SELECT query_id, chunk FROM bm WHERE rank <= 8 AND query_id NOT IN (FROM ad)) SELECT query_id, count(*) AS n, sum(chunk)::BIGINT AS chunk_sum, 'vector' AS road FROM it GROUP BY query_id"),
     "retrieve_relaxed": (retrieve_relaxed, f"{_HEAD}, {_bm25(_RELAXED, _SIG, 8)} SELECT query_id, CASE WHEN effective_time <> 0 AND effective_time < 2000 THEN 'expired' ELSE 'item' END AS kind, rank, chunk, CASE WHEN effective_time <> 0 AND effective_time < 2000 THEN 'expired' ELSE 'valid' END AS validity FROM bm JOIN (SELECT chunk, effective_time FROM ck) USING (chunk)"),
     "retrieve_debug": (retrieve_debug, f"{_PASSES} SELECT query_id, rank, chunk, vector_rank, bm25_rank, round(vscore, 6) AS vector_score, round(bscore, 6) AS bm25_score, md5(substr(content, 1, 200)) AS content_md5 FROM f JOIN (SELECT chunk, content FROM ck) USING (chunk)"),
+    "coverage_stored": (
+        coverage_stored,
+        f"""WITH {CHUNKS_SQL.replace("chunks AS (", "every_chunk AS (", 1)}, chunks AS (FROM every_chunk WHERE effective_time <> 1000), questions(query_id, question) AS (VALUES {_GATE}), {_COVERAGE}""",
+    ),
     "coverage_fallback": (
         coverage_fallback,
         f"WITH {CHUNKS_SQL}, questions(query_id, question) AS (VALUES {_GATE}), {_COVERAGE}",

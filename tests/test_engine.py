@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import engine as engine_module
 from tessera.engine import Engine, Provider, provider, timed
 from tessera.functions import text as T
-from tessera.operators import agent, bm25, chunking, dense, gate, sinks
+from tessera.operators import agent, bm25, chunking, dense, sinks
 from tessera.sources import files, pdf
 
 LEAVE = "# Annual leave\n\nEmployees get twenty days of annual leave every year.\n\n# Travel\n\nTravel expenses are paid after approval by the manager."
@@ -80,7 +80,7 @@ def test_engine(spark, tmp_path):
     asked = spark.createDataFrame([(1, "annual leave days", "t0", "internal")], "query_id int, question string, tenant_id string, user_permission string")
     best = engine.retrieve(asked, 300).items.filter("kind = 'item' AND rank = 1").first()
     assert any(r.chunk_id == best.chunk and "annual leave" in r.content for r in held)
-    terms = {r.term for r in sinks.read_vocabulary(spark, f"file://{tmp_path}/store/vocabulary").collect()}
+    terms = {r.term for r in engine.vocabulary().collect()}
     assert "travel" in terms and "the" not in terms
     golden = {"meta": {"case_count": 1}, "cases": [{"id": "a", "query": "annual leave every year", "expected_doc": "x", "anchor": "twenty days of annual leave"}]}
     (tmp_path / "golden.json").write_text(json.dumps(golden))
@@ -89,7 +89,7 @@ def test_engine(spark, tmp_path):
     before = engine.chunks.current().count()
     engine.purge()
     assert engine.chunks.current().count() == engine.count() < before
-    (tmp_path / "store" / "registry" / "CURRENT").write_text("snapshot-none")
+    engine.store.set("registry", "snapshot-none")
     assert engine.health()["code"] == 503
 
 
@@ -142,18 +142,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(f"{where}/log").count() == 2
 
 
-def test_gate_cache(spark):
-    now = [0.0]
-    cache = gate.GateCache(300, lambda: now[0])
-    one = spark.createDataFrame([("a b",)], "content string")
-    first = cache.vocabulary(one)
-    assert cache.vocabulary(one) is first
-    now[0] = 301
-    second = cache.vocabulary(one)
-    assert second is not first
-    assert cache.vocabulary(one.union(one)) is not second
-
-
 def test_rewriting(spark):
     q = spark.createDataFrame([(1, "how many days of leave"), (2, "and this?"), (3, "yes")], "query_id int, question string")
     history = spark.createDataFrame([(2, "user: leave", "It is 20 days."), (3, "user: old", "Only an expired document. Show it?")], "query_id int, text string, last_answer string")

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.engine import Engine
 from tessera.functions.text import normalize
-from tessera.operators import bm25, evaluation
+from tessera.operators import bm25, evaluation, gate
+from tessera.operators.store import Conflict
 
 
 def test_locate_against_contains(spark):
@@ -35,3 +37,76 @@ def test_first_ranks_against_whole_ranking(spark, words):
     ranks = bm25.search(eligible, asked, 1 << 30)
     want = {r[0]: r[1] for r in expected.join(ranks, ["query_id", "chunk"]).groupBy("query_id").agg(F.min("rank")).collect()}
     assert {r.query_id: r["rank"] for r in bm25.first_ranks(eligible, asked, expected).collect()} == want and len(want) == 5
+
+
+def test_stored_vocabulary_against_texts(spark, tmp_path):
+    texts = ["annual leave days", "travel costs and leave", "parental leave is paid", None, "", "xylophone quota", "café leave leave", "Paid xylograph"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk int, content string").withColumn("content", F.coalesce("content", F.lit("")))
+    asked = spark.createDataFrame([(1, "xylophone leave"), (2, "paidle quota"), (3, "zzqx wwvk"), (4, ""), (5, "the and"), (6, "trav xylog café nnual")], "query_id int, question string")
+    index = bm25.PostingsIndex(spark, f"file://{tmp_path}/postings")
+    rows = lambda df: sorted((r.query_id, r.coverage, r.absent) for r in df.collect())
+
+    def holds(live):
+        got = rows(gate.coverage(asked, live, index=index))
+        assert got == rows(gate.coverage(asked, live, fallback=True))
+        return got
+
+    index.commit(chunks.filter("chunk < 5"))
+    holds(chunks.filter("chunk < 5"))
+    index.commit(chunks.filter("chunk >= 5"))
+    before = holds(chunks)
+    index.commit(chunks.limit(0), chunks.filter("chunk IN (5, 7)").select("chunk"))  # the pairs of their words go with them
+    assert holds(chunks.filter("chunk NOT IN (5, 7)")) != before
+    changed = chunks.filter("chunk = 0").withColumn("content", F.lit("xylophone"))
+    index.commit(changed)
+    holds(chunks.filter("chunk NOT IN (0, 5, 7)").unionByName(changed))
+    index.sync(chunks.filter("chunk <> 0").unionByName(changed))
+    holds(chunks.filter("chunk <> 0").unionByName(changed))
+    index.rebuild(chunks)
+    assert holds(chunks) == before and len(index.manifest()) == 1
+
+
+def test_one_commit_over_tables(spark, tmp_path):
+    where, src = f"file://{tmp_path}/store", tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("first rule about leave")
+    one, two = Engine(spark, where), Engine(spark, where)
+    rows = lambda e: e.collect([f"file://{src}"], "t0")[0]
+    one.ingest(rows(one), 100)
+    assert one.store.numbers() == [1] and set(one.store.state()[1]) == {"chunks", "registry", "postings", "vocabulary"}
+    seen = lambda e: (sorted(r.content for r in e.table().filter("is_valid").collect()), e.documents("t0")[1], e.index.lengths().count())
+    old = seen(one)
+    (src / "b.txt").write_text("second rule about travel")
+    # a writer that dies after any of its writes leaves all tables as they were
+    for place, name in ((one.chunks, "commit"), (one.registry, "commit"), (one.index, "sync"), (one.store, "_claim")):
+        whole = getattr(place, name)
+
+        def dies(*a, _whole=whole, _last=name == "_claim", **k):
+            if not _last:
+                _whole(*a, **k)
+            raise OSError("killed")
+
+        setattr(place, name, dies)
+        with pytest.raises(OSError):
+            one.ingest(rows(one), 200)
+        setattr(place, name, whole)
+        assert one.store.numbers() == [1] and seen(one) == seen(two) == old
+    # two writers from one state: the second fails and changes nothing
+    build = one.build_vocabulary
+    one.build_vocabulary = lambda chunks: (two.ingest(rows(two), 300), build(chunks))
+    with pytest.raises(Conflict):
+        one.ingest(rows(one), 300)
+    one.build_vocabulary = build
+    assert one.store.numbers() == [1, 2] and seen(one) == seen(two) and one.documents("t0")[1] == 2
+    # changes to different tables don't meet
+    with one.store.transaction():
+        one.store.set("left", "x")
+        two.store.set("right", "y")
+    assert one.store.state()[1].items() >= {"left": "x", "right": "y"}.items()
+    doc = one.registry.current().filter("doc_key LIKE '%a.txt'").select("tenant_id", "doc_id")
+    one.delete(doc, 400)
+    snapshots = lambda: {p.name for p in (tmp_path / "store" / "chunks").iterdir() if p.name.startswith("snapshot")}
+    assert one.count() == 1 and one.table().count() == 2
+    one.maintain(keep=1)  # half of the chunks aren't valid
+    assert one.table().count() == 1 and one.store.numbers()[0] > 4 and len(one.store.numbers()) == 1
+    assert one.chunks.snapshot() in snapshots() and one.index.lengths().count() == 1 and seen(two) == seen(one)
