@@ -25,6 +25,7 @@ from tessera.operators.scratch import kept
 from tessera.operators.service import SLOW
 from tessera.operators.store import Store
 from tessera.sources import files
+from tessera.sources.transcription import TranscriptCache
 
 Embed = Callable[[DataFrame], DataFrame]
 #: Share of chunks that are no longer valid from which maintain drops them.
@@ -70,6 +71,7 @@ class Engine:
     folder: str
     embedder: Provider = field(default_factory=lambda: Provider("mock"))
     embed: Embed | None = None
+    transcriber: Callable[[list[bytes]], list[str | None]] | None = None
     log: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -80,6 +82,7 @@ class Engine:
         self.threads = SnapshotTable(self.spark, f"{self.folder}/threads")
         self.index = bm25.PostingsIndex(self.spark, f"{self.folder}/postings", tokenize_mixed, self.store)
         self.store.table("vocabulary", lambda name: [f"{self.folder}/{name}"])
+        self.transcripts = TranscriptCache(self.spark, f"{self.folder}/transcripts")
         self._dense: tuple[str, dense.DenseIndex] | None = None
 
     def _registry(self) -> DataFrame:
@@ -97,7 +100,7 @@ class Engine:
     def ingest(self, rows: DataFrame, now: int | None = None) -> DataFrame:
         """Commits chunks, registry, the postings of new chunks and the anchor vocabulary (whose failure is only logged) as one version; returns the report. Conflict if another writer was faster."""
         with timed("ingest_slow", self.log), self.store.transaction():
-            out = ingest.ingest(rows, self._registry(), self.chunks.current(), int(time.time()) if now is None else now, self.embed, self.scratch.put)
+            out = ingest.ingest(rows, self._registry(), self.chunks.current(), int(time.time()) if now is None else now, self.embed, self.scratch.put, self.transcriber and (lambda images: self.transcripts.transcribe(images, self.transcriber)))
             report = self.scratch.put(out.report)
             chunks = self._commit(out.chunks, self.scratch.put(out.registry))
             try:

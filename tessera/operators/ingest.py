@@ -17,8 +17,9 @@ from tessera.functions import text as T
 from tessera.operators import registry as R
 from tessera.operators.chunking import chunk_documents
 from tessera.operators.scratch import kept
-from tessera.sources.files import parse_blocks, pdf_blocks
+from tessera.sources.files import parse_blocks, pdf_blocks, pictures
 from tessera.sources.pdf import pdf_pages
+from tessera.sources.transcription import fill_images
 
 STATUSES = ("processing", "done", "failed")
 REGISTRY = "tenant_id string, doc_key string, doc_id string, version int, status string, content_hash string, is_deleted boolean, created_at long, updated_at long, error string"
@@ -145,9 +146,11 @@ def _blocks(sources: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataF
     return plain.select(columns).unionByName(paged.select(columns)).unionByName(broken)
 
 
-def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now: int, embed: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> Ingested:
+def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now: int, embed: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] = kept, read: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """files: tenant_id, doc_key, format, text, content, content_hash, force and metadata if wanted. embed: (chunk, content) to (chunk, embedding), called for chunks that aren't held.
 
+    read: images (doc, page, ref, image) to transcripts (doc, page, ref, text); pictures of word-processing files become paragraphs of them, and those without one go. Without it the places of pictures stay.
+
     keep writes and rereads what later steps read more than once (parsed blocks and new chunks). Where a key comes twice, its first hash in order counts.
     """
     at = F.lit(now).cast("long")
@@ -156,6 +159,10 @@ def ingest(files: DataFrame, registry: DataFrame, chunks: DataFrame | None, now:
     todo = doc_meta(one).join(decided.filter(F.col("action").isin("create", "new_version", "retry")), ["tenant_id", "doc_key"])
     sources = todo.select(F.col("doc_id").alias("doc"), "format", "text", "content")
     blocks = keep(_blocks(sources, keep))
+    if read is not None:
+        texts = keep(read(keep(pictures(sources))))
+        docx = sources.filter("format = 'docx'").select("doc")
+        blocks = keep(blocks.join(docx, "doc", "left_anti").unionByName(fill_images(blocks.join(docx, "doc", "left_semi"), texts)))
     errors = blocks.filter(F.col("block_type") == "error").groupBy(F.col("doc").alias("doc_id")).agg(F.min("warning").alias("error"))
     pieces = with_offsets(chunk_documents(blocks.filter(F.col("block_type") != "error")))
     described = pieces.join(todo.withColumnRenamed("doc_id", "doc").drop("text", "content", "format", "content_hash", "force", "action"), "doc")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import conversation as C
-from tessera.operators import registry
+from tessera.operators import registry, scratch
 from tessera.plans.fixtures import CHUNKS_SQL, NOW, QUESTIONS_SQL, chunks, table
 from tessera.plans.retrieval_queries import _T0, _bm25, _eligible, _lexical, ONE_SIG
+from tessera.streaming import streams
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,17 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("content"))
 
 
+def thread_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream, a minute between turns: what each question's thread held before it."""
+    given, out = table(spark, sf_dir, "conversations"), scratch.folder(spark)
+    given.write.parquet(f"{out}/in")  # a stream's source is a folder, and a table may be one file
+    said = spark.readStream.schema(given.schema).parquet(f"{out}/in").withColumn("at", F.timestamp_seconds(1_000_000 + F.col("turn") * 60))
+    query = streams.started(streams.thread_states(said), f"{out}/rows", f"{out}/checkpoint")
+    query.awaitTermination()
+    chars = F.aggregate("messages", F.lit(0), lambda n, m: n + F.coalesce(F.length(m["text"]), F.lit(0)))
+    return spark.read.parquet(f"{out}/rows").select("conv_id", "turn", F.size("messages").alias("n_messages"), chars.alias("chars"), "last_answer", "pending")
+
+
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.last_messages(_messages(spark, sf_dir), 3).select("thread", "seq", F.col("n").cast("long").alias("n"))
 
@@ -108,6 +120,11 @@ QUERIES = {
     "registry_list_page": (registry_list_page, f"WITH {_REG} SELECT doc_key, version, updated_at FROM reg WHERE tenant_id = 't0' AND NOT is_deleted ORDER BY updated_at DESC, doc_key LIMIT 20 OFFSET 5"),
     "soft_delete_version": (soft_delete_version, f"WITH {CHUNKS_SQL} SELECT NOT (doc < 40 AND doc % 3 = 0) AS is_valid, CASE WHEN doc < 40 AND doc % 3 = 0 THEN 2000 ELSE 0 END AS update_time, count(*) AS n FROM chunks GROUP BY ALL"),
     "patch_effective": (patch_effective, f"WITH {CHUNKS_SQL} SELECT chunk, CASE WHEN doc < 60 AND doc % 4 = 0 THEN 7000 + doc ELSE effective_time END::INT AS effective_time FROM chunks"),
+    "thread_states": (
+        thread_states,
+        """WITH w AS (SELECT conv_id, turn, role, count(*) OVER p AS n_messages, coalesce(sum(coalesce(length(text), 0)) OVER p, 0)::BIGINT AS chars, max_by(struct_pack(t := text), turn) FILTER (role = 'assistant') OVER p AS a FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, n_messages, chars, a.t AS last_answer, coalesce(contains(lower(a.t), 'expired') AND contains(a.t, '?'), false) AS pending FROM w WHERE role = 'user'""",
+    ),
     "history_window": (history_window, f"WITH {_MSG} SELECT thread, seq, row_number() OVER (PARTITION BY thread ORDER BY seq DESC) AS n FROM m QUALIFY n <= 3"),
     "history_budget": (history_budget, f"WITH {_MSG}, l AS (SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY seq DESC) AS n, CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || substr(content, 1, 150) AS line FROM m WHERE role IN ('user', 'assistant') QUALIFY n <= 20), f AS (SELECT *, n = 1 OR sum(length(line) + 1) OVER (PARTITION BY thread ORDER BY n) - 1 <= 400 AS fits FROM l), g AS (SELECT *, min(fits::INT) OVER (PARTITION BY thread ORDER BY n) AS ok FROM f) SELECT thread, count(*) AS kept, sum(length(line))::BIGINT AS chars FROM g WHERE ok = 1 GROUP BY thread"),
     "rule_intent": (rule_intent, f"WITH {_MSG}, s AS (SELECT thread, seq, CASE seq % 4 WHEN 0 THEN 'hello you' WHEN 1 THEN 'Your email, ' || content ELSE content END AS q FROM m) SELECT thread, seq, CASE WHEN trim(q) = '' THEN 'chitchat' WHEN regexp_matches(lower(q), 'phone|email|contact|hotline') THEN 'contact_guidance' WHEN length(q) <= 12 AND regexp_matches(lower(q), 'hello|hi|thanks|bye|hallo|merci|hola') THEN 'chitchat' END AS intent FROM s"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -231,6 +232,38 @@ def docx_blocks(raw: bytes) -> list[tuple[str, str, int | None, str | None, str
     return out
 
 
+def docx_pictures(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """(number of the image block among docx_blocks, number in it, bytes) of the pictures that a word-processing file embeds; a picture whose part is missing is left out."""
+    w, a, r = ("{http://schemas.openxmlformats.org/" + x for x in ("wordprocessingml/2006/main}", "drawingml/2006/main}", "officeDocument/2006/relationships}"))
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        held = set(z.namelist())
+        if "word/_rels/document.xml.rels" not in held:
+            return []
+        targets = {e.get("Id"): posixpath.normpath(posixpath.join("/word", e.get("Target", "")))[1:] for e in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if e.get("TargetMode") != "External"}
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+        drawn = [d for d in ([b for b in p.iter(f"{w}drawing")] for p in (body.findall(f"{w}p") if body is not None else [])) if d]
+        out = []
+        for i, drawings in enumerate(drawn):
+            parts = [targets.get(blip.get(f"{r}embed")) for d in drawings for blip in d.iter(f"{a}blip")]
+            out += [(i, k, z.read(part)) for k, part in enumerate(parts) if part in held]
+        return out
+
+
+def pictures(docs: DataFrame) -> DataFrame:
+    """doc, page (0), ref (image block's number : number in it), image of docs (doc, format, content) in docx; a file that can't be read has none, as parse_blocks reports it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc, content in zip(frame["doc"], frame["content"], strict=True):
+                try:
+                    found = docx_pictures(content)
+                except (ValueError, TypeError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+                    found = []
+                yield pd.DataFrame([(doc, 0, f"{i}:{k}", image) for i, k, image in found], columns=["doc", "page", "ref", "image"])
+
+    return docs.filter("format = 'docx'").select("doc", "content").mapInPandas(run, "doc string, page int, ref string, image binary")
+
+
 def garbled(text: str) -> bool:
     """As has_garble: a replacement character, or control characters over 1 %."""
     return "\ufffd" in text or len(_CONTROL.findall(text)) > 0.01 * len(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -29,6 +29,31 @@ def transcribe(images: DataFrame, call: Callable[[list[bytes]], list[str | None]
     return images.select("doc", "page", "ref", "image").mapInPandas(run, "doc string, page int, ref string, text string")
 
 
+class TranscriptCache:
+    """Transcripts by the hash of the image's bytes, in a folder that only grows: a picture that was read once, in whatever document, makes no call again.
+
+    Files are added whole, so two writers don't meet; where both read the same picture, the smaller text counts. Pictures without a transcript are asked again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def texts(self) -> DataFrame:
+        """hash, text."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "hash string, text string")
+        return self.spark.read.schema("hash string, text string").parquet(self.folder).groupBy("hash").agg(F.min("text").alias("text"))
+
+    def transcribe(self, images: DataFrame, call: Callable[[list[bytes]], list[str | None]] = no_transcriber, batch: int = 10) -> DataFrame:
+        """As transcribe, where call sees each different image once, and only those that the cache doesn't hold."""
+        hashed = images.filter("image IS NOT NULL").withColumn("hash", F.sha2("image", 256))
+        new = hashed.join(self.texts(), "hash", "left_anti").groupBy("hash").agg(F.any_value("image").alias("image"))
+        asked = new.select(F.col("hash").alias("doc"), F.lit(0).alias("page"), F.col("hash").alias("ref"), "image")
+        transcribe(asked, call, batch).select(F.col("doc").alias("hash"), "text").write.mode("append").parquet(self.folder)
+        return hashed.select("doc", "page", "ref", "hash").join(self.texts(), "hash").select("doc", "page", "ref", "text")
+
+
 def red_pages(pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """The first red pages of each document (doc, page, level)."""
     order = W.Window.partitionBy("doc").orderBy("page")
@@ -84,3 +109,11 @@ def replace_images(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     said = texts.select("doc", "ref", F.col("text").alias("_said"))
     out = blocks.join(said, ["doc", "ref"], "left").filter("ref IS NULL OR _said IS NOT NULL")
     return out.withColumns({"block_type": F.when(F.col("ref").isNotNull(), "paragraph").otherwise(F.col("block_type")), "text": F.coalesce("_said", "text")}).select(blocks.columns)
+
+
+def fill_images(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """blocks (doc, seq, block_type, text, ...) whose n-th image block of a document says the transcripts of its pictures (texts: doc, ref n:k, text), one to a line, as replace_images."""
+    nth = F.when(F.col("block_type") == "image", F.row_number().over(W.Window.partitionBy("doc", F.col("block_type") == "image").orderBy("seq")) - 1)
+    parts = texts.filter("trim(text) <> ''").select("doc", F.split("ref", ":").alias("p"), "text")
+    lines = parts.groupBy("doc", F.col("p")[0].alias("ref")).agg(F.array_sort(F.collect_list(F.struct(F.col("p")[1].cast("int").alias("k"), "text"))).alias("l")).select("doc", "ref", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    return replace_images(blocks.withColumn("ref", nth.cast("string")), lines).drop("ref")

@@ -1,6 +1,9 @@
 """Anchors by their rarest run of characters, exact first ranks, and the gate on a stored vocabulary, against plain versions."""
 
+import io
 import random
+import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +113,47 @@ def test_one_commit_over_tables(spark, tmp_path):
     one.maintain(keep=1)  # half of the chunks aren't valid
     assert one.table().count() == 1 and one.store.numbers()[0] > 4 and len(one.store.numbers()) == 1
     assert one.chunks.snapshot() in snapshots() and one.index.lengths().count() == 1 and seen(two) == seen(one)
+
+
+def picture_file(paragraphs, media, rels=None):
+    """A word-processing file of (text, ids of pictures) and its pictures by id."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r>" + "".join(f'<w:r><w:drawing><a:blip r:embed="{i}"/></w:drawing></w:r>' for i in ids) + "</w:p>" for t, ids in paragraphs)
+    links = "".join(f'<Relationship Id="{i}" Target="media/{i}.png"/>' for i in (media if rels is None else rels))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("[Content_Types].xml", "<x/>")
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{links}</Relationships>")
+        for i, image in media.items():
+            z.writestr(f"word/media/{i}.png", image)
+    return raw.getvalue()
+
+
+def test_pictures_are_read_once(spark, tmp_path):
+    src, calls = tmp_path / "in", tmp_path / "calls"
+    src.mkdir()
+    calls.mkdir()
+
+    def read(images):
+        for image in images:
+            (calls / uuid.uuid4().hex).write_bytes(image)
+        return [None if b"blank" in x else f"it says {x.decode()}" for x in images]
+
+    seen = lambda: sorted(p.read_bytes() for p in calls.iterdir())
+    (src / "a.docx").write_bytes(picture_file([("before", ["one", "two"]), ("between", []), ("", ["blank"]), ("after", ["gone"])], {"one": b"fire exits", "two": b"stairs", "blank": b"blank"}, ["one", "two", "blank", "gone"]))
+    (src / "b.docx").write_bytes(picture_file([("other", ["one"])], {"one": b"fire exits"}))
+    (src / "c.docx").write_bytes(b"no archive")
+    engine = Engine(spark, f"file://{tmp_path}/store", transcriber=read)
+    report = engine.ingest(engine.collect([f"file://{src}"], "t0")[0], 100)
+    assert {r.doc_key.rsplit("/", 1)[-1]: r.status for r in report.collect()} == {"a.docx": "done", "b.docx": "done", "c.docx": "failed"}
+    texts = {r.doc_title: r.content for r in engine.table().collect()}
+    assert texts["a"].split() == "before it says fire exits it says stairs between after".split() and "it says fire exits" in texts["b"]
+    assert seen() == [b"blank", b"fire exits", b"stairs"]  # each different picture once
+    (src / "a.docx").write_bytes(picture_file([("new version", ["one", "new"])], {"one": b"fire exits", "new": b"lifts"}))
+    engine.ingest(engine.collect([f"file://{src}/a.docx"], "t0")[0], 200)
+    assert seen() == [b"blank", b"fire exits", b"lifts", b"stairs"]
+    assert any("it says lifts" in r.content and "it says fire exits" in r.content for r in engine.table().filter("is_valid").collect())
+    bare = Engine(spark, f"file://{tmp_path}/bare")
+    bare.ingest(bare.collect([f"file://{src}/b.docx"], "t0")[0], 100)
+    assert "[图片]" in bare.table().first().content
