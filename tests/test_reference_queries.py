@@ -173,3 +173,12 @@ def test_latency_places(spark, rows):
     assert got == want
     whole = sorted(float(v) for _, v in rows if v is not None)
     assert [(r.n, r.p50) for r in evaluation.latency(df, "v").collect()] == ([(len(whole), whole[len(whole) // 2])] if whole else [])
+
+
+def test_date_of_a_key_is_its_first_match(spark):
+    from tessera.operators import ingest
+
+    keys = ["dir/file7_2027-05-01.v1.md", "dir/file2000_2020-05-01.v1.md", "dir/file12034_2004-05-01.v1.md", "dir/file120201_2021-05-01.v1.md", "dir/none.md"]
+    docs = spark.createDataFrame([("t0", k, "md") for k in keys], "tenant_id string, doc_key string, format string")
+    got = {r.doc_key: (r.doc_date, r.doc_year) for r in ingest.doc_meta(docs).collect()}
+    assert [got[k] for k in keys] == [("2027-05-01", 2027), ("2000-20-20", 2000), ("2034-20-04", 2034), ("2020", 2020), (None, None)]
