@@ -298,3 +298,19 @@ def test_dense_index(spark):
         ok = [i for i in range(400) if i % 9 != 0 and f"d{i % 3}" == r.department]
         assert [got[r.qp, n + 1] for n in range(20)] == sorted(ok, key=lambda i: (-round(cos[i], 9), i))[:20]
     assert dense.build(chunks.limit(0), lambda df, by: df).search(asked).count() == 0
+
+
+def test_chunks_of_many_documents_are_one_stream(spark):
+    """Documents of any number and size, whose blocks come in any order and batches, are chunked as each alone, and not in a Python call for each."""
+    texts = {f"d{i}": [("table" if (i + k) % 7 == 0 else "paragraph", f"{'wort ' * (i * k % 400)}年假 {i}. Ende! {k}", k % 3 or None) for k in range(i % 13 + 1)] for i in range(200)}
+    rows = [(d, k, *b) for d, blocks in texts.items() for k, b in reversed(list(enumerate(blocks)))]
+    made = chunking.chunk_documents(spark.createDataFrame(rows, "doc string, seq int, block_type string, text string, page int").repartition(7))
+    assert "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = {(d, i + 1, k, p, chunking.tokens(t), t) for d, blocks in texts.items() for i, (k, t, p) in enumerate(chunking.chunk_blocks(blocks))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = [tuple(r) for r in made.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == want and len(got) == len(want)
+    assert chunking.counts("aß_9 年。-�😀") == (2, 3) and chunking.tail("wort " * 300) == ("wort " * 300)[-322:]
