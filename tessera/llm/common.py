@@ -25,8 +25,14 @@ def release_caches() -> None:
         f.cache_clear()
     if held:
         gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
-            trim(0)
+        trim_memory()
+
+
+def trim_memory() -> None:
+    """Gives freed memory back to the system: glibc and Arrow's pool keep it otherwise, for each Python worker of an executor."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

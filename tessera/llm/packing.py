@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.common import doc_text, materialize, string_buffers
+from tessera.llm.common import doc_text, materialize, string_buffers, trim_memory
 from tessera.llm.tokenization import TABLE_WORDS, encoder, spread
 
 VOCABULARY, SEPARATOR, END_ID, MAX_TOKENS = "byte_bpe_50k.json", "\n", 0, 2048
@@ -34,6 +34,7 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str =
     """doc_id, piece, start, length, ids_crc32; only documents over max_tokens are cut, the first piece takes what is over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()  # of what earlier operators freed in this worker
         enc = encoder(vocabulary, separator, words)
         for batch in batches:
             data, off = string_buffers(batch.column(1))
@@ -47,6 +48,7 @@ def cut_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str =
                 stop = first[row] + piece * max_tokens
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((border[row] + start).tolist(), (border[row] + stop).tolist(), strict=True)]
                 cols = [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64())]
+                trim_memory()  # a range's temporaries are many times its bytes
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -498,3 +499,18 @@ def test_pipeline_odd_tables(spark, sf_dir):
         assert None not in kept and kept.count("a b c d e f g\n" * 9) <= 1
         pieces = P.STAGES[-1][1](spark, docs, sf_dir).collect()
         assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+
+
+def test_trimmed_memory_goes_back_to_the_system():
+    import re
+
+    from tessera.llm.common import trim_memory
+
+    held_mb = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    trim_memory()
+    rows = [bytes(1000) for _ in range(200_000)]
+    last = bytes(1000)  # above the rows, so that the heap's end stays in use
+    most = held_mb()
+    del rows
+    trim_memory()
+    assert most - held_mb() > 120 and len(last) == 1000
