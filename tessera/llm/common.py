@@ -56,6 +56,19 @@ def materialize(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write df to the shared folder in buckets of the key, and read back: joins on the key move the other side only. The second result drops it."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"spark_catalog.default.tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_shared(spark, path)
+
+    return spark.table(name), drop
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove an intermediate that no later plan reads."""
     jvm = spark.sparkContext._jvm

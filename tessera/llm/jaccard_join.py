@@ -2,8 +2,8 @@
 
 Sets are the distinct shingles of whole texts as 64-bit hashes; documents with equal sets are one class, led by its smallest doc_id. Linked sets of m and more shingles share
 T(m) = ceil(similarity * m) at least, so among the T-prefix of each (its m - T(m) + l(m) smallest hashes, l(m) = 1 + m / 20) the first l common ones lie in both prefixes.
-A class is searched only if l(T(m)) of its prefix keys are held by classes of other components too; that test is necessary for a link, so it loses none, and it
-is repeated as components grow: members of one group of copies, however large, soon share nothing with others.
+A class is searched only if l(T(m)) of its prefix keys are held by other documents too; that test is necessary for a link, so it loses none, and it
+is repeated on whole sets, with keys of other components, as components grow: members of one group of copies, however large, soon share nothing with others.
 
 Search: a query's inverted lists are divided by DivideSkip. The longest lists are set aside, as many as keep the threshold above zero; the short ones are merged by a heap,
 documents met often enough there are probed in the long ones by binary search until the exact overlap that the two sizes require is reached or out of reach. Documents
@@ -12,6 +12,7 @@ that are joined to the query already are not probed.
 Distribution: in ROUNDS rounds classes meet by a minimum of their shared keys (and size); the smallest CENTERS of a meeting are the index, to which its members, dealt to parts
 of bounded size, are queries: linear in a meeting's size. What still passes the test after these is searched whole: classes connected by shared keys are dealt to blocks
 of bounded size, and every pair of blocks is one index and one set of queries. Only links that join two components leave a task.
+Prefixes are read where they were written, and dropped after the first test; whole sets are written once in buckets of doc_id, so that ids and labels come to them: a set moves to its meetings and blocks alone.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; fewer words than a shingle are one shingle; very long texts are read whole; equal sets are
 linked; rows with a null doc_id take no part (component_id null); repeated rows get the same answer each; an empty table gives no rows; other columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, materialize, mix64, release_caches, slices, string_buffers
+from tessera.llm.common import SPACE_BYTES, WordHasher, doc_text, drop_shared, materialize, materialize_by, mix64, release_caches, shared_dir, slices, string_buffers
 from tessera.llm.components import connected_components
 from tessera.llm.minmax_dedup import _repeats, distinct, shingles
 
@@ -162,7 +163,7 @@ def search_centers(meetings: DataFrame, sets: DataFrame, similarity: tuple[int,
     centers = held.withColumn("_at", place).filter(F.col("_at") <= CENTERS).select("meeting", "_parts", "doc_id", "label")
     own = held.join(centers.select("meeting", "doc_id"), ["meeting", "doc_id"], "left_anti").select("meeting", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_kind"), "doc_id", "label")
     led = centers.select("meeting", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), "doc_id", "label")
-    dealt = led.unionByName(own).join(sets, "doc_id").repartition("meeting", "_part").sortWithinPartitions("meeting", "_part", "_kind", "doc_id")
+    dealt = led.unionByName(own).hint("shuffle_hash").join(sets, "doc_id").repartition("meeting", "_part").sortWithinPartitions("meeting", "_part", "_kind", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -217,7 +218,7 @@ def search_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int, in
     asked = F.col("_guest") | (F.col("_other") < F.col("_own"))  # of a pair of blocks the first is the index
     i = F.when(asked, F.col("_other")).otherwise(F.col("_own"))
     j = F.when(F.col("_guest"), F.col("_homes") + F.col("_own")).when(asked, F.col("_own")).otherwise(F.col("_other"))
-    spread = met.select("key", "_band", i.alias("_i"), j.alias("_j"), asked.alias("_asked"), "doc_id", "label").join(sets, "doc_id")
+    spread = met.select("key", "_band", i.alias("_i"), j.alias("_j"), asked.alias("_asked"), "doc_id", "label").hint("shuffle_hash").join(sets, "doc_id")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending")])
@@ -342,7 +343,7 @@ def shared_postings(members: DataFrame) -> DataFrame:
 
     some = known.filter(F.length("part") > 0).select("range", salts.alias("_salts"), "part")
     lists = some.select("range", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_kind"), "part", F.lit(1).alias("form"))
-    posts = members.select("doc_id", "label", "keys").mapInArrow(post, PARTS).join(some.select("range", "_salts"), "range")
+    posts = members.select("doc_id", "label", "keys").mapInArrow(post, PARTS).join(F.broadcast(some.select("range", "_salts")), "range")  # a row for each range
     posts = posts.select("range", F.pmod(F.xxhash64("part"), F.col("_salts")).cast("int").alias("_salt"), F.lit(1).alias("_kind"), "part", "form")
     dealt = lists.unionByName(posts).repartition("range", "_salt").sortWithinPartitions("range", "_salt", "_kind")
     return dealt.select("_kind", "range", "part", "form").mapInArrow(meet, "doc_id long, key long, df long")
@@ -351,25 +352,28 @@ def shared_postings(members: DataFrame) -> DataFrame:
 def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     texts = doc_text(docs)
-    sketches = materialize(sketch(docs, k, similarity))
+    prefixes = shared_dir(docs.sparkSession)
+    sketches = materialize(sketch(docs, k, similarity), prefixes)
     some = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     repeated = _repeats(sketches)  # then a doc_id is searched by one of its rows' sets
     once = (lambda rows: rows.dropDuplicates(["doc_id"])) if repeated else (lambda rows: rows)
-    reps = once(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    rows = once(some)
     least = F.ceil(F.col("n_shingles") * similarity[0] / similarity[1])
 
-    def searchable(rows: DataFrame, need: Column, *more: Column) -> DataFrame:
-        """Rows (doc_id, n_shingles, label, keys) that hold as many shared keys as a link needs; `more` is found of these."""
-        held = shared_postings(rows).groupBy("doc_id").agg(F.count("*").alias("_held"), *more)
-        sizes = rows.select("doc_id", "n_shingles")
-        some = materialize(sizes.join(held, "doc_id").filter(F.col("_held") >= need).drop("_held", "n_shingles"))
-        return rows.join(some, "doc_id")
+    def searchable(keys: DataFrame, sizes: DataFrame, need: Column, *more: Column) -> DataFrame:
+        """Rows (doc_id, n_shingles, label) of sizes whose keys (doc_id, label, keys) count as many shared ones as a link needs; `more` is found of these."""
+        held = shared_postings(keys).groupBy("doc_id").agg(F.count("*").alias("_held"), *more)
+        return materialize(sizes.join(held, "doc_id").filter(F.col("_held") >= need).drop("_held"))
 
+    # every copy counts as a holder of its own here, so that prefixes needn't be moved to find the representatives: more keys look shared, none fewer
     meet = [F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("k"))).alias(f"_meet{r}") for r in range(ROUNDS)]
-    first = reps.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.col("prefix").alias("keys"))
-    members = searchable(first, 1 + F.floor(least / 20), *meet).drop("keys")
-    sets = materialize(once(whole_sets(texts.join(members.select("doc_id"), "doc_id", "left_semi"), k)))
+    reps = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.col("doc_id").alias("label"))
+    members = searchable(rows.select("doc_id", F.col("doc_id").alias("label"), F.col("prefix").alias("keys")), reps, 1 + F.floor(least / 20), *meet)
+    sketches = materialize(sketches.drop("prefix"))
+    drop_shared(docs.sparkSession, prefixes)
+    searched = texts.join(members.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    sets, drop_sets = materialize_by(once(whole_sets(searched, k)), "doc_id")
     links = None
 
     def relabelled(rows: DataFrame) -> DataFrame:
@@ -382,8 +386,9 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
         found = materialize(search_centers(meetings, sets, similarity))
         links = found if links is None else links.unionByName(found)
         members = materialize(relabelled(members))
-    whole = members.join(sets, "doc_id").select("doc_id", "n_shingles", "label", F.col("shingles").alias("keys"))
-    whole = materialize(searchable(whole, least))
+    keys = members.select("doc_id", "label").hint("shuffle_hash").join(sets.withColumnRenamed("shingles", "keys"), "doc_id")
+    left = searchable(keys, members.select("doc_id", "n_shingles", "label"), least)
+    whole = materialize(left.hint("shuffle_hash").join(sets.withColumnRenamed("shingles", "keys"), "doc_id"))
     if not whole.isEmpty():
         # members that went took shared keys with them; of those left, rarest first, a member and whatever it is linked to have one in common among all but need - 1
         held = shared_postings(whole).join(whole.select("doc_id", least.alias("_need")), "doc_id")
@@ -393,10 +398,11 @@ def components(docs: DataFrame, k: int = WORDS, similarity: tuple[int, int] = SI
         joint = connected_components(rare.groupBy("key").agg(F.min("doc_id").alias("a")).join(rare, "key").select("a", F.col("doc_id").alias("b")))
         grouped = whole.select("doc_id", "label", "n_shingles").join(joint.select(F.col("v").alias("doc_id"), F.col("label").alias("key")), "doc_id")
         links = links.unionByName(materialize(search_blocks(grouped, sets, similarity)))
+    drop_sets()
     labels = connected_components(links)
     named = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp1", "fp2", F.col("n_shingles").alias("_n"), F.coalesce("label", "rep").alias("_label"))
     same = (sketches["fp1"] == named["fp1"]) & (sketches["fp2"] == named["fp2"]) & (sketches["n_shingles"] == named["_n"]) & sketches["doc_id"].isNotNull()
-    out = sketches.drop("prefix").join(named, same, "left")
+    out = sketches.join(named, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_label", "doc_id")).alias("component_id"))
 
 

@@ -115,6 +115,27 @@ def test_jaccard_join(spark, sf_dir, monkeypatch, small):
         assert jaccard_join.components(none(spark)).count() == 0
 
 
+def test_jaccard_join_moves_sets_once_for_each_use(spark):
+    rng = random.Random(5)
+    docs = []
+    for i in range(600):
+        words = ["%07x" % rng.getrandbits(28) for _ in range(400)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:396], "end", str(i)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        before = shuffled()
+        assert component_rows(jaccard_join.components(df)) == [(i, 397 if i % 2 == 0 else 395, i - i % 2) for i in range(1200)]
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert shuffled() - before < 5 * sum(len(text) for _, text in docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    names = {t.name for t in spark.catalog.listTables()}
+    assert not [n for n in names if n.startswith("tessera_")]
+
+
 def test_occurrence_index_finds_what_counting_finds():
     rng = np.random.default_rng(2)
     pool = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
